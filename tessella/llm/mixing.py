@@ -8,8 +8,8 @@ and once more with probability r - floor(r).
 Which documents get the extra copy is decided by pivotal rounding: of two documents with fractional probabilities, mass
 goes from one to the other so that the expected words stay, until one of them is 0 or 1. Blocks of documents, dealt by
 hash, are rounded in parallel and leave one fractional document each; these go up a tree, FAN to a node, until one is left
-for each source, which is drawn. So the words taken of a source miss its target by less than one document. Draws are
-hashes of a seed and the document, and reruns agree.
+for each source, which is drawn. Large documents come first, so that the one left is small
+and the words taken of a source miss its target by less than that. Draws are hashes of a seed and the document, and reruns agree.
 
 Edge cases: null and empty texts have size 0 and are never taken in words; a source whose documents are all empty has
 target 0; repeated rows are separate documents; null doc_ids are allowed; an empty table gives no rows; ``mix`` keeps
@@ -46,7 +46,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     rows = rows.withColumn("open", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
     rows = rows.withColumn("all", F.sum("source_size").over(Window.partitionBy()))
     rows = rows.withColumn("level", (BUDGET * F.col("all") - F.col("closed")) / F.col("open"))
-    level = F.min(F.when(F.col("level") <= F.col("turn"), F.col("level"))).over(Window.partitionBy())
+    first = F.min(F.when(F.col("level") <= F.col("turn"), F.struct("turn", "level"))).over(Window.partitionBy())
+    rows = rows.withColumn("first", first)
+    level = F.col("first.level")
     target = F.least("cap", F.col("weight") * F.coalesce(level, F.lit(float("inf"))))
     return rows.select("source", "source_size", target.alias("target"))
 
@@ -76,8 +78,8 @@ def round_block(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> tuple[np.n
 
 
 def _round(last: bool):
-    def run(_key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["draw", "row"], ignore_index=True)
+    def run(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["size", "draw", "row"], ascending=[False, True, True], ignore_index=True)
         p, at = round_block(rows["size"].to_numpy(), rows["p"].to_numpy(), rows["draw"].to_numpy())
         if last and at >= 0:
             p[at] = 1.0 if rows["draw"][at] < p[at] else 0.0

@@ -208,7 +208,7 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
 def _closest(keep: int, least: float):
     """For members outside the star's component: the members of other components whose samples agree most."""
 
-    def run(_key, outside: pd.DataFrame, inside: pd.DataFrame) -> pd.DataFrame:
+    def run(_key: tuple, outside: pd.DataFrame, inside: pd.DataFrame) -> pd.DataFrame:
         x = np.stack([np.frombuffer(s, "<u2") for s in outside["samples"]])
         y = np.stack([np.frombuffer(s, "<u2") for s in inside["samples"]])
         rep_x, rep_y = outside["rep"].to_numpy(), inside["rep"].to_numpy()
@@ -246,7 +246,7 @@ def _residual(members: DataFrame, labels: DataFrame, samples: DataFrame, keep: i
 
 
 def _guard(f):
-    def run(key, outside: pd.DataFrame, inside: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, outside: pd.DataFrame, inside: pd.DataFrame) -> pd.DataFrame:
         if not len(outside) or not len(inside):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "left": pd.Series(dtype="int64")})
         return f(key, outside, inside)

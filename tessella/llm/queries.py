@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..cluster import ship_package
-from . import packing, token_files
+from . import embedding_dups, licenses, mixing, near_dups, packing, quality, token_files, topk, url_filter, warc
 from .common import workspace
 
 
@@ -14,20 +15,84 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = workspace(spark)
     token_files.write_tokens(_table(spark, sf_dir, "documents"), path, "byte_bpe_50k.json", 2)
     return token_files.read_tokens(spark, path, digest=True)
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.copies(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return taken.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = workspace(spark)
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
+    return warc.read_archive(spark, path)
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dups.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", 1, 4096)
 
 
-QUERIES = {
-    "op2_token_files": op2_token_files,
-    "op10_best_fit_packing": op10_best_fit_packing,
-}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_source_mixing, op4_minhash_near_dedup, op5_warc_bundles, op6_exact_top_k, op7_license_scan, op8_url_filter, op9_embedding_near_dedup, op10_best_fit_packing)}
 
 #: DuckDB SQL of the queries that it can express; the others are held against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc_bundles": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS hex FROM p),
+m AS (SELECT hex, max(page_id) AS top FROM h GROUP BY hex)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(hex, ((i // 8) * 10 + 1)::BIGINT, 10))::BIGINT) >> (35 - 5 * (i % 8))::BIGINT) & 31)::BIGINT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to
+FROM h JOIN m USING (hex)""",
+    "op6_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op9_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r AS (SELECT vec_id AS id, vec_id AS low FROM embeddings UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(low) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+}
