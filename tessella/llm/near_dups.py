@@ -206,54 +206,57 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
 
 
 def _closest(keep: int, least: float):
-    """For members outside the star's component: the members of other components whose samples agree most."""
+    """For members outside their bucket's star: the members of other components whose samples agree most."""
 
-    def run(_key: tuple, outside: pd.DataFrame, inside: pd.DataFrame) -> pd.DataFrame:
+    def of(outside: pd.DataFrame, inside: pd.DataFrame):
         x = np.stack([np.frombuffer(s, "<u2") for s in outside["samples"]])
         y = np.stack([np.frombuffer(s, "<u2") for s in inside["samples"]])
         rep_x, rep_y = outside["rep"].to_numpy(), inside["rep"].to_numpy()
         comp_x, comp_y = outside["component"].to_numpy(), inside["component"].to_numpy()
-        out = []
         for i in range(len(x)):
             alike = (y == x[i]).mean(1)
             may = np.flatnonzero((alike >= least) & (comp_y != comp_x[i]))
             top = may[np.lexsort((rep_y[may], -alike[may]))]
-            out.append(pd.DataFrame({"a": np.minimum(rep_x[i], rep_y[top[:keep]]), "b": np.maximum(rep_x[i], rep_y[top[:keep]]), "left": max(0, len(top) - keep)}))
-        return pd.concat(out)
+            for j in top[:keep]:
+                yield min(rep_x[i], rep_y[j]), max(rep_x[i], rep_y[j]), max(0, len(top) - keep)
+
+    def run(_key: tuple, outside: pd.DataFrame, inside: pd.DataFrame) -> pd.DataFrame:
+        groups, out = dict(iter(inside.groupby("bucket"))), []
+        for bucket, part in outside.groupby("bucket"):
+            if bucket in groups:
+                out += of(part, groups[bucket])
+        return pd.DataFrame(out, columns=["a", "b", "left"], dtype="int64")
 
     return run
 
 
 def _residual(members: DataFrame, labels: DataFrame, samples: DataFrame, keep: int) -> DataFrame:
-    """(a, b, left): pairs to verify between components within a bucket; left counts a member's pairs beyond keep."""
+    """(a, b, left): pairs to verify between components within a bucket; left counts a member's pairs beyond keep.
+
+    Buckets of two are settled by their star. Small buckets share a task; a larger one is cut into blocks on both sides,
+    and each pair of blocks is a task, so that no task holds more than about BLOCK members of it on a side.
+    """
     known = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     spans = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("rep", "component")).alias("hub"), F.count("*").alias("n"))
-    open_ = spans.where("low <> high").select("bucket", F.col("hub.component").alias("star"), "n")
-    rows = known.join(open_, "bucket").join(samples, "rep")
-    outside = rows.where("component <> star")
-    # Blocks of both sides: a task never holds more than about BLOCK members outside and BLOCK members of the bucket.
-    size = outside.groupBy("bucket").agg(F.count("*").alias("m"))
-    blocks = size.select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "bucket").withColumn("cells", F.ceil(F.col("n") / BLOCK).cast("int"))
-    cell = F.pmod(F.xxhash64("rep"), F.col("cells")).cast("int")
-    block = F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int")
-    cols = ["bucket", "block", "cell", "rep", "component", "samples"]
-    left = rows.where("component <> star").withColumn("block", block).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(cols)
-    right = rows.withColumn("cell", cell).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(cols).toDF(*cols)
-    keys = ["bucket", "block", "cell"]
-    found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(_guard(_closest(keep, MAY_LINK)), "a long, b long, left long")
+    open_ = spans.where("low <> high and n > 2").select("bucket", F.col("hub.component").alias("star"), F.col("n").alias("size"))
+    rows = settle(known.join(open_, "bucket").join(samples, "rep"), "open")
+    tasks = max(1, -(-rows.count() // (4 * BLOCK)))
+    cells = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), cells).cast("int")
+    every = F.sequence(F.lit(0), cells - 1)
+    small = F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
+    cols = ["task", "bucket", "rep", "component", "samples"]
+
+    def dealt(side: DataFrame, first, second) -> DataFrame:
+        wide = side.withColumn("block", first).withColumn("cell", second)
+        return wide.withColumn("task", F.coalesce(small, F.xxhash64("bucket", "block", "cell"))).select(cols).toDF(*cols)
+
+    left = dealt(rows.where("component <> star"), own, F.explode(every))
+    right = dealt(rows, F.explode(every), own)
+    found = left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(_closest(keep, MAY_LINK), "a long, b long, left long")
     return found.groupBy("a", "b").agg(F.max("left").alias("left"))
 
 
-def _guard(f):
-    def run(key: tuple, outside: pd.DataFrame, inside: pd.DataFrame) -> pd.DataFrame:
-        if not len(outside) or not len(inside):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "left": pd.Series(dtype="int64")})
-        return f(key, outside, inside)
-
-    return run
-
-
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (smallest doc_id of the class), kept (doc_id = class_id)."""
     spark = docs.sparkSession
@@ -273,7 +276,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     links = settle(verified(stars, texts, idf, threshold), "links")
     samples = settle(reps.join(wanted, "rep", "left_semi").select("rep", "samples"), "samples")
     labels = connected_components(links).toDF("rep", "component").checkpoint()
-    tried, keep = stars, 8
+    tried, keep = stars, 32
     while True:
         found = settle(_residual(members.select("bucket", "rep"), labels, samples, keep), "residual")
         fresh = found.select("a", "b").join(tried, ["a", "b"], "left_anti")
@@ -289,3 +292,14 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     classes = copies.select("doc_id", "rep").join(labels, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
     out = rows.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay: one of each class, the smallest doc_id's; rows with a null doc_id all stay.
+
+    Of rows that repeat a kept doc_id one stays. Texts are shuffled once, by doc_id.
+    """
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    own = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("key"))
+    one = own.join(kept, F.col("key") == F.col("kept_id"), "left_semi").dropDuplicates(["key"])
+    return one.union(own.where("key is null")).select("doc.*")

@@ -16,6 +16,7 @@ not held out and its score is that of its text; an empty table gives no rows; ot
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -187,3 +188,22 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(described, labels))
     scored = described.mapInArrow(_score(model), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that the classifier predicts to be good, with all columns.
+
+    The whole text's statistics are computed for the model and again where the score decides; only statistics are
+    written, and texts are not shuffled.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(settle(describe(docs), "statistics"), labels))
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        hasher, out = WordHasher(), []
+        whole = [t or "" for t in texts]
+        for a, b in batches(whole):
+            out += list(model.value(statistics(whole[a:b], hasher).astype(np.float32).astype(float)) >= THRESHOLD)
+        return pd.Series(out, dtype=bool)
+
+    return docs.where(good(F.col("text").cast("string")))
