@@ -10,11 +10,10 @@ class is what links reach.
 2. Each representative gets BANDS * ROWS consistent weighted samples; two texts agree in one with a probability equal
    to their similarity. Texts that agree in a whole band meet in a bucket: a similarity of 0.8 is missed with a
    probability of 0.0006, 0.85 with 0.00003.
-3. Every member of a bucket is verified against the bucket's smallest member (a star, not all pairs), by the exact
-   similarity of the whole texts; connected components follow.
-4. Where a bucket still spans several components, members outside the star's component are held against all members
-   of the bucket in blocks, by their samples; the pairs that may link are verified, the most alike of each member first,
-   more in each round, until no pair of the buckets that may link is both unverified and between two components.
+3. In each bucket the pairs of a spanning forest, the most alike by their samples first, are verified by the exact
+   similarity of the whole texts (fewer pairs than members, not all pairs); connected components follow.
+4. Where a bucket still spans several components, members outside its largest one are held against all members
+   of the bucket in blocks, by size and samples; every pair between components that may link is verified there, once.
 
 Edge cases: null texts and texts without words are classes of their own; equal texts share a class whatever their
 number; repeated rows with the same doc_id get one row each
@@ -205,47 +204,134 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     return full.mapInArrow(_verify(idf, threshold), "a long, b long")
 
 
-def _closest(keep: int, least: float):
-    """For members outside their bucket's star: the members of other components whose samples agree most."""
+def forest(samples: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning forest (positions) of the pairs whose samples agree at least so often, with the most alike pairs first.
 
-    def of(outside: pd.DataFrame, inside: pd.DataFrame):
-        x = np.stack([np.frombuffer(s, "<u2") for s in outside["samples"]])
-        y = np.stack([np.frombuffer(s, "<u2") for s in inside["samples"]])
-        rep_x, rep_y = outside["rep"].to_numpy(), inside["rep"].to_numpy()
-        comp_x, comp_y = outside["component"].to_numpy(), inside["component"].to_numpy()
-        for i in range(len(x)):
-            alike = (y == x[i]).mean(1)
-            may = np.flatnonzero((alike >= least) & (comp_y != comp_x[i]))
-            top = may[np.lexsort((rep_y[may], -alike[may]))]
-            for j in top[:keep]:
-                yield min(rep_x[i], rep_y[j]), max(rep_x[i], rep_y[j]), max(0, len(top) - keep)
+    Where links connect two members, the least alike pair on the forest's way between them is about as alike as the links
+    (a maximum spanning tree is a bottleneck tree); so its pairs are the ones to verify.
+    """
+    n, out = len(samples), []
+    best, source = (samples == samples[0]).mean(1), np.zeros(n, np.int64)
+    best[0] = -1
+    for _ in range(n - 1):
+        i = int(best.argmax())
+        if best[i] >= least:
+            out.append((int(source[i]), i))
+        alike = (samples == samples[i]).mean(1)
+        closer = (alike > best) & (best >= 0)
+        best[closer], source[closer] = alike[closer], i
+        best[i] = -1
+    return out
+
+
+def _runs(keys: np.ndarray):
+    """(key, positions) of equal neighbours in sorted order."""
+    order = np.argsort(keys, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(keys[order])) + 1):
+        if len(part):
+            yield keys[part[0]], part
+
+
+def _forests(least: float):
+    def run(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["bucket", "rep"], ignore_index=True)
+        samples, rep, out = np.stack([np.frombuffer(s, "<u2") for s in rows["samples"]]), rows["rep"].to_numpy(), set()
+        for _, part in _runs(rows["bucket"].to_numpy()):
+            for i, j in forest(samples[part], least):
+                a, b = int(rep[part[i]]), int(rep[part[j]])
+                if a != b:
+                    out.add((min(a, b), max(a, b)))
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """(a, b) to verify first: spanning forests of buckets; members (bucket, hub, size, rep, samples).
+
+    Small buckets share a task. A larger one is cut into blocks, each of which also holds the bucket's hub, so that no task
+    holds more than about BLOCK members of it, and a bucket gives no more pairs than it has members.
+    """
+    tasks = max(1, -(-members.count() // (8 * BLOCK)))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    block = F.when(F.col("rep") == F.col("hub"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int")))
+    dealt = members.select("bucket", "size", "rep", "samples", F.explode(block).alias("block"))
+    task = F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("bucket"), F.lit(tasks))).otherwise(F.xxhash64("bucket", "block"))
+    return dealt.withColumn("task", task).groupBy("task").applyInPandas(_forests(MAY_LINK), "a long, b long").distinct()
+
+
+def _vectors(idf):
+    def run(parts):
+        shingler, weights = Shingler(), idf.value
+        for part in parts:
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            for a, b in batches(texts):
+                found = [(s, _weigh(weights, s, c)) for _, _, s, c in shingler(texts[a:b])]
+                yield pa.record_batch([part.column(0).slice(a, b - a), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary()), pa.array([float(w.sum()) for _, w in found])], ["rep", "shingles", "weights", "total"])
+
+    return run
+
+
+def similar(shingles: np.ndarray, weights: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarities of one weighted set (sorted) with others, by one search for all of them."""
+    sizes = np.array([len(s) for s, _ in others])
+    flat, own = np.concatenate([s for s, _ in others]), np.concatenate([w for _, w in others])
+    at = np.minimum(np.searchsorted(shingles, flat), len(shingles) - 1)
+    low = np.where(shingles[at] == flat, np.minimum(weights[at], own), 0)
+    starts = np.cumsum(sizes) - sizes
+    shared, total = np.add.reduceat(low, starts), np.add.reduceat(own, starts)
+    return shared / (weights.sum() + total - shared)
+
+
+def _across(least: float, threshold: float):
+    """Links between components: members outside their bucket's largest part against the others, by exact similarity."""
+
+    def matrix(side: pd.DataFrame, column: str, kind: str) -> np.ndarray:
+        return np.stack([np.frombuffer(s, kind) for s in side[column]])
 
     def run(_key: tuple, outside: pd.DataFrame, inside: pd.DataFrame) -> pd.DataFrame:
-        groups, out = dict(iter(inside.groupby("bucket"))), []
-        for bucket, part in outside.groupby("bucket"):
-            if bucket in groups:
-                out += of(part, groups[bucket])
-        return pd.DataFrame(out, columns=["a", "b", "left"], dtype="int64")
+        out = set()
+        if len(outside) and len(inside):
+            x, y, bx, by = matrix(outside, "samples", "<u2"), matrix(inside, "samples", "<u2"), np.stack(outside["bands"]), np.stack(inside["bands"])
+            rep_x, rep_y, comp_x, comp_y = outside["rep"].to_numpy(), inside["rep"].to_numpy(), outside["component"].to_numpy(), inside["component"].to_numpy()
+            band, total_x, total_y = outside["band"].to_numpy(), outside["total"].to_numpy(), inside["total"].to_numpy()
+            shingles, weights = inside["shingles"].to_list(), inside["weights"].to_list()
+            groups = dict(_runs(inside["bucket"].to_numpy()))
+            for bucket, part in _runs(outside["bucket"].to_numpy()):
+                own = groups.get(bucket)
+                for i in part if own is not None else ():
+                    fits = (comp_y[own] != comp_x[i]) & (np.minimum(total_y[own], total_x[i]) >= (threshold - 1e-6) * np.maximum(total_y[own], total_x[i]))
+                    may = own[fits]
+                    may = may[(y[may] == x[i]).mean(1) >= least]
+                    # A pair that shares several buckets is compared in the first of them only.
+                    may = may[(by[may] == bx[i]).argmax(1) == band[i]]
+                    for low in range(0, len(may), 256):
+                        some = may[low : low + 256]
+                        alike = similar(np.frombuffer(outside["shingles"].iat[i], np.uint64), np.frombuffer(outside["weights"].iat[i]), [(np.frombuffer(shingles[j], np.uint64), np.frombuffer(weights[j])) for j in some])
+                        out |= {(int(min(rep_x[i], rep_y[j])), int(max(rep_x[i], rep_y[j]))) for j in some[alike >= threshold - 1e-9]}
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _residual(members: DataFrame, labels: DataFrame, samples: DataFrame, keep: int) -> DataFrame:
-    """(a, b, left): pairs to verify between components within a bucket; left counts a member's pairs beyond keep.
+def _residual(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """(a, b): the links between components within a bucket.
 
-    Buckets of two are settled by their star. Small buckets share a task; a larger one is cut into blocks on both sides,
+    Buckets of two are settled by their forest. Small buckets share a task; a larger one is cut into blocks on both sides,
     and each pair of blocks is a task, so that no task holds more than about BLOCK members of it on a side.
     """
-    known = members.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    spans = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("rep", "component")).alias("hub"), F.count("*").alias("n"))
-    open_ = spans.where("low <> high and n > 2").select("bucket", F.col("hub.component").alias("star"), F.col("n").alias("size"))
-    rows = settle(known.join(open_, "bucket").join(samples, "rep"), "open")
-    tasks = max(1, -(-rows.count() // (4 * BLOCK)))
+    known = members.where("size > 2").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    spans = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
+    open_ = settle(known.join(spans.select("bucket", F.col("top.component").alias("star")), "bucket"), "open")
+    vectors = texts.join(open_.select("rep").distinct(), "rep", "left_semi").mapInArrow(_vectors(idf), "rep long, shingles binary, weights binary, total double")
+    rows = open_.join(reps.select("rep", "bands"), "rep").join(vectors, "rep")
+    tasks = max(1, -(-open_.count() // (2 * BLOCK)))
     cells = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), cells).cast("int")
     every = F.sequence(F.lit(0), cells - 1)
     small = F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
-    cols = ["task", "bucket", "rep", "component", "samples"]
+    cols = ["task", "bucket", "band", "rep", "component", "samples", "bands", "total", "shingles", "weights"]
 
     def dealt(side: DataFrame, first, second) -> DataFrame:
         wide = side.withColumn("block", first).withColumn("cell", second)
@@ -253,8 +339,7 @@ def _residual(members: DataFrame, labels: DataFrame, samples: DataFrame, keep: i
 
     left = dealt(rows.where("component <> star"), own, F.explode(every))
     right = dealt(rows, F.explode(every), own)
-    found = left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(_closest(keep, MAY_LINK), "a long, b long, left long")
-    return found.groupBy("a", "b").agg(F.max("left").alias("left"))
+    return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(_across(MAY_LINK, threshold), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -267,28 +352,17 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     groups = sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     copies = settle(sketches.join(groups, ["h1", "h2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("rep"), F.col("samples")).alias("samples")), "copies")
     reps = copies.where("doc_id = rep").dropDuplicates(["rep"])
-    banded = reps.select("rep", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "rep")
+    banded = reps.select("rep", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "rep")
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = settle(banded.join(shared, "bucket").select("bucket", "hub", "rep"), "members")
-    stars = settle(members.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
+    joined = banded.join(shared, "bucket").select("bucket", "band", "hub", F.col("n").alias("size"), "rep")
+    members = settle(joined.join(reps.select("rep", "samples"), "rep"), "members")
     wanted = members.select("rep").distinct()
     texts = settle(rows.join(wanted, rows["doc_id"] == wanted["rep"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"), "texts")
-    links = settle(verified(stars, texts, idf, threshold), "links")
-    samples = settle(reps.join(wanted, "rep", "left_semi").select("rep", "samples"), "samples")
+    links = settle(verified(settle(_first_pairs(members), "forests"), texts, idf, threshold), "links")
     labels = connected_components(links).toDF("rep", "component").checkpoint()
-    tried, keep = stars, 32
-    while True:
-        found = settle(_residual(members.select("bucket", "rep"), labels, samples, keep), "residual")
-        fresh = found.select("a", "b").join(tried, ["a", "b"], "left_anti")
-        more = settle(verified(fresh, texts, idf, threshold), "more")
-        if more.isEmpty():
-            if found.where("left > 0").isEmpty():
-                break
-            keep *= 8
-        else:
-            links = links.union(more)
-            labels = connected_components(links).toDF("rep", "component").checkpoint()
-        tried = tried.union(found.select("a", "b"))
+    more = settle(_residual(members, labels, reps, texts, idf, threshold), "more")
+    if not more.isEmpty():
+        labels = connected_components(links.union(more)).toDF("rep", "component").checkpoint()
     classes = copies.select("doc_id", "rep").join(labels, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
     out = rows.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
