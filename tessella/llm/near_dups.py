@@ -145,7 +145,7 @@ def _weigh(idf: np.ndarray, shingles: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def _sketch(idf):
-    names = ["doc_id", "h1", "h2", "bands", "samples"]
+    names = ["doc_id", "h1", "h2", "bands", "samples", "total"]
 
     def run(parts):
         shingler, weights = Shingler(), idf.value
@@ -157,12 +157,13 @@ def _sketch(idf):
                 out, keep = [], []
                 for i, (size, (h1, h2), found, count) in enumerate(shingler(texts[a:b])):
                     if size:
-                        got = sample(found, _weigh(weights, found, count))
+                        own = _weigh(weights, found, count)
+                        got = sample(found, own)
                         bands = mix64((got.reshape(BANDS, ROWS) * mixer).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-                        out.append((h1 - (1 << 63), (h2 & ((1 << 64) - 1)) - (1 << 63), _signed(bands).tolist(), (got >> np.uint64(48)).astype("<u2").tobytes()))
+                        out.append((h1 - (1 << 63), (h2 & ((1 << 64) - 1)) - (1 << 63), _signed(bands).tolist(), (got >> np.uint64(48)).astype("<u2").tobytes(), float(own.sum())))
                         keep.append(a + i)
                 if out:
-                    yield pa.record_batch([keys.take(pa.array(keep)), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True))], names)
+                    yield pa.record_batch([keys.take(pa.array(keep)), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.float64()), strict=True))], names)
 
     return run
 
@@ -267,7 +268,7 @@ def _vectors(idf):
             texts = [t or "" for t in part.column(1).to_pylist()]
             for a, b in batches(texts):
                 found = [(s, _weigh(weights, s, c)) for _, _, s, c in shingler(texts[a:b])]
-                yield pa.record_batch([part.column(0).slice(a, b - a), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary()), pa.array([float(w.sum()) for _, w in found])], ["rep", "shingles", "weights", "total"])
+                yield pa.record_batch([part.column(0).slice(a, b - a), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], ["rep", "shingles", "weights"])
 
     return run
 
@@ -283,32 +284,59 @@ def similar(shingles: np.ndarray, weights: np.ndarray, others: list[tuple[np.nda
     return shared / (weights.sum() + total - shared)
 
 
-def _across(least: float, threshold: float):
-    """Links between components: members outside their bucket's largest part against the others, by exact similarity."""
+def _candidates(outside: pd.DataFrame, inside: pd.DataFrame, least: float, threshold: float):
+    """(i, may): position of a member outside its bucket's largest part, and those of the members that it may link to.
+
+    They are of other components, of a fitting size and agree in enough samples; a pair that shares several buckets is
+    given in the first of them only.
+    """
 
     def matrix(side: pd.DataFrame, column: str, kind: str) -> np.ndarray:
         return np.stack([np.frombuffer(s, kind) for s in side[column]])
 
+    if not len(outside) or not len(inside):
+        return
+    x, y, bx, by = matrix(outside, "samples", "<u2"), matrix(inside, "samples", "<u2"), np.stack(outside["bands"]), np.stack(inside["bands"])
+    comp_x, comp_y, band = outside["component"].to_numpy(), inside["component"].to_numpy(), outside["band"].to_numpy()
+    total_x, total_y = outside["total"].to_numpy(), inside["total"].to_numpy()
+    groups = dict(_runs(inside["bucket"].to_numpy()))
+    for bucket, part in _runs(outside["bucket"].to_numpy()):
+        own = groups.get(bucket)
+        for i in part if own is not None else ():
+            fits = (comp_y[own] != comp_x[i]) & (np.minimum(total_y[own], total_x[i]) >= (threshold - 1e-6) * np.maximum(total_y[own], total_x[i]))
+            may = own[fits]
+            may = may[(y[may] == x[i]).mean(1) >= least]
+            may = may[(by[may] == bx[i]).argmax(1) == band[i]]
+            if len(may):
+                yield i, may
+
+
+def _partners(least: float, threshold: float):
+    """(bucket, rep) of the members that stand in some candidate pair."""
+
+    def run(_key: tuple, outside: pd.DataFrame, inside: pd.DataFrame) -> pd.DataFrame:
+        out = set()
+        for i, may in _candidates(outside, inside, least, threshold):
+            bucket = int(outside["bucket"].iat[i])
+            out.add((bucket, int(outside["rep"].iat[i])))
+            out |= {(bucket, int(r)) for r in inside["rep"].to_numpy()[may]}
+        return pd.DataFrame(sorted(out), columns=["bucket", "rep"], dtype="int64")
+
+    return run
+
+
+def _across(least: float, threshold: float):
+    """Links between components: the candidate pairs whose exact similarity reaches the threshold."""
+
     def run(_key: tuple, outside: pd.DataFrame, inside: pd.DataFrame) -> pd.DataFrame:
         out = set()
-        if len(outside) and len(inside):
-            x, y, bx, by = matrix(outside, "samples", "<u2"), matrix(inside, "samples", "<u2"), np.stack(outside["bands"]), np.stack(inside["bands"])
-            rep_x, rep_y, comp_x, comp_y = outside["rep"].to_numpy(), inside["rep"].to_numpy(), outside["component"].to_numpy(), inside["component"].to_numpy()
-            band, total_x, total_y = outside["band"].to_numpy(), outside["total"].to_numpy(), inside["total"].to_numpy()
-            shingles, weights = inside["shingles"].to_list(), inside["weights"].to_list()
-            groups = dict(_runs(inside["bucket"].to_numpy()))
-            for bucket, part in _runs(outside["bucket"].to_numpy()):
-                own = groups.get(bucket)
-                for i in part if own is not None else ():
-                    fits = (comp_y[own] != comp_x[i]) & (np.minimum(total_y[own], total_x[i]) >= (threshold - 1e-6) * np.maximum(total_y[own], total_x[i]))
-                    may = own[fits]
-                    may = may[(y[may] == x[i]).mean(1) >= least]
-                    # A pair that shares several buckets is compared in the first of them only.
-                    may = may[(by[may] == bx[i]).argmax(1) == band[i]]
-                    for low in range(0, len(may), 256):
-                        some = may[low : low + 256]
-                        alike = similar(np.frombuffer(outside["shingles"].iat[i], np.uint64), np.frombuffer(outside["weights"].iat[i]), [(np.frombuffer(shingles[j], np.uint64), np.frombuffer(weights[j])) for j in some])
-                        out |= {(int(min(rep_x[i], rep_y[j])), int(max(rep_x[i], rep_y[j]))) for j in some[alike >= threshold - 1e-9]}
+        rep_x, rep_y, shingles, weights = outside["rep"].to_numpy(), inside["rep"].to_numpy(), inside["shingles"].to_list(), inside["weights"].to_list()
+        for i, may in _candidates(outside, inside, least, threshold):
+            own = np.frombuffer(outside["shingles"].iat[i], np.uint64), np.frombuffer(outside["weights"].iat[i])
+            for low in range(0, len(may), 256):
+                some = may[low : low + 256]
+                alike = similar(*own, [(np.frombuffer(shingles[j], np.uint64), np.frombuffer(weights[j])) for j in some])
+                out |= {(int(min(rep_x[i], rep_y[j])), int(max(rep_x[i], rep_y[j]))) for j in some[alike >= threshold - 1e-9]}
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
     return run
@@ -318,28 +346,34 @@ def _residual(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: Dat
     """(a, b): the links between components within a bucket.
 
     Buckets of two are settled by their forest. Small buckets share a task; a larger one is cut into blocks on both sides,
-    and each pair of blocks is a task, so that no task holds more than about BLOCK members of it on a side.
+    and each pair of blocks is a task, so that no task holds more than about BLOCK members of it on a side. A first pass
+    over the samples finds the members with a partner; only their shingles are shuffled for the exact pass.
     """
     known = members.where("size > 2").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parts = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     spans = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
-    open_ = settle(known.join(spans.select("bucket", F.col("top.component").alias("star")), "bucket"), "open")
-    vectors = texts.join(open_.select("rep").distinct(), "rep", "left_semi").mapInArrow(_vectors(idf), "rep long, shingles binary, weights binary, total double")
-    rows = open_.join(reps.select("rep", "bands"), "rep").join(vectors, "rep")
-    tasks = max(1, -(-open_.count() // (2 * BLOCK)))
+    open_ = settle(known.join(spans.select("bucket", F.col("top.component").alias("star")), "bucket").join(reps.select("rep", "bands", "total"), "rep"), "open")
     cells = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), cells).cast("int")
     every = F.sequence(F.lit(0), cells - 1)
-    small = F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
-    cols = ["task", "bucket", "band", "rep", "component", "samples", "bands", "total", "shingles", "weights"]
 
-    def dealt(side: DataFrame, first, second) -> DataFrame:
-        wide = side.withColumn("block", first).withColumn("cell", second)
-        return wide.withColumn("task", F.coalesce(small, F.xxhash64("bucket", "block", "cell"))).select(cols).toDF(*cols)
+    def cogroup(rows: DataFrame, run, schema: str) -> DataFrame:
+        tasks = max(1, -(-rows.count() // (2 * BLOCK)))
+        small = F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
+        cols = ["task", *(c for c in rows.columns if c not in ("hub", "size", "star"))]
+
+        def dealt(side: DataFrame, first, second) -> DataFrame:
+            wide = side.withColumn("block", first).withColumn("cell", second)
+            return wide.withColumn("task", F.coalesce(small, F.xxhash64("bucket", "block", "cell"))).select(cols).toDF(*cols)
+
+        left = dealt(rows.where("component <> star"), own, F.explode(every))
+        right = dealt(rows, F.explode(every), own)
+        return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(run, schema).distinct()
 
-    left = dealt(rows.where("component <> star"), own, F.explode(every))
-    right = dealt(rows, F.explode(every), own)
-    return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(_across(MAY_LINK, threshold), "a long, b long").distinct()
+    paired = settle(cogroup(open_, _partners(MAY_LINK, threshold), "bucket long, rep long"), "paired")
+    vectors = texts.join(paired.select("rep").distinct(), "rep", "left_semi").mapInArrow(_vectors(idf), "rep long, shingles binary, weights binary")
+    rows = open_.join(paired, ["bucket", "rep"], "left_semi").join(vectors, "rep")
+    return cogroup(settle(rows, "paired_rows"), _across(MAY_LINK, threshold), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -347,10 +381,10 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     idf = spark.sparkContext.broadcast(inverse_frequencies(rows))
-    schema = "doc_id long, h1 long, h2 long, bands array<long>, samples binary"
+    schema = "doc_id long, h1 long, h2 long, bands array<long>, samples binary, total double"
     sketches = settle(rows.where("doc_id is not null").mapInArrow(_sketch(idf), schema), "sketches")
     groups = sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    copies = settle(sketches.join(groups, ["h1", "h2"]).select("doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("rep"), F.col("samples")).alias("samples")), "copies")
+    copies = settle(sketches.join(groups, ["h1", "h2"]).select("doc_id", "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("bands", "samples", "total")]), "copies")
     reps = copies.where("doc_id = rep").dropDuplicates(["rep"])
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "rep")
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
