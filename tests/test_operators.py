@@ -142,7 +142,7 @@ def test_pair_weights(spark):
 
 def test_categories(spark):
     # The x tokens link the two groups: an entity that shares no token with a centroid is never the next one.
-    rows = [(e, 1, t) for e in range(12) for t in (("red", "rose") if e < 6 else ("blue", "sea")) + (f"x{e % 3}",)]
+    rows = [(e, 1, t) for e in range(12) for t in (("red", "rose", "thorn") if e < 6 else ("blue", "sea", "wave")) + (f"x{e % 2}",)]
     tokens = spark.createDataFrame(rows, "entity_id long, att_id long, token string")
     found = categorize.build(tokens, 2, rounds=3)
     fractions = categorize.token_fractions(tokens)
