@@ -2,12 +2,13 @@
 
 A shingle is five words in a row (a text of one to four words is one shingle), words being runs of other than ASCII
 white space in lower case. Its weight in a text is its count times an inverse document frequency between 1 and 2,
-``1 + ln(N / df) / ln(N)``; df counts all documents in one of BUCKETS buckets of the shingle's hash, a table of fixed
-size. Two texts link if their weighted Jaccard similarity, sum of minima over sum of maxima, is at least 0.8, and a
+``1 + ln(N / df) / ln(N)``; df is the exact number of documents that hold the shingle (its 64-bit hash). Two texts link if their weighted Jaccard similarity, sum of minima over sum of maxima, is at least 0.8, and a
 class is what links reach.
 
-1. Texts with the same words are one text, represented by its smallest doc_id.
-2. Each representative gets BANDS * ROWS consistent weighted samples; two texts agree in one with a probability equal
+1. Rows are packed into batches. Each batch sends its distinct shingles, with their counts of documents, to the tasks of
+   ranges of the hash, and gets back their counts over all batches: a range's task holds about RANGE characters' shingles,
+   and a shingle of every document comes to it once for each batch. Each text keeps the counts of its own shingles.
+2. Texts with the same words are one text, represented by one of its rows. Each representative gets BANDS * ROWS consistent weighted samples; two texts agree in one with a probability equal
    to their similarity. Texts that agree in a whole band meet in a bucket: a similarity of 0.8 is missed with a
    probability of 0.0006, 0.85 with 0.00003.
 3. In each bucket the pairs of a spanning forest, the most alike by their samples first, are verified by the exact
@@ -26,6 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,8 @@ from .common import WordHasher, batches, connected_components, mix64, settle
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
-BUCKETS = 1 << 18
+#: Characters in a batch, and those for which one task counts the shingles.
+BATCH, RANGE = 1_000_000, 12_000_000
 #: Two texts whose samples agree less often than this are not verified; at similarity 0.8 that is 3.7 standard deviations.
 MAY_LINK = 0.6
 #: Members in a block of a bucket that are held against each other in one task.
@@ -118,52 +121,123 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _frequencies(parts):
-    shingler, total, docs = Shingler(), np.zeros(BUCKETS, np.int64), 0
+def _inverse(df: np.ndarray, n: int) -> np.ndarray:
+    """Weights of shingles that df of n documents hold."""
+    return 1 + np.log(max(n, 2) / df) / np.log(max(n, 2))
+
+
+def _held(parts):
+    shingler = Shingler()
     for part in parts:
         texts = [t or "" for t in part.column(0).to_pylist()]
         for a, b in batches(texts):
-            found = [s for _, _, s, _ in shingler(texts[a:b])]
-            total += np.bincount((np.concatenate(found) >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
-            docs += b - a
-    used = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(np.append(used, -1)), pa.array(np.append(total[used], docs))], ["bucket", "n"])
+            yield pa.record_batch([pa.array(_signed(np.concatenate([s for _, _, s, _ in shingler(texts[a:b])])))], ["shingle"])
+
+
+def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted shingles of docs and their weights, on the driver: for tables that fit there (near_duplicates joins instead)."""
+    n = docs.count()
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(_held, "shingle long").groupBy("shingle").agg(F.count("*").alias("df")).toPandas()
+    shingles = rows["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], _inverse(rows["df"].to_numpy(np.int64)[order], n)
+
+
+def _weigh(idf: tuple[np.ndarray, np.ndarray], shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return counts * idf[1][np.searchsorted(idf[0], shingles)]
+
+
+def _pack(parts):
+    """(batch, docs, size, rows): rows are an Arrow stream of row (a new number), doc_id and text."""
+    row = TaskContext.get().partitionId() << 36
+    for part in parts:
+        keys, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
+        for a, b in batches(texts, BATCH):
+            own = pa.record_batch([pa.array(np.arange(row, row + b - a)), keys.slice(a, b - a), pa.array(texts[a:b], pa.string())], ["row", "doc_id", "text"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(own)
+            yield pa.record_batch([pa.array([row]), pa.array([b - a]), pa.array([sum(map(len, texts[a:b]))]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "docs", "size", "rows"])
+            row += b - a
+
+
+def _unpacked(rows: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(rows.as_buffer()).read_all()
+
+
+def _texts(parts):
+    for part in parts:
+        for rows in part.column(0):
+            for own in _unpacked(rows).select(["row", "text"]).to_batches():
+                yield own.rename_columns(["rep", "text"])
+
 
+def _distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate(found), return_counts=True)
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """The weight of each hash bucket over all documents; BUCKETS numbers on the driver."""
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    count = np.ones(BUCKETS)
-    n = int(rows.loc[rows["bucket"] == -1, "n"].sum())
-    rows = rows[rows["bucket"] >= 0]
-    count[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    return (1 + np.log(np.maximum(max(n, 2) / count, 1)) / np.log(max(n, 2))).astype(np.float32)
 
+def _spread(ranges: int):
+    """(range, batch, shingles, docs): a batch's sorted distinct shingles by equal ranges of the hash, with counts of documents."""
+    bounds = np.array([-(-(i << 64) // ranges) for i in range(1, ranges)], np.uint64)
+
+    def run(parts):
+        shingler = Shingler()
+        for part in parts:
+            for batch, rows in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                shingles, docs = _distinct([s for _, _, s, _ in shingler(_unpacked(rows).column("text").to_pylist())])
+                at = np.concatenate([[0], np.searchsorted(shingles, bounds), [len(shingles)]])
+                some = np.flatnonzero(np.diff(at))
+                cells = [[x[at[i] : at[i + 1]].tobytes() for i in some] for x in (shingles, docs.astype("<u4"))]
+                yield pa.record_batch([pa.array(some), pa.array(np.full(len(some), batch)), *(pa.array(c, pa.binary()) for c in cells)], ["range", "batch", "shingles", "docs"])
+
+    return run
 
-def _weigh(idf: np.ndarray, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return counts * idf[(shingles >> np.uint64(46)).astype(np.int64)].astype(np.float64)
 
+def _count(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """(range, batch, df): for each batch the counts of its shingles of the range over all batches, in the batch's order."""
+    parts = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    found, where = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.bincount(where, np.concatenate([np.frombuffer(x, "<u4") for x in rows["docs"]]), len(found)).astype("<u4")
+    cells = np.split(total[where], np.cumsum([len(x) for x in parts])[:-1])
+    return pd.DataFrame({"range": rows["range"], "batch": rows["batch"], "df": [x.tobytes() for x in cells]})
 
-def _sketch(idf):
-    names = ["doc_id", "h1", "h2", "bands", "samples", "total"]
+
+def _frequencies(packed: DataFrame, size: int) -> DataFrame:
+    """(batch, cells): cells are (range, df), which in the order of the ranges are the counts of a batch's distinct shingles."""
+    spread = packed.select("batch", "rows").mapInArrow(_spread(max(1, -(-size // RANGE))), "range long, batch long, shingles binary, docs binary")
+    counted = spread.groupBy("range").applyInPandas(_count, "range long, batch long, df binary")
+    return counted.groupBy("batch").agg(F.collect_list(F.struct("range", "df")).alias("cells"))
+
+
+def _own_weights(df: bytes, counts: np.ndarray, n: int) -> np.ndarray:
+    return counts * _inverse(np.frombuffer(df, "<u4").astype(np.float64), n)
+
+
+def _sketch(n: int):
+    names = ["row", "doc_id", "h1", "h2", "bands", "samples", "total", "df"]
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.float64(), pa.binary())
 
     def run(parts):
-        shingler, weights = Shingler(), idf.value
+        shingler = Shingler()
         mixer = mix64(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
         for part in parts:
-            keys, texts = part.column(0), part.column(1).to_pylist()
-            texts = [t or "" for t in texts]
-            for a, b in batches(texts):
+            for packed, cells in zip(part.column(0), part.column(1).to_pylist(), strict=True):
+                rows = _unpacked(packed)
+                all_ = list(shingler(rows.column("text").to_pylist()))
+                distinct, _ = _distinct([found for _, _, found, _ in all_])
+                known = np.frombuffer(b"".join(c["df"] for c in sorted(cells or [], key=lambda c: c["range"])), "<u4")
                 out, keep = [], []
-                for i, (size, (h1, h2), found, count) in enumerate(shingler(texts[a:b])):
-                    if size:
-                        own = _weigh(weights, found, count)
+                for i, ((size, (h1, h2), found, count), doc_id) in enumerate(zip(all_, rows.column("doc_id").to_pylist(), strict=True)):
+                    if size and doc_id is not None:
+                        df = known[np.searchsorted(distinct, found)].tobytes()
+                        own = _own_weights(df, count, n)
                         got = sample(found, own)
                         bands = mix64((got.reshape(BANDS, ROWS) * mixer).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-                        out.append((h1 - (1 << 63), (h2 & ((1 << 64) - 1)) - (1 << 63), _signed(bands).tolist(), (got >> np.uint64(48)).astype("<u2").tobytes(), float(own.sum())))
-                        keep.append(a + i)
+                        out.append((h1 - (1 << 63), (h2 & ((1 << 64) - 1)) - (1 << 63), _signed(bands).tolist(), (got >> np.uint64(48)).astype("<u2").tobytes(), float(own.sum()), df))
+                        keep.append(i)
                 if out:
-                    yield pa.record_batch([keys.take(pa.array(keep)), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.float64()), strict=True))], names)
+                    own = rows.select(["row", "doc_id"]).take(pa.array(keep)).combine_chunks().to_batches()[0]
+                    yield pa.record_batch([*own.columns, *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
 
     return run
 
@@ -175,34 +249,34 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return low / max(float(a[1].sum() + b[1].sum()) - low, 1e-300)
 
 
-def _verify(idf, threshold: float):
+def _verify(n: int, threshold: float):
     def run(parts):
-        shingler, weights = Shingler(), idf.value
+        shingler = Shingler()
 
-        def of(text):
+        def of(text, df):
             _, _, found, count = next(iter(shingler([text])))
-            return found, _weigh(weights, found, count)
+            return found, _own_weights(df, count, n)
 
         held, own = None, None
         for part in parts:
-            ids = part.column(0).to_pylist(), part.column(1).to_pylist()
+            columns = [part.column(i).to_pylist() for i in range(6)]
             keep = []
-            for i, (a, x, y) in enumerate(zip(ids[0], part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
+            for i, (a, _, x, y, df_x, df_y) in enumerate(zip(*columns, strict=True)):
                 if a != held:
-                    held, own = a, of(x)
-                if weighted_jaccard(own, of(y)) >= threshold - 1e-9:
+                    held, own = a, of(x, df_x)
+                if weighted_jaccard(own, of(y, df_y)) >= threshold - 1e-9:
                     keep.append(i)
             yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold; texts has (rep, text) once for each."""
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b"))
-    full = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return full.mapInArrow(_verify(idf, threshold), "a long, b long")
+def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold; texts has (rep, text, df) once for each."""
+    left = texts.toDF("a", "text_a", "df_a")
+    right = texts.toDF("b", "text_b", "df_b")
+    full = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b", "df_a", "df_b")
+    return full.mapInArrow(_verify(n, threshold), "a long, b long")
 
 
 def forest(samples: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -261,13 +335,13 @@ def _first_pairs(members: DataFrame) -> DataFrame:
     return dealt.withColumn("task", task).groupBy("task").applyInPandas(_forests(MAY_LINK), "a long, b long").distinct()
 
 
-def _vectors(idf):
+def _vectors(n: int):
     def run(parts):
-        shingler, weights = Shingler(), idf.value
+        shingler = Shingler()
         for part in parts:
-            texts = [t or "" for t in part.column(1).to_pylist()]
+            texts, df = part.column(1).to_pylist(), part.column(2).to_pylist()
             for a, b in batches(texts):
-                found = [(s, _weigh(weights, s, c)) for _, _, s, c in shingler(texts[a:b])]
+                found = [(s, _own_weights(d, c, n)) for (_, _, s, c), d in zip(shingler(texts[a:b]), df[a:b], strict=True)]
                 yield pa.record_batch([part.column(0).slice(a, b - a), pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([w.tobytes() for _, w in found], pa.binary())], ["rep", "shingles", "weights"])
 
     return run
@@ -342,7 +416,7 @@ def _across(least: float, threshold: float):
     return run
 
 
-def _residual(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+def _residual(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """(a, b): the links between components within a bucket.
 
     Buckets of two are settled by their forest. Small buckets share a task; a larger one is cut into blocks on both sides,
@@ -371,33 +445,37 @@ def _residual(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: Dat
         return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(run, schema).distinct()
 
     paired = settle(cogroup(open_, _partners(MAY_LINK, threshold), "bucket long, rep long"), "paired")
-    vectors = texts.join(paired.select("rep").distinct(), "rep", "left_semi").mapInArrow(_vectors(idf), "rep long, shingles binary, weights binary")
+    vectors = texts.join(paired.select("rep").distinct(), "rep", "left_semi").mapInArrow(_vectors(n), "rep long, shingles binary, weights binary")
     rows = open_.join(paired, ["bucket", "rep"], "left_semi").join(vectors, "rep")
     return cogroup(settle(rows, "paired_rows"), _across(MAY_LINK, threshold), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (smallest doc_id of the class), kept (doc_id = class_id)."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    idf = spark.sparkContext.broadcast(inverse_frequencies(rows))
-    schema = "doc_id long, h1 long, h2 long, bands array<long>, samples binary, total double"
-    sketches = settle(rows.where("doc_id is not null").mapInArrow(_sketch(idf), schema), "sketches")
-    groups = sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    copies = settle(sketches.join(groups, ["h1", "h2"]).select("doc_id", "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("bands", "samples", "total")]), "copies")
-    reps = copies.where("doc_id = rep").dropDuplicates(["rep"])
+    packed = settle(rows.mapInArrow(_pack, "batch long, docs long, size long, rows binary"), "packed")
+    n, size = (x or 0 for x in packed.agg(F.sum("docs"), F.sum("size")).first())
+    joined = packed.join(_frequencies(packed, size), "batch", "left").select("rows", "cells")
+    schema = "row long, doc_id long, h1 long, h2 long, bands array<long>, samples binary, total double, df binary"
+    sketches = settle(joined.mapInArrow(_sketch(n), schema), "sketches")
+    groups = sketches.groupBy("h1", "h2").agg(F.min("row").alias("rep"))
+    copies = settle(sketches.join(groups, ["h1", "h2"]).select("doc_id", "rep", "row", *[F.when(F.col("row") == F.col("rep"), F.col(c)).alias(c) for c in ("bands", "samples", "total", "df")]), "copies")
+    reps = copies.where("row = rep")
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "rep")
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     joined = banded.join(shared, "bucket").select("bucket", "band", "hub", F.col("n").alias("size"), "rep")
     members = settle(joined.join(reps.select("rep", "samples"), "rep"), "members")
     wanted = members.select("rep").distinct()
-    texts = settle(rows.join(wanted, rows["doc_id"] == wanted["rep"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "text"), "texts")
-    links = settle(verified(settle(_first_pairs(members), "forests"), texts, idf, threshold), "links")
+    unpacked = packed.select("rows").mapInArrow(_texts, "rep long, text string")
+    texts = settle(unpacked.join(wanted.join(reps.select("rep", "df"), "rep"), "rep").select("rep", "text", "df"), "texts")
+    links = settle(verified(settle(_first_pairs(members), "forests"), texts, n, threshold), "links")
     labels = connected_components(links).toDF("rep", "component").checkpoint()
-    more = settle(_residual(members, labels, reps, texts, idf, threshold), "more")
+    more = settle(_residual(members, labels, reps, texts, n, threshold), "more")
     if not more.isEmpty():
         labels = connected_components(links.union(more)).toDF("rep", "component").checkpoint()
-    classes = copies.select("doc_id", "rep").join(labels, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
+    owned = copies.select("doc_id", "rep").join(labels, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    least = owned.groupBy("component").agg(F.min("doc_id").alias("least"))
+    classes = owned.join(least, "component").groupBy("doc_id").agg(F.min("least").alias("class_id"))
     out = rows.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 

@@ -236,6 +236,21 @@ def test_near_duplicate_blocks_equal_brute_force(spark, monkeypatch):
     assert got == _brute_classes(docs, near_dups.inverse_frequencies(docs))
 
 
+def test_shingles_of_one_document_weigh_the_top_in_any_table(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "RANGE", 20_000)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(405))) for i in range(2000)]
+    rows += [(2000 + i, "a passage that ten of all these documents hold") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = docs.mapInArrow(near_dups._pack, "batch long, docs long, size long, rows binary").checkpoint()
+    size = packed.agg(F.sum("size")).first()[0]
+    counts = [x for r in near_dups._frequencies(packed, size).collect() for c in r["cells"] for x in np.frombuffer(c["df"], "<u4")]
+    assert sorted(set(counts)) == [1, 10] and counts.count(1) == 2000 * 401
+    idf = near_dups.inverse_frequencies(docs)
+    _, _, own, count = next(iter(near_dups.Shingler()([rows[0][1]])))
+    assert np.allclose(near_dups._weigh(idf, own, count), 2)
+
+
 def test_near_duplicate_edges(spark):
     docs = edge_documents(spark)
     rows = near_dups.near_duplicates(docs).collect()
