@@ -2,12 +2,14 @@
 
 The pre-tokenizers of the public files put a token boundary before every run of ASCII white space and wherever an ASCII
 letter meets ASCII punctuation other than an apostrophe, so that the ids of a text are those of its pieces in a row.
-Pieces repeat, texts do not: a batch is cut and hashed with numpy, and the library sees each new piece once.
+Texts that hold the content of an added token, such as ``<|endoftext|>``, in any case of letters (a normalizer may lower
+it), are encoded whole: the library takes it for that token. Pieces repeat, texts do not: a batch is cut and hashed with numpy, and the library sees each new piece once.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import string
 
 import numpy as np
@@ -45,7 +47,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.IGNORECASE)
         self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
         self.drops_space = self.tokenizer.normalizer is not None
         self.space = _bytes_table(b" \t\n\x0b\x0c\r").astype(bool)
@@ -115,7 +118,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row; those of text i are ids[offsets[i]:offsets[i + 1]]."""
-        odd = [] if self.drops_space else [i for i, t in enumerate(texts) if not t.isascii() and any(c in t for c in _WIDE)]
+        odd = [i for i, t in enumerate(texts) if self.added.search(t) or not self.drops_space and not t.isascii() and any(c in t for c in _WIDE)]
         if not odd:
             return self._encode(texts)
         alone = {i: self.tokenizer.encode(texts[i], add_special_tokens=False).ids for i in odd}

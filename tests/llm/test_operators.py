@@ -53,6 +53,22 @@ def test_tokens_equal_the_library():
             assert ids[at[i] : at[i + 1]].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|ENDOFTEXT|>y", "a<|startoftext|>  b <|endoftext|><|endoftext|>", "é <|endoftext|> 中\u2003z", "<|endof text|>", "no such token"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library = Tokenizer.from_file(vocabulary_path(name))
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, at = encoder(name).encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+        path = workspace(spark)
+        token_files.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, name, 2)
+        got = token_files.read_tokens(spark, path).orderBy("doc_id").collect()
+        assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == [[*w, 2] for w in want]
+    assert 50256 in encoder("byte_bpe_50k.json").encode(texts[:1])[0]
+
+
 @given(st.lists(st.text(max_size=30), min_size=1, max_size=8))
 @settings(max_examples=60, deadline=None)
 def test_word_hashes(texts):
