@@ -3,15 +3,15 @@
 A unit of text is a line (a header line may stand anywhere in a text; whole texts are scanned), and for files named like
 LICENSE, LICENCE, COPYING, NOTICE or UNLICENSE also the whole text. Words are runs of ASCII letters and digits, with
 dots inside numbers, in lower case. The weight of a word in a unit is its count times ln((1 + N) / (1 + df)) + 1, where
-df counts the documents of the corpus that hold the word; words outside of the templates weigh as if no document held
-them. A unit matches the template with the highest cosine if that is at least COSINE (ties: the smallest name).
+df counts the documents of the corpus that hold the word. A unit matches the template with the highest cosine if that is at least COSINE (ties: the smallest name).
 
 A file's own licence is its best unit's (highest cosine, then the smallest name). A file without one inherits that of the
 licence file in its nearest ancestor directory that has one, found by joining the exploded ancestors of its path with the
 directories of licence files (the best licence file of a directory, ties by path).
 
 Units are cut down before anything is shuffled: by Cauchy and Schwarz the cosine with a template is at most the share of
-the template's norm that the unit's words can cover. The templates' vocabulary and vectors are bounded by TEMPLATES.
+the template's norm that the unit's words can cover. The few that are left are written, their words counted over the
+whole corpus, and joined with the counts. The templates' vocabulary and vectors are bounded by TEMPLATES.
 
 Edge cases: null and empty texts have no own licence but may inherit; null paths inherit nothing; repeated rows are
 scanned each and share one result for equal (path, doc_id); an empty table gives no rows; other columns are ignored.
@@ -24,6 +24,8 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 COSINE = 0.6
 #: Short notices by which files declare their licence.
 TEMPLATES = {
@@ -70,7 +72,6 @@ def scan(files: DataFrame, cosine: float = COSINE) -> DataFrame:
     weights = tpl.join(F.broadcast(idf), "word").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     vectors = weights.join(norms, "template").select("template", "word", "idf", (F.col("w") / F.col("norm")).alias("unit")).collect()
-    unknown = F.log(F.lit(n) + 1.0) + 1.0
     # Pass 2: units whose words can cover enough of some template's norm.
     units = rows.withColumn("named", F.coalesce(F.col("path").rlike(_FILE), F.lit(False)))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
@@ -84,11 +85,19 @@ def scan(files: DataFrame, cosine: float = COSINE) -> DataFrame:
         part = F.aggregate("common", F.lit(0.0), _share(table))
         reach = part if reach is None else F.greatest(reach, part)
     able = units.where(F.size("common") > 0).where(reach >= cosine * cosine - 1e-9)
-    # Exact cosines of what is left, within the row: no shuffle of words.
+    able = settle(able.select("doc_id", "path", "words").withColumn("unit", F.monotonically_increasing_id()), "units")
+    # Pass 3: document frequencies of the other words of what is left, counted on the map side.
     idfs = {r["word"]: float(r["idf"]) for r in vectors}
     weigh = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in sorted(idfs.items())))
-    counted = able.withColumn("counts", F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("word"), (F.size(F.filter("words", lambda x: x == w)) * F.coalesce(F.element_at(weigh, w), unknown)).alias("w"))))
-    normed = counted.withColumn("norm", F.sqrt(F.aggregate("counts", F.lit(0.0), lambda s, c: s + c["w"] * c["w"])))
+    others = able.select(F.explode(F.array_except("words", vocab)).alias("word")).distinct()
+    corpus = rows.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    known = corpus.join(others, "word", "left_semi").select("word", (F.log((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    loose = able.select("unit", F.explode(F.filter("words", lambda w: ~F.array_contains(vocab, w))).alias("word")).groupBy("unit", "word").agg(F.count("*").alias("c"))
+    extra = loose.join(known, "word").groupBy("unit").agg(F.sum(F.pow(F.col("c") * F.col("idf"), 2)).alias("square"))
+    # Exact cosines: only words of templates meet a template, the others add to the norm.
+    held = F.array_intersect("words", vocab)
+    counted = able.join(extra, "unit", "left").withColumn("counts", F.transform(held, lambda w: F.struct(w.alias("word"), (F.size(F.filter("words", lambda x: x == w)) * F.element_at(weigh, w)).alias("w"))))
+    normed = counted.withColumn("norm", F.sqrt(F.aggregate("counts", F.coalesce("square", F.lit(0.0)), lambda s, c: s + c["w"] * c["w"])))
     scores = []
     for name in sorted(squares):
         unit = F.create_map(*chain.from_iterable((F.lit(r["word"]), F.lit(float(r["unit"]))) for r in vectors if r["template"] == name))

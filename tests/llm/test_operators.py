@@ -396,6 +396,15 @@ def test_licenses_equal_brute_force_and_inherit(spark):
     assert licenses.scan(files.limit(0)).isEmpty()
 
 
+def test_license_scan_weighs_all_words_by_the_corpus(spark):
+    line = "Zyxcode qqfoo Released under the MIT License."
+    rows = [(i, None, "zyxcode qqfoo barbar") for i in range(300)] + [(1000, None, line)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    top, low = math.log(302 / 2) + 1, math.log(302 / 302) + 1
+    want = math.sqrt(5 * top**2 / (5 * top**2 + 2 * low**2))
+    assert got[1000]["license"] == "MIT" and abs(got[1000]["cosine"] - want) < 1e-6 and got[0]["license"] is None
+
+
 def test_license_scan_has_no_python(spark, documents):
     plan = licenses.scan(documents.select("doc_id", F.col("source").alias("path"), "text"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
