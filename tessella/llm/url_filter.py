@@ -29,9 +29,20 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: The small labelled table: hosts of unwanted and of ordinary sites, each on several paths and domains.
-UNWANTED = ("spam-farm", "free-bets", "casino-win", "cheap-pills", "adult-x", "ads-track", "sex-cams", "win-prizes", "poker-bonus", "click-bait", "bets-now", "pills-online", "casino-slots", "xxx-adult", "track-ads", "link-farm")
-ORDINARY = ("news-daily", "library", "university", "weather", "recipes", "history-books", "science", "garden-notes", "music", "health-info", "travel-guide", "townhall", "museum", "physics", "poetry", "football", "then", "other", "nation", "thing", "station", "author", "north", "tension", "mission", "brother", "nations", "handle", "bleach", "ting", "those")
+#: The small labelled table, written apart from any given table (none of the pages table's host names stands in it): hosts of unwanted and of ordinary sites, each on several paths and domains.
+UNWANTED = (
+    "jackpot-palace", "roulette-online", "casinoroyale", "grand-casino", "sportsbetting", "bets24", "livebets", "horse-bets", "betting-tips", "freespins", "slotmachines", "pokerroom", "bingo-bonus", "luckyspins",
+    "viagra-shop", "discount-pharmacy", "pills4less", "dietpills", "steroid-depot", "cheapmeds", "adultvideos", "adult-dating", "xxxtube", "pornmovies", "sexchat", "escortgirls", "nudecams",
+    "spammer", "spam-mailer", "bulkmail", "linkfarming", "trafficexchange", "adserver", "popup-ads", "bannerads", "ads4you", "click-tracker", "tracking-pixel", "affiliate-clicks",
+    "payday-loans", "getrichquick", "replica-watches", "free-prizes", "freegiftcards", "winmoney", "warez-cracks", "serialkeys", "bitcoin-doubler", "miracle-cure",
+)
+ORDINARY = (
+    "dailynews", "morning-post", "city-library", "university", "college", "weather-service", "recipes", "cookbook", "historyjournal", "science-museum", "garden-club", "orchestra", "musicschool",
+    "hospital", "healthcare", "travelguide", "railways", "townhall", "parliament", "physics", "mathematics", "poetry", "bookshop", "football-club", "chess", "sailing", "photography", "architecture",
+    "software", "opensource", "programming", "kernel", "database", "documentation", "bakery", "restaurant", "theatre", "cinema", "gallery", "furniture", "bicycles", "insurance", "bank", "energy",
+    "forest", "rivers", "mountain", "birds", "astronomy", "geology", "chemistry", "biology", "linguistics", "dictionary", "encyclopedia", "newspaper", "radio", "education", "kindergarten", "church",
+    "volunteers", "foundation", "farmersmarket", "freedom", "freelance-writers", "winter-sports", "essex", "middlesex", "betterhomes", "alphabet", "clickable-maps", "address-book", "roads", "tracks-and-trails",
+)
 _PATHS = ("/", "/en/12", "/de/345/", "/fr/67.html", "/es/8901", "/en/24680#top", "/de/13579.html", "/about", "/index.html", "/a/b/c")
 _DOMAINS = ("org", "net", "com", "io")
 

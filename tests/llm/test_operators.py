@@ -421,6 +421,12 @@ def test_url_rules_and_method(spark):
     assert url_filter.judge(pages).count() == len(urls) and url_filter.judge(pages.limit(0)).isEmpty()
 
 
+def test_url_table_holds_no_given_host(spark):
+    names = url_filter.UNWANTED + url_filter.ORDINARY
+    hosts = [r["host"] for r in spark.read.parquet(f"{DATA}/pages.parquet").select(url_filter.split_url(F.col("url"))[0].alias("host")).distinct().collect()]
+    assert hosts and not [(n, h) for n in names for h in hosts if n in h.split(".")]
+
+
 # 9 embeddings
 def _brute_links(rows):
     fine = {}
