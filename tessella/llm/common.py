@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -14,14 +15,15 @@ from pyspark.sql import functions as F
 SPACES = "\x20\x09-\x0d"
 WORD = re.compile(f"[^{SPACES}]+")
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-
+#: Words longer than this many bytes are hashed one by one.
+_LONG = 4096
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; outside a cluster one is made."""
+    """A new folder below spark.checkpoint.dir, which all executors share; only a local session may do without the setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext.setCheckpointDir(root)
         spark.conf.set("spark.checkpoint.dir", root)
@@ -37,9 +39,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a frame's bytes; used only to choose partition counts."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of settled frames that nothing reads any more."""
+    for df in frames:
+        files = df.inputFiles()
+        if files:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -52,31 +59,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of all words of many texts at once, by differences of a running polynomial sum."""
+    """64-bit hashes of all words of many texts at once: eight bytes of every word at a time are mixed into its hash.
+
+    The chain starts from the length, and no sum or product of the bytes decides a
+    hash, so that regular words (as of two letters in a pattern) get different ones.
+    """
 
     def __init__(self) -> None:
-        self._powers = np.ones(1, np.uint64)
-        self._inverse = np.ones(1, np.uint64)
         table = np.zeros(256, bool)
         table[[32, *range(9, 14)]] = True
         self._space = table
-
-    def _grow(self, n: int) -> None:
-        if n > len(self._powers):
-            n = max(n, 2 * len(self._powers))
-            inverse = pow(_BASE, -1, 1 << 64)
-            for name, base in (("_powers", _BASE), ("_inverse", inverse)):
-                steps = np.full(n, base & _MASK, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+        self._mask = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
     def spans(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of the byte ranges starts[i]:ends[i]."""
-        data = np.frombuffer(raw, np.uint8)
-        self._grow(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._powers[: len(data)], out=total[1:])
-        return mix64((total[ends] - total[starts]) * self._inverse[starts] + (ends - starts).astype(np.uint64))
+        eights = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), 0, (1,))
+        size = (ends - starts).astype(np.int64)
+        out = mix64(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        live, at = np.flatnonzero(size <= _LONG), 0
+        while len(live):
+            part = eights[starts[live] + at] & self._mask[np.minimum(size[live] - at, 8)]
+            out[live] = mix64((out[live] ^ part) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0xA0761D6478BD642F))
+            at += 8
+            live = live[size[live] > at]
+        for i in np.flatnonzero(size > _LONG):
+            out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        return out
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words in order, and for text i the range offsets[i]:offsets[i + 1] of them."""

@@ -2,19 +2,21 @@
 
 A shingle is five words in a row (a text of one to four words is one shingle), words being runs of other than ASCII
 white space in lower case. Its weight in a text is its count times an inverse document frequency between 1 and 2,
-``1 + ln(N / df) / ln(N)``; df is the exact number of documents that hold the shingle (its 64-bit hash). Two texts link if their weighted Jaccard similarity, sum of minima over sum of maxima, is at least 0.8, and a
-class is what links reach.
+``1 + ln(N / df) / ln(N)``; df is the number of documents that hold the shingle. Two texts link if their weighted Jaccard
+similarity, sum of minima over sum of maxima, is at least 0.8, and a class is what links reach.
 
 1. Rows are packed into batches. Each batch sends its distinct shingles, with their counts of documents, to the tasks of
-   ranges of the hash, and gets back their counts over all batches: a range's task holds about RANGE characters' shingles,
-   and a shingle of every document comes to it once for each batch. Each text keeps the counts of its own shingles.
-2. Texts with the same words are one text, represented by one of its rows. Each representative gets BANDS * ROWS consistent weighted samples; two texts agree in one with a probability equal
-   to their similarity. Texts that agree in a whole band meet in a bucket: a similarity of 0.8 is missed with a
-   probability of 0.0006, 0.85 with 0.00003.
+   ranges of the hash, and gets back their counts over all batches. A cell (batch, range) holds the sorted hashes as
+   Elias and Fano code them; hashes are cut to 20 bits more than the number of characters has, so that about one shingle
+   in a million shares its count with another, in a table of any size. A shingle of every document comes to its range's task once for each batch.
+2. Texts with the same words are one text, represented by one of its rows. Each representative gets BANDS * ROWS consistent
+   weighted samples; two texts agree in one with a probability equal to their similarity. Texts that agree in a whole band
+   meet in a bucket: a similarity of 0.8 is missed by all bands with a probability of 0.0006, 0.85 with 0.00003.
 3. In each bucket the pairs of a spanning forest, the most alike by their samples first, are verified by the exact
    similarity of the whole texts (fewer pairs than members, not all pairs); connected components follow.
 4. Where a bucket still spans several components, members outside its largest one are held against all members
-   of the bucket in blocks, by size and samples; every pair between components that may link is verified there, once.
+   of the bucket in blocks, by size and samples (MAY_LINK loses another 0.0002 of the pairs at 0.8); every pair between
+   components that may link is verified there, once.
 
 Edge cases: null texts and texts without words are classes of their own; equal texts share a class whatever their
 number; repeated rows with the same doc_id get one row each
@@ -24,6 +26,8 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -31,17 +35,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, batches, connected_components, mix64, settle
+from .common import WordHasher, batches, connected_components, discard, mix64, settle
 
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 4
-#: Characters in a batch, and those for which one task counts the shingles.
-BATCH, RANGE = 1_000_000, 12_000_000
+#: Characters in a batch, those for which one task counts the shingles, and the least of a batch for each range.
+BATCH, RANGE, SHARE = 4_000_000, 12_000_000, 1000
 #: Two texts whose samples agree less often than this are not verified; at similarity 0.8 that is 3.7 standard deviations.
 MAY_LINK = 0.6
 #: Members in a block of a bucket that are held against each other in one task.
 BLOCK = 512
+#: Rows of one text from which on they are dealt to several tasks.
+HOT = 10_000
 _LEVELS = 4096
 _EMPTY = mix64(np.arange(1, WORDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -126,114 +132,151 @@ def _inverse(df: np.ndarray, n: int) -> np.ndarray:
     return 1 + np.log(max(n, 2) / df) / np.log(max(n, 2))
 
 
-def _held(parts):
-    shingler = Shingler()
-    for part in parts:
-        texts = [t or "" for t in part.column(0).to_pylist()]
-        for a, b in batches(texts):
-            yield pa.record_batch([pa.array(_signed(np.concatenate([s for _, _, s, _ in shingler(texts[a:b])])))], ["shingle"])
-
-
-def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted shingles of docs and their weights, on the driver: for tables that fit there (near_duplicates joins instead)."""
-    n = docs.count()
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(_held, "shingle long").groupBy("shingle").agg(F.count("*").alias("df")).toPandas()
-    shingles = rows["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(shingles)
-    return shingles[order], _inverse(rows["df"].to_numpy(np.int64)[order], n)
-
-
-def _weigh(idf: tuple[np.ndarray, np.ndarray], shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return counts * idf[1][np.searchsorted(idf[0], shingles)]
-
-
 def _pack(parts):
-    """(batch, docs, size, rows): rows are an Arrow stream of row (a new number), doc_id and text."""
-    row = TaskContext.get().partitionId() << 36
+    """(batch, docs, size, rows): rows are an Arrow stream of row (the batch's number and a place in it), doc_id and text."""
+    batch = TaskContext.get().partitionId() << 22
     for part in parts:
         keys, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
         for a, b in batches(texts, BATCH):
-            own = pa.record_batch([pa.array(np.arange(row, row + b - a)), keys.slice(a, b - a), pa.array(texts[a:b], pa.string())], ["row", "doc_id", "text"])
+            own = pa.record_batch([pa.array(np.arange(b - a) + (batch << 14)), keys.slice(a, b - a), pa.array(texts[a:b], pa.string())], ["row", "doc_id", "text"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(own)
-            yield pa.record_batch([pa.array([row]), pa.array([b - a]), pa.array([sum(map(len, texts[a:b]))]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "docs", "size", "rows"])
-            row += b - a
+            yield pa.record_batch([pa.array([batch]), pa.array([b - a]), pa.array([sum(map(len, texts[a:b]))]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "docs", "size", "rows"])
+            batch += 1
 
 
 def _unpacked(rows: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(rows.as_buffer()).read_all()
 
 
+def _shingled(shingler: Shingler, texts: list[str]):
+    for a, b in batches(texts):
+        yield from shingler(texts[a:b])
+
+
 def _texts(parts):
     for part in parts:
-        for rows in part.column(0):
-            for own in _unpacked(rows).select(["row", "text"]).to_batches():
-                yield own.rename_columns(["rep", "text"])
+        for rows, wanted in zip(part.column(0), part.column(1).to_pylist(), strict=True):
+            df = {w["rep"]: w["df"] for w in wanted}
+            own = _unpacked(rows).select(["row", "text"]).combine_chunks()
+            keep = [i for i, r in enumerate(own.column("row").to_pylist()) if r in df]
+            some = own.take(pa.array(keep, pa.int64()))
+            for a, b in batches(some.column("text").to_pylist()):
+                piece = some.slice(a, b - a)
+                yield pa.record_batch([*(c.combine_chunks() for c in piece.columns), pa.array([df[r] for r in piece.column("row").to_pylist()], pa.binary())], ["rep", "text", "df"])
 
 
 def _distinct(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(found), return_counts=True)
 
 
-def _spread(ranges: int):
-    """(range, batch, shingles, docs): a batch's sorted distinct shingles by equal ranges of the hash, with counts of documents."""
-    bounds = np.array([-(-(i << 64) // ranges) for i in range(1, ranges)], np.uint64)
+def code_sorted(values: np.ndarray, bits: int) -> bytes:
+    """Elias and Fano's code of sorted distinct numbers below 2^bits: low bits packed, high bits as unary steps."""
+    low = max(0, bits - max(1, len(values)).bit_length() + 1)
+    kept = np.unpackbits(values.astype(">u8").view(np.uint8)).reshape(len(values), 64)[:, 64 - low :]
+    high = (values >> np.uint64(low)).astype(np.int64)
+    steps = np.zeros((int(high[-1]) if len(high) else 0) + len(high), np.uint8)
+    steps[high + np.arange(len(high))] = 1
+    return len(values).to_bytes(4, "little") + np.packbits(kept).tobytes() + np.packbits(steps).tobytes()
+
+
+def decode_sorted(data: bytes, bits: int) -> np.ndarray:
+    """The numbers of code_sorted."""
+    n = int.from_bytes(data[:4], "little")
+    low = max(0, bits - max(1, n).bit_length() + 1)
+    at = 4 + (n * low + 7) // 8
+    wide = np.zeros((n, 64), np.uint8)
+    wide[:, 64 - low :] = np.unpackbits(np.frombuffer(data[4:at], np.uint8), count=n * low).reshape(n, low)
+    steps = np.flatnonzero(np.unpackbits(np.frombuffer(data[at:], np.uint8)))[:n]
+    return np.packbits(wide).view(">u8").astype(np.uint64) | ((steps - np.arange(n)).astype(np.uint64) << np.uint64(low))
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts of at least one: a bit for each that is above one, then those."""
+    many = counts > 1
+    return np.packbits(many).tobytes() + counts[many].astype("<u4").tobytes()
+
+
+def _unpack_counts(data: bytes, n: int) -> np.ndarray:
+    at = (n + 7) // 8
+    out = np.ones(n, np.uint32)
+    out[np.unpackbits(np.frombuffer(data[:at], np.uint8), count=n).astype(bool)] = np.frombuffer(data[at:], "<u4")
+    return out
+
+
+def _layout(size: int, batches_: int) -> tuple[int, int]:
+    """Bits of the ranges and of a cut hash, for a table of so many characters in so many batches."""
+    ranges = min(size / RANGE, size / max(1, batches_) / SHARE)
+    return max(0, math.ceil(math.log2(max(1, ranges)))), min(64, 20 + max(1, size).bit_length())
+
+
+def _spread(ranges: int, bits: int):
+    """(range, batch, shingles, docs): a batch's sorted distinct shingles by ranges of the hash, with counts of documents."""
+    down, mask = np.uint64(64 - bits), np.uint64((1 << (bits - ranges)) - 1)
+    bounds = np.arange(1, 1 << ranges, dtype=np.uint64) << np.uint64(bits - ranges)
 
     def run(parts):
         shingler = Shingler()
         for part in parts:
             for batch, rows in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                shingles, docs = _distinct([s for _, _, s, _ in shingler(_unpacked(rows).column("text").to_pylist())])
-                at = np.concatenate([[0], np.searchsorted(shingles, bounds), [len(shingles)]])
+                shingles, docs = _distinct([s for _, _, s, _ in _shingled(shingler, _unpacked(rows).column("text").to_pylist())])
+                cut, first = np.unique(shingles >> down, return_index=True)
+                docs = np.add.reduceat(docs, first) if len(first) else docs
+                at = np.concatenate([[0], np.searchsorted(cut, bounds), [len(cut)]])
                 some = np.flatnonzero(np.diff(at))
-                cells = [[x[at[i] : at[i + 1]].tobytes() for i in some] for x in (shingles, docs.astype("<u4"))]
-                yield pa.record_batch([pa.array(some), pa.array(np.full(len(some), batch)), *(pa.array(c, pa.binary()) for c in cells)], ["range", "batch", "shingles", "docs"])
+                cells = [(code_sorted(cut[at[i] : at[i + 1]] & mask, bits - ranges), _pack_counts(docs[at[i] : at[i + 1]])) for i in some]
+                yield pa.record_batch([pa.array(some), pa.array(np.full(len(some), batch)), *(pa.array(c, pa.binary()) for c in (zip(*cells, strict=True) if cells else ([], [])))], ["range", "batch", "shingles", "docs"])
+
+    return run
+
+
+def _count(width: int):
+    def run(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """(range, batch, df): for each batch the counts of its shingles of the range over all batches, in the batch's order."""
+        parts = [decode_sorted(x, width) for x in rows["shingles"]]
+        found, where = np.unique(np.concatenate(parts), return_inverse=True)
+        total = np.bincount(where, np.concatenate([_unpack_counts(x, len(p)) for x, p in zip(rows["docs"], parts, strict=True)]), len(found)).astype(np.uint32)
+        cells = np.split(total[where], np.cumsum([len(x) for x in parts])[:-1])
+        return pd.DataFrame({"range": rows["range"], "batch": rows["batch"], "n": [len(x) for x in cells], "df": [_pack_counts(x) for x in cells]})
 
     return run
 
 
-def _count(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """(range, batch, df): for each batch the counts of its shingles of the range over all batches, in the batch's order."""
-    parts = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
-    found, where = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(where, np.concatenate([np.frombuffer(x, "<u4") for x in rows["docs"]]), len(found)).astype("<u4")
-    cells = np.split(total[where], np.cumsum([len(x) for x in parts])[:-1])
-    return pd.DataFrame({"range": rows["range"], "batch": rows["batch"], "df": [x.tobytes() for x in cells]})
+def _frequencies(packed: DataFrame, ranges: int, bits: int) -> DataFrame:
+    """(batch, cells): cells are (range, n, df), which in the order of the ranges are the counts of a batch's distinct shingles."""
+    spread = packed.select("batch", "rows").mapInArrow(_spread(ranges, bits), "range long, batch long, shingles binary, docs binary")
+    counted = spread.groupBy("range").applyInPandas(_count(bits - ranges), "range long, batch long, n long, df binary")
+    return counted.groupBy("batch").agg(F.collect_list(F.struct("range", "n", "df")).alias("cells"))
 
 
-def _frequencies(packed: DataFrame, size: int) -> DataFrame:
-    """(batch, cells): cells are (range, df), which in the order of the ranges are the counts of a batch's distinct shingles."""
-    spread = packed.select("batch", "rows").mapInArrow(_spread(max(1, -(-size // RANGE))), "range long, batch long, shingles binary, docs binary")
-    counted = spread.groupBy("range").applyInPandas(_count, "range long, batch long, df binary")
-    return counted.groupBy("batch").agg(F.collect_list(F.struct("range", "df")).alias("cells"))
+def _known(cells: list) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint32), *(_unpack_counts(c["df"], c["n"]) for c in sorted(cells or [], key=lambda c: c["range"]))])
 
 
 def _own_weights(df: bytes, counts: np.ndarray, n: int) -> np.ndarray:
-    return counts * _inverse(np.frombuffer(df, "<u4").astype(np.float64), n)
+    return counts * _inverse(_unpack_counts(df, len(counts)).astype(np.float64), n)
 
 
-def _sketch(n: int):
-    names = ["row", "doc_id", "h1", "h2", "bands", "samples", "total", "df"]
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.float64(), pa.binary())
+def _sketch(n: int, bits: int):
+    names = ["row", "doc_id", "h1", "h2", "samples", "total", "df"]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.binary())
+    down = np.uint64(64 - bits)
 
     def run(parts):
         shingler = Shingler()
-        mixer = mix64(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
         for part in parts:
             for packed, cells in zip(part.column(0), part.column(1).to_pylist(), strict=True):
-                rows = _unpacked(packed)
-                all_ = list(shingler(rows.column("text").to_pylist()))
-                distinct, _ = _distinct([found for _, _, found, _ in all_])
-                known = np.frombuffer(b"".join(c["df"] for c in sorted(cells or [], key=lambda c: c["range"])), "<u4")
+                rows, known = _unpacked(packed), _known(cells)
+                texts = rows.column("text").to_pylist()
+                distinct, _ = _distinct([found >> down for _, _, found, _ in _shingled(shingler, texts)])
                 out, keep = [], []
-                for i, ((size, (h1, h2), found, count), doc_id) in enumerate(zip(all_, rows.column("doc_id").to_pylist(), strict=True)):
+                for i, ((size, (h1, h2), found, count), doc_id) in enumerate(zip(_shingled(shingler, texts), rows.column("doc_id").to_pylist(), strict=True)):
                     if size and doc_id is not None:
-                        df = known[np.searchsorted(distinct, found)].tobytes()
+                        df = _pack_counts(known[np.searchsorted(distinct, found >> down)])
                         own = _own_weights(df, count, n)
                         got = sample(found, own)
-                        bands = mix64((got.reshape(BANDS, ROWS) * mixer).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-                        out.append((h1 - (1 << 63), (h2 & ((1 << 64) - 1)) - (1 << 63), _signed(bands).tolist(), (got >> np.uint64(48)).astype("<u2").tobytes(), float(own.sum()), df))
+                        out.append((h1 - (1 << 63), (h2 & ((1 << 64) - 1)) - (1 << 63), (got >> np.uint64(48)).astype("<u2").tobytes(), float(own.sum()), df))
                         keep.append(i)
                 if out:
                     own = rows.select(["row", "doc_id"]).take(pa.array(keep)).combine_chunks().to_batches()[0]
@@ -272,10 +315,12 @@ def _verify(n: int, threshold: float):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold; texts has (rep, text, df) once for each."""
-    left = texts.toDF("a", "text_a", "df_a")
-    right = texts.toDF("b", "text_b", "df_b")
-    full = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b", "df_a", "df_b")
+    """The pairs (a, b, slot) whose weighted Jaccard similarity reaches the threshold; texts has (rep, text, df) once for each.
+
+    A text that many pairs share as a is sent once for each slot, and few pairs share an (a, slot).
+    """
+    left = pairs.select("a", "slot").distinct().join(texts.toDF("a", "text_a", "df_a"), "a")
+    full = pairs.join(texts.toDF("b", "text_b", "df_b"), "b").join(left, ["a", "slot"]).select("a", "b", "text_a", "text_b", "df_a", "df_b")
     return full.mapInArrow(_verify(n, threshold), "a long, b long")
 
 
@@ -310,29 +355,29 @@ def _runs(keys: np.ndarray):
 def _forests(least: float):
     def run(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bucket", "rep"], ignore_index=True)
-        samples, rep, out = np.stack([np.frombuffer(s, "<u2") for s in rows["samples"]]), rows["rep"].to_numpy(), set()
+        samples, rep, block, out = np.stack([np.frombuffer(s, "<u2") for s in rows["samples"]]), rows["rep"].to_numpy(), rows["block"].to_numpy(), {}
         for _, part in _runs(rows["bucket"].to_numpy()):
             for i, j in forest(samples[part], least):
-                a, b = int(rep[part[i]]), int(rep[part[j]])
-                if a != b:
-                    out.add((min(a, b), max(a, b)))
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+                out[int(rep[part[i]]), int(rep[part[j]])] = int(block[part[j]])
+        return pd.DataFrame([(a, b, slot) for (a, b), slot in sorted(out.items())], columns=["a", "b", "slot"], dtype="int64")
 
     return run
 
 
 def _first_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) to verify first: spanning forests of buckets; members (bucket, hub, size, rep, samples).
+    """(a, b, slot) to verify first: spanning forests of buckets; members (bucket, hub, size, rep, samples).
 
     Small buckets share a task. A larger one is cut into blocks, each of which also holds the bucket's hub, so that no task
-    holds more than about BLOCK members of it, and a bucket gives no more pairs than it has members.
+    holds more than about BLOCK members of it, and a bucket gives no more pairs than it has members. The hub has the
+    smallest number and begins each forest, so that it never is b; at most BLOCK pairs of a bucket share an a and a slot.
     """
     tasks = max(1, -(-members.count() // (8 * BLOCK)))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     block = F.when(F.col("rep") == F.col("hub"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int")))
     dealt = members.select("bucket", "size", "rep", "samples", F.explode(block).alias("block"))
     task = F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("bucket"), F.lit(tasks))).otherwise(F.xxhash64("bucket", "block"))
-    return dealt.withColumn("task", task).groupBy("task").applyInPandas(_forests(MAY_LINK), "a long, b long").distinct()
+    pairs = dealt.withColumn("task", task).groupBy("task").applyInPandas(_forests(MAY_LINK), "a long, b long, slot long")
+    return pairs.groupBy("a", "b").agg(F.min("slot").alias("slot"))
 
 
 def _vectors(n: int):
@@ -362,15 +407,15 @@ def _candidates(outside: pd.DataFrame, inside: pd.DataFrame, least: float, thres
     """(i, may): position of a member outside its bucket's largest part, and those of the members that it may link to.
 
     They are of other components, of a fitting size and agree in enough samples; a pair that shares several buckets is
-    given in the first of them only.
+    given in the one of the first band that it agrees in.
     """
 
-    def matrix(side: pd.DataFrame, column: str, kind: str) -> np.ndarray:
-        return np.stack([np.frombuffer(s, kind) for s in side[column]])
+    def matrix(side: pd.DataFrame) -> np.ndarray:
+        return np.stack([np.frombuffer(s, "<u2") for s in side["samples"]])
 
     if not len(outside) or not len(inside):
         return
-    x, y, bx, by = matrix(outside, "samples", "<u2"), matrix(inside, "samples", "<u2"), np.stack(outside["bands"]), np.stack(inside["bands"])
+    x, y = matrix(outside), matrix(inside)
     comp_x, comp_y, band = outside["component"].to_numpy(), inside["component"].to_numpy(), outside["band"].to_numpy()
     total_x, total_y = outside["total"].to_numpy(), inside["total"].to_numpy()
     groups = dict(_runs(inside["bucket"].to_numpy()))
@@ -379,8 +424,9 @@ def _candidates(outside: pd.DataFrame, inside: pd.DataFrame, least: float, thres
         for i in part if own is not None else ():
             fits = (comp_y[own] != comp_x[i]) & (np.minimum(total_y[own], total_x[i]) >= (threshold - 1e-6) * np.maximum(total_y[own], total_x[i]))
             may = own[fits]
-            may = may[(y[may] == x[i]).mean(1) >= least]
-            may = may[(by[may] == bx[i]).argmax(1) == band[i]]
+            same = y[may] == x[i]
+            may, same = may[same.mean(1) >= least], same[same.mean(1) >= least]
+            may = may[same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band[i]]
             if len(may):
                 yield i, may
 
@@ -419,63 +465,82 @@ def _across(least: float, threshold: float):
 def _residual(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
     """(a, b): the links between components within a bucket.
 
-    Buckets of two are settled by their forest. Small buckets share a task; a larger one is cut into blocks on both sides,
-    and each pair of blocks is a task, so that no task holds more than about BLOCK members of it on a side. A first pass
+    Buckets of two are settled by their forest. Small buckets share a task; in a larger one the members outside its largest
+    component are cut into blocks and all members into cells, and each pair of a block and a cell is a task, so that no task holds
+    more than about BLOCK members of it on a side: a member is copied as often as there are blocks of outsiders. A first pass
     over the samples finds the members with a partner; only their shingles are shuffled for the exact pass.
     """
     known = members.where("size > 2").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     parts = known.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     spans = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).where("parts > 1")
-    open_ = settle(known.join(spans.select("bucket", F.col("top.component").alias("star")), "bucket").join(reps.select("rep", "bands", "total"), "rep"), "open")
-    cells = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), cells).cast("int")
-    every = F.sequence(F.lit(0), cells - 1)
+    known = known.join(spans.select("bucket", F.col("top.component").alias("star"), F.col("top.n").alias("inside")), "bucket")
+    open_ = settle(known.withColumn("outside", F.col("size") - F.col("inside")).drop("inside", "hub").join(reps.select("rep", "total"), "rep"), "open")
+    blocks, cells = F.ceil(F.col("outside") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
 
     def cogroup(rows: DataFrame, run, schema: str) -> DataFrame:
         tasks = max(1, -(-rows.count() // (2 * BLOCK)))
         small = F.when(F.col("size") <= BLOCK, F.pmod(F.xxhash64("bucket"), F.lit(tasks)))
-        cols = ["task", *(c for c in rows.columns if c not in ("hub", "size", "star"))]
+        cols = ["task", *(c for c in rows.columns if c not in ("size", "star", "outside"))]
 
-        def dealt(side: DataFrame, first, second) -> DataFrame:
-            wide = side.withColumn("block", first).withColumn("cell", second)
+        def dealt(side: DataFrame, block, cell) -> DataFrame:
+            wide = side.withColumn("block", block).withColumn("cell", cell)
             return wide.withColumn("task", F.coalesce(small, F.xxhash64("bucket", "block", "cell"))).select(cols).toDF(*cols)
 
-        left = dealt(rows.where("component <> star"), own, F.explode(every))
-        right = dealt(rows, F.explode(every), own)
+        left = dealt(rows.where("component <> star"), F.pmod(F.xxhash64("rep"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), cells - 1)))
+        right = dealt(rows, F.explode(F.sequence(F.lit(0), blocks - 1)), F.pmod(F.xxhash64("rep"), cells).cast("int"))
         return left.groupBy("task").cogroup(right.groupBy("task")).applyInPandas(run, schema).distinct()
 
     paired = settle(cogroup(open_, _partners(MAY_LINK, threshold), "bucket long, rep long"), "paired")
     vectors = texts.join(paired.select("rep").distinct(), "rep", "left_semi").mapInArrow(_vectors(n), "rep long, shingles binary, weights binary")
-    rows = open_.join(paired, ["bucket", "rep"], "left_semi").join(vectors, "rep")
-    return cogroup(settle(rows, "paired_rows"), _across(MAY_LINK, threshold), "a long, b long")
+    rows = settle(open_.join(paired, ["bucket", "rep"], "left_semi").join(vectors, "rep"), "paired_rows")
+    found = settle(cogroup(rows, _across(MAY_LINK, threshold), "a long, b long"), "more")
+    discard(open_, paired, rows)
+    return found
+
+
+def _class_of_rows(sketches: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of every sketched row; classes (h1, h2, n, class_id) has each text once.
+
+    Texts of more than HOT rows are spread over n / HOT salts, so that no task gets all the rows of one text. There
+    are at most N / HOT such texts, 24 bytes each, which are broadcast.
+    """
+    salts = F.ceil(F.col("n") / HOT).cast("int")
+    hot = classes.where(F.col("n") > HOT).select("h1", "h2", salts.alias("salts"))
+    rows = sketches.select("doc_id", "h1", "h2", "row").join(F.broadcast(hot), ["h1", "h2"], "left")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.coalesce("salts", F.lit(1))).cast("int"))
+    return salted.join(classes.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), ["h1", "h2", "salt"]).select("doc_id", "class_id")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (smallest doc_id of the class), kept (doc_id = class_id)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     packed = settle(rows.mapInArrow(_pack, "batch long, docs long, size long, rows binary"), "packed")
-    n, size = (x or 0 for x in packed.agg(F.sum("docs"), F.sum("size")).first())
-    joined = packed.join(_frequencies(packed, size), "batch", "left").select("rows", "cells")
-    schema = "row long, doc_id long, h1 long, h2 long, bands array<long>, samples binary, total double, df binary"
-    sketches = settle(joined.mapInArrow(_sketch(n), schema), "sketches")
-    groups = sketches.groupBy("h1", "h2").agg(F.min("row").alias("rep"))
-    copies = settle(sketches.join(groups, ["h1", "h2"]).select("doc_id", "rep", "row", *[F.when(F.col("row") == F.col("rep"), F.col(c)).alias(c) for c in ("bands", "samples", "total", "df")]), "copies")
-    reps = copies.where("row = rep")
-    banded = reps.select("rep", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "band", "rep")
+    n, size, count = (x or 0 for x in packed.agg(F.sum("docs"), F.sum("size"), F.count("*")).first())
+    ranges, bits = _layout(size, count)
+    joined = packed.select("batch", "rows").join(_frequencies(packed, ranges, bits), "batch", "left").select("rows", "cells")
+    sketches = settle(joined.mapInArrow(_sketch(n, bits), "row long, doc_id long, h1 long, h2 long, samples binary, total double, df binary"), "sketches")
+    one = F.min(F.struct("row", "samples", "total", "df")).alias("one")
+    groups = sketches.groupBy("h1", "h2").agg(one, F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    reps = settle(groups.select("h1", "h2", "least", "n", F.col("one.row").alias("rep"), "one.samples", "one.total", "one.df"), "reps")
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("samples", 2 * ROWS * i + 1, F.lit(2 * ROWS))))
+    banded = reps.select("rep", F.posexplode(bands).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
     joined = banded.join(shared, "bucket").select("bucket", "band", "hub", F.col("n").alias("size"), "rep")
     members = settle(joined.join(reps.select("rep", "samples"), "rep"), "members")
-    wanted = members.select("rep").distinct()
-    unpacked = packed.select("rows").mapInArrow(_texts, "rep long, text string")
-    texts = settle(unpacked.join(wanted.join(reps.select("rep", "df"), "rep"), "rep").select("rep", "text", "df"), "texts")
-    links = settle(verified(settle(_first_pairs(members), "forests"), texts, n, threshold), "links")
+    wanted = reps.join(members.select("rep").distinct(), "rep", "left_semi").groupBy(F.shiftright("rep", 14).alias("batch")).agg(F.collect_list(F.struct("rep", "df")).alias("wanted"))
+    texts = settle(packed.select("batch", "rows").join(wanted, "batch").select("rows", "wanted").mapInArrow(_texts, "rep long, text string, df binary"), "texts")
+    discard(packed)
+    forests = settle(_first_pairs(members), "forests")
+    links = settle(verified(forests, texts, n, threshold), "links")
+    discard(forests)
     labels = connected_components(links).toDF("rep", "component").checkpoint()
-    more = settle(_residual(members, labels, reps, texts, n, threshold), "more")
+    more = _residual(members, labels, reps, texts, n, threshold)
     if not more.isEmpty():
         labels = connected_components(links.union(more)).toDF("rep", "component").checkpoint()
-    owned = copies.select("doc_id", "rep").join(labels, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
-    least = owned.groupBy("component").agg(F.min("doc_id").alias("least"))
-    classes = owned.join(least, "component").groupBy("doc_id").agg(F.min("least").alias("class_id"))
+    discard(texts, members, links, more)
+    owned = reps.select("h1", "h2", "n", "least", "rep").join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = owned.groupBy("component").agg(F.min("least").alias("class_id"))
+    classes = _class_of_rows(sketches, owned.join(least, "component").select("h1", "h2", "n", "class_id")).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     out = rows.select("doc_id").join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 

@@ -6,7 +6,9 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -117,7 +119,6 @@ def _by_library(texts, name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path(name))
-    t.encode_special_tokens = True
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, end], "<u4") for x in texts]
 
 
@@ -205,20 +206,33 @@ def test_pivotal_rounding_keeps_marginals():
 
 
 # 4 near duplicates
-def _brute_classes(docs, idf):
+def _brute_classes(docs, threshold=0.8):
+    """Classes by counters of word tuples: no hash, weight or helper of the operator."""
     rows = sorted(docs.collect(), key=lambda r: r["doc_id"])
-    found = list(near_dups.Shingler()([r["text"] or "" for r in rows]))
-    sets = [(s, near_dups._weigh(idf, s, c)) for _, _, s, c in found]
-    parent = list(range(len(rows)))
+    bags = []
+    for r in rows:
+        words = [w for w in re.split("[\\x20\\x09-\\x0d]+", (r["text"] or "").lower()) if w]
+        bags.append(Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter())
+    df, n = Counter(s for b in bags for s in b), max(len(rows), 2)
+    weights = [{s: c * (1 + math.log(n / df[s]) / math.log(n)) for s, c in b.items()} for b in bags]
+    totals = [sum(w.values()) for w in weights]
+    holders, parent = {}, list(range(len(rows)))
+    links = set()
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for i in range(len(rows)):
-        for j in range(i):
-            if len(sets[i][0]) and len(sets[j][0]) and near_dups.weighted_jaccard(sets[i], sets[j]) >= 0.8 - 1e-9:
+    for i, own in enumerate(weights):
+        low = Counter()
+        for s, w in own.items():
+            for j in holders.get(s, ()):
+                low[j] += min(w, weights[j][s])
+            holders.setdefault(s, []).append(i)
+        for j, shared in low.items():
+            if shared / (totals[i] + totals[j] - shared) >= threshold - 1e-9:
+                links.add((j, i))
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return {r["doc_id"]: rows[root(i)]["doc_id"] for i, r in enumerate(rows)}
@@ -242,14 +256,54 @@ def _variants(spark):
 def test_near_duplicates_equal_brute_force(spark):
     for docs in (_variants(spark), spark.read.parquet(f"{DATA}/documents.parquet")):
         got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(docs).collect()}
-        assert got == _brute_classes(docs, near_dups.inverse_frequencies(docs))
+        assert got == _brute_classes(docs)
+
+
+def test_near_duplicate_recall_at_a_thousand_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(docs).collect()}
+    want = _brute_classes(docs)
+    copies = [d for d in want if want[d] != d]
+    assert len(copies) > 50 and np.mean([got[d] == want[d] for d in copies]) >= 0.99 and all(got[d] == d or want[d] != d for d in got)
+
+
+def test_regular_words_are_told_apart(spark):
+    a = "a"
+    while len(a) < 2048:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    hashes, _ = WordHasher()([f"{a} {b} {a * 3} {b * 3}"])
+    assert len(set(hashes.tolist())) == 4
+    rows = near_dups.near_duplicates(spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == {1: 1, 2: 2, 3: 1}
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = encoder(name)
+        ids, at = enc.encode([a, b])
+        assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in (a, b)]
+
+
+@given(st.lists(st.integers(0, 2**40 - 1), max_size=200, unique=True), st.integers(40, 64))
+@settings(max_examples=80, deadline=None)
+def test_sorted_numbers_round_trip(values, bits):
+    x = np.array(sorted(values), np.uint64)
+    assert (near_dups.decode_sorted(near_dups.code_sorted(x, bits), bits) == x).all()
+    counts = np.array([v % 5 + 1 for v in values], np.int64)
+    assert (near_dups._unpack_counts(near_dups._pack_counts(counts), len(counts)) == counts).all()
+
+
+def test_hot_texts_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "HOT", 5)
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, text) for i in range(40)] + [(100, text + " x"), (101, "another text of six words here")], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(docs).collect()}
+    assert len(got) == 42 and all(got[i] == 0 for i in [*range(40), 100]) and got[101] == 101
 
 
 def test_near_duplicate_blocks_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "BLOCK", 4)
     docs = _variants(spark)
     got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(docs).collect()}
-    assert got == _brute_classes(docs, near_dups.inverse_frequencies(docs))
+    assert got == _brute_classes(docs)
 
 
 def test_shingles_of_one_document_weigh_the_top_in_any_table(spark, monkeypatch):
@@ -259,12 +313,12 @@ def test_shingles_of_one_document_weigh_the_top_in_any_table(spark, monkeypatch)
     rows += [(2000 + i, "a passage that ten of all these documents hold") for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     packed = docs.mapInArrow(near_dups._pack, "batch long, docs long, size long, rows binary").checkpoint()
-    size = packed.agg(F.sum("size")).first()[0]
-    counts = [x for r in near_dups._frequencies(packed, size).collect() for c in r["cells"] for x in np.frombuffer(c["df"], "<u4")]
+    size, batches = packed.agg(F.sum("size"), F.count("*")).first()
+    ranges, bits = near_dups._layout(size, batches)
+    assert ranges > 3
+    counts = [x for r in near_dups._frequencies(packed, ranges, bits).collect() for x in near_dups._known(r["cells"])]
     assert sorted(set(counts)) == [1, 10] and counts.count(1) == 2000 * 401
-    idf = near_dups.inverse_frequencies(docs)
-    _, _, own, count = next(iter(near_dups.Shingler()([rows[0][1]])))
-    assert np.allclose(near_dups._weigh(idf, own, count), 2)
+    assert np.allclose(near_dups._inverse(np.array([1.0]), 2010), 2)
 
 
 def test_near_duplicate_edges(spark):
