@@ -9,7 +9,9 @@ Which documents get the extra copy is decided by pivotal rounding: of two docume
 goes from one to the other so that the expected words stay, until one of them is 0 or 1. Blocks of documents, dealt by
 hash, are rounded in parallel and leave one fractional document each; these go up a tree, FAN to a node, until one is left
 for each source, which is drawn. Large documents come first, so that the one left is small
-and the words taken of a source miss its target by less than that. Draws are hashes of a seed and the document, and reruns agree.
+and the words taken of a source miss its target by less than that. Draws are hashes of a seed, all columns of the row, and
+its number among equal rows (which of them gets which number makes no difference), so that reruns agree however the rows
+are ordered, split or partitioned.
 
 Edge cases: null and empty texts have size 0 and are never taken in words; a source whose documents are all empty has
 target 0; repeated rows are separate documents; null doc_ids are allowed; an empty table gives no rows; ``mix`` keeps
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET, MOST = 1.5, 2.0
@@ -88,10 +90,34 @@ def _round(last: bool):
     return run
 
 
+def _content(docs: DataFrame, seed: int):
+    """A hash of all columns of a row, nulls told apart."""
+    cols = [F.to_json(F.struct(docs[f.name])) if "map<" in f.dataType.simpleString() else docs[f.name] for f in docs.schema.fields]
+    return F.xxhash64(F.lit(seed), *cols, *[c.isNull() for c in cols])
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (row, k1, k2, ...) with their number among the rows of equal content.
+
+    Only contents that repeat are looked at: rows are numbered within their part of the input, parts add up, so that no
+    task holds all copies of a content.
+    """
+    keys = ["k1", "k2"]
+    repeated = rows.groupBy(keys).agg(F.count("*").alias("n")).where("n > 1").select(keys)
+    some = rows.select(*keys, "row", F.shiftright("row", 33).alias("part")).join(repeated, keys, "left_semi")
+    counts = some.groupBy(*keys, "part").agg(F.count("*").alias("c"))
+    earlier = F.sum("c").over(Window.partitionBy(keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.withColumn("start", F.coalesce(earlier, F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("row")) - 1
+    numbers = some.withColumn("place", place).join(starts, [*keys, "part"]).select("row", (F.col("start") + F.col("place")).alias("number"))
+    return rows.join(numbers, "row", "left").withColumn("number", F.coalesce("number", F.lit(0)))
+
+
 def copies(docs: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each row of docs: doc (struct of the columns to keep), size, source_size, target, copies."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")
-    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("doc"), F.col("source").cast("string").alias("source"), size, F.monotonically_increasing_id().alias("row"))
+    content = [_content(docs, SEED + i).alias(f"k{i}") for i in (1, 2)]
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("doc"), F.col("source").cast("string").alias("source"), size, *content, F.monotonically_increasing_id().alias("row"))
     rows = settle(rows, "sized")
     goals = settle(targets(rows.select("source", "size")), "targets").withColumnRenamed("source", "of")
     joined = rows.join(goals, F.col("source").eqNullSafe(F.col("of"))).drop("of")
@@ -99,18 +125,23 @@ def copies(docs: DataFrame, keep: list[str]) -> DataFrame:
     joined = joined.withColumn("rate", F.least(rate, F.lit(MOST))).withColumn("whole", F.floor("rate"))
     fraction = F.when(F.col("size") > 0, F.col("rate") - F.col("whole")).otherwise(0.0)
     total = max(1, math.ceil(rows.count() / BLOCK))
-    draw = F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(1 << 52)) / float(1 << 52)
-    parts = joined.select("source", "row", "size", draw.alias("draw"), fraction.alias("p"), F.pmod(F.xxhash64("row", F.lit(SEED + 1)), F.lit(total)).alias("block"))
+    numbered = _numbered(joined.select("source", "row", "size", "k1", "k2", fraction.alias("p")))
+    draw = F.pmod(F.xxhash64("k1", "k2", "number", F.lit(SEED)), F.lit(1 << 52)) / float(1 << 52)
+    block = F.pmod(F.xxhash64("k1", "k2", "number", F.lit(SEED + 1)), F.lit(total))
+    parts = settle(numbered.select("source", "row", "size", draw.alias("draw"), "p", block.alias("block")), "parts")
     schema = "source string, row long, size long, draw double, p double, block long"
-    rest, extra, level = parts.where("p > 1e-12 and p < 1 - 1e-12"), parts.where("p >= 1 - 1e-12").select("row"), 0
+    rest, extra, level, done = parts.where("p > 1e-12 and p < 1 - 1e-12"), parts.where("p >= 1 - 1e-12").select("row"), 0, []
     while True:
         last = total == 1
         found = settle(rest.groupBy("source", "block").applyInPandas(_round(last), schema), f"rounded{level}")
+        done.append(found)
         extra = extra.union(found.where("p = 1").select("row"))
         if last:
             break
         total, level = math.ceil(total / FAN), level + 1
         rest = found.where("p > 0 and p < 1").withColumn("block", F.pmod("block", F.lit(total)))
+    extra = settle(extra, "extra")
+    discard(parts, *done)
     taken = joined.join(extra.withColumn("extra", F.lit(1)), "row", "left")
     return taken.select("doc", "size", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int").alias("copies"))
 

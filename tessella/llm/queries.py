@@ -26,7 +26,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = mixing.copies(_table(spark, sf_dir, "documents"), ["doc_id"])
+    taken = mixing.copies(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["doc_id"])
     return taken.select("doc.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 

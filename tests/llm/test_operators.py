@@ -187,6 +187,25 @@ def test_mixing_targets_and_sizes(spark, documents):
     assert {tuple(r) for r in again.collect()} == {(r["doc_id"], r["copies"]) for r in rows}
 
 
+def test_mixing_reruns_agree_in_any_order_and_partitioning(spark, documents):
+    small = documents.where("doc_id < 60")
+    docs = documents.union(small).union(small).union(documents.where("doc_id = 7").crossJoin(spark.range(300)).drop("id"))
+
+    def taken(df):
+        return sorted(tuple(r) for r in mixing.copies(df, ["doc_id"]).select("doc.doc_id", "target", "size", "copies").collect())
+
+    first = taken(docs)
+    assert len(first) == docs.count()
+    assert taken(docs.repartition(7)) == first and taken(docs.orderBy(F.desc("n_chars")).coalesce(1)) == first
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        again = spark.read.parquet(f"{DATA}/documents.parquet")
+        small = again.where("doc_id < 60")
+        assert taken(again.union(again.where("doc_id = 7").crossJoin(spark.range(300)).drop("id")).union(small).union(small)) == first
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_mixing_edges(spark):
     docs = edge_documents(spark)
     rows = mixing.copies(docs, ["doc_id"]).collect()
