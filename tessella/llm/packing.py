@@ -2,12 +2,14 @@
 
 Every document's ids and its end id are cut into pieces of at most ``capacity`` ids, and pieces are put into as few
 sequences as possible. Full pieces are sequences of their own. The others are dealt at random into groups of about
-GROUP pieces, so that no task ever holds more; a group loses at most a fraction of one sequence in thousands.
+GROUP pieces, so that no task ever holds more. A group reopens its emptiest sequences, and the pieces in them are packed again
+with those of FAN - 1 other groups, up a tree to one group, so that groups lose no sequences to their edges.
 
-In a group, branch and bound over bin completions: the largest piece left opens a sequence, its undominated fillings
-are tried from the least waste on (a single piece that fills exactly dominates all others, two pieces dominate the
-same with one of them split), and a branch ends once its waste exceeds what the incumbent allows. The first incumbent
-is best-fit decreasing. NODES bounds the search of a group; the best packing found stays.
+In a group, branch and bound over bin completions: the largest piece left opens a sequence; its fillings, of any number of
+pieces, are tried from the least waste on. A filling is left out only if another dominates it: one that has a piece x in
+place of some pieces that fit into x together. A branch ends once its waste exceeds what the incumbent
+allows. The first incumbent is best-fit decreasing; the search first keeps what it filled to the brim, then opens
+everything. The search of a group ends after STEPS steps with the best packing found; without a bound on the steps it is exact.
 
 Edge cases: null and empty texts are one piece, the end id; repeated rows are separate documents; null doc_ids stay
 null; an empty table gives no rows; other columns are ignored.
@@ -18,6 +20,7 @@ from __future__ import annotations
 import math
 import zlib
 from bisect import bisect_left, insort
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,11 +32,10 @@ from pyspark.sql import functions as F
 from .common import batches, settle
 from .tokens import encoder
 
-GROUP = 8192
-#: Completions that the search of a group may open beyond one for each sequence.
-NODES = 500
-#: Fillings tried for one largest piece.
-WIDTH = 6
+#: Pieces in a group, and groups whose reopened pieces make a group of the next round.
+GROUP, FAN = 8192, 16
+#: Pieces that the search of a group may try.
+STEPS = 50_000
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -55,95 +57,124 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class _Pool:
-    """Counts of sizes, with bit sets of the sizes there are, read upwards and downwards."""
+    """Counts of sizes, and the bit set of the sizes there are."""
 
-    def __init__(self, sizes: list[int], capacity: int) -> None:
-        self.capacity, self.count, self.up, self.down = capacity, [0] * (capacity + 1), 0, 0
+    def __init__(self, sizes: list[int], capacity: int, steps: int | None) -> None:
+        self.count, self.up, self.steps = [0] * (capacity + 1), 0, math.inf if steps is None else steps
         for s in sizes:
             self.put(s)
 
     def put(self, s: int) -> None:
         self.count[s] += 1
-        if self.count[s] == 1:
-            self.up |= 1 << s
-            self.down |= 1 << (self.capacity - s)
+        self.up |= 1 << s
 
     def take(self, s: int) -> None:
         self.count[s] -= 1
         if not self.count[s]:
             self.up ^= 1 << s
-            self.down ^= 1 << (self.capacity - s)
-
-    def pair(self, total: int) -> tuple[int, int] | None:
-        """The two sizes of that sum with the largest larger one."""
-        both = self.up & (self.down >> (self.capacity - total))
-        while both:
-            x = both.bit_length() - 1
-            y = total - x
-            if x != y or self.count[x] > 1:
-                return (x, y)
-            both ^= 1 << x
-        return None
 
-    def fillings(self, room: int):
-        """Undominated fillings of the room, from the least waste on; at most WIDTH of them."""
-        left, smallest = WIDTH, (self.up & -self.up).bit_length() - 1 if self.up else room + 1
-        if room < smallest:
-            yield ()
-            return
-        for total in range(room, max(room - 32, smallest) - 1, -1):
-            if self.up >> total & 1:
-                yield (total,)
+    def exactly(self, total: int):
+        """All fillings of that sum, their pieces in falling order; nothing is taken."""
+        chosen: list[int] = []
+        used: dict[int, int] = {}
+        left, most = total, total
+        while self.steps > 0:
+            self.steps -= 1
+            if not left:
+                yield tuple(chosen)
+                most = 0
+            able = self.up & ((2 << min(left, most)) - 1)
+            x = able.bit_length() - 1
+            while x > 0 and used.get(x, 0) >= self.count[x]:
+                able ^= 1 << x
+                x = able.bit_length() - 1
+            if x > 0:
+                chosen.append(x)
+                used[x] = used.get(x, 0) + 1
+                left, most = left - x, x
+            elif chosen:
+                x = chosen.pop()
+                used[x] -= 1
+                left, most = left + x, x - 1
+            else:
                 return
-            if p := self.pair(total):
-                yield p
-                left -= 1
-            elif total > 2 * smallest:
-                tops = self.up & ((1 << (total - 2 * smallest + 1)) - 1)
-                for _ in range(4):
-                    if not tops:
-                        break
-                    x = tops.bit_length() - 1
-                    tops ^= 1 << x
-                    self.take(x)
-                    p = self.pair(total - x) if total - x > 0 else None
-                    self.put(x)
-                    if p:
-                        yield (x, *p)
-                        left -= 1
-                        break
-            if left <= 0:
-                return
-        best = (self.up & ((1 << (room + 1)) - 1)).bit_length() - 1
-        if best >= smallest:
-            yield (best,)
 
+    def dominated(self, filling: tuple[int, ...], waste: int) -> bool:
+        """Whether some piece outside could stand for pieces of the filling (or for none) that fit into it together."""
+        one, two = 1, 0
+        single = 0
+        for s in filling:
+            two |= (two << s) | (single << s)
+            one |= one << s
+            single |= 1 << s
+        reach, width = one << 1, 1
+        while width < waste:
+            step = min(width, waste - width)
+            reach |= reach << step
+            width += step
+        rest = self.up
+        for s in set(filling):
+            if filling.count(s) >= self.count[s]:
+                rest &= ~(1 << s)
+        return bool((reach if waste else 0) & rest or two & rest)
 
-def bin_completion(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Sequences of positions: what best-fit decreasing fills to the brim stays, the rest is searched again."""
-    best = best_fit_decreasing(sizes, capacity)
-    if len(best) <= max(1, math.ceil(sum(sizes) / capacity)):
-        return best
-    brim = [b for b in best if sum(sizes[i] for i in b) == capacity]
+    def fillings(self, room: int):
+        """The undominated fillings of the room, from the least waste on."""
+        if not self.up & ((2 << room) - 1):
+            yield ()
+            return
+        if self.up >> room & 1:
+            yield (room,)
+            return
+        for total in range(room, 0, -1):
+            for found in self.exactly(total):
+                if not self.dominated(found, room - total):
+                    yield found
+
+
+def least_sequences(sizes: list[int], capacity: int) -> int:
+    """A lower bound of the sequences needed: pieces above half the capacity stand apart, and what they leave is all that
+    pieces of at least k may use beside pieces of at most capacity - k."""
+    x = np.sort(np.asarray(sizes, np.int64))
+    if not len(x):
+        return 0
+    below = np.concatenate([[0], np.cumsum(x)])
+    half = np.searchsorted(x, capacity // 2, "right")
+    k = np.unique(np.append(x[:half], 0))
+    low, high = np.searchsorted(x, k), np.searchsorted(x, capacity - k, "right")
+    high = np.maximum(high, half)
+    spare = (high - half) * capacity - (below[high] - below[half])
+    more = np.maximum(0, -(-(below[half] - below[low] - spare) // capacity))
+    return int((len(x) - half + more).max())
+
+
+def bin_completion(sizes: list[int], capacity: int, steps: int | None = STEPS) -> tuple[list[list[int]], bool]:
+    """Sequences of positions, and whether no packing has fewer; steps None searches to the end."""
+    best, least = best_fit_decreasing(sizes, capacity), least_sequences(sizes, capacity)
+    if len(best) <= least:
+        return best, True
     loose = [b for b in best if sum(sizes[i] for i in b) < capacity]
-    own = sorted(i for b in loose for i in b)
-    place = {i: k for k, i in enumerate(own)}
-    found = search([sizes[i] for i in own], capacity, [[place[i] for i in b] for b in loose])
-    return brim + [[own[k] for k in b] for b in found]
-
-
-def search(sizes: list[int], capacity: int, best: list[list[int]]) -> list[list[int]]:
-    """Branch and bound over bin completions; best is the incumbent."""
+    if len(loose) < len(best):
+        brim = [b for b in best if sum(sizes[i] for i in b) == capacity]
+        own = sorted(i for b in loose for i in b)
+        found, _ = search([sizes[i] for i in own], capacity, len(loose), least - len(brim), None if steps is None else steps // 2)
+        if found is not None:
+            best = brim + [[own[k] for k in b] for b in found]
+    found, whole = search(sizes, capacity, len(best), least, steps)
+    best = best if found is None else found
+    return best, whole or len(best) <= least
+
+
+def search(sizes: list[int], capacity: int, incumbent: int, least: int, steps: int | None) -> tuple[list[list[int]] | None, bool]:
+    """Branch and bound over bin completions: a packing of fewer sequences than the incumbent or None, and whether the search ended."""
+    if incumbent <= least or not sizes:
+        return None, True
     total = sum(sizes)
-    least = max(1, math.ceil(total / capacity))
-    if len(best) <= least or not sizes:
-        return best
-    pool, spare = _Pool(sizes, capacity), (len(best) - 1) * capacity - total
+    pool, spare = _Pool(sizes, capacity, steps), (incumbent - 1) * capacity - total
     chosen: list[tuple[int, ...]] = []
-    stack, waste, nodes, found = [], [0], NODES + 2 * len(best), None
-    while nodes > 0:
-        nodes -= 1
-        if not pool.up:
+    stack, waste, found = [], [0], None
+    while pool.steps > 0:
+        if not pool.up and len(stack) == len(chosen):
             found, spare = list(chosen), (len(chosen) - 1) * capacity - total
             if len(found) <= least:
                 break
@@ -157,12 +188,9 @@ def search(sizes: list[int], capacity: int, best: list[list[int]]) -> list[list[
                 for s in chosen.pop()[1:]:
                     pool.put(s)
                 waste.pop()
+            pool.steps -= 1
             option = next(options, None)
-            if option is None:
-                stack.pop()
-                pool.put(top)
-                continue
-            lost = waste[-1] + capacity - top - sum(option)
+            lost = math.inf if option is None else waste[-1] + capacity - top - sum(option)
             if lost > spare:
                 stack.pop()
                 pool.put(top)
@@ -174,12 +202,13 @@ def search(sizes: list[int], capacity: int, best: list[list[int]]) -> list[list[
             break
         if not stack:
             break
-    if found is None or len(found) >= len(best):
-        return best
+    ended = pool.steps > 0
+    if found is None:
+        return None, ended
     own: dict[int, list[int]] = {}
     for i in range(len(sizes) - 1, -1, -1):
         own.setdefault(sizes[i], []).append(i)
-    return [[own[s].pop() for s in one] for one in found]
+    return [[own[s].pop() for s in one] for one in found], ended
 
 
 def _pieces(name: str, end: int, capacity: int, with_ids: bool):
@@ -209,16 +238,31 @@ def cut(docs: DataFrame, vocabulary: str, end: int, capacity: int, with_ids: boo
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(vocabulary, end, capacity, with_ids), schema)
 
 
-def _pack(capacity: int):
+def _reopened(bins: list[list[int]], sizes: list[int], capacity: int) -> set[int]:
+    """The emptiest sequences, with about GROUP / FAN pieces at most."""
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    out, pieces = set(), 0
+    for k in sorted(range(len(bins)), key=lambda k: fill[k]):
+        pieces += len(bins[k])
+        if fill[k] == capacity or pieces > (GROUP // FAN if out else GROUP // 2):
+            break
+        out.add(k)
+    return out
+
+
+def _pack(capacity: int, level: int, last: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("row", ignore_index=True)
         sizes = rows["length"].tolist()
-        bins = bin_completion(sizes, capacity)
+        bins, _ = bin_completion(sizes, capacity)
+        open_ = set() if last else _reopened(bins, sizes, capacity)
         flat = [i for b in bins for i in b]
-        out = rows.iloc[flat].drop(columns="part")
-        out["sequence_id"] = np.repeat(np.arange(len(bins)) + (int(key[0]) << 24), [len(b) for b in bins])
-        out["offset"] = out.groupby("sequence_id")["length"].cumsum() - out["length"]
-        return out
+        out = rows.iloc[flat].drop(columns=["sequence_id", "offset"])
+        number = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+        out["offset"] = out.groupby(number)["length"].cumsum() - out["length"]
+        out["sequence_id"] = pd.array((level << 56) + (int(key[0]) << 20) + number, "Int64")
+        out.loc[np.isin(number, list(open_)), "sequence_id"] = pd.NA
+        return out[rows.columns]
 
     return run
 
@@ -230,12 +274,17 @@ def pack(docs: DataFrame, vocabulary: str, end: int, capacity: int = 4096, with_
     with_ids asks for them).
     """
     pieces = settle(cut(docs, vocabulary, end, capacity, with_ids), "pieces")
-    last = ["ids"] * with_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids]
     full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("row"), "offset": F.lit(0).cast("long")})
     rest = pieces.where(F.col("length") < capacity)
-    groups = max(1, math.ceil(rest.count() / GROUP))
-    dealt = rest.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups)))
-    schema = "doc_id long, piece long, start long, length long, ids_crc32 long, row long" + ", ids binary" * with_ids + ", sequence_id long, offset long"
-    packed = dealt.groupBy("part").applyInPandas(_pack(capacity), schema)
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *last]
-    return full.select(names).unionByName(packed.select(names))
+    groups, level, done = max(1, math.ceil(rest.count() / GROUP)), 0, [full.select(names)]
+    rest = rest.withColumns({"part": F.pmod(F.xxhash64("row"), F.lit(groups)), "sequence_id": F.lit(None).cast("long"), "offset": F.lit(0).cast("long")})
+    while True:
+        packed = settle(rest.groupBy("part").applyInPandas(_pack(capacity, level, groups == 1), rest.schema), f"packed{level}")
+        done.append(packed.where("sequence_id is not null").select(names))
+        if groups == 1:
+            break
+        groups, level = math.ceil(groups / FAN), level + 1
+        rest = packed.where("sequence_id is null").withColumn("part", F.pmod("part", F.lit(groups)))
+    out = reduce(DataFrame.unionByName, done)
+    return out.withColumn("piece", F.col("piece").cast("int"))

@@ -560,17 +560,21 @@ def test_packing_is_exact_and_tight(spark, documents):
 
 def test_packing_edges(spark):
     docs = edge_documents(spark)
-    rows = packing.pack(docs, "word_bpe_49k.json", 1, 64).collect()
+    packed = packing.pack(docs, "word_bpe_49k.json", 1, 64, with_ids=True)
+    assert dict(packed.dtypes)["piece"] == "int"
+    rows = packed.collect()
+    want = Counter((d["doc_id"], ids.tobytes()) for d, ids in zip(docs.collect(), _by_library([d["text"] for d in docs.collect()], "word_bpe_49k.json", 1), strict=True))
+    for (doc, ids), n in want.items():
+        own = [r for r in rows if r["doc_id"] == doc]
+        assert len(own) == n * math.ceil(len(ids) / 4 / 64) and all(bytes(r["ids"]) == ids[4 * r["start"] : 4 * r["start"] + 256] and r["start"] == 64 * r["piece"] for r in own)
+    for q in {r["sequence_id"] for r in rows}:
+        own = sorted((r for r in rows if r["sequence_id"] == q), key=lambda r: r["offset"])
+        assert [r["offset"] for r in own] == np.cumsum([0, *[r["length"] for r in own[:-1]]]).tolist()
     assert sum(r["piece"] == 0 for r in rows) == docs.count() and all(1 <= r["length"] <= 64 for r in rows)
     assert packing.pack(empty_documents(spark), "word_bpe_49k.json", 1).isEmpty()
 
 
-@given(st.lists(st.integers(1, 20), max_size=9))
-@settings(max_examples=150, deadline=None)
-def test_bin_completion_is_optimal_on_small_cases(sizes):
-    got = packing.bin_completion(sizes, 20)
-    assert sorted(i for b in got for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 20 for b in got)
-
+def _optimum(sizes, capacity):
     best = len(sizes)
 
     def place(i, bins):
@@ -580,12 +584,45 @@ def test_bin_completion_is_optimal_on_small_cases(sizes):
         if i == len(sizes):
             best = len(bins)
             return
-        for k in range(len(bins)):
-            if bins[k] + sizes[i] <= 20:
+        for room in sorted(set(bins)):
+            if room + sizes[i] <= capacity:
+                k = bins.index(room)
                 bins[k] += sizes[i]
                 place(i + 1, bins)
                 bins[k] -= sizes[i]
         place(i + 1, [*bins, sizes[i]])
 
+    sizes = sorted(sizes, reverse=True)
     place(0, [])
-    assert len(got) <= best + (len(sizes) > 6)
+    return best
+
+
+@given(st.integers(12, 60).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c - 1), max_size=12))))
+@settings(max_examples=250, deadline=None)
+def test_bin_completion_is_optimal(case):
+    capacity, sizes = case
+    got, proved = packing.bin_completion(sizes, capacity, None)
+    assert sorted(i for b in got for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= capacity for b in got)
+    assert proved and len(got) == _optimum(sizes, capacity) >= packing.least_sequences(sizes, capacity)
+
+
+def test_bin_completion_beats_best_fit_and_says_what_it_proved():
+    sizes = [30, 9, 23, 26, 8, 17, 8, 8, 6, 40]
+    assert len(packing.bin_completion(sizes, 60)[0]) == 3 and packing.bin_completion(sizes, 60)[1]
+    rng = random.Random(1)
+    cases = [[rng.randint(12, 50) for _ in range(40)] for _ in range(60)]
+    found = [packing.bin_completion(c, 100) for c in cases]
+    assert all(len(b) <= len(packing.best_fit_decreasing(c, 100)) for (b, _), c in zip(found, cases, strict=True)) and sum(p for _, p in found) > 50
+    assert not packing.bin_completion([51, 27, 27, 27, 23, 23, 26, 26, 24, 46] * 7, 100, 5)[1] or len(packing.bin_completion([51, 27, 27, 27, 23, 23, 26, 26, 24, 46] * 7, 100, 5)[0]) == 21
+
+
+def test_groups_lose_no_sequences(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 64)
+    docs = spark.createDataFrame([(i, "word " * (i % 9 + 1)) for i in range(3000)], "doc_id long, text string")
+    rows = packing.pack(docs, "word_bpe_49k.json", 1, 64).collect()
+    assert len(rows) == 3000 and len({r["sequence_id"] for r in rows}) <= math.ceil(sum(r["length"] for r in rows) / 64) + 1
+    fill = Counter()
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fill[r["sequence_id"]]
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 64
