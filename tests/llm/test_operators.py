@@ -573,6 +573,9 @@ def test_embedding_duplicates_equal_brute_force(spark, monkeypatch):
     rows += [(700 + i, rows[5][1], 2) for i in range(9)] + [(800, None, 1), (801, [0.0] * 16, 1), (802, [1.0, None], 1), (803, [float("nan")] * 16, 1), (804, rows[5][1], None), (805, [], 1), (806, [2.0, 4.0], 1), (807, [1.0, 2.0], 1), (None, [1.0] * 16, 1)]
     got = {r["vec_id"]: tuple(r)[1:] for r in embedding_dups.near_duplicates(_vectors(spark, rows)).collect()}
     assert got == _brute_links(rows)
+    twice = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (2, [0.0, 1.0], 1), (3, [0.0, 1.0], 1)]
+    found = sorted(tuple(r) for r in embedding_dups.near_duplicates(_vectors(spark, twice)).collect())
+    assert [r[:2] for r in found] == [(1, 2), (1, 2), (2, 1), (2, 2), (3, 1)]
     assert embedding_dups.near_duplicates(_vectors(spark, rows).limit(0)).isEmpty()
 
 
