@@ -1,10 +1,16 @@
 """Exact top-k search by integer inner product with vector-approximation files.
 
-Components are turned into floor(1024 * x). Candidates are dealt into chunks, queries into blocks, and each pair of a chunk
-and a block meets in one task of bounded size; both sides travel as packed rows. In a task, every dimension of the chunk is cut into
-256 cells and vectors are approximated by their cells. One scan of the approximations bounds each score from both
-sides; exact vectors are then read in the order of the upper bounds until the next one is below the k-th exact score.
-The k best of each chunk are merged by a window over k rows for each query and chunk.
+Components are turned into floor(1024 * x). Every dimension's range over all vectors is cut into CELLS cells, and a
+vector's approximation is the number of its cell in each dimension, one byte. Approximations are written once, packed into
+chunks of at most CHUNK bytes; queries are packed into blocks.
+
+1. Each pair of a chunk and a block is a task that scans the cells, never the vectors: the score with the cells' middles is off by
+   at most half a cell's width times the query in each dimension. What cannot be among the k best of the chunk by these
+   bounds is passed over; over all chunks the k-th largest lower bound of a query is its first limit.
+2. Exact vectors are read in the order of the upper bounds: first the k highest of each query, whose k-th exact score is the
+   limit of the second read. What is left unread after that has a bound below it, so the result is certain.
+
+Within a chunk only the k + 1 smallest ids of equal vectors are kept, as others could never be among the k best.
 
 Edge cases: null vectors, vectors with null or non-finite components, vectors without components and rows with a null id
 take no part; vectors of different length are not compared; rows that repeat an id are candidates each, but
@@ -14,15 +20,17 @@ gives no rows; other columns are ignored. Components must be below 2^20 in size
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import discard, settle
+
 SCALE, CELLS = 1024, 256
-CHUNK, BLOCK = 32_768, 2_048
+#: Bytes of cells in a chunk, and of queries in a block.
+CHUNK, BLOCK = 1 << 20, 1 << 20
 
 
 def grid(vectors: DataFrame) -> DataFrame:
@@ -33,69 +41,139 @@ def grid(vectors: DataFrame) -> DataFrame:
     return kept.select("vec_id", F.size("embedding").alias("dims"), F.transform("embedding", lambda v: F.floor(v * SCALE)).alias("x"))
 
 
-class Approximation:
-    """Cells of a set of vectors, and bounds of inner products with them."""
-
-    def __init__(self, x: np.ndarray) -> None:
-        self.low = x.min(0).astype(np.float64)
-        self.step = np.maximum((x.max(0) - self.low) / CELLS, 1e-9)
-        self.cell = np.minimum((x - self.low) / self.step, CELLS - 1).astype(np.uint8)
-        self.middle = self.low + (self.cell + 0.5) * self.step
-
-    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of cell middles for each query, and how far the true score may be from them."""
-        slack = np.abs(q) @ (self.step / 2) * (1 + 1e-9) + 1e-6 * np.abs(q) @ np.abs(self.middle).max(0) / 1e3 + 1
-        return q @ self.middle.T, slack
-
-
-def nearest(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(position of the query, vec_id, score) of each query's k best vectors with another id, ties to smaller ids."""
-    scan, out = Approximation(x), []
-    for low in range(0, len(q), 64):
-        middle, slack = scan.bounds(q[low : low + 64].astype(np.float64))
-        for i, row in enumerate(middle):
-            at = low + i
-            row = np.where(ids == own[at], -np.inf, row)
-            m = min(k, int(np.isfinite(row).sum()))
-            if not m:
-                continue
-            floor = np.partition(row, len(row) - m)[len(row) - m] - slack[i]
-            may = np.flatnonzero(row + slack[i] >= floor)
-            order = may[np.argsort(-row[may], kind="stable")]
-            best: list[tuple[int, int]] = []
-            for start in range(0, len(order), 4 * k):
-                part = order[start : start + 4 * k]
-                if len(best) >= m and row[part[0]] + slack[i] < -best[m - 1][0]:
-                    break
-                exact = x[part] @ q[at]
-                best = sorted(best + [(-int(s), int(v)) for s, v in zip(exact, ids[part], strict=True)])[:m]
-            out += [(at, v, -s) for s, v in best]
-    return out
-
-
-def _search(k: int):
-    def run(_key: tuple, queries: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        own = queries["vec_id"].to_numpy()
-        if len(queries) and len(chunk):
-            out = nearest(np.stack(queries["x"]), own, np.stack(chunk["x"]), chunk["vec_id"].to_numpy(), k)
-        found = pd.DataFrame(out, columns=["at", "vec_id", "score"], dtype="int64")
-        return pd.DataFrame({"query_id": own[found["at"]] if len(found) else pd.Series(dtype="int64"), "vec_id": found["vec_id"], "score": found["score"]})
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.int64)
+
+
+def _by_length(parts):
+    """(length, rows) of an Arrow iterator whose second column is the length of the vectors."""
+    for part in parts:
+        dims = part.column(1).to_numpy()
+        for d in np.unique(dims):
+            yield int(d), part.filter(pa.array(dims == d))
+
+
+def _extremes(parts):
+    """The least and largest component of each dimension in this partition."""
+    low: dict[int, np.ndarray] = {}
+    high: dict[int, np.ndarray] = {}
+    for d, rows in _by_length(parts):
+        x = _matrix(rows.column(2))
+        low[d], high[d] = (np.minimum(low[d], x.min(0)), np.maximum(high[d], x.max(0))) if d in low else (x.min(0), x.max(0))
+    for d in low:
+        yield pa.record_batch([pa.array(np.full(d, d, np.int32)), pa.array(np.arange(d, dtype=np.int32)), pa.array(low[d]), pa.array(high[d])], ["dims", "at", "low", "high"])
+
+
+class Cells:
+    """The grid of cells of vectors of one length."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray) -> None:
+        self.low = low.astype(np.float64)
+        self.step = np.maximum((high - self.low + 1) / CELLS, 1e-9)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.low) / self.step, 0, CELLS - 1).astype(np.uint8)
+
+    def bounds(self, q: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the cells' middles for each query, and how far from them the exact scores may be."""
+        q = q.astype(np.float64)
+        middle = (q @ (self.low + self.step / 2))[:, None] + (q * self.step) @ cells.T.astype(np.float64)
+        size = np.abs(q) @ (np.abs(self.low) + CELLS * self.step)
+        return middle, np.abs(q) @ (self.step / 2) * (1 + 1e-9) + 1e-12 * size + 1
+
+
+def _fit(rows: DataFrame) -> dict[int, Cells]:
+    """The cells of each vector length; the driver gets two numbers for each dimension."""
+    found = rows.select("vec_id", "dims", "x").mapInArrow(_extremes, "dims int, at int, low long, high long").groupBy("dims", "at").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
+    return {int(d): Cells(*(g.sort_values("at")[c].to_numpy() for c in ("low", "high"))) for d, g in found.groupby("dims")}
+
+
+def _approximate(grids, k: int):
+    names = ["dims", "ids", "rows", "cells"]
+
+    def run(parts):
+        for d, rows in _by_length(parts):
+            for low in range(0, rows.num_rows, max(1, CHUNK // d)):
+                piece = rows.slice(low, max(1, CHUNK // d))
+                x, ids = _matrix(piece.column(2)), piece.column(0).to_numpy()
+                order = np.lexsort((ids, *x.T))
+                change = np.append(True, (np.diff(x[order], axis=0) != 0).any(1))
+                first = np.maximum.accumulate(np.where(change, np.arange(len(order)), 0))
+                keep = order[np.arange(len(order)) - first <= k]
+                yield pa.record_batch([pa.array([d], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids[keep], piece.column(3).to_numpy()[keep], grids.value[d].of(x[keep])))], names)
 
     return run
 
 
+def _pack_queries(parts):
+    for d, rows in _by_length(parts):
+        for low in range(0, rows.num_rows, max(1, BLOCK // (8 * d))):
+            piece = rows.slice(low, max(1, BLOCK // (8 * d)))
+            yield pa.record_batch([pa.array([d], pa.int32()), pa.array([piece.column(0).to_numpy().tobytes()], pa.binary()), pa.array([_matrix(piece.column(2)).tobytes()], pa.binary())], ["dims", "ids", "x"])
+
+
+def _scan(grids, k: int):
+    """(query_id, row, vec_id, lower, upper) of what may be among a query's k best of the chunk."""
+
+    def run(_key: tuple, queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for c in chunks.itertuples():
+            ids, rows = np.frombuffer(c.ids, np.int64), np.frombuffer(c.rows, np.int64)
+            cells, grid_ = np.frombuffer(c.cells, np.uint8).reshape(len(ids), -1), grids.value[c.dims]
+            for b in queries.itertuples():
+                own = np.frombuffer(b.ids, np.int64)
+                q = np.frombuffer(b.x, np.int64).reshape(len(own), -1)
+                for low in range(0, len(q), 32):
+                    middle, slack = grid_.bounds(q[low : low + 32], cells)
+                    for i, score in enumerate(middle):
+                        score = np.where(ids == own[low + i], -np.inf, score)
+                        m = min(k, int(np.isfinite(score).sum()))
+                        if m:
+                            may = np.flatnonzero(score >= np.partition(score, len(score) - m)[len(score) - m] - 2 * slack[i])
+                            may = may[np.isfinite(score[may])]
+                            out.append((np.full(len(may), own[low + i]), rows[may], ids[may], score[may] - slack[i], score[may] + slack[i]))
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 5
+        return pd.DataFrame(dict(zip(["query_id", "row", "vec_id", "lower", "upper"], cols, strict=True))).astype({"query_id": "int64", "row": "int64", "vec_id": "int64"})
+
+    return run
+
+
+def _exact(pairs: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, vec_id, row, score) of pairs; the exact vectors of these rows only are sent."""
+    full = pairs.join(rows.select("row", "x"), "row").join(asked.select(F.col("vec_id").alias("query_id"), "dims", F.col("x").alias("q")), ["query_id", "dims"])
+    score = F.aggregate(F.zip_with("x", "q", lambda a, b: a * b), F.lit(0).cast("long"), lambda s, v: s + v)
+    return full.select("query_id", "vec_id", "row", score.alias("score"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries its k best rows of vectors with another id.
 
-    Each query is sent to every chunk, each chunk to every block of queries, never row by row.
+    Each query is sent to every chunk, each chunk to every block of queries, never row by row. The bounds that reach a
+    query's window are about k for each chunk.
     """
-    rows, asked = grid(vectors), grid(queries).dropDuplicates(["vec_id"])
-    chunks, blocks = max(1, math.ceil(rows.count() / CHUNK)), max(1, math.ceil(asked.count() / BLOCK))
+    spark = vectors.sparkSession
+    rows = settle(grid(vectors).withColumn("row", F.monotonically_increasing_id()), "exact")
+    asked = settle(grid(queries).dropDuplicates(["vec_id"]), "asked")
+    grids = spark.sparkContext.broadcast(_fit(rows))
+    cells = rows.select("vec_id", "dims", "x", "row").mapInArrow(_approximate(grids, k), "dims int, ids binary, rows binary, cells binary")
+    cells = settle(cells.withColumn("chunk", F.monotonically_increasing_id()), "cells")
+    blocks = settle(asked.mapInArrow(_pack_queries, "dims int, ids binary, x binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
     keys = ["dims", "chunk", "block"]
-    right = rows.withColumn("chunk", F.pmod(F.xxhash64("vec_id", "x"), F.lit(chunks))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    left = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-    cols = [*keys, "vec_id", "x"]
-    found = left.select(cols).groupBy(keys).cogroup(right.select(cols).toDF(*cols).groupBy(keys)).applyInPandas(_search(k), "query_id long, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # The numbers of all chunks and blocks: some bytes for each megabyte.
+    numbers = [settle(x, name) for x, name in ((cells.select("dims", "chunk"), "chunks"), (blocks.select("dims", "block"), "block_numbers"))]
+    left, right = (x.join(F.broadcast(n), "dims") for x, n in zip((blocks, cells), numbers, strict=True))
+    left, right = (x.toDF(*x.columns) for x in (left, right))
+    found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(_scan(grids, k), "query_id long, row long, vec_id long, lower double, upper double")
+    found = settle(found.join(asked.select(F.col("vec_id").alias("query_id"), "dims"), "query_id"), "bounds")
+    by = Window.partitionBy("query_id")
+    ranked = found.withColumn("nth", F.row_number().over(by.orderBy(F.desc("lower"), "row")))
+    limit = F.max(F.when(F.col("nth") == k, F.col("lower"))).over(by)
+    able = ranked.withColumn("limit", limit).where("limit is null or upper >= limit")
+    able = settle(able.withColumn("turn", F.row_number().over(by.orderBy(F.desc("upper"), "vec_id", "row"))).select("query_id", "dims", "row", "vec_id", "upper", "turn"), "able")
+    first = settle(_exact(able.where(F.col("turn") <= k), rows, asked), "first")
+    certain = first.groupBy("query_id").agg(F.min("score").alias("limit"))
+    later = able.where(F.col("turn") > k).join(certain, "query_id").where("upper >= limit")
+    second = settle(first.unionByName(_exact(later.select("query_id", "dims", "row", "vec_id"), rows, asked)), "scores")
+    discard(cells, blocks, *numbers, found, able, first)
+    place = F.row_number().over(by.orderBy(F.desc("score"), "vec_id"))
+    return second.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

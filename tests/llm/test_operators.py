@@ -415,14 +415,17 @@ def _brute_top(rows, k):
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CHUNK", 100)
-    monkeypatch.setattr(topk, "BLOCK", 2)
+    monkeypatch.setattr(topk, "CHUNK", 800)
+    monkeypatch.setattr(topk, "BLOCK", 128)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(0, 0.3, 8)], 0) for i in range(700)]
     rows += [(1000 + i, rows[3][1], 0) for i in range(15)] + [(2000, None, 0), (2001, [1.0, None], 0), (2002, [float("nan")] * 8, 0), (2003, [float("inf")] * 8, 0), (2004, [], 0), (2100, [1.0, 2.0], 0), (2101, [3.0, 4.0], 0), (None, [1.0] * 8, 0)]
     vectors = _vectors(spark, rows)
     got = {tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id % 100 = 0")).collect()}
     assert got == _brute_top(rows, 10)
+    few = [(100, [1.0, 2.0], 0), (100, [1.0, 2.0], 0), (7, [3.0, 1.0], 0), (7, [3.0, 1.0], 0), (8, [0.5, 0.5], 0)]
+    found = topk.top_k(_vectors(spark, few), _vectors(spark, few).where("vec_id = 100")).orderBy("rank").collect()
+    assert [tuple(r)[1:] for r in found] == [(1, 7, 5 * 1024 * 1024), (2, 7, 5 * 1024 * 1024), (3, 8, 3 * 512 * 1024)]
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).isEmpty()
 
 
