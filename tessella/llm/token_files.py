@@ -4,14 +4,16 @@ Layout of a token store, a folder in a file system that Spark can write:
 
 * ``codes``: Parquet (token int, bits int), the canonical code of the whole corpus. Codes of one length follow each
   other by token; shorter codes come first.
-* ``blocks``: Parquet (segment long, block long, data binary). Segments split the doc_id range in ascending order,
-  blocks split a segment; ``data`` can be decoded without any other block::
+* ``blocks``: Parquet (segment int, block int, ids long, data binary). Segments are the partitions of a range partitioning by
+  doc_id, in ascending order; blocks split a segment; ``data`` can be decoded without any other block::
 
-      b"TKB1", uint32 documents D, uint32 checkpoints K, uint64 ids of all documents before the block
+      b"TKB2", uint32 documents D, uint32 checkpoints K, uint64 ids of the segment before the block
       int64[D] doc_id, uint8[D] 1 where doc_id is null, uint32[D] ids of the document
       uint64[K] bit offset of every STRIDE-th id of a document, from the start of the code bytes
       code bytes, each document from a byte boundary; uint32 CRC-32 of all that stands before
 
+* ``segments``: Parquet (segment int, start long), the ids before each segment.
+
 Spark's Parquet writer is used as the container, so that writes commit atomically and lost tasks run again.
 
 Edge cases: a null text is encoded as the empty text; a null doc_id sorts first; repeated rows are separate documents;
@@ -26,10 +28,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, settle
+from .common import batches, discard, settle
 from .tokens import encoder
 
 #: Longest code in bits; a decoding table has 2 to this power entries.
@@ -138,72 +141,49 @@ def _count(kind: str):
     return run
 
 
-def _segments(bounds: np.ndarray, keys: pa.Array) -> np.ndarray:
-    """0 for null keys, else by the bounds at or below the key."""
-    found = np.searchsorted(bounds, keys.fill_null(0).to_numpy(zero_copy_only=False), "right")
-    return np.where(np.asarray(keys.is_null()), 0, found)
-
-
-def _sums(bounds: np.ndarray):
-    def run(parts):
-        total = np.zeros(len(bounds) + 1, np.int64)
-        for part in parts:
-            np.add.at(total, _segments(bounds, part.column(0)), part.column(1).to_numpy())
-        yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], ["segment", "n"])
-
-    return run
-
-
-def _encode(kind: str, code, bounds: np.ndarray):
-    def run(parts):
-        words = code.value
-        for part in parts:
-            segment = _segments(bounds, part.column(0))
-            sizes = part.column(1).to_numpy()
-            low = 0
-            while low < len(sizes):
-                high = max(low + 1, int(np.searchsorted(np.cumsum(sizes[low:]), 400_000)) + low)
-                offsets = np.concatenate([[0], np.cumsum(sizes[low:high])])
-                ids = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in part.column(2).slice(low, high - low)])
-                raw, at, place = words.encode(ids, offsets)
-                points = [(place[a:b:STRIDE] - 8 * c).astype("<u8").tobytes() for a, b, c in zip(offsets[:-1], offsets[1:], at[:-1], strict=True)]
-                yield pa.record_batch(
-                    [pa.array(segment[low:high]), part.column(0).slice(low, high - low), part.column(1).slice(low, high - low), pa.array(points, pa.binary()), pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())],
-                    ["segment", "doc_id", "n_tokens", "points", "code"],
-                )
-                low = high
-
-    return run
+def _coded(kind: str, words: Code, part):
+    """(doc_id, n_tokens, checkpoints, code bytes) of the documents of an Arrow batch, some at a time."""
+    keys, sizes, low = part.column(0).to_pylist(), part.column(1).to_numpy(), 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(np.cumsum(sizes[low:]), 400_000)) + low)
+        offsets = np.concatenate([[0], np.cumsum(sizes[low:high])])
+        ids = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in part.column(2).slice(low, high - low)])
+        raw, at, place = words.encode(ids, offsets)
+        for key, a, b, x, y in zip(keys[low:high], offsets[:-1], offsets[1:], at[:-1], at[1:], strict=True):
+            yield key, int(b - a), (place[a:b:STRIDE] - 8 * x).astype("<u8").tobytes(), raw[x:y]
+        low = high
 
 
 def _block(start: int, rows: list[tuple]) -> bytes:
-    sizes = np.array([len(r[4]) for r in rows], np.int64)
+    sizes = np.array([len(r[3]) for r in rows], np.int64)
     at = np.cumsum(sizes) - sizes
-    points = np.concatenate([np.frombuffer(r[3], "<u8") + np.uint64(8 * a) for r, a in zip(rows, at, strict=True)])
-    keys = np.array([r[1] or 0 for r in rows], "<i8")
-    nulls = np.array([r[1] is None for r in rows], "u1")
-    head = struct.pack("<4sIIQ", b"TKB1", len(rows), len(points), start)
-    body = b"".join([head, keys.tobytes(), nulls.tobytes(), np.array([r[2] for r in rows], "<u4").tobytes(), points.astype("<u8").tobytes(), *[r[4] for r in rows]])
+    points = np.concatenate([np.frombuffer(r[2], "<u8") + np.uint64(8 * a) for r, a in zip(rows, at, strict=True)])
+    keys = np.array([r[0] or 0 for r in rows], "<i8")
+    nulls = np.array([r[0] is None for r in rows], "u1")
+    head = struct.pack("<4sIIQ", b"TKB2", len(rows), len(points), start)
+    body = b"".join([head, keys.tobytes(), nulls.tobytes(), np.array([r[1] for r in rows], "<u4").tobytes(), points.astype("<u8").tobytes(), *[r[3] for r in rows]])
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def _write(starts: np.ndarray):
-    names = ["segment", "block", "data"]
-
+def _write(kind: str, code):
     def run(parts):
-        segment, block, start, rows, size, done = -1, 0, 0, [], 0, 0
+        segment, block, start, rows, size = TaskContext.get().partitionId(), 0, 0, [], 0
+
+        def close():
+            nonlocal block, start, rows, size
+            n = sum(r[1] for r in rows)
+            out = pa.record_batch([pa.array([segment], pa.int32()), pa.array([block], pa.int32()), pa.array([n]), pa.array([_block(start, rows)], pa.binary())], ["segment", "block", "ids", "data"])
+            block, start, rows, size = block + 1, start + n, [], 0
+            return out
+
         for part in parts:
-            for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if rows and (row[0] != segment or size >= BLOCK):
-                    yield pa.record_batch([pa.array([segment]), pa.array([block]), pa.array([_block(start, rows)], pa.binary())], names)
-                    start, block, rows, size = start + done, block + 1, [], 0
-                    done = 0
-                if row[0] != segment:
-                    segment, block, start = row[0], 0, int(starts[row[0]])
+            for row in _coded(kind, code.value, part):
+                if size >= BLOCK:
+                    yield close()
                 rows.append(row)
-                size, done = size + len(row[4]), done + row[2]
+                size += len(row[3])
         if rows:
-            yield pa.record_batch([pa.array([segment]), pa.array([block]), pa.array([_block(start, rows)], pa.binary())], names)
+            yield close()
 
     return run
 
@@ -211,31 +191,29 @@ def _write(starts: np.ndarray):
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int) -> None:
     """Encodes every document and writes the token store at path.
 
-    Two scans of the written ids (counts, then codes) and one shuffle of the coded documents by segment of doc_id.
-    The driver holds the code (bounded by the vocabulary) and one number for each segment.
+    The written ids are counted, dealt by ranges of (doc_id, row), so that a doc_id that many rows share is split, and coded
+    in order. The driver holds the code, which the vocabulary bounds.
     """
     spark = docs.sparkSession
-    ids = settle(tokenize(docs, vocabulary, end), "ids")
+    ids = settle(tokenize(docs, vocabulary, end).withColumn("row", F.monotonically_increasing_id()), "ids")
     kind = f"<u{2 if encoder(vocabulary).kind.itemsize == 2 else 4}"
     counts = ids.select("ids").mapInArrow(_count(kind), "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     tokens, bits = counts["token"].to_numpy(np.int64), code_lengths(counts["n"].to_numpy(np.int64))
     spark.createDataFrame([(int(t), int(b)) for t, b in zip(tokens, bits, strict=True)], "token int, bits int").coalesce(1).write.parquet(f"{path}/codes")
-    total = int(counts["n"].sum())
-    segments = max(1, math.ceil(total * int(kind[2]) / SEGMENT))
-    cuts = ids.approxQuantile("doc_id", [i / segments for i in range(1, segments)], 0.1 / segments) if segments > 1 and total else []
-    bounds = np.unique(np.array(cuts, np.float64))
-    sums = {r["segment"]: r["n"] for r in ids.select("doc_id", "n_tokens").mapInArrow(_sums(bounds), "segment long, n long").groupBy("segment").agg(F.sum("n").alias("n")).collect()}
-    sizes = np.array([sums.get(i, 0) for i in range(len(bounds) + 1)], np.int64)
-    code = spark.sparkContext.broadcast(Code(tokens, bits))
-    coded = ids.mapInArrow(_encode(kind, code, bounds), "segment long, doc_id long, n_tokens long, points binary, code binary")
-    ordered = coded.repartition(max(1, (len(bounds) + 2) // 2), "segment").sortWithinPartitions("segment", F.col("doc_id").asc_nulls_first(), "n_tokens", "code")
-    ordered.mapInArrow(_write(np.cumsum(sizes) - sizes), "segment long, block long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    segments = max(1, math.ceil(int(counts["n"].sum()) * int(kind[2]) / SEGMENT))
+    code, order = spark.sparkContext.broadcast(Code(tokens, bits)), [F.col("doc_id").asc_nulls_first(), F.col("row")]
+    ordered = ids.repartitionByRange(segments, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
+    ordered.mapInArrow(_write(kind, code), "segment int, block int, ids long, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    sizes = spark.read.parquet(f"{path}/blocks").groupBy("segment").agg(F.sum("ids").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
+    sizes.select("segment", F.coalesce(earlier, F.lit(0)).alias("start")).coalesce(1).write.parquet(f"{path}/segments")
+    discard(ids)
 
 
 def decode_block(data: bytes, table: tuple[np.ndarray, np.ndarray], limit: int) -> tuple[int, list[int | None], np.ndarray, np.ndarray]:
-    """Start, doc_ids, ids in a row and their offsets; all checkpoints of the block are decoded side by side."""
+    """Start in the segment, doc_ids, ids in a row and their offsets; all checkpoints of the block are decoded side by side."""
     magic, n, k, start = struct.unpack_from("<4sIIQ", data)
-    if magic != b"TKB1" or zlib.crc32(memoryview(data)[:-4]) != struct.unpack_from("<I", data, len(data) - 4)[0]:
+    if magic != b"TKB2" or zlib.crc32(memoryview(data)[:-4]) != struct.unpack_from("<I", data, len(data) - 4)[0]:
         raise ValueError("damaged token block")
     at = struct.calcsize("<4sIIQ")
     keys, at = np.frombuffer(data, "<i8", n, at), at + 8 * n
@@ -269,11 +247,11 @@ def _read(code, digest: bool):
     def run(parts):
         table, limit = code.value.table(), code.value.limit
         for part in parts:
-            for data in part.column(0):
+            for data, before in zip(part.column(0), part.column(1).to_pylist(), strict=True):
                 start, keys, ids, at = decode_block(data.as_buffer(), table, limit)
                 rows = [ids[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 last = pa.array([zlib.crc32(r) for r in rows], pa.int64()) if digest else pa.array(rows, pa.binary())
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(start + at[:-1]), pa.array(np.diff(at)), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(before + start + at[:-1]), pa.array(np.diff(at)), last], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     return run
 
@@ -281,9 +259,11 @@ def _read(code, digest: bool):
 def read_tokens(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of a token store; with digest ids_crc32 in place of ids.
 
-    start is the number of ids of all documents before; ids are unsigned little-endian 32-bit integers.
+    start is the number of ids of all documents before; ids are unsigned little-endian 32-bit integers. The table of
+    segments, a row of 12 bytes for each SEGMENT bytes of ids, is broadcast.
     """
     codes = spark.read.parquet(f"{path}/codes").toPandas()
     code = spark.sparkContext.broadcast(Code(codes["token"].to_numpy(np.int64), codes["bits"].to_numpy(np.int64)))
     last = "ids_crc32 long" if digest else "ids binary"
-    return spark.read.parquet(f"{path}/blocks").select("data").mapInArrow(_read(code, digest), f"doc_id long, start long, n_tokens long, {last}")
+    blocks = spark.read.parquet(f"{path}/blocks").join(F.broadcast(spark.read.parquet(f"{path}/segments")), "segment").select("data", "start")
+    return blocks.mapInArrow(_read(code, digest), f"doc_id long, start long, n_tokens long, {last}")

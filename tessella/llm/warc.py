@@ -7,7 +7,8 @@ An index maps record identifiers to bundle, frame and offset in the decompressed
 decompressing one frame.
 
 Bundles and index are written by Spark's Parquet writer, one bundle of about BUNDLE bytes in a row, which makes writes
-atomic and lets lost tasks run again; ``data`` of a row is the bundle file's content.
+atomic and lets lost tasks run again; ``data`` of a row is the bundle file's content. ``export`` writes each bundle as a
+``.warc.zst`` file of its own to any store that Arrow's file systems reach.
 
 Of records with equal payloads the one with the largest page_id is a response, the others are revisits that refer to it
 and hold no payload; their HTTP header still says the full length. The digest is the SHA-1 of the payload in base 32.
@@ -29,8 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import settle
+
 FRAME, BUNDLE, LEVEL = 256 << 10, 8 << 20, 3
 SEEK_MAGIC, SKIP_MAGIC = 0x8F92EAB1, 0x184D2A5E
+#: Repeated digests that may be broadcast (about 60 bytes each); salts of a digest beyond that.
+BROADCAST, SALTS = 500_000, 32
 _PREFIX = "urn:page:"
 
 
@@ -39,17 +44,24 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def classify(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, url, html, digest, refers_to): refers_to is the response's page_id for revisits, else null.
+    """(page_id, url, html, refers_to): refers_to is the response's page_id for revisits, else null.
 
     Only payloads of at least ``least`` bytes are told apart from their copies. The largest page_id of a digest is
-    aggregated on the map side; payloads are shuffled once, for the join.
+    aggregated on the map side. Digests that repeat are broadcast up to BROADCAST of them, and no payload is shuffled;
+    beyond that payloads are shuffled by digest and one of SALTS salts.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
     known = rows.withColumn("digest", F.sha1("html"))
     first = known.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = settle(first, "repeated")
+    if first.count() <= BROADCAST:
+        met = known.join(F.broadcast(first), "digest", "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+        met = known.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).join(first.withColumn("salt", salts), ["digest", "salt"], "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("first")), F.col("first"))
-    return known.join(first, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    return met.select("page_id", "url", "html", refers.alias("refers_to"))
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
@@ -186,3 +198,26 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
     """(page_id, payload_bytes, payload_digest, record_type, refers_to[, payload]) of every record; payload is null for revisits."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     return spark.read.parquet(path).select("data").mapInArrow(_records(payloads), schema)
+
+
+def _files(target: str):
+    def run(parts):
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(target)
+        for part in parts:
+            names = [f"{folder}/bundle-{b:020d}.warc.zst" for b in part.column(0).to_pylist()]
+            for name, data in zip(names, part.column(1), strict=True):
+                # A task that runs twice writes the same bytes under the same name.
+                with store.open_output_stream(name + ".part") as out:
+                    out.write(data.as_buffer())
+                store.move(name + ".part", name)
+            yield pa.record_batch([part.column(0), pa.array(names), pa.array([len(x.as_buffer()) for x in part.column(1)], pa.int64())], ["bundle", "file", "bytes"])
+
+    return run
+
+
+def export(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """Writes each bundle of an archive as one file of the folder that the uri ``target`` names (which exists, and which all
+    executors reach), and gives (bundle, file, bytes)."""
+    return settle(spark.read.parquet(path).select("bundle", "data").mapInArrow(_files(target), "bundle long, file string, bytes long"), "exported")
