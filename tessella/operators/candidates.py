@@ -43,7 +43,7 @@ def bootstrap_entities(cells: DataFrame, sample: int = BOOTSTRAP_SAMPLE, seed: s
 
 def tag_frequency(tokens: DataFrame) -> DataFrame:
     """(cat, att_id, entities)."""
-    return tokens.groupBy("cat", "att_id").agg(F.count_distinct("entity_id").alias("entities"))
+    return tokens.select("cat", "att_id", "entity_id").distinct().groupBy("cat", "att_id").agg(F.count("*").alias("entities"))
 
 
 def document_counts(tokens: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ from . import model
 from .model import S_FIELDS, s_affinity, s_grams, s_words, table
 from .registry import query
 
-PRIOR, TEXT_THRESHOLD, BAND = 0.0005, 6.0, 3.0
+#: The prior is of the order of the share of pairs that are copies; the threshold is a cosine.
+PRIOR, TEXT_THRESHOLD, BAND = 0.0002, 0.8, 3.0
 LANGS = ("de", "en", "es", "fr")
 #: (t1, t2, f_m, f_u) by attribute; the first row of each is the missing value.
 MODEL = {1: ((None, None, 0.01, 0.02), (0.0, 0.3, 0.05, 0.95), (0.3, 0.8, 0.15, 0.02999), (0.8, 1.000000001, 0.79, 0.00001)), 2: ((None, None, 0.02, 0.03), (-1e9, -100.0, 0.1, 0.8), (-100.0, 1e-9, 0.88, 0.17))}
@@ -35,7 +36,7 @@ def _s_vectors(out: str, source: str) -> str:
 
 
 S_PREFIX = (
-    f"{S_IDF}, often AS (SELECT cat, att_id, token FROM cnt JOIN tags USING (cat, att_id) WHERE docs > sqrt({PRIOR}) * entities), rare AS (SELECT * FROM tok WHERE NOT EXISTS (SELECT 1 FROM often o WHERE o.cat = tok.cat AND o.att_id = tok.att_id AND o.token = tok.token)), "
+    f"{S_IDF}, often AS (SELECT cat, att_id, token FROM cnt JOIN tags USING (cat, att_id) WHERE docs > sqrt({PRIOR}) * entities), rare AS (SELECT tok.* FROM tok ANTI JOIN often USING (cat, att_id, token)), "
     + _s_vectors("rv", "rare")
     + ", run AS (SELECT *, sum(w) OVER (PARTITION BY cat, entity_id, att_id ORDER BY w, token ROWS UNBOUNDED PRECEDING) AS s FROM rv), "
     f"cut AS (SELECT cat, entity_id, att_id, coalesce(min(CASE WHEN s >= {TEXT_THRESHOLD} THEN w END), max(w)) AS least FROM run GROUP BY ALL), pre AS (SELECT cat, entity_id, att_id, token, w FROM rv JOIN cut USING (cat, entity_id, att_id) WHERE w >= least)"
@@ -82,7 +83,8 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     tokens = _tokens(spark, sf_dir)
-    return tokens, cand.document_counts(tokens), cand.tag_frequency(tokens)
+    counts = cand.document_counts(tokens)
+    return tokens, counts, cand.tag_frequency(tokens)
 
 
 def _by_cat(spark: SparkSession, name: str, value: float) -> DataFrame:
@@ -94,6 +96,10 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cand.vectors(tokens, cand.idf(counts, tags))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.packed_vectors(_vectors(spark, sf_dir)).checkpoint()
+
+
 def _prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens, counts, tags = _counts(spark, sf_dir)
     rare = cand.prune_by_prior(tokens, counts, tags, _by_cat(spark, "dup_prob", PRIOR))
@@ -110,7 +116,7 @@ def _band(spark: SparkSession) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cand.token_pairs(_prefix(spark, sf_dir)).union(cand.band_pairs(_numbers(spark, sf_dir), _band(spark))).distinct()
+    return cand.token_pairs(_prefix(spark, sf_dir)).union(cand.band_pairs(_numbers(spark, sf_dir), _band(spark))).distinct().checkpoint()
 
 
 def _features(spark: SparkSession) -> DataFrame:
@@ -118,7 +124,7 @@ def _features(spark: SparkSession) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_pairs(_pairs(spark, sf_dir), _vectors(spark, sf_dir), _numbers(spark, sf_dir), _features(spark), _by_cat(spark, "dup_prob", PRIOR))
+    return scoring.score_pairs(_pairs(spark, sf_dir), _packed(spark, sf_dir), _numbers(spark, sf_dir), _features(spark), _by_cat(spark, "dup_prob", PRIOR))
 
 
 # Categories. Sources stand for categories with known members, so that SQL can follow.
@@ -241,7 +247,7 @@ def cand_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scoring.
 @query(f"WITH {S_SIMS} SELECT cat, e1, e2, att_id, round(sim, 6) AS sim FROM ts")
 def pair_text_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.text_similarities(_pairs(spark, sf_dir), _vectors(spark, sf_dir)).withColumn("sim", F.round("sim", 6)).select("cat", "e1", "e2", "att_id", "sim")
+    return scoring.text_similarities(_pairs(spark, sf_dir), _packed(spark, sf_dir)).withColumn("sim", F.round("sim", 6)).select("cat", "e1", "e2", "att_id", "sim")
 
 
 @query(f"WITH {S_SIMS} SELECT cat, e1, e2, att_id, sim FROM ns")
@@ -251,7 +257,7 @@ def pair_numeric_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S_SIMS} SELECT cat, e1, e2, att_id, round(sim, 6) AS sim FROM sims")
 def pair_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, vecs, nums = _pairs(spark, sf_dir), _vectors(spark, sf_dir), _numbers(spark, sf_dir)
+    pairs, vecs, nums = _pairs(spark, sf_dir), _packed(spark, sf_dir), _numbers(spark, sf_dir)
     sims = scoring.text_similarities(pairs, vecs).unionByName(scoring.numeric_similarities(pairs, nums))
     own = vecs.select("cat", "entity_id", "att_id").union(nums.select("cat", "entity_id", "att_id"))
     return scoring.zero_fill(pairs, sims, own).withColumn("sim", F.round("sim", 6))
@@ -452,9 +458,13 @@ def pairsim_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairsim.overall(sims, pairsim.field_weights(sims, _sim_matches(spark, sf_dir))).withColumn("sim", F.round("sim", 6))
 
 
-@query(f"WITH {S_SIM} SELECT a, b, round(sum(weight * sim) / (SELECT sum(weight) FROM wt), 6) AS sim FROM fs JOIN wt USING (field_id) GROUP BY ALL")
+@query(f"""WITH {S_SIM.replace("FROM supplier UNION ALL SELECT s_suppkey, 2, 'nation ' || s_nationkey FROM supplier", "FROM supplier UNION ALL SELECT s_suppkey, 2, 'nation ' || s_nationkey FROM supplier WHERE s_acctbal > 0")},
+own AS (SELECT entity_id, sum(weight) AS own FROM (SELECT DISTINCT entity_id, field_id FROM pt) JOIN wt USING (field_id) GROUP BY 1)
+SELECT a, b, round(sum(weight * sim) / greatest(any_value(x.own), any_value(y.own)), 6) AS sim FROM fs JOIN wt USING (field_id) JOIN own x ON x.entity_id = a JOIN own y ON y.entity_id = b GROUP BY ALL""")
 def pairsim_overall_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = pairsim.tokens(_sim_cells(spark, sf_dir))
+    """Suppliers in debt show no nation, so that entities differ in what they have."""
+    poor = table(spark, sf_dir, "supplier").where("s_acctbal <= 0").select(F.col("s_suppkey").alias("entity_id"), F.lit(2).cast("long").alias("field_id"))
+    toks = pairsim.tokens(_sim_cells(spark, sf_dir).join(poor, ["entity_id", "field_id"], "left_anti"))
     sims = pairsim.field_cosines(toks)
     return pairsim.overall_by_size(sims, pairsim.field_weights(sims, _sim_matches(spark, sf_dir)), toks).withColumn("sim", F.round("sim", 6))
 
