@@ -142,7 +142,8 @@ def copies(docs: DataFrame, keep: list[str]) -> DataFrame:
         rest = found.where("p > 0 and p < 1").withColumn("block", F.pmod("block", F.lit(total)))
     extra = settle(extra, "extra")
     discard(parts, *done)
-    taken = joined.join(extra.withColumn("extra", F.lit(1)), "row", "left")
+    # As many rows as the mix takes: never broadcast, however small its files are.
+    taken = joined.join(extra.withColumn("extra", F.lit(1)).hint("merge"), "row", "left")
     return taken.select("doc", "size", "source_size", "target", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int").alias("copies"))
 
 
