@@ -34,34 +34,37 @@ def color(x: Column) -> Column:
     return F.lpad(F.lower(F.hex(F.floor(F.lit(255) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))).cast("int"))), 2, "0")
 
 
-def incomplete_beta(a: float, b: float, x: float) -> float:
-    """The regularised incomplete beta function, by a continued fraction evaluated with Lentz's method."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in x.ravel()]).reshape(x.shape)
+
+
+def incomplete_beta(a, b, x) -> np.ndarray:
+    """The regularised incomplete beta function of arrays, by a continued fraction evaluated with Lentz's method."""
+    a, b, x = np.broadcast_arrays(*(np.atleast_1d(np.asarray(v, np.float64)) for v in (a, b, x)))
+    turn = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, 1 - x, x)
+    inside = (x > 0) & (x < 1)
+    x = np.where(inside, x, 0.5)
+    front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
     # The fraction 1 / (1 + d1 / (1 + d2 / ...)), with each level kept away from zero.
-    upper, lower, value = 1.0, 0.0, 1.0
+    away = lambda v: np.where(v == 0, 1e-300, v)
+    upper, lower, value = np.ones_like(x), np.zeros_like(x), np.ones_like(x)
     for step in range(1, 800):
         m = step // 2
-        if step % 2:
-            m = (step - 1) // 2
-            term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        else:
-            term = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        lower = 1 / ((1 + term * lower) or 1e-300)
-        upper = (1 + term / upper) or 1e-300
-        value *= upper * lower
-        if abs(upper * lower - 1) < 1e-15:
+        term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)) if step % 2 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        lower = 1 / away(1 + term * lower)
+        upper = away(1 + term / upper)
+        value = value * upper * lower
+        if (np.abs(upper * lower - 1) < 1e-15).all():
             break
-    return front / value
+    out = np.where(inside, front / value, 0.0)
+    return np.where(turn, 1 - out, out)
 
 
-def welch(n1: float, n2: float, m1: float, m2: float, v1: float, v2: float) -> tuple[float, float, float]:
-    """(t, df, two-sided p) of Welch's test."""
+def welch(n1, n2, m1, m2, v1, v2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(t, df, two-sided p) of Welch's test, over arrays."""
     s1, s2 = v1 / n1, v2 / n2
-    t = abs(m1 - m2) / math.sqrt(s1 + s2)
+    t = np.abs(m1 - m2) / np.sqrt(s1 + s2)
     df = (s1 + s2) ** 2 / (s1 * s1 / (n1 - 1) + s2 * s2 / (n2 - 1))
     return t, df, incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
@@ -70,22 +73,20 @@ def welch(n1: float, n2: float, m1: float, m2: float, v1: float, v2: float) -> t
 TOO_FEW, NO_VARIANCE, OVERFLOW = 2.0, 3.0, 4.0
 
 
-def t_test_value(n1: float, n2: float, m1: float, m2: float, v1: float, v2: float) -> float:
-    """One less the two-sided p-value, or a sentinel of at least 2."""
-    if n1 < 2 or n2 < 2:
-        return TOO_FEW
-    if v1 <= 0 or v2 <= 0:
-        return NO_VARIANCE
-    try:
-        return 1 - welch(n1, n2, m1, m2, v1, v2)[2]
-    except (OverflowError, ZeroDivisionError, ValueError):
-        return OVERFLOW
+def t_test_values(n1, n2, m1, m2, v1, v2) -> np.ndarray:
+    """One less the two-sided p-value, or a sentinel of at least 2, over arrays."""
+    n1, n2, m1, m2, v1, v2 = (np.atleast_1d(np.asarray(x, np.float64)) for x in (n1, n2, m1, m2, v1, v2))
+    few, flat = (n1 < 2) | (n2 < 2), (v1 <= 0) | (v2 <= 0)
+    bad = few | flat
+    with np.errstate(all="ignore"):
+        out = 1 - welch(np.where(bad, 2, n1), np.where(bad, 2, n2), m1, m2, np.where(bad, 1, v1), np.where(bad, 1, v2))[2]
+    return np.where(few, TOO_FEW, np.where(flat, NO_VARIANCE, np.where(np.isfinite(out), out, OVERFLOW)))
 
 
 @F.pandas_udf(DoubleType())
 def t_test(n1: pd.Series, n2: pd.Series, m1: pd.Series, m2: pd.Series, v1: pd.Series, v2: pd.Series) -> pd.Series:
-    """t_test_value over columns."""
-    return pd.Series([t_test_value(*map(float, r)) for r in np.column_stack([n1, n2, m1, m2, v1, v2])], dtype="float64")
+    """t_test_values over columns."""
+    return pd.Series(t_test_values(n1, n2, m1, m2, v1, v2), dtype="float64")
 
 
 def histogram(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

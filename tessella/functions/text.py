@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import pairwise
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -95,6 +98,7 @@ def parse_tokens(text: str) -> list[tuple[int, str]]:
     return out
 
 
+@lru_cache(1 << 17)
 def _lexeme(token: str) -> str:
     low = token.lower()
     return "" if low in STOP_WORDS else stem(low)
@@ -118,13 +122,38 @@ def word_stems(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [s for x in [x for k, x in parse_tokens(t or "") if k == ASCII_WORD and len(x) < 100][:300] if (s := _lexeme(x))])
 
 
-_BOUNDARY = re.compile(r"\W|_|.(?=[\W_])|[a-z][A-Z]|\d\D|\D\d", re.S)
+def _kind(char: str) -> str:
+    """What a character is to the scan for boundaries: a delimiter, a digit, a plain small or capital letter, or other."""
+    if not char.isalnum():
+        return "delimiter"
+    if char.isdecimal():
+        return "digit"
+    return "other" if not char.isascii() else "small" if char.islower() else "capital"
+
+
+def cut_points(text: str) -> list[int]:
+    """Both ends, and one past the first character of each boundary.
+
+    A delimiter is a boundary, and so is what stands before one. A capital after a small letter, and a change between
+    digits and others, are boundaries of two characters; the scan goes on behind them, so that a second boundary that begins
+    with the latter character is not seen.
+    """
+    kinds, cuts, skip = [_kind(c) for c in text], {0, len(text)}, False
+    for at, (here, after) in enumerate(pairwise([*kinds, "end"])):
+        if skip:
+            skip = False
+        elif "delimiter" in (here, after):
+            cuts.add(at + 1)
+        elif after != "end" and ((here, after) == ("small", "capital") or (here == "digit") != (after == "digit")):
+            cuts.add(at + 1)
+            skip = True
+    return sorted(cuts)
 
 
 def delimited_substrings(text: str) -> list[str]:
-    """Distinct spans between cut points: both ends and one past each boundary of a non-overlapping scan."""
-    cuts = sorted({0, len(text), *(m.start() + 1 for m in _BOUNDARY.finditer(text))})
-    return sorted({text[a:b] for i, a in enumerate(cuts) for b in cuts[i + 1 :]})
+    """Distinct spans between any two cut points."""
+    cuts = cut_points(text)
+    return sorted({text[low:high] for n, low in enumerate(cuts) for high in cuts[n + 1 :]})
 
 
 @F.pandas_udf(STRINGS)
@@ -133,29 +162,29 @@ def delimited(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else delimited_substrings(t))
 
 
-def partitions(text: str) -> list[list[str]]:
+def partitions(text: str) -> Iterator[list[str]]:
     """All ways to cut a text into non-empty parts, in a row; two to the power of its length less one."""
-    if not text:
-        return []
-    out = []
-    for cuts in range(1 << (len(text) - 1)):
-        parts, low = [], 0
-        for i in range(1, len(text)):
-            if cuts >> (i - 1) & 1:
-                parts.append(text[low:i])
-                low = i
-        out.append([*parts, text[low:]])
-    return out
-
-
-#: Longest text whose partitions are enumerated.
-LONGEST_PARTITIONED = 14
-
-
-@F.pandas_udf(ArrayType(STRINGS))
-def string_partitions(texts: pd.Series) -> pd.Series:
-    """partitions of each text of at most LONGEST_PARTITIONED characters; null for null and longer texts."""
-    return texts.map(lambda t: None if t is None or len(t) > LONGEST_PARTITIONED else partitions(t))
+    for cuts in range(1 << (len(text) - 1) if text else 0):
+        at = [0, *(i for i in range(1, len(text)) if cuts >> (i - 1) & 1), len(text)]
+        yield [text[low:high] for low, high in pairwise(at)]
+
+
+def string_partitions(rows: DataFrame, column: str, name: str = "parts", batch: int = 8192) -> DataFrame:
+    """rows of (column, parts), one for each partition of each text, made and passed on some at a time; null and empty texts have none."""
+
+    def run(frames):
+        for frame in frames:
+            for value in frame[column]:
+                waiting = []
+                for parts in partitions(value or ""):
+                    waiting.append((value, parts))
+                    if len(waiting) == batch:
+                        yield pd.DataFrame(waiting, columns=[column, name])
+                        waiting = []
+                if waiting:
+                    yield pd.DataFrame(waiting, columns=[column, name])
+
+    return rows.select(column).mapInPandas(run, f"`{column}` string, `{name}` array<string>")
 
 
 def check_identifier(name: str) -> str:

@@ -33,6 +33,12 @@ def token_fractions(tokens: DataFrame, low: float = 0.001, high: float = 0.5) ->
     return held.join(tag_frequency(tokens), "att_id").select("att_id", "token", (F.col("n") / F.col("entities")).alias("fraction")).where(F.col("fraction").between(low, high))
 
 
+def top_tokens(tokens: DataFrame, fractions: DataFrame, k: int) -> DataFrame:
+    """(entity_id, att_id, token, fraction): of each entity's distinct tokens of an attribute the k that most entities hold."""
+    held = tokens.select("entity_id", "att_id", "token").distinct().join(fractions, ["att_id", "token"])
+    return first_rows(held, ["entity_id", "att_id"], k, F.desc("fraction"), F.col("token")).select("entity_id", "att_id", "token", "fraction")
+
+
 def features(tokens: DataFrame, fractions: DataFrame) -> DataFrame:
     """(entity_id, att_id, token, w): count times log10(1 / fraction), of unit length for each entity over all attributes."""
     counts = tokens.groupBy("entity_id", "att_id", "token").agg(F.count("*").alias("c"))

@@ -80,9 +80,9 @@ def field_mappings(fields: DataFrame, attributes: DataFrame, mappings: DataFrame
     A mapped field shows its mapping with a score of 2, another one its best candidate, or ``Unknown`` without any;
     candidates are all scored attributes from the best on.
     """
-    named = composed.join(F.broadcast(attributes.select(F.col("global_id").alias("match_id"), F.col("name").alias("match_name"))), "match_id")
+    named = composed.join(attributes.select(F.col("global_id").alias("match_id"), F.col("name").alias("match_name")), "match_id")
     ranked = named.groupBy("field_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "match_id", "match_name"))).alias("ranked"))
-    mapped = mappings.join(F.broadcast(attributes), "global_id").groupBy(F.col("local_id").alias("field_id")).agg(F.min(F.struct(F.col("global_id").alias("match_id"), F.col("name").alias("match_name"))).alias("m"))
+    mapped = mappings.join(attributes, "global_id").groupBy(F.col("local_id").alias("field_id")).agg(F.min(F.struct(F.col("global_id").alias("match_id"), F.col("name").alias("match_name"))).alias("m"))
     rows = fields.join(ranked, "field_id", "left").join(mapped, "field_id", "left")
     best = F.get("ranked", F.lit(0))
     out = rows.select(
@@ -120,6 +120,17 @@ def score_pivot(raw: DataFrame) -> DataFrame:
     return raw.groupBy("field_id", "match_id").pivot("method_name", list(METHODS)).agg(F.max("score")).fillna(0.0, list(METHODS))
 
 
+def scores_with_composite(raw: DataFrame, methods: DataFrame) -> DataFrame:
+    """score_pivot with the pair's composite score."""
+    return score_pivot(raw).join(composite(raw, methods).select("field_id", "match_id", F.col("score").alias("composite")), ["field_id", "match_id"], "left").fillna(0.0, ["composite"])
+
+
+def random_weights(spark: SparkSession, trials: int, seed: int = 1) -> DataFrame:
+    """(trial, method_name, weight): random weights from 0 to 1 of every matcher, the same for the same seed."""
+    rows = spark.range(1, trials + 1).withColumnRenamed("id", "trial").withColumn("method_name", F.explode(F.array(*map(F.lit, METHODS))))
+    return rows.withColumn("weight", F.pmod(F.xxhash64("trial", "method_name", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
+
+
 def questions(composed: DataFrame, fields: DataFrame, attributes: DataFrame, mappings: DataFrame, k: int = 10) -> DataFrame:
     """(field_id, match_id, score, place): k best candidates of each unmapped field, then all other attributes without a score."""
     asked = unmapped(fields, mappings).select("field_id")

@@ -39,7 +39,20 @@ def comparisons(stats: DataFrame, glob: DataFrame) -> DataFrame:
     return both.select("field_id", "global_id", "affinity", p.alias("p")).where("p < 1")
 
 
-def scores(cells: DataFrame, affinity: DataFrame) -> DataFrame:
+def scores_of(stats: DataFrame, glob: DataFrame) -> DataFrame:
     """(field_id, global_id, score): the largest two-sided p-value times affinity."""
+    return comparisons(stats, glob).groupBy("field_id", "global_id").agg(F.max((1 - F.col("p")) * F.col("affinity")).alias("score"))
+
+
+def scores(cells: DataFrame, affinity: DataFrame) -> DataFrame:
     stats = moments(cells)
-    return comparisons(stats, global_moments(stats, affinity)).groupBy("field_id", "global_id").agg(F.max((1 - F.col("p")) * F.col("affinity")).alias("score"))
+    return scores_of(stats, global_moments(stats, affinity))
+
+
+def welch(stats: DataFrame, glob: DataFrame) -> DataFrame:
+    """(field_id, global_id, mapped, t, df) of the test, for fields that vary."""
+    right = glob.select("global_id", F.col("field_id").alias("mapped"), F.col("n").alias("n2"), F.col("mean").alias("m2"), F.col("variance").alias("v2"))
+    q = stats.crossJoin(right).where("variance > 0 and v2 > 0").withColumns({"s1": F.col("variance") / F.col("n"), "s2": F.col("v2") / F.col("n2")})
+    t = F.abs(F.col("mean") - F.col("m2")) / F.sqrt(F.col("s1") + F.col("s2"))
+    df = F.pow(F.col("s1") + F.col("s2"), 2) / (F.col("s1") * F.col("s1") / (F.col("n") - 1) + F.col("s2") * F.col("s2") / (F.col("n2") - 1))
+    return q.select("field_id", "global_id", "mapped", t.alias("t"), df.alias("df"))

@@ -20,6 +20,20 @@ def sources(srcs: DataFrame, fields: DataFrame, mappings: DataFrame) -> DataFram
     return srcs.join(counts, "source_id").select("source_id", "local_id", "n_fields", "n_mapped", (F.col("n_mapped") / F.col("n_fields")).alias("ratio"))
 
 
+def source_list(srcs: DataFrame, n: int) -> DataFrame:
+    """(source_id, local_id) of the first n sources."""
+    return srcs.select("source_id", "local_id").orderBy("source_id").limit(n)
+
+
+def source_name(srcs: DataFrame, source_id: int) -> DataFrame:
+    return srcs.where(F.col("source_id") == source_id).select("local_id")
+
+
+def global_attributes(attributes: DataFrame) -> DataFrame:
+    """(global_id, name) by name, without regard to case."""
+    return attributes.select("global_id", "name").orderBy(F.lower("name"), "global_id")
+
+
 def with_meta(srcs: DataFrame, meta: DataFrame, name: str) -> DataFrame:
     """srcs with the value of a meta entry, whatever the case of its name."""
     key = name.lower()
@@ -82,6 +96,18 @@ def fields_by_name(fields: DataFrame, name: str, exact: bool) -> DataFrame:
     return fields.where(F.lower("name").like(pattern))
 
 
+def mappings_by_name(fields: DataFrame, field_mappings: DataFrame, name: str, exact: bool) -> DataFrame:
+    """field_mappings of the fields of that name."""
+    return field_mappings.join(fields_by_name(fields, name, exact).select("field_id"), "field_id", "left_semi")
+
+
+def field_detail(field_id: int, match_id: int, profile: DataFrame, local: DataFrame, glob: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row on a field and an attribute: the field's profile, how many values they share, and the matchers' scores with their composite."""
+    shared = shared_values(local.where(F.col("field_id") == field_id), glob.where(F.col("global_id") == match_id)).agg(F.count("*").alias("n_shared"))
+    own = scores.where((F.col("field_id") == field_id) & (F.col("match_id") == match_id))
+    return profile.where(F.col("field_id") == field_id).join(own, "field_id", "left").crossJoin(F.broadcast(shared))
+
+
 def unanswered(fields: DataFrame, mappings: DataFrame, antimappings: DataFrame, who: int) -> DataFrame:
     """Fields that a user has neither mapped nor rejected."""
     mine = lambda m: m.where(F.col("who_created") == who).select(F.col("local_id").alias("field_id"))
@@ -118,7 +144,7 @@ def pairs_to_compare(pairs: DataFrame, target: float | None = None, n: int = 1)
 
 def entity_data(cells: DataFrame, fields: DataFrame, mappings: DataFrame, attributes: DataFrame) -> DataFrame:
     """(entity_id, name, value): cells under the global name of their field, or the local one."""
-    named = mappings.join(F.broadcast(attributes.select("global_id", F.col("name").alias("global_name"))), "global_id").groupBy(F.col("local_id").alias("field_id")).agg(F.min("global_name").alias("global_name"))
+    named = mappings.join(attributes.select("global_id", F.col("name").alias("global_name")), "global_id").groupBy(F.col("local_id").alias("field_id")).agg(F.min("global_name").alias("global_name"))
     return cells.join(fields.select("field_id", F.col("name").alias("local_name")), "field_id").join(named, "field_id", "left").select("entity_id", F.coalesce("global_name", "local_name").alias("name"), "value")
 
 

@@ -6,9 +6,13 @@ looped over.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scoring
+
 FLOOR, MARGIN = 1e-9, 1e-4
 BINS, DISTANCE, RELATIVE, ABSOLUTE, STEPS = 4, 0.05, 500.0, 0.2, 200
 KEY = ["cat", "att_id"]
@@ -168,6 +172,29 @@ def learn_from_clustering(known: DataFrame, sims: DataFrame, random_sims: DataFr
     return binned.select("cat", "att_id", "t1", "t2", "f_m", "f_u").unionByName(corrected(nulls)), learned_thresholds(binned), prior
 
 
+def pair_similarities(pairs: DataFrame, vecs: DataFrame, nums: DataFrame) -> DataFrame:
+    """(cat, e1, e2, att_id, sim) of pairs by packed token vectors and numbers, 0 where both have the attribute and share nothing."""
+    sims = scoring.text_similarities(pairs, vecs).unionByName(scoring.numeric_similarities(pairs, nums))
+    own = vecs.select("cat", "entity_id", "att_id").union(nums.select("cat", "entity_id", "att_id"))
+    return scoring.zero_fill(pairs, sims, own)
+
+
+def populate_questions(entities: DataFrame, vecs: DataFrame, nums: DataFrame, types: DataFrame, candidates: Callable[[DataFrame], DataFrame], dup_prob: float, sample: int, budget: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(features, thresholds, questions) without any label yet.
+
+    Similarities of random pairs of entities (cat, entity_id) give each attribute a first threshold and two bins;
+    candidates(thresholds) are the pairs to score with that model, and the least certain of them are the questions.
+    """
+    pairs = random_pairs(entities, sample).checkpoint()
+    sims = pair_similarities(pairs, vecs, nums).checkpoint()
+    thresholds = initial_thresholds(sims, dup_prob, sample).checkpoint()
+    features = initial_features(thresholds, sims, types)
+    features = features.unionByName(features.select(*KEY).distinct().select(*KEY, F.lit(None).cast("double").alias("t1"), F.lit(None).cast("double").alias("t2"), F.lit(0.5).alias("f_m"), F.lit(0.5).alias("f_u"))).checkpoint()
+    prior = entities.select("cat").distinct().withColumn("dup_prob", F.lit(dup_prob))
+    scored = scoring.score_pairs(candidates(thresholds).checkpoint(), vecs, nums, features, prior)
+    return features, thresholds, question_pairs(scored, entities, budget)
+
+
 def question_pairs(scored: DataFrame, categories: DataFrame, budget: int = 50) -> DataFrame:
     """(cat, e1, e2, sim, human_label): scored pairs (e1, e2, probability) within a category, the least certain first."""
     a = categories.select(F.col("entity_id").alias("e1"), "cat")

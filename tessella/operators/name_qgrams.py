@@ -35,9 +35,12 @@ def gram_idf(local: DataFrame, glob: DataFrame, attributes: DataFrame) -> DataFr
     return words.join(df, "gram", "left").crossJoin(F.broadcast(n)).select("gram", F.sqrt(F.log(F.col("n") / F.coalesce("df", F.lit(1)))).alias("idf"))
 
 
-def scores(fields: DataFrame, attributes: DataFrame, affinity: DataFrame) -> DataFrame:
-    """(field_id, global_id, score): TF-IDF cosine of fields and attributes that share a gram."""
-    local = local_grams(fields)
-    glob = global_grams(local, attributes, affinity)
+def scores(fields: DataFrame, attributes: DataFrame, affinity: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(field_id, global_id, score): TF-IDF cosine of fields and attributes that share a gram; of the wanted fields (field_id) only, if given.
+
+    Attributes learn from mapped fields alone, so that others are cut away before any gram is made.
+    """
+    glob = global_grams(local_grams(fields.join(affinity.select(F.col("local_id").alias("field_id")).distinct(), "field_id", "left_semi")), attributes, affinity)
+    local = local_grams(fields if wanted is None else fields.join(wanted.select("field_id"), "field_id", "left_semi"))
     idf = gram_idf(local, glob, attributes)
     return cosine(weighted(local, idf, "gram"), weighted(glob, idf, "gram"), "gram", "field_id", "global_id")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import typed_stems
@@ -23,14 +23,19 @@ def words(text: Column) -> Column:
 def local_tokens(cells: DataFrame, tokenizer: Callable[[Column], Column] = typed_stems) -> DataFrame:
     """(source_id, field_id, gram, c, tf) with tf the share of the field's tokens."""
     counts = term_counts(cells, ["source_id", "field_id"], tokenizer(F.col("value")), "gram")
-    return counts.withColumn("tf", F.col("c") / F.sum("c").over(Window.partitionBy("field_id")))
+    return _shares(counts, "field_id")
 
 
 def global_tokens(local: DataFrame, dictionary: DataFrame, affinity: DataFrame, tokenizer: Callable[[Column], Column] = typed_stems) -> DataFrame:
     """(global_id, gram, c, tf): token counts of mapped fields by affinity and of the attribute's dictionary, added up."""
     mapped = local.join(affinity, F.col("field_id") == F.col("local_id")).select("global_id", "gram", (F.col("c") * F.col("affinity")).alias("c"))
     own = term_counts(dictionary, ["global_id"], tokenizer(F.col("value")), "gram").select("global_id", "gram", F.col("c").cast("double").alias("c"))
-    return merge_counts(mapped, own).withColumn("tf", F.try_divide("c", F.sum("c").over(Window.partitionBy("global_id"))))
+    return _shares(merge_counts(mapped, own), "global_id")
+
+
+def _shares(counts: DataFrame, key: str) -> DataFrame:
+    """counts with tf = c over the sum of the key's counts: totals are aggregated and joined, no task holds all tokens of a key."""
+    return counts.join(counts.groupBy(key).agg(F.sum("c").alias("_all")), key).withColumn("tf", F.try_divide("c", "_all")).drop("_all")
 
 
 def merge_counts(*parts: DataFrame) -> DataFrame:

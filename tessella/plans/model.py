@@ -102,3 +102,16 @@ def s_words(out: str, source: str, keys: str, text: str) -> str:
     """CTE out(keys, token): lower-case words between white space, with repeats."""
     k = ", ".join(keys.split())
     return f"{out} AS (SELECT {k}, unnest(list_filter(string_split_regex(lower({text}), '\\s+'), lambda w: w <> '')) AS token FROM {source} WHERE {text} IS NOT NULL)"
+
+
+def s_delimited(out: str, source: str, text: str) -> str:
+    """Recursive CTEs that put the spans between the cut points of source's distinct texts into out(text, piece)."""
+    here, after = f"substr({text}, pos + 1, 1)", f"substr({text}, pos + 2, 1)"
+    mark = lambda c: f"({c} <> '' AND NOT regexp_matches({c}, '[A-Za-z0-9]'))"
+    digit = lambda c: f"regexp_matches({c}, '[0-9]')"
+    turn = f"({after} <> '' AND ((regexp_matches({here}, '[a-z]') AND regexp_matches({after}, '[A-Z]')) OR {digit(here)} <> {digit(after)}))"
+    return (
+        f"{out}_s AS (SELECT DISTINCT {text}, 0 AS pos, 0 AS cut FROM {source} WHERE {text} IS NOT NULL UNION ALL SELECT {text}, pos + CASE WHEN {mark(here)} OR {mark(after)} THEN 1 WHEN {turn} THEN 2 ELSE 1 END, "
+        f"CASE WHEN {mark(here)} OR {mark(after)} OR {turn} THEN pos + 1 ELSE 0 END FROM {out}_s WHERE pos < length({text})), "
+        f"{out}_c AS (SELECT {text}, cut FROM {out}_s UNION SELECT {text}, length({text})::INTEGER FROM {out}_s), {out} AS (SELECT DISTINCT x.{text}, substr(x.{text}, x.cut + 1, y.cut - x.cut) AS piece FROM {out}_c x JOIN {out}_c y ON x.{text} = y.{text} AND x.cut < y.cut)"
+    )

@@ -13,7 +13,7 @@ from ..operators import candidates as cand
 from ..operators import categorize, clustering, factoring, learning, pairsim, scoring
 from ..operators.value_tokens import words
 from . import model
-from .model import S_FIELDS, s_affinity, s_grams, s_words, table
+from .model import S_FIELDS, s_affinity, s_delimited, s_grams, s_words, table
 from .registry import query
 
 #: The prior is of the order of the share of pairs that are copies; the threshold is a cosine.
@@ -347,6 +347,15 @@ S_LEARN = (
 )
 
 
+#: Unit vectors of all documents as one category, and the cosines of random pairs.
+_S_ALL = (
+    f"dt AS (SELECT 'all' AS cat, doc_id AS entity_id, 1::BIGINT AS att_id, text AS value FROM documents WHERE text IS NOT NULL), {s_words('tok', 'dt', 'cat entity_id att_id', 'value')}, "
+    "tags AS (SELECT cat, att_id, count(DISTINCT entity_id)::BIGINT AS entities FROM tok GROUP BY ALL), cnt AS (SELECT cat, att_id, token, count(DISTINCT entity_id)::BIGINT AS docs FROM tok GROUP BY ALL), "
+    "idf AS (SELECT cat, att_id, token, log10(entities / docs::DOUBLE) AS idf FROM cnt JOIN tags USING (cat, att_id)), " + _s_vectors("v", "tok") + ", "
+    "ts AS (SELECT e1, e2, sum(a.w * b.w) AS sim FROM rp JOIN v a ON a.entity_id = e1 JOIN v b ON b.entity_id = e2 AND b.token = a.token GROUP BY ALL)"
+)
+
+
 def _random_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = table(spark, sf_dir, "labels").select(F.lit("all").alias("cat"), F.col("doc_id").alias("entity_id")).distinct()
     return learning.random_pairs(entities, 2000)
@@ -483,18 +492,77 @@ def factor_knockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factoring.knockout_terms(model.fields(spark), model.affinity(spark), _synonyms(spark))
 
 
-@query()
+#: The names without their terms, longest first, in SQL: the list above has four names with one term or two.
+_KNOCKED = f"""{S_FIELDS}, {s_affinity()}, sy(global_id, synonym) AS (VALUES {", ".join(f"({a}::BIGINT, '{b}')" for a, b in _SYNONYMS)}),
+h AS (SELECT DISTINCT field_id, name, synonym FROM fields JOIN affinity ON field_id = local_id JOIN sy USING (global_id) WHERE contains(lower(name), lower(synonym))),
+o AS (SELECT field_id, name, list(synonym ORDER BY length(synonym) DESC, synonym) AS terms FROM h GROUP BY ALL),
+kn AS (SELECT field_id, name AS rest, terms FROM o UNION ALL SELECT field_id, CASE WHEN instr(lower(rest), lower(terms[1])) > 0 THEN substr(rest, 1, instr(lower(rest), lower(terms[1])) - 1) || substr(rest, instr(lower(rest), lower(terms[1])) + length(terms[1])) ELSE rest END, terms[2:] FROM kn WHERE len(terms) > 0),
+k AS (SELECT field_id, rest FROM kn WHERE len(terms) = 0), {s_delimited("d", "k", "rest")}"""
+
+
+@query(f"WITH RECURSIVE {_KNOCKED} SELECT field_id, piece AS token FROM k JOIN d USING (rest)")
 def factor_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factoring.leftovers(factoring.knockouts(factoring.knockout_terms(model.fields(spark), model.affinity(spark), _synonyms(spark))))
 
 
-@query()
+_TERMS = (("acct", "ACCOUNT"), ("s", "SUPPLIER"), ("segment", "SEGMENT"))
+
+
+@query(f"WITH RECURSIVE {_KNOCKED}, tm(token, pterm) AS (VALUES {', '.join(map(str, _TERMS))}) SELECT field_id, piece AS token, pterm FROM k JOIN d USING (rest) JOIN tm ON token = piece")
 def factor_hidden_gems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = spark.createDataFrame([("acct", "ACCOUNT"), ("s", "SUPPLIER"), ("segment", "SEGMENT")], "token string, pterm string")
     left = factoring.leftovers(factoring.knockouts(factoring.knockout_terms(model.fields(spark), model.affinity(spark), _synonyms(spark))))
-    return factoring.hidden_gems(left, terms)
+    return factoring.hidden_gems(left, spark.createDataFrame(_TERMS, "token string, pterm string"))
 
 
-@query()
+@query(f"WITH RECURSIVE {S_FIELDS}, {s_delimited('d', 'fields', 'name')} SELECT field_id, piece FROM fields JOIN d USING (name)")
 def tok_delimited_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.fields(spark).select("field_id", F.explode(fx.delimited(F.col("name"))).alias("piece"))
+
+
+# Category tokens, similarities of random pairs, questions.
+@query(f"WITH {S_CAT}, t AS (SELECT DISTINCT entity_id, att_id, token FROM ck) SELECT entity_id, token, round(fraction, 6) AS fraction FROM t JOIN fr USING (att_id, token) QUALIFY row_number() OVER (PARTITION BY entity_id, att_id ORDER BY fraction DESC, token) <= 5")
+def cat_top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _cat_tokens(spark, sf_dir)
+    return categorize.top_tokens(tokens, categorize.token_fractions(tokens), 5).select("entity_id", "token", F.round("fraction", 6).alias("fraction"))
+
+
+def _one_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir).withColumn("cat", F.lit("all"))
+
+
+@query(f"""WITH {S_RANDOM}, {_S_ALL} SELECT cat, e1, e2, 1::BIGINT AS att_id, round(coalesce(sim, 0.0), 6)::DOUBLE AS sim FROM rp LEFT JOIN ts USING (e1, e2) WHERE e1 IN (SELECT entity_id FROM v) AND e2 IN (SELECT entity_id FROM v)
+UNION ALL SELECT cat, e1, e2, 2, -abs(a.n_chars - b.n_chars)::DOUBLE FROM rp JOIN documents a ON a.doc_id = e1 JOIN documents b ON b.doc_id = e2 WHERE a.n_chars IS NOT NULL AND b.n_chars IS NOT NULL""")
+def learn_pair_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarities of random pairs by token vectors and numbers."""
+    vecs, nums = _all_vectors(spark, sf_dir)
+    return learning.pair_similarities(_random_pairs(spark, sf_dir), vecs, nums).select("cat", "e1", "e2", "att_id", F.round("sim", 6).alias("sim"))
+
+
+def _all_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    cells = _one_category(spark, sf_dir)
+    tokens = cand.entity_tokens(cells.where("att_id = 1"), words)
+    vecs = cand.vectors(tokens, cand.idf(cand.document_counts(tokens), cand.tag_frequency(tokens)))
+    return scoring.packed_vectors(vecs).checkpoint(), cand.numbers(cells, _types(spark))
+
+
+@query()
+def learn_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first questions, before any label: documents of one category, candidates by length."""
+    vecs, nums = _all_vectors(spark, sf_dir)
+    entities = _one_category(spark, sf_dir).select("cat", "entity_id").distinct()
+    candidates = lambda thresholds: cand.band_pairs(nums, thresholds.where("att_id = 2"))
+    return learning.populate_questions(entities, vecs, nums, _types(spark), candidates, 0.01, 2000)[2]
+
+
+@query(f"WITH {S_PREFIX}, {_s_vectors('v', 'tok')} SELECT a.cat, a.entity_id AS e1, b.entity_id AS e2, round(sum(a.w * b.w), 6) AS sim FROM v a JOIN v b USING (cat, att_id, token) WHERE a.entity_id < b.entity_id AND a.cat = 'de' GROUP BY ALL HAVING sum(a.w * b.w) >= 0.5")
+def cand_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one category by their cosine itself."""
+    rows = _vectors(spark, sf_dir).where("cat = 'de'")
+    limits = spark.createDataFrame([("de", 1, 0.5)], "cat string, att_id long, threshold double")
+    return cand.cosine_pairs(rows, rows, limits).select("cat", "e1", "e2", F.round("sim", 6).alias("sim"))
+
+
+@query(f"WITH {S_SIM} SELECT entity_id, field_id, value FROM pc WHERE entity_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)")
+def pairsim_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = table(spark, sf_dir, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("entity_id"))
+    return pairsim.test_group(_sim_cells(spark, sf_dir), group).select("entity_id", "field_id", "value")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import clustering, compose, explore, mdl
 from ..operators import affinity as aff
 from . import model
 from .model import S_ATTRIBUTES, S_CELLS, S_FIELDS, s_affinity, table
-from .queries_matching import _RAW, _raw
+from .queries_matching import _PIVOT, _RAW, _composite, _raw
 from .registry import query
 
 _CLUSTER = "cl AS (SELECT DISTINCT entity_id, entity_id - entity_id % 3 AS cluster_id FROM cells WHERE source_id IN (2, 4))"
@@ -57,7 +57,7 @@ def explore_table_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_RAW} SELECT a.global_id, a.name, round(coalesce(n.score, 0.0), 6)::DOUBLE AS score FROM attributes a LEFT JOIN (SELECT * FROM ncomp WHERE field_id = 16) n ON n.match_id = a.global_id")
 def explore_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    composed = compose.composite(_raw(spark, sf_dir), compose.default_methods(spark))
+    composed = _composite(spark, sf_dir)
     return explore.field_candidates(model.attributes(spark), composed, 16).withColumn("score", F.round("score", 6))
 
 
@@ -96,7 +96,7 @@ def explore_example_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_RAW}, b AS (SELECT field_id, max(score) AS s FROM ncomp GROUP BY 1) SELECT field_id, name, round(coalesce(s, 0.0), 6)::DOUBLE AS score FROM fields LEFT JOIN b USING (field_id) ORDER BY coalesce(s, 0.0), field_id LIMIT 5")
 def explore_low_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    composed = compose.composite(_raw(spark, sf_dir), compose.default_methods(spark))
+    composed = _composite(spark, sf_dir)
     return explore.low_scorers(model.fields(spark), composed, 5).withColumn("score", F.round("score", 6))
 
 
@@ -162,3 +162,56 @@ def explore_cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {S_CELLS}, e AS (SELECT DISTINCT entity_id FROM cells WHERE source_id = 4 ORDER BY md5('entities' || entity_id::VARCHAR), entity_id LIMIT 10) SELECT entity_id, count(*) AS n FROM cells WHERE source_id = 4 AND entity_id IN (SELECT entity_id FROM e) GROUP BY 1")
 def explore_source_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.source_entities(model.cells(spark, sf_dir), 4, 10).select("entity_id", F.size("cells").cast("long").alias("n"))
+
+
+@query(f"WITH {_S_SOURCES} SELECT source_id, local_id FROM src ORDER BY source_id LIMIT 3")
+def explore_source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.source_list(_sources(spark), 3)
+
+
+@query(f"WITH {_S_SOURCES} SELECT local_id FROM src WHERE source_id = 2")
+def explore_source_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.source_name(_sources(spark), 2)
+
+
+@query(f"WITH {S_ATTRIBUTES} SELECT global_id, name FROM attributes")
+def explore_global_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.global_attributes(model.attributes(spark))
+
+
+@query(f"""WITH {S_CELLS}, {S_FIELDS}, pr AS (SELECT field_id, count(value) AS n_values, round(1 - count(DISTINCT value) / count(value)::DOUBLE, 2) AS f, avg(length(value)) AS l FROM cells GROUP BY 1)
+SELECT field_id, name, row_number() OVER (ORDER BY f, l, field_id) AS place FROM fields JOIN pr USING (field_id) WHERE source_id = 3""")
+def explore_source_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = explore.source_fields(model.fields(spark), explore.field_profile(model.cells(spark, sf_dir)), 3)
+    order = Window.orderBy(F.round("sort_factor", 2), "avg_val_len", "field_id")
+    return rows.select("field_id", "name", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query(f"""WITH {_RAW}, top AS (SELECT field_id, arg_min(match_id, (-score, match_id)) AS m FROM ncomp GROUP BY 1), mp AS (SELECT local_id, min(global_id) AS g FROM mappings GROUP BY 1)
+SELECT f.field_id, f.name, coalesce(g, m) AS match_id FROM fields f LEFT JOIN top USING (field_id) LEFT JOIN mp ON local_id = f.field_id WHERE lower(f.name) LIKE '%nation%'""")
+def explore_mappings_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compose.field_mappings(model.fields(spark), model.attributes(spark), model.mappings(spark), _composite(spark, sf_dir))
+    return explore.mappings_by_name(model.fields(spark), found, "Nation", False).select("field_id", "name", "match_id")
+
+
+@query(f"WITH {_RAW} SELECT field_id, match_id, {_PIVOT}, round(sum(score * score), 6)::DOUBLE AS composite FROM raw GROUP BY ALL")
+def explore_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compose.scores_with_composite(_raw(spark, sf_dir), compose.default_methods(spark)).withColumn("composite", F.round("composite", 6))
+
+
+@query(f"""WITH {_RAW}, {S_CELLS}, pr AS (SELECT field_id, count(value) AS n_values, count(DISTINCT value) AS n_distinct FROM cells WHERE field_id = 16 GROUP BY 1),
+sc AS (SELECT field_id, match_id, {_PIVOT}, round(sum(score * score), 6)::DOUBLE AS composite FROM raw WHERE field_id = 16 AND match_id = 2 GROUP BY ALL)
+SELECT pr.field_id, n_values, n_distinct, match_id, qgrams, mdl, ngrams, dist, composite,
+(SELECT count(*) FROM (SELECT DISTINCT value FROM cells WHERE field_id = 16 INTERSECT SELECT DISTINCT value FROM cells JOIN affinity ON field_id = local_id WHERE global_id = 2)) AS n_shared FROM pr LEFT JOIN sc USING (field_id)""")
+def explore_field_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = model.cells(spark, sf_dir)
+    local = mdl.local_dictionary(cells)
+    scores = compose.scores_with_composite(_raw(spark, sf_dir), compose.default_methods(spark)).withColumn("composite", F.round("composite", 6))
+    rows = explore.field_detail(16, 2, explore.field_profile(cells), local, mdl.global_dictionary(local, aff.affinities(model.mappings(spark))), scores)
+    return rows.drop("avg_val_len", "sort_factor")
+
+
+@query("SELECT n_nationkey::BIGINT AS source_id, n_name AS meta_name, n_regionkey::VARCHAR AS value FROM nation WHERE n_nationkey = 3")
+def explore_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("source_id"), F.col("n_name").alias("meta_name"), F.col("n_regionkey").cast("string").alias("value"))
+    return explore.meta(rows, "source_id", 3)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import aggregates as agg
 from ..functions import numeric, text
 from ..sources import ingest, state
-from .model import table
+from .model import s_delimited, table
 from .registry import query
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -110,7 +110,7 @@ def tok_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tok_stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(text.stems(F.col("text"))).alias("stem"))
+    rows = table(spark, sf_dir, "documents").select(F.explode(text.stems(F.col("text"))).alias("stem"))
     return rows.groupBy("stem").agg(F.count("*").alias("n"))
 
 
@@ -124,14 +124,15 @@ def tok_word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.explode(text.word_stems(F.col("text"))).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH RECURSIVE b AS (SELECT DISTINCT p_brand AS t FROM part), {s_delimited('d', 'b', 't')} SELECT t AS p_brand, piece FROM d")
 def tok_dsubstrs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_brand").distinct().select("p_brand", F.explode(text.delimited(F.col("p_brand"))).alias("piece"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT n_name, '' AS parts, n_name AS rest FROM nation UNION ALL
+SELECT n_name, parts || CASE WHEN parts = '' THEN '' ELSE '|' END || substr(rest, 1, k), substr(rest, k + 1) FROM p, (SELECT unnest(range(1, 40)) AS k) r WHERE k <= length(rest)) SELECT n_name, parts FROM p WHERE rest = '' AND parts <> ''""")
 def tok_strparts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select("n_name", F.explode(text.string_partitions(F.col("n_name"))).alias("parts"))
+    return text.string_partitions(table(spark, sf_dir, "nation"), "n_name").select("n_name", F.array_join("parts", "|").alias("parts"))
 
 
 @query(rf"""WITH v AS (SELECT event_id AS id, value::DECIMAL(18,2)::VARCHAR AS v FROM events UNION ALL SELECT event_id, props FROM events)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import rank_first
 from ..operators import affinity as aff
-from ..operators import compose, distributions, mdl, meta_tree, name_qgrams, value_tokens
+from ..operators import compose, distributions, mapping, mdl, meta_tree, name_qgrams, value_tokens
+from ..sources.state import StateStore
 from . import model
 from .model import MAPPINGS, S_ATTRIBUTES, S_CELLS, S_FIELDS, SURE, s_affinity, s_grams, s_words
 from .registry import query
@@ -59,8 +64,8 @@ def name_qgrams_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_qgrams.gram_idf(local, glob, model.attributes(spark)).withColumn("idf", F.round("idf", 6))
 
 
-def _names(spark: SparkSession, rows=SURE) -> DataFrame:
-    return name_qgrams.scores(model.fields(spark), model.attributes(spark), model.affinity(spark, rows))
+def _names(spark: SparkSession, rows=SURE, wanted: DataFrame | None = None) -> DataFrame:
+    return name_qgrams.scores(model.fields(spark), model.attributes(spark), model.affinity(spark, rows), wanted)
 
 
 @query(f"WITH {_name_sql(SURE)} SELECT field_id, global_id, round(score, 6) AS score FROM cs")
@@ -70,13 +75,12 @@ def name_qgrams_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_name_sql(SURE)} SELECT field_id, global_id, round(score, 6) AS score FROM cs WHERE field_id NOT IN (SELECT local_id FROM mappings)")
 def name_qgrams_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compose.unmapped(_names(spark), model.mappings(spark, SURE)).withColumn("score", F.round("score", 6))
+    return _names(spark, SURE, mapping.chosen_fields(model.fields(spark), model.mappings(spark, SURE))).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_name_sql(SURE)} SELECT field_id, global_id, round(score, 6) AS score FROM cs WHERE field_id IN (SELECT field_id FROM fields WHERE source_id = 3 AND name LIKE 'p_%e')")
 def name_qgrams_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = compose.for_fields(model.fields(spark), "source_id = 3 and name like 'p_%e'").select("field_id")
-    return _names(spark).join(chosen, "field_id", "left_semi").withColumn("score", F.round("score", 6))
+    return _names(spark, SURE, mapping.chosen_fields(model.fields(spark), predicate="source_id = 3 and name like 'p_%e'")).withColumn("score", F.round("score", 6))
 
 
 def _token_sql() -> str:
@@ -196,35 +200,49 @@ def dist_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT field_id, global_id, mapped, round(d / sqrt(s1 + s2), 5) AS t, round((s1 + s2) ** 2 / (s1 * s1 / (n1 - 1) + s2 * s2 / (n2 - 1)), 4) AS df FROM q""")
 def dist_welch_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = distributions.moments(model.cells(spark, sf_dir))
-    right = distributions.global_moments(stats, model.affinity(spark)).select("global_id", F.col("field_id").alias("mapped"), F.col("n").alias("n2"), F.col("mean").alias("m2"), F.col("variance").alias("v2"))
-    q = stats.crossJoin(right).where("variance > 0 and v2 > 0").withColumns({"s1": F.col("variance") / F.col("n"), "s2": F.col("v2") / F.col("n2")})
-    t = F.abs(F.col("mean") - F.col("m2")) / F.sqrt(F.col("s1") + F.col("s2"))
-    df = F.pow(F.col("s1") + F.col("s2"), 2) / (F.col("s1") * F.col("s1") / (F.col("n") - 1) + F.col("s2") * F.col("s2") / (F.col("n2") - 1))
-    return q.select("field_id", "global_id", "mapped", F.round(t, 5).alias("t"), F.round(df, 4).alias("df"))
+    rows = distributions.welch(stats, distributions.global_moments(stats, model.affinity(spark)))
+    return rows.select("field_id", "global_id", "mapped", F.round("t", 5).alias("t"), F.round("df", 4).alias("df"))
 
 
-@query()
+#: Two-sided p-values in SQL: one less twice the integral of Student's density from 0 to t, by Simpson's rule on 2000 steps.
+_P_VALUES = f"""{_DIST}, q AS (SELECT s.field_id, g.global_id, g.affinity, s.variance / s.n AS s1, g.variance / g.n AS s2, s.n AS n1, g.n AS n2, abs(s.mean - g.mean) AS d FROM s, g WHERE s.variance > 0 AND g.variance > 0),
+w AS (SELECT row_number() OVER () AS id, field_id, global_id, affinity, d / sqrt(s1 + s2) AS t, (s1 + s2) ** 2 / (s1 * s1 / (n1 - 1) + s2 * s2 / (n2 - 1)) AS v FROM q),
+i AS (SELECT id, sum((CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-(v + 1) / 2 * ln(1 + (least(t, 40) * k / 2000.0::DOUBLE) ** 2 / v))) * any_value(least(t, 40)) / 6000.0::DOUBLE AS area FROM w, range(2001) r(k) GROUP BY id),
+p AS (SELECT field_id, global_id, affinity, greatest(0.0, 1 - 2 * area * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi())) AS p FROM w JOIN i USING (id)),
+ds AS (SELECT field_id, global_id, max(p * affinity) AS score FROM p WHERE p > 0 GROUP BY ALL)"""
+
+
+@query(f"WITH {_P_VALUES} SELECT field_id, global_id, round(score, 6) AS score FROM ds WHERE round(score, 6) > 0")
 def dist_pvalue_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distributions.scores(model.cells(spark, sf_dir), model.affinity(spark)).withColumn("score", F.round("score", 6))
+    return distributions.scores(model.cells(spark, sf_dir), model.affinity(spark)).withColumn("score", F.round("score", 6)).where("score > 0")
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rounded scores of two matchers, which SQL can express, as one table of results."""
-    scored = {"qgrams": _names(spark, MAPPINGS), "mdl": mdl.scores(*_mdl(spark, sf_dir))}
-    return compose.raw_results(model.fields(spark), **{k: v.withColumn("score", F.round("score", 6)) for k, v in scored.items()})
+    """Rounded scores of the four matchers as one table of results."""
+    cells = model.cells(spark, sf_dir)
+    scored = {"qgrams": _names(spark, MAPPINGS), "mdl": mdl.scores(*_mdl(spark, sf_dir)), "ngrams": _tokens(spark, sf_dir), "dist": distributions.scores(cells, model.affinity(spark))}
+    rows = compose.raw_results(model.fields(spark), **{k: v.withColumn("score", F.round("score", 6)) for k, v in scored.items()})
+    return rows.where("method_name <> 'dist' or score > 0")
 
 
 _RAW = (
-    f"{_name_sql(MAPPINGS)}, {_MDL}"
-    + ", raw AS (SELECT source_id, field_id, 'qgrams' AS method_name, global_id AS match_id, round(score, 6) AS score FROM cs JOIN fields USING (field_id) "
-    "UNION ALL SELECT source_id, field_id, 'mdl', global_id, round(greatest(0.0, 1 - (term1 + term2 + term3) / (8 * avglen)), 6) FROM t JOIN fields USING (field_id)), "
+    f"{S_FIELDS}, {S_ATTRIBUTES}, {s_affinity(MAPPINGS)}, "
+    f"m_qgrams AS (WITH {_name_sql(MAPPINGS)} SELECT field_id, global_id, score FROM cs), "
+    f"m_mdl AS (WITH {_mdl_sql()} SELECT field_id, global_id, greatest(0.0, 1 - (term1 + term2 + term3) / (8 * avglen)) AS score FROM t), "
+    f"m_ngrams AS (WITH {_token_sql()} SELECT field_id, global_id, score FROM cs), m_dist AS (WITH {_P_VALUES} SELECT field_id, global_id, score FROM ds WHERE round(score, 6) > 0), "
+    "raw AS (" + " UNION ALL ".join(f"SELECT source_id, field_id, '{m}' AS method_name, global_id AS match_id, round(score, 6) AS score FROM m_{m} JOIN fields USING (field_id)" for m in compose.METHODS) + "), "
     "best AS (SELECT * FROM raw r WHERE score = (SELECT max(score) FROM raw q WHERE q.field_id = r.field_id AND q.method_name = r.method_name)), "
-    "ncomp AS (SELECT source_id, field_id, match_id, sum(score * score) AS score FROM raw GROUP BY ALL), "
+    "ncomp AS (SELECT source_id, field_id, match_id, round(sum(score * score), 9) AS score FROM raw GROUP BY ALL), "
     "nmax AS (SELECT * FROM ncomp a WHERE score = (SELECT max(score) FROM ncomp b WHERE b.field_id = a.field_id)), "
     "mcomp AS (SELECT source_id, field_id, match_id, count(*)::DOUBLE AS score FROM best GROUP BY ALL)"
 )
 
 
+def _composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composite scores, rounded so that sums in any order tie alike."""
+    return compose.composite(_raw(spark, sf_dir), compose.default_methods(spark)).withColumn("score", F.round("score", 9))
+
+
 @query(f"WITH {_RAW} SELECT source_id, field_id, method_name, match_id, score FROM best")
 def raw_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.raw_max(_raw(spark, sf_dir))
@@ -232,12 +250,12 @@ def raw_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_RAW} SELECT source_id, field_id, match_id, round(score, 6) AS score FROM ncomp")
 def ncomp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compose.composite(_raw(spark, sf_dir), compose.default_methods(spark)).withColumn("score", F.round("score", 6))
+    return _composite(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_RAW} SELECT source_id, field_id, match_id, round(score, 6) AS score FROM nmax")
 def ncomp_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compose.composite_max(_raw(spark, sf_dir), compose.default_methods(spark)).withColumn("score", F.round("score", 6))
+    return rank_first(_composite(spark, sf_dir), ["field_id"], F.desc("score")).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_RAW} SELECT source_id, field_id, match_id, score FROM mcomp")
@@ -254,19 +272,21 @@ def mcomp_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT f.field_id, f.name, coalesce(g, m) AS match_id, coalesce(a.name, b.name, 'Unknown') AS match_name, round(CASE WHEN g IS NOT NULL THEN 2.0 ELSE coalesce(s, 0.0) END::DOUBLE, 6) AS score, g IS NOT NULL AS mapped
 FROM fields f LEFT JOIN top USING (field_id) LEFT JOIN mp ON local_id = f.field_id LEFT JOIN attributes a ON a.global_id = g LEFT JOIN attributes b ON b.global_id = m""")
 def field_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    composed = compose.composite(_raw(spark, sf_dir), compose.default_methods(spark))
+    composed = _composite(spark, sf_dir)
     return compose.field_mappings(model.fields(spark), model.attributes(spark), model.mappings(spark), composed).drop("candidates").withColumn("score", F.round("score", 6))
 
 
 @query(f"""WITH {_RAW} SELECT field_id AS local_id, arg_min(match_id, (-score, match_id)) AS global_id, 1.0::DOUBLE AS confidence, 1.0::DOUBLE AS authority, (-2)::BIGINT AS who_created, 'AUTO' AS why_created
 FROM ncomp WHERE score >= 0.2 AND field_id NOT IN (SELECT local_id FROM mappings) GROUP BY field_id""")
 def auto_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    composed = compose.composite(_raw(spark, sf_dir), compose.default_methods(spark))
+    composed = _composite(spark, sf_dir)
     return compose.auto_accept(model.fields(spark), model.mappings(spark), composed, 0.2)
 
 
-@query(f"""WITH {_RAW} SELECT field_id, match_id, coalesce(max(CASE WHEN method_name = 'qgrams' THEN score END), 0.0)::DOUBLE AS qgrams, coalesce(max(CASE WHEN method_name = 'mdl' THEN score END), 0.0)::DOUBLE AS mdl,
-0.0::DOUBLE AS ngrams, 0.0::DOUBLE AS dist FROM raw GROUP BY ALL""")
+_PIVOT = ", ".join(f"coalesce(max(CASE WHEN method_name = '{m}' THEN score END), 0.0)::DOUBLE AS {m}" for m in compose.METHODS)
+
+
+@query(f"WITH {_RAW} SELECT field_id, match_id, {_PIVOT} FROM raw GROUP BY ALL")
 def score_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.score_pivot(_raw(spark, sf_dir))
 
@@ -289,12 +309,73 @@ def accuracy_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compose.accuracy(compose.raw_max(_raw(spark, sf_dir)), _gold(spark), ["method_name"])
 
 
-@query(f"""WITH {_RAW}, {_S_GOLD}, w(trial, method_name, weight) AS (VALUES (1::BIGINT, 'qgrams', 1.0::DOUBLE), (1, 'mdl', 0.2), (2, 'qgrams', 0.1), (2, 'mdl', 1.0)),
-c AS (SELECT trial, field_id, match_id, sum((score * weight) ** 2) AS s FROM raw JOIN w USING (method_name) GROUP BY ALL), b AS (SELECT trial, field_id, arg_min(match_id, (-s, match_id)) AS m FROM c GROUP BY ALL)
+_TRIALS = tuple((t, m, w) for t, ws in enumerate(((1.0, 0.2, 0.5, 0.1), (0.1, 1.0, 0.3, 0.7), (0.25, 0.25, 1.0, 0.0)), 1) for m, w in zip(compose.METHODS, ws, strict=True))
+
+
+@query(f"""WITH {_RAW}, {_S_GOLD}, w(trial, method_name, weight) AS (VALUES {", ".join(f"({t}::BIGINT, '{m}', {w}::DOUBLE)" for t, m, w in _TRIALS)}),
+c AS (SELECT trial, field_id, match_id, round(sum((score * weight) ** 2), 9) AS s FROM raw JOIN w USING (method_name) GROUP BY ALL), b AS (SELECT trial, field_id, arg_min(match_id, (-s, match_id)) AS m FROM c GROUP BY ALL)
 SELECT trial, count(*) FILTER (m = tag_id) AS correct, count(*) AS total FROM b JOIN gold USING (field_id) WHERE tag_id IS NOT NULL GROUP BY 1""")
 def weight_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trials = spark.createDataFrame([(1, "qgrams", 1.0), (1, "mdl", 0.2), (2, "qgrams", 0.1), (2, "mdl", 1.0)], "trial long, method_name string, weight double")
-    return compose.weight_search(_raw(spark, sf_dir), _gold(spark), trials)
+    return compose.weight_search(_raw(spark, sf_dir), _gold(spark), spark.createDataFrame(_TRIALS, "trial long, method_name string, weight double"))
+
+
+@query()
+def weight_search_random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compose.weight_search(_raw(spark, sf_dir), _gold(spark), compose.random_weights(spark, 50))
+
+
+_HITS = "count(*) FILTER (hit) AS correct, count(*) FILTER (NOT hit) AS wrong, count(*) FILTER (hit IS NULL) AS null_truth, count(*) AS total, count(*) FILTER (hit) / nullif(count(*) FILTER (hit IS NOT NULL), 0)::DOUBLE AS success_rate, count(*) FILTER (NOT hit) / nullif(count(*) FILTER (hit IS NOT NULL), 0)::DOUBLE AS error_rate"
+
+
+@query(f"""WITH {_RAW}, {_S_GOLD}, vmax AS (SELECT * FROM mcomp a WHERE score = (SELECT max(score) FROM mcomp b WHERE b.field_id = a.field_id)),
+h AS (SELECT 'composite' AS kind, match_id = tag_id AS hit FROM nmax JOIN gold USING (field_id) UNION ALL SELECT 'votes', match_id = tag_id FROM vmax JOIN gold USING (field_id)) SELECT kind, {_HITS} FROM h GROUP BY 1""")
+def composite_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = rank_first(_composite(spark, sf_dir), ["field_id"], F.desc("score")).withColumn("kind", F.lit("composite"))
+    return compose.accuracy(best.unionByName(compose.votes_max(_raw(spark, sf_dir), compose.default_methods(spark)).withColumn("kind", F.lit("votes"))), _gold(spark), ["kind"])
+
+
+@query(f"WITH {_RAW} SELECT field_id, method_name, max(score) AS score FROM raw GROUP BY ALL")
+def raw_max_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compose.raw_max_scores(_raw(spark, sf_dir))
+
+
+def _store(spark: SparkSession) -> StateStore:
+    return StateStore(spark, f"{spark.conf.get('spark.checkpoint.dir', '/tmp/tessella-state')}/{uuid.uuid4().hex}")
+
+
+@query(f"WITH {_RAW} SELECT source_id, field_id, match_id, round(sum(score * score), 5) AS score FROM raw WHERE source_id = 3 AND field_id NOT IN (SELECT local_id FROM mappings) GROUP BY ALL")
+def process_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that joins others end to end: models written and read, the four matchers on its unmapped fields, the composite."""
+    store, cells, fields = _store(spark), model.cells(spark, sf_dir), model.fields(spark)
+    for source in (1, 2, 4):
+        mapping.preprocess_source(store, cells, fields, source, value_tokens.words)
+    rows = mapping.process_source(store, cells, fields, model.attributes(spark), model.mappings(spark), _dictionary(spark, sf_dir), 3, tokenizer=value_tokens.words)
+    return rows.withColumn("score", F.round("score", 5)).where("score > 0 or field_id is not null")
+
+
+@query(f"WITH {_RAW} SELECT source_id, field_id, match_id, round(sum(score * score), 5) AS score FROM raw WHERE source_id = 3 AND method_name <> 'dist' AND field_id NOT IN (SELECT local_id FROM mappings) GROUP BY ALL")
+def schema_map_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quick path over stored models of all sources: three matchers, one source."""
+    store, cells, fields = _store(spark), model.cells(spark, sf_dir), model.fields(spark)
+    mapping.preprocess_all(store, cells, fields, value_tokens.words)
+    mapping.preprocess_global(store, model.attributes(spark), model.mappings(spark), _dictionary(spark, sf_dir), value_tokens.words)
+    return mapping.map_source(store, fields, model.attributes(spark), model.mappings(spark), 3).withColumn("score", F.round("score", 5))
+
+
+def _restricted(method: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store, cells, fields = _store(spark), model.cells(spark, sf_dir), model.fields(spark)
+        mapping.preprocess_all(store, cells, fields, value_tokens.words)
+        mapping.preprocess_global(store, model.attributes(spark), model.mappings(spark), _dictionary(spark, sf_dir), value_tokens.words)
+        wanted = mapping.chosen_fields(fields, source_id=1, predicate="name like 'c_%a%'")
+        return mapping.scores(store, method, wanted, model.attributes(spark)).withColumn("score", F.round("score", 6)).where("score > 0")
+
+    run.__name__ = f"restricted_{method}"
+    return run
+
+
+for _method in compose.METHODS:
+    query(f"WITH {_RAW} SELECT field_id, global_id, round(score, 6) AS score FROM m_{_method} JOIN fields f USING (field_id) WHERE f.source_id = 1 AND f.name LIKE 'c_%a%' AND round(score, 6) > 0")(_restricted(_method))
 
 
 @query(f"""WITH {_RAW}, asked AS (SELECT field_id FROM fields WHERE field_id NOT IN (SELECT local_id FROM mappings)),
@@ -302,7 +383,7 @@ top AS (SELECT field_id, match_id, score, row_number() OVER (PARTITION BY field_
 SELECT field_id, match_id, round(score, 6) AS score, place FROM top UNION ALL
 SELECT field_id, global_id, NULL, NULL FROM asked, attributes WHERE NOT EXISTS (SELECT 1 FROM top WHERE top.field_id = asked.field_id AND match_id = global_id)""")
 def crowd_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    composed = compose.composite(_raw(spark, sf_dir), compose.default_methods(spark))
+    composed = _composite(spark, sf_dir)
     return compose.questions(composed, model.fields(spark), model.attributes(spark), model.mappings(spark), 2).withColumn("score", F.round("score", 6))
 
 
@@ -316,3 +397,17 @@ def tree_meta_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = meta_tree.labelled_features(_raw(spark, sf_dir), model.mappings(spark))
     return meta_tree.measures(meta_tree.stats(meta_tree.classify(meta_tree.train(rows), rows)))
+
+
+@query(f"""WITH {_RAW}, pv AS (SELECT field_id, match_id, {_PIVOT} FROM raw GROUP BY ALL), k AS (SELECT qgrams + ngrams > 0.9 AS yes, EXISTS (SELECT 1 FROM mappings WHERE local_id = field_id AND global_id = match_id) AS truth FROM pv),
+c AS (SELECT count(*) FILTER (yes AND truth) AS tp, count(*) FILTER (yes AND NOT truth) AS fp, count(*) FILTER (NOT yes AND truth) AS fn FROM k)
+SELECT tp / nullif(tp + fn, 0)::DOUBLE AS recall, tp / nullif(tp + fp, 0)::DOUBLE AS precision, 2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE AS f FROM c""")
+def rule_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree's measures of fixed predictions by a rule."""
+    rows = meta_tree.labelled_features(_raw(spark, sf_dir), model.mappings(spark))
+    return meta_tree.measures(meta_tree.stats(rows.withColumn("class", (F.col("qgrams") + F.col("ngrams") > 0.9).cast("double"))))
+
+
+@query()
+def tree_split_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return meta_tree.split_test(_raw(spark, sf_dir), model.mappings(spark), model.fields(spark))

@@ -69,6 +69,14 @@ def random_sources(staged: DataFrame, n: int, imported: DataFrame | None = None,
     return rows.where(F.col("n_values") < largest).orderBy(F.md5(F.concat(F.lit(seed), F.col("source_id").cast("string"))), "source_id").limit(n)
 
 
+def training_load(fields: DataFrame, data: DataFrame) -> tuple[Ingested, DataFrame, DataFrame]:
+    """(model, attributes, mappings): staged sources with tagged fields (source_id, name, tag_code), imported and mapped."""
+    got = from_staged(data, fields)
+    named = fields.select(F.xxhash64(F.col("source_id").cast("string")).alias("source_id"), "name", "tag_code")
+    attributes, mapped = training_mappings(got.fields.join(named, ["source_id", "name"]))
+    return got, attributes, mapped
+
+
 def import_random(data: DataFrame, staged: DataFrame, n: int, imported: DataFrame | None = None, seed: str = "sources") -> Ingested:
     """random_sources ingested in one job."""
     return from_staged(data.join(F.broadcast(random_sources(staged, n, imported, seed=seed).select("source_id")), "source_id", "left_semi"))
@@ -119,3 +127,12 @@ def mapping_rows(rows: DataFrame, who: int, authority: float = 0.5) -> DataFrame
     return rows.select("local_id", "global_id", (F.col("pct") / 100).alias("confidence"), F.lit(authority).alias("authority"), F.lit(who).cast("long").alias("who_created"))
 
 
+def answer_rows(rows: DataFrame, who: int, authority: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(mappings, rejected) of answers (local_id, global_id, pct, is_match)."""
+    rejected = rows.where("not is_match").select("local_id", "global_id", F.lit(who).cast("long").alias("who_created"))
+    return mapping_rows(rows.where("is_match"), who, authority), rejected
+
+
+def suggestion_rows(rows: DataFrame, who: str) -> DataFrame:
+    """New attributes that users propose, of (name, reference_field_id, comment); the time is that of the write."""
+    return rows.select(F.trim("name").alias("name"), "reference_field_id", "comment", F.lit(who).alias("suggested_by"), F.current_timestamp().alias("suggested_at"))

@@ -1,7 +1,8 @@
-"""Named state tables as Parquet, replaced instead of updated.
+"""Named state tables as Parquet, in parts that are replaced one by one.
 
-A table is a folder of numbered versions; the current one is the last that was written whole, so readers and lost jobs
-never see half of one. Writing a source's rows again replaces them.
+A table is a folder of parts (the rows of one source, or of one batch); a part is a folder of numbered versions, of which
+the last that was written whole counts, so readers and lost jobs never see half of one. Writing a part again replaces its
+rows and touches no other part: adding a source costs what the source has, not what the table has.
 """
 
 from __future__ import annotations
@@ -11,17 +12,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: State of each module, for clean-up.
+#: Tables of each module, for clean-up.
 MODULES = {
-    "qgrams": ("local_qgrams", "global_qgrams", "qgrams_idf", "local_qgrams_norms"),
-    "ngrams": ("local_ngrams", "global_ngrams", "ngrams_idf", "local_ngrams_norms", "global_ngrams_norms"),
-    "mdl": ("local_mdl_dictionaries", "global_mdl_dictionaries", "mdl_dict_card_by_len", "mdl_input_stats", "mdl_base_dl"),
-    "dist": ("local_dist_stats", "global_dist_stats"),
-    "results": ("nr_raw_results", "nr_ncomp_results"),
-    "entities": ("entity_tokens", "entity_field_norms", "entity_similarities", "entity_field_weights", "entity_matches"),
-    "dedup": ("tag_frequency", "gen_qgrams_idf", "candidate_pairs", "sim_pairs", "edges", "entity_clustering", "inserted_tokens", "inserted_numbers"),
-    "local": ("local_sources", "local_source_meta", "local_fields", "local_field_meta", "local_entities", "local_data"),
-    "global": ("global_attributes", "attribute_mappings", "attribute_antimappings", "global_data", "global_synonyms", "new_attribute_suggestions"),
+    "names": ("field_grams", "attribute_grams"),
+    "tokens": ("field_tokens", "attribute_tokens", "attribute_token_idf"),
+    "values": ("field_values", "attribute_values"),
+    "numbers": ("field_moments", "attribute_moments"),
+    "scores": ("raw_scores", "composite_scores"),
+    "pairs": ("token_counts", "entity_counts", "inserted_tokens", "inserted_vectors", "inserted_numbers", "scored_pairs", "edges", "clusters"),
+    "categories": ("category_features", "entity_categories"),
+    "local": ("local_sources", "local_fields", "local_entities", "local_data"),
+    "global": ("attributes", "mappings", "rejected_mappings", "suggested_attributes", "synonyms"),
 }
 #: Configuration defaults.
 DEFAULTS = {
@@ -40,38 +41,56 @@ class StateStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
-    def _versions(self, name: str) -> list[int]:
+    def _names(self, folder: str) -> list[str]:
         fs, path = self._fs()
-        place = path(f"{self.root}/{name}")
-        if not fs.exists(place):
-            return []
-        found = [f.getPath() for f in fs.listStatus(place)]
-        return sorted(int(p.getName()[1:]) for p in found if p.getName().startswith("v") and fs.exists(path(f"{p.toString()}/_SUCCESS")))
+        place = path(folder)
+        return sorted(f.getPath().getName() for f in fs.listStatus(place)) if fs.exists(place) else []
+
+    def _versions(self, name: str, part: str) -> list[int]:
+        fs, path = self._fs()
+        folder = f"{self.root}/{name}/{part}"
+        return sorted(int(v[1:]) for v in self._names(folder) if v.startswith("v") and fs.exists(path(f"{folder}/{v}/_SUCCESS")))
+
+    def parts(self, name: str) -> list[str]:
+        return [p for p in self._names(f"{self.root}/{name}") if self._versions(name, p)]
 
     def exists(self, name: str) -> bool:
-        return bool(self._versions(name))
+        return bool(self.parts(name))
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/v{self._versions(name)[-1]}")
+    def read(self, name: str, *parts: str) -> DataFrame:
+        """The rows of a table, or of some of its parts."""
+        folders = [f"{self.root}/{name}/{p}/v{self._versions(name, p)[-1]}" for p in parts or self.parts(name)]
+        return self.spark.read.parquet(*folders)
 
-    def write(self, name: str, rows: DataFrame) -> DataFrame:
-        """Replaces the whole table; older versions but the last are removed."""
-        versions = self._versions(name)
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/v{versions[-1] + 1 if versions else 0}")
+    def put(self, name: str, part: str, rows: DataFrame) -> None:
+        """Replaces one part of a table."""
+        versions = self._versions(name, part)
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/{part}/v{versions[-1] + 1 if versions else 0}")
         fs, path = self._fs()
         for v in versions[:-1]:
-            fs.delete(path(f"{self.root}/{name}/v{v}"), True)
+            fs.delete(path(f"{self.root}/{name}/{part}/v{v}"), True)
+
+    def write(self, name: str, rows: DataFrame) -> DataFrame:
+        """Replaces the whole table by one part."""
+        others = [p for p in self.parts(name) if p != "all"]
+        self.put(name, "all", rows)
+        fs, path = self._fs()
+        for p in others:
+            fs.delete(path(f"{self.root}/{name}/{p}"), True)
         return self.read(name)
 
     def replace(self, name: str, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """Rows with the same keys are replaced by the new ones, others stay; writing the same rows twice changes nothing."""
+        """Rows with the same keys are replaced by the new ones, others stay: for small tables, as the whole is written."""
         if not self.exists(name):
             return self.write(name, rows)
         old = self.read(name)
         return self.write(name, old.join(rows.select(keys).distinct(), keys, "left_anti").select(old.columns).unionByName(rows, allowMissingColumns=True))
 
     def append(self, name: str, rows: DataFrame) -> DataFrame:
-        return self.write(name, self.read(name).unionByName(rows, allowMissingColumns=True) if self.exists(name) else rows)
+        """Adds the rows as a part of their own."""
+        taken = self.parts(name)
+        self.put(name, f"added{len(taken):06d}", rows)
+        return self.read(name)
 
     def clean(self, *modules: str) -> None:
         """Drops the tables of modules; without names those of all."""
@@ -80,15 +99,15 @@ class StateStore:
             fs.delete(path(f"{self.root}/{name}"), True)
 
     def unload_local(self) -> None:
-        self.clean("local", "qgrams", "ngrams", "mdl", "dist")
+        self.clean("local", "names", "tokens", "values", "numbers")
 
     def config(self) -> DataFrame:
         """(name, value) with defaults for what was never set."""
-        rows = self.spark.createDataFrame(sorted(DEFAULTS.items()), "name string, value string")
+        rows = self.spark.createDataFrame(sorted(DEFAULTS.items()), "name string, value string").withColumn("description", F.col("name"))
         return rows if not self.exists("configuration") else self.read("configuration").unionByName(rows.join(self.read("configuration"), "name", "left_anti"))
 
     def set_config(self, name: str, value: str) -> DataFrame:
-        return self.replace("configuration", self.spark.createDataFrame([(name, value)], "name string, value string"), ["name"])
+        return self.replace("configuration", self.spark.createDataFrame([(name, value, name)], "name string, value string, description string"), ["name"])
 
 
 def remove_source(table: DataFrame, entities: DataFrame, source_id: int, keys: tuple[str, ...] = ("entity_id",)) -> DataFrame:

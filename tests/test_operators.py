@@ -92,6 +92,7 @@ def test_match_probability(spark):
 def test_zero_fill(spark):
     pairs = spark.createDataFrame([("c", 1, 2)], "cat string, e1 long, e2 long")
     vecs = spark.createDataFrame([("c", 1, 1, "x", 1.0), ("c", 2, 1, "y", 1.0)], "cat string, entity_id long, att_id long, token string, w double")
+    vecs = scoring.packed_vectors(vecs)
     sims = scoring.text_similarities(pairs, vecs)
     assert [tuple(r) for r in scoring.zero_fill(pairs, sims, vecs.select("cat", "entity_id", "att_id")).collect()] == [("c", 1, 2, 1, 0.0)]
 
@@ -168,9 +169,19 @@ def test_state_store(spark, tmp_path):
     assert {tuple(r) for r in store.read("t").collect()} == {(1, "a"), (2, "c")}
     store.set_config("cat_k", "3")
     assert {r["name"]: r["value"] for r in store.config().collect()}["cat_k"] == "3"
-    store.write("local_qgrams", rows)
+    store.write("field_grams", rows)
     store.unload_local()
-    assert not store.exists("local_qgrams") and store.exists("t")
+    assert not store.exists("field_grams") and store.exists("t")
+    store.put("p", "source1", rows.where("source_id = 1"))
+    store.put("p", "source2", rows.where("source_id = 2"))
+    store.put("p", "source2", rows.where("source_id = 2"))
+    assert store.read("p").count() == 2 and store.read("p", "source1").count() == 1 and store.parts("p") == ["source1", "source2"]
+    store.append("p", rows)
+    assert store.read("p").count() == 4 and store.write("p", rows).count() == 2 and store.parts("p") == ["all"]
+    for name in ("inserted_vectors", "clusters", "edges"):
+        store.put(name, "source1", rows)
+    store.clean("pairs")
+    assert not any(map(store.exists, ("inserted_vectors", "clusters", "edges")))
 
 
 def test_label_sink(spark):
@@ -201,6 +212,41 @@ def test_incremental_source_is_idempotent(spark, tmp_path):
     assert {e for e, _ in again} == {e for e, _ in first} and store.read("edges").distinct().count() == store.read("edges").count()
 
 
+def test_all_sources(spark, tmp_path):
+    types = spark.createDataFrame([(1, "TEXT"), (2, "REAL")], "att_id long, type string")
+    features = spark.createDataFrame([("c", 1, None, None, 0.1, 0.1), ("c", 1, 0.0, 0.5, 0.1, 0.9), ("c", 1, 0.5, 1.1, 0.9, 0.001)], "cat string, att_id long, t1 double, t2 double, f_m double, f_u double")
+    limits = spark.createDataFrame([("c", 1, 0.1), ("c", 2, -1.0)], "cat string, att_id long, threshold double")
+    prior = spark.createDataFrame([("c", 0.5)], "cat string, dup_prob double")
+    entities = spark.createDataFrame([(i, i // 10) for i in range(20)], "entity_id long, source_id long")
+    cells = spark.createDataFrame([("c", i, 1, f"alpha{i % 10} beta{i % 10}") for i in range(20)], "cat string, entity_id long, att_id long, value string")
+    store = state.StateStore(spark, str(tmp_path / "all"))
+    got = incremental.add_all_sources(store, cells, features, limits, prior, types, entities, words, sample=100)
+    assert len({r["cluster_id"] for r in got.collect()}) == 10 and store.parts("edges") == ["source0", "source1"] and "sample" in store.parts("token_counts")
+
+
+def test_mapping_drivers(spark, tmp_path):
+    from tessella.operators import mapping
+
+    fields, attributes = model.fields(spark), model.attributes(spark)
+    cells = model.cells(spark, DATA)
+    gold = spark.createDataFrame([(12, 5), (13, 6), (14, 7), (15, 8)], "field_id long, tag_id long")
+    dictionary = spark.createDataFrame([(6, "STANDARD BRASS")], "global_id long, value string")
+    by_method, composite, votes = mapping.test_mapping(state.StateStore(spark, str(tmp_path / "map")), cells, fields, attributes, model.mappings(spark), dictionary, gold, [3], ("qgrams", "mdl"), words)
+    assert {r["method_name"] for r in by_method.collect()} <= {"qgrams", "mdl"} and composite.first()["total"] >= 4 and votes.count() == 1
+
+
+def test_sinks(spark):
+    answers = spark.createDataFrame([(1, 2, 80.0, True), (3, 4, 50.0, False)], "local_id long, global_id long, pct double, is_match boolean")
+    mapped, rejected = ingest.answer_rows(answers, 7)
+    assert mapped.first()["confidence"] == 0.8 and [tuple(r) for r in rejected.collect()] == [(3, 4, 7)]
+    proposed = ingest.suggestion_rows(spark.createDataFrame([(" COLOR ", 5, "?")], "name string, reference_field_id long, comment string"), "me").first()
+    assert proposed["name"] == "COLOR" and proposed["suggested_at"] is not None
+    staged = spark.createDataFrame([(1, "a", "X"), (1, "b", None)], "source_id long, name string, tag_code string")
+    data = spark.createDataFrame([(1, 1, "a", "v"), (1, 1, "b", "w")], "source_id long, entity_id long, name string, value string")
+    got, attributes, known = ingest.training_load(staged, data)
+    assert got.cells.count() == 2 and attributes.count() == 1 and known.count() == 1
+
+
 def test_stream_ingest(spark, tmp_path):
     from tessella.streaming import ingest as streaming
 
@@ -210,6 +256,10 @@ def test_stream_ingest(spark, tmp_path):
     for _ in range(2):
         streaming.ingest_stream(spark.readStream.schema(streaming.STAGED).json(str(place)), store, str(tmp_path / "check")).awaitTermination(120)
     assert store.read("local_data").count() == 2 and store.read("local_fields").count() == 1
+    spark.createDataFrame([(1, 5, "a", "another value"), (1, 7, "b", "z")], streaming.STAGED).write.mode("append").json(str(place))
+    streaming.ingest_stream(spark.readStream.schema(streaming.STAGED).json(str(place)), store, str(tmp_path / "check")).awaitTermination(120)
+    got = streaming.ingested(store)
+    assert sorted(r["value"] for r in got.cells.collect()) == ["another value", "x", "y", "z"] and got.fields.count() == 2 and got.entities.count() == 3
 
 
 def test_plans_push_filters_to_the_scan(spark):
