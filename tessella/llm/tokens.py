@@ -18,8 +18,8 @@ from .common import WordHasher
 
 #: White space beyond ASCII, before which a cut could change a token; texts that hold any of it are encoded whole.
 _WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_SLOTS = 1 << 21
-_POOL = 1 << 25
+_SLOTS = 1 << 20
+_POOL = 1 << 23
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -39,7 +39,7 @@ def _bytes_table(chars: bytes) -> np.ndarray:
 
 
 class Encoder:
-    """Token ids of whole texts, with a direct-mapped cache of bounded size (about 80 MB)."""
+    """Token ids of whole texts, with a direct-mapped cache of bounded size (about 40 MB)."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
