@@ -24,3 +24,15 @@ def ship_package(spark: SparkSession) -> None:
             out.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(place)
     _SHIPPED[app] = place
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which the driver and all executors share; only a local session may do without the setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tessella-")
+        spark.sparkContext.setCheckpointDir(root)
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")

@@ -492,7 +492,7 @@ def factor_knockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factoring.knockout_terms(model.fields(spark), model.affinity(spark), _synonyms(spark))
 
 
-#: The names without their terms, longest first, in SQL: the list above has four names with one term or two.
+#: The names without their terms, cut out from the longest on, in SQL.
 _KNOCKED = f"""{S_FIELDS}, {s_affinity()}, sy(global_id, synonym) AS (VALUES {", ".join(f"({a}::BIGINT, '{b}')" for a, b in _SYNONYMS)}),
 h AS (SELECT DISTINCT field_id, name, synonym FROM fields JOIN affinity ON field_id = local_id JOIN sy USING (global_id) WHERE contains(lower(name), lower(synonym))),
 o AS (SELECT field_id, name, list(synonym ORDER BY length(synonym) DESC, synonym) AS terms FROM h GROUP BY ALL),

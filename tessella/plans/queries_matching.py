@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import shared_folder
 from ..functions.aggregates import rank_first
 from ..operators import affinity as aff
 from ..operators import compose, distributions, mapping, mdl, meta_tree, name_qgrams, value_tokens
@@ -340,7 +341,7 @@ def raw_max_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store(spark: SparkSession) -> StateStore:
-    return StateStore(spark, f"{spark.conf.get('spark.checkpoint.dir', '/tmp/tessella-state')}/{uuid.uuid4().hex}")
+    return StateStore(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
 
 
 @query(f"WITH {_RAW} SELECT source_id, field_id, match_id, round(sum(score * score), 5) AS score FROM raw WHERE source_id = 3 AND field_id NOT IN (SELECT local_id FROM mappings) GROUP BY ALL")
