@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import shared_folder
+
 #: ASCII white space: space and U+0009 to U+000D. A word is a maximal run of other characters.
 SPACES = "\x20\x09-\x0d"
 WORD = re.compile(f"[^{SPACES}]+")
@@ -19,15 +20,8 @@ WORD = re.compile(f"[^{SPACES}]+")
 _LONG = 4096
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; only a local session may do without the setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="tessella-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which all executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
