@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship_package
-from . import embedding_dups, licenses, mixing, near_dups, packing, quality, token_files, topk, url_filter, warc
+from . import embedding_dups, licenses, mixing, near_dups, packing, quality, substrings, token_files, topk, url_filter, vector_codes, warc, whitening
 from .common import workspace
 
 
@@ -72,9 +72,44 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), "word_bpe_49k.json", 1, 4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_files, op3_source_mixing, op4_minhash_near_dedup, op5_warc_bundles, op6_exact_top_k, op7_license_scan, op8_url_filter, op9_embedding_near_dedup, op10_best_fit_packing)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+_OPERATORS = (op1_quality_classifier, op2_token_files, op3_source_mixing, op4_minhash_near_dedup, op5_warc_bundles, op6_exact_top_k, op7_license_scan, op8_url_filter, op9_embedding_near_dedup, op10_best_fit_packing)
+_NEW = (op11_embedding_whitening, op12_substring_dedup, op13_vector_codes)
+QUERIES = {f.__name__: f for f in (*_OPERATORS, *_NEW)}
+
+
+def _codes_sql() -> str:
+    """Two rounds of Lloyd's method over all parts, without bounds."""
+
+    def nearest(name: str, books: str) -> str:
+        square = "list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x)"
+        return f"{name} AS MATERIALIZED (SELECT r, part, min(({square})::BIGINT * 64 + entry) AS best FROM p JOIN {books} b USING (part) GROUP BY r, part)"
+
+    def moved(name: str, books: str, codes: str) -> str:
+        means = f"SELECT part, best % 64 AS entry, pos, floor(sum(x[pos]) / count(*)) AS mean FROM p JOIN {codes} USING (r, part), (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS pos) WHERE pos <= len(x) GROUP BY ALL"
+        return f"{name} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, b.x) AS x FROM {books} b LEFT JOIN (SELECT part, entry, list(mean ORDER BY pos) AS x FROM ({means}) GROUP BY ALL) m USING (part, entry))"
+
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, part, x[part * len(x) // 16 + 1 : (part + 1) * len(x) // 16] AS x FROM v, (SELECT unnest(range(16)) AS part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x FROM p WHERE r <= 64),
+{nearest("a0", "b0")}, {moved("b1", "b0", "a0")}, {nearest("a1", "b1")}, {moved("b2", "b1", "a1")}, {nearest("a2", "b2")},
+c AS (SELECT r, string_agg(format('{{:02x}}', best % 64), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM a2 GROUP BY r),
+s AS (SELECT sha256(string_agg(z, ',' ORDER BY part, entry)) AS sha FROM (SELECT part, entry, array_to_string(list_transform(x, lambda y: y::BIGINT::VARCHAR), ',') AS z FROM b2))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, sha AS codebooks_sha256 FROM v JOIN c USING (r), s"""
+
 
 def _license_sql() -> str:
     texts = ", ".join("({}, '{}', {}, '{}')".format(t, name, least, text.replace("'", "''")) for t, name, least, text in licenses.template_rows())
@@ -134,4 +169,13 @@ c AS (SELECT id, min(low) AS component_id FROM r GROUP BY id),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+    "op12_substring_dedup": """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+k AS MATERIALIZED (SELECT r, doc_id, i, array_to_string(w[i : i + 12], ' ') AS gram FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE doc_id IS NOT NULL)),
+m AS (SELECT gram, min(doc_id) AS least FROM k GROUP BY gram HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT r, i + j AS i FROM k JOIN m USING (gram), (SELECT unnest(range(13)) AS j) WHERE least < doc_id),
+u AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+n AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM u ANTI JOIN g USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (r)""",
+    "op13_vector_codes": _codes_sql(),
 }
