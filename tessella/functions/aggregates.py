@@ -47,5 +47,24 @@ def rank_first(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def first_rows(rows: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
-    """The first k rows of each key."""
+    """The first k rows of each key; k is small, so that Spark's group limit keeps k rows of a key in each task before the shuffle."""
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(keys).orderBy(*order))).where(F.col("_place") <= k).drop("_place")
+
+
+def first_by_hash(rows: DataFrame, keys: list[str], k: int, hashed: Column, *ties: Column) -> DataFrame:
+    """The k rows of each key with the smallest hashes, with their place among them from 1 on; hashed is hexadecimal (an MD5).
+
+    Rows are counted by the first four digits of their hash, with partial counts in each task; the running sums of these at most
+    65,536 counts of a key say which slots are whole, and what place a slot begins with. Only rows of one slot are sorted together, so
+    that neither a key nor a sample, whatever its size, meets in one task.
+    """
+    slotted = rows.withColumns({"_hash": hashed, "_slot": F.substring(hashed, 1, 4)})
+    slots = slotted.groupBy(*keys, "_slot").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = slots.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("_slot").alias("_at"), before.alias("_before")).where(F.col("_before") < k)
+    same = F.col("_slot") == F.col("_at")
+    for i, c in enumerate(keys):
+        same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy("_hash", *ties))
+    found = slotted.join(known, same).withColumn("place", place)
+    return found.where(F.col("place") <= k).select(*rows.columns, "place")

@@ -1,8 +1,8 @@
 """Duplicate candidates: statistics, TF-IDF vectors and pair generation within categories.
 
-cells (cat, entity_id, att_id, value) are mapped cells with the entity's category; tokens (cat, entity_id, att_id, token);
-vectors (cat, entity_id, att_id, token, w). Frequent tokens are dropped before any token join, which bounds its groups by
-the square root of the expected share of duplicates.
+cells (cat, entity_id, att_id, value) are mapped cells with the entity's category; terms (cat, entity_id, att_id, token, c) hold each
+token of an entity's attribute once, with its count; vectors (cat, entity_id, att_id, token, w). Frequent tokens are dropped
+before any token join, which bounds its groups by the square root of the expected share of duplicates.
 """
 
 from __future__ import annotations
@@ -12,17 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import first_rows, group_concat
+from ..functions.aggregates import first_by_hash, group_concat
 from ..functions.numeric import to_num
 from ..functions.text import stems
 from .vectors import unit
 
 NUMERIC_SHARE, TYPE_SAMPLE, BOOTSTRAP_SAMPLE = 0.9, 100_000, 50_000
+#: Entities of a token that one task pairs with as many others; a more frequent token is dealt into blocks of so many.
+BLOCK = 2048
 
 
 def attribute_types(cells: DataFrame, sample: int = TYPE_SAMPLE) -> DataFrame:
     """(att_id, type): REAL where more than 90 % of a sample of the attribute's values are numbers, else TEXT."""
-    chosen = first_rows(cells, ["att_id"], sample, F.md5(F.concat_ws("|", F.col("entity_id").cast("string"), "value")), F.col("entity_id"))
+    chosen = first_by_hash(cells, ["att_id"], sample, F.md5(F.concat_ws("|", F.col("entity_id").cast("string"), "value")), F.col("entity_id"))
     share = F.avg(to_num(F.col("value")).isNotNull().cast("double"))
     return chosen.groupBy("att_id").agg(F.when(share > NUMERIC_SHARE, "REAL").otherwise("TEXT").alias("type"))
 
@@ -32,23 +34,30 @@ def entity_values(cells: DataFrame, delimiter: str = " , ") -> DataFrame:
     return cells.groupBy("cat", "entity_id", "att_id").agg(group_concat(F.col("value"), delimiter).alias("value"))
 
 
-def entity_tokens(values: DataFrame, tokenizer: Callable[[Column], Column] = stems) -> DataFrame:
-    return values.select("cat", "entity_id", "att_id", F.explode(tokenizer(F.col("value"))).alias("token"))
+def entity_terms(values: DataFrame, tokenizer: Callable[[Column], Column] = stems) -> DataFrame:
+    """(cat, entity_id, att_id, token, c): each token of a value once; values has one row for each entity and attribute."""
+    tokens = values.select("cat", "entity_id", "att_id", F.explode(tokenizer(F.col("value"))).alias("token"))
+    return tokens.groupBy("cat", "entity_id", "att_id", "token").agg(F.count("*").alias("c"))
 
 
 def bootstrap_entities(cells: DataFrame, sample: int = BOOTSTRAP_SAMPLE, seed: str = "boot") -> DataFrame:
     """(cat, entity_id): a sample of entities of each category, by hash."""
-    return first_rows(cells.select("cat", "entity_id").distinct(), ["cat"], sample, F.md5(F.concat(F.lit(seed), F.col("entity_id").cast("string"))), F.col("entity_id"))
+    return first_by_hash(cells.select("cat", "entity_id").distinct(), ["cat"], sample, F.md5(F.concat(F.lit(seed), F.col("entity_id").cast("string"))), F.col("entity_id")).drop("place")
 
 
-def tag_frequency(tokens: DataFrame) -> DataFrame:
+def tag_frequency(terms: DataFrame) -> DataFrame:
     """(cat, att_id, entities)."""
-    return tokens.select("cat", "att_id", "entity_id").distinct().groupBy("cat", "att_id").agg(F.count("*").alias("entities"))
+    return terms.select("cat", "att_id", "entity_id").distinct().groupBy("cat", "att_id").agg(F.count("*").alias("entities"))
 
 
-def document_counts(tokens: DataFrame) -> DataFrame:
-    """(cat, att_id, token, docs)."""
-    return tokens.select("cat", "att_id", "token", "entity_id").distinct().groupBy("cat", "att_id", "token").agg(F.count("*").alias("docs"))
+def document_counts(terms: DataFrame) -> DataFrame:
+    """(cat, att_id, token, docs) of terms; one aggregation, as an entity's attribute holds a term once."""
+    return terms.groupBy("cat", "att_id", "token").agg(F.count("*").alias("docs"))
+
+
+def value_document_counts(values: DataFrame, tokenizer: Callable[[Column], Column] = stems) -> DataFrame:
+    """document_counts straight from values, one row for each entity and attribute: repeats go within the row, before any shuffle."""
+    return document_counts(values.select("cat", "att_id", F.explode(F.array_distinct(tokenizer(F.col("value")))).alias("token")))
 
 
 def merge_counts(state: DataFrame, fresh: DataFrame, keys: list[str], count: str) -> DataFrame:
@@ -79,11 +88,12 @@ def prune_by_prior(tokens: DataFrame, counts: DataFrame, tags: DataFrame, dup_pr
     return tokens.join(often, ["cat", "att_id", "token"], "left_anti")
 
 
-def vectors(tokens: DataFrame, idfs: DataFrame) -> DataFrame:
-    """(cat, entity_id, att_id, token, w): count * idf, of unit length for each category, entity and attribute."""
+def vectors(terms: DataFrame, idfs: DataFrame) -> DataFrame:
+    """(cat, entity_id, att_id, token, w): count * idf, of unit length for each category, entity and attribute; rows without c are counted."""
     keys = ["cat", "entity_id", "att_id"]
-    counts = tokens.groupBy(*keys, "token").agg(F.count("*").alias("c"))
-    return unit(counts.join(idfs, ["cat", "att_id", "token"]).select(*keys, "token", (F.col("c") * F.col("idf")).alias("w")), keys)
+    if "c" not in terms.columns:
+        terms = terms.groupBy(*keys, "token").agg(F.count("*").alias("c"))
+    return unit(terms.join(idfs, ["cat", "att_id", "token"]).select(*keys, "token", (F.col("c") * F.col("idf")).alias("w")), keys)
 
 
 def prefix_filter(vecs: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -106,18 +116,40 @@ def numbers(cells: DataFrame, types: DataFrame) -> DataFrame:
     return real.select("cat", "entity_id", "att_id", to_num(F.col("value")).alias("v")).where("v is not null")
 
 
-def token_pairs(vecs: DataFrame) -> DataFrame:
-    """(cat, e1, e2), e1 < e2, of entities that share a token of an attribute."""
-    keys = ["cat", "att_id", "token"]
-    left, right = vecs.select(*keys, F.col("entity_id").alias("e1")), vecs.select(*keys, F.col("entity_id").alias("e2"))
-    return left.join(right, keys).where("e1 < e2").select("cat", "e1", "e2").distinct()
+def _blocks(n: str, block: int) -> Column:
+    return F.ceil(F.col(n) / block).cast("int")
+
 
+def token_pairs(vecs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(cat, e1, e2), e1 < e2, of entities that share a token of an attribute.
 
-def token_pairs_two_way(fresh: DataFrame, state: DataFrame) -> DataFrame:
-    """(cat, e1, e2) of new entities e1 and earlier ones e2 that share a token."""
+    Tokens of one entity go first. The entities of a token are an array; those of a token with more than block of them are
+    dealt into blocks, and every two blocks meet in a task of their own. Pairs of an array are made in place, not by a join.
+    """
+    keys = ["cat", "att_id", "token"]
+    rows = vecs.select(*keys, "entity_id")
+    sizes = rows.groupBy(keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys, _blocks("n", block).alias("blocks"))
+    dealt = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("entity_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.struct(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("cell")
+    held = dealt.select(cell, F.struct("entity_id", "own").alias("e")).groupBy("cell").agg(F.array_sort(F.collect_list("e")).alias("es")).where(F.size("es") > 1)
+    first = held.select("cell", "es", F.posexplode("es").alias("at", "a")).where(F.col("at") < F.size("es") - 1)
+    both = first.select("cell", "a", F.explode(F.slice("es", F.col("at") + 2, F.size("es"))).alias("b"))
+    apart = (F.col("cell.i") == F.col("cell.j")) | (F.col("a.own") != F.col("b.own"))
+    return both.where(apart & (F.col("a.entity_id") < F.col("b.entity_id"))).select("cell.cat", F.col("a.entity_id").alias("e1"), F.col("b.entity_id").alias("e2")).distinct()
+
+
+def token_pairs_two_way(fresh: DataFrame, state: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(cat, e1, e2) of new entities e1 and earlier ones e2 that share a token; both sides of a frequent token are dealt into blocks."""
     keys = ["cat", "att_id", "token"]
-    left, right = fresh.select(*keys, F.col("entity_id").alias("e1")), state.select(*keys, F.col("entity_id").alias("e2"))
-    return left.join(right, keys).where("e1 <> e2").select("cat", "e1", "e2").distinct()
+    sizes = [rows.groupBy(keys).agg(F.count("*").alias(n)) for rows, n in ((fresh, "n1"), (state, "n2"))]
+    sizes = sizes[0].join(sizes[1], keys).select(*keys, _blocks("n1", block).alias("i"), _blocks("n2", block).alias("j"))
+
+    def side(rows: DataFrame, e: str, own: str, other: str) -> DataFrame:
+        dealt = rows.select(*keys, F.col("entity_id").alias(e)).join(sizes, keys)
+        return dealt.select(*keys, e, F.pmod(F.xxhash64(e), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+
+    return side(fresh, "e1", "i", "j").join(side(state, "e2", "j", "i"), [*keys, "i", "j"]).where("e1 <> e2").select("cat", "e1", "e2").distinct()
 
 
 def cosine_pairs(left: DataFrame, right: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -149,7 +181,7 @@ def candidates(cells: DataFrame, model_thresholds: DataFrame, dup_prob: DataFram
     """All candidate pairs of cells: extraction, counts, pruning, weights, prefixes, token and band joins."""
     keys = model_thresholds.select("cat", "att_id")
     text = entity_values(cells.join(F.broadcast(types.where("type = 'TEXT'").select("att_id")), "att_id", "left_semi").join(F.broadcast(keys), ["cat", "att_id"], "left_semi"))
-    tokens = entity_tokens(text, tokenizer)
-    counts, tags = document_counts(tokens), tag_frequency(tokens)
-    vecs = prefix_filter(vectors(prune_by_prior(tokens, counts, tags, dup_prob), idf(counts, tags)), model_thresholds)
+    terms = entity_terms(text, tokenizer).checkpoint()
+    counts, tags = document_counts(terms), tag_frequency(terms)
+    vecs = prefix_filter(vectors(prune_by_prior(terms, counts, tags, dup_prob), idf(counts, tags)), model_thresholds).checkpoint()
     return token_pairs(vecs).union(band_pairs(numbers(cells, types), model_thresholds)).distinct()

@@ -9,17 +9,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import first_rows
+from ..functions.aggregates import first_by_hash, first_rows
 from .vectors import unit
 
 ROUNDS, KEPT_FEATURES, MERGE_COSINE, JITTER = 10, 300, 0.5, 0.07
 
 
 def entity_sample(entities: DataFrame, size: int, seed: str = "cat") -> DataFrame:
-    """Entities whose hash falls below size / N: a Bernoulli sample that reruns repeat."""
-    n = entities.count()
-    share = min(1.0, size / max(1, n))
-    return entities.where(F.pmod(F.xxhash64("entity_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    """size entities with the smallest hashes (all, if there are fewer): a sample that reruns repeat."""
+    return first_by_hash(entities, [], size, F.md5(F.concat(F.lit(seed), F.col("entity_id").cast("string"))), F.col("entity_id")).drop("place")
 
 
 def tag_frequency(tokens: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.aggregates import first_by_hash
 from . import scoring
 
 FLOOR, MARGIN = 1e-9, 1e-4
@@ -21,8 +22,7 @@ KEY = ["cat", "att_id"]
 def random_pairs(entities: DataFrame, n: int, seed: str = "pairs") -> DataFrame:
     """(cat, e1, e2), e1 < e2: two orders by hash of each category's entities, aligned by place; at most n places of each."""
     def order(side: str) -> DataFrame:
-        place = Window.partitionBy("cat").orderBy(F.md5(F.concat(F.lit(f"{seed}{side}"), F.col("entity_id").cast("string"))), "entity_id")
-        return entities.select("cat", "entity_id", F.row_number().over(place).alias("place")).where(F.col("place") <= n)
+        return first_by_hash(entities.select("cat", "entity_id"), ["cat"], n, F.md5(F.concat(F.lit(f"{seed}{side}"), F.col("entity_id").cast("string"))), F.col("entity_id"))
 
     both = order("1").select("cat", "place", F.col("entity_id").alias("a")).join(order("2").select("cat", "place", F.col("entity_id").alias("b")), ["cat", "place"])
     return both.where("a <> b").select("cat", F.least("a", "b").alias("e1"), F.greatest("a", "b").alias("e2")).distinct()
@@ -174,9 +174,7 @@ def learn_from_clustering(known: DataFrame, sims: DataFrame, random_sims: DataFr
 
 def pair_similarities(pairs: DataFrame, vecs: DataFrame, nums: DataFrame) -> DataFrame:
     """(cat, e1, e2, att_id, sim) of pairs by packed token vectors and numbers, 0 where both have the attribute and share nothing."""
-    sims = scoring.text_similarities(pairs, vecs).unionByName(scoring.numeric_similarities(pairs, nums))
-    own = vecs.select("cat", "entity_id", "att_id").union(nums.select("cat", "entity_id", "att_id"))
-    return scoring.zero_fill(pairs, sims, own)
+    return scoring.similarities(pairs, vecs, nums)
 
 
 def populate_questions(entities: DataFrame, vecs: DataFrame, nums: DataFrame, types: DataFrame, candidates: Callable[[DataFrame], DataFrame], dup_prob: float, sample: int, budget: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:

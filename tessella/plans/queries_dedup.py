@@ -16,8 +16,8 @@ from . import model
 from .model import S_FIELDS, s_affinity, s_delimited, s_grams, s_words, table
 from .registry import query
 
-#: The prior is of the order of the share of pairs that are copies; the threshold is a cosine.
-PRIOR, TEXT_THRESHOLD, BAND = 0.0002, 0.8, 3.0
+#: The prior is the usual default; the threshold is a cosine.
+PRIOR, TEXT_THRESHOLD, BAND = 0.0005, 0.8, 3.0
 LANGS = ("de", "en", "es", "fr")
 #: (t1, t2, f_m, f_u) by attribute; the first row of each is the missing value.
 MODEL = {1: ((None, None, 0.01, 0.02), (0.0, 0.3, 0.05, 0.95), (0.3, 0.8, 0.15, 0.02999), (0.8, 1.000000001, 0.79, 0.00001)), 2: ((None, None, 0.02, 0.03), (-1e9, -100.0, 0.1, 0.8), (-100.0, 1e-9, 0.88, 0.17))}
@@ -77,32 +77,34 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.union(docs.select("lang", "doc_id", F.lit(2).cast("long"), F.col("n_chars").cast("string"))).where("value is not null")
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cand.entity_tokens(_cells(spark, sf_dir).where("att_id = 1"), words)
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir).where("att_id = 1")
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    tokens = _tokens(spark, sf_dir)
-    counts = cand.document_counts(tokens)
-    return tokens, counts, cand.tag_frequency(tokens)
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of all documents, written once: texts are split in no other plan."""
+    return cand.entity_terms(_texts(spark, sf_dir), words).checkpoint()
+
+
+def _counts(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return cand.document_counts(terms), cand.tag_frequency(terms)
 
 
 def _by_cat(spark: SparkSession, name: str, value: float) -> DataFrame:
     return spark.createDataFrame([(c, value) for c in LANGS], f"cat string, {name} double")
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens, counts, tags = _counts(spark, sf_dir)
-    return cand.vectors(tokens, cand.idf(counts, tags))
+def _vectors(terms: DataFrame) -> DataFrame:
+    return cand.vectors(terms, cand.idf(*_counts(terms)))
 
 
-def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.packed_vectors(_vectors(spark, sf_dir)).checkpoint()
+def _packed(terms: DataFrame) -> DataFrame:
+    return scoring.packed_vectors(_vectors(terms)).checkpoint()
 
 
-def _prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens, counts, tags = _counts(spark, sf_dir)
-    rare = cand.prune_by_prior(tokens, counts, tags, _by_cat(spark, "dup_prob", PRIOR))
+def _prefix(terms: DataFrame) -> DataFrame:
+    spark, (counts, tags) = terms.sparkSession, _counts(terms)
+    rare = cand.prune_by_prior(terms, counts, tags, _by_cat(spark, "dup_prob", PRIOR))
     thresholds = _by_cat(spark, "threshold", TEXT_THRESHOLD).withColumn("att_id", F.lit(1).cast("long"))
     return cand.prefix_filter(cand.vectors(rare, cand.idf(counts, tags)), thresholds)
 
@@ -115,8 +117,8 @@ def _band(spark: SparkSession) -> DataFrame:
     return _by_cat(spark, "threshold", -BAND).withColumn("att_id", F.lit(2).cast("long"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cand.token_pairs(_prefix(spark, sf_dir)).union(cand.band_pairs(_numbers(spark, sf_dir), _band(spark))).distinct().checkpoint()
+def _pairs(spark: SparkSession, sf_dir: str, terms: DataFrame) -> DataFrame:
+    return cand.token_pairs(_prefix(terms).checkpoint()).union(cand.band_pairs(_numbers(spark, sf_dir), _band(spark))).distinct().checkpoint()
 
 
 def _features(spark: SparkSession) -> DataFrame:
@@ -124,7 +126,8 @@ def _features(spark: SparkSession) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.score_pairs(_pairs(spark, sf_dir), _packed(spark, sf_dir), _numbers(spark, sf_dir), _features(spark), _by_cat(spark, "dup_prob", PRIOR))
+    terms = _terms(spark, sf_dir)
+    return scoring.score_pairs(_pairs(spark, sf_dir, terms), _packed(terms), _numbers(spark, sf_dir), _features(spark), _by_cat(spark, "dup_prob", PRIOR))
 
 
 # Categories. Sources stand for categories with known members, so that SQL can follow.
@@ -193,44 +196,44 @@ def attr_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S_COUNTS} SELECT * FROM tags")
 def tag_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counts(spark, sf_dir)[2]
+    return cand.tag_frequency(_terms(spark, sf_dir))
 
 
 @query(f"WITH {S_COUNTS} SELECT * FROM cnt")
 def token_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counts(spark, sf_dir)[1]
+    return cand.value_document_counts(_texts(spark, sf_dir), words)
 
 
 @query(f"WITH {S_COUNTS}, h AS (SELECT cat, att_id, token, count(DISTINCT entity_id)::BIGINT AS d FROM tok WHERE entity_id % 2 = 0 GROUP BY ALL UNION ALL SELECT cat, att_id, token, count(DISTINCT entity_id)::BIGINT FROM tok WHERE entity_id % 2 = 1 GROUP BY ALL) SELECT cat, att_id, token, sum(d)::BIGINT AS docs FROM h GROUP BY ALL")
 def token_freq_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = _tokens(spark, sf_dir)
-    return cand.merge_counts(cand.document_counts(tokens.where("entity_id % 2 = 0")), cand.document_counts(tokens.where("entity_id % 2 = 1")), ["cat", "att_id", "token"], "docs")
+    texts = _texts(spark, sf_dir)
+    return cand.merge_counts(*[cand.value_document_counts(texts.where(f"entity_id % 2 = {i}"), words) for i in (0, 1)], ["cat", "att_id", "token"], "docs")
 
 
 @query(f"WITH {S_IDF}, {_s_vectors('v', 'tok')} SELECT cat, entity_id, att_id, token, round(w, 6) AS w FROM v")
 def tfidf_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).withColumn("w", F.round("w", 6))
+    return _vectors(_terms(spark, sf_dir)).withColumn("w", F.round("w", 6))
 
 
 @query(f"WITH {S_COUNTS} SELECT cat, att_id, token, round(docs / entities::DOUBLE, 6) AS fraction FROM cnt JOIN tags USING (cat, att_id) WHERE docs / entities::DOUBLE >= 0.1")
 def freq_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, counts, tags = _counts(spark, sf_dir)
+    counts, tags = _counts(_terms(spark, sf_dir))
     return cand.frequent_tokens(counts, tags).withColumn("fraction", F.round("fraction", 6))
 
 
 @query(f"WITH {S_PREFIX} SELECT cat, entity_id, att_id, token, round(w, 6) AS w FROM pre")
 def prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prefix(spark, sf_dir).withColumn("w", F.round("w", 6))
+    return _prefix(_terms(spark, sf_dir)).withColumn("w", F.round("w", 6))
 
 
 @query(f"WITH {S_PREFIX} SELECT DISTINCT a.cat, a.entity_id AS e1, b.entity_id AS e2 FROM pre a JOIN pre b USING (cat, att_id, token) WHERE a.entity_id < b.entity_id")
 def cand_self(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cand.token_pairs(_prefix(spark, sf_dir))
+    return cand.token_pairs(_prefix(_terms(spark, sf_dir)).checkpoint())
 
 
 @query(f"WITH {S_PREFIX} SELECT DISTINCT a.cat, a.entity_id AS e1, b.entity_id AS e2 FROM pre a JOIN pre b USING (cat, att_id, token) WHERE a.entity_id % 10 = 0 AND b.entity_id % 10 <> 0")
 def cand_twoway(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _prefix(spark, sf_dir)
+    rows = _prefix(_terms(spark, sf_dir)).checkpoint()
     return cand.token_pairs_two_way(rows.where("entity_id % 10 = 0"), rows.where("entity_id % 10 <> 0"))
 
 
@@ -247,20 +250,19 @@ def cand_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Scoring.
 @query(f"WITH {S_SIMS} SELECT cat, e1, e2, att_id, round(sim, 6) AS sim FROM ts")
 def pair_text_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.text_similarities(_pairs(spark, sf_dir), _packed(spark, sf_dir)).withColumn("sim", F.round("sim", 6)).select("cat", "e1", "e2", "att_id", "sim")
+    terms = _terms(spark, sf_dir)
+    return scoring.text_similarities(_pairs(spark, sf_dir, terms), _packed(terms)).withColumn("sim", F.round("sim", 6)).select("cat", "e1", "e2", "att_id", "sim")
 
 
 @query(f"WITH {S_SIMS} SELECT cat, e1, e2, att_id, sim FROM ns")
 def pair_numeric_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.numeric_similarities(_pairs(spark, sf_dir), _numbers(spark, sf_dir)).select("cat", "e1", "e2", "att_id", "sim")
+    return scoring.numeric_similarities(_pairs(spark, sf_dir, _terms(spark, sf_dir)), _numbers(spark, sf_dir)).select("cat", "e1", "e2", "att_id", "sim")
 
 
 @query(f"WITH {S_SIMS} SELECT cat, e1, e2, att_id, round(sim, 6) AS sim FROM sims")
 def pair_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs, vecs, nums = _pairs(spark, sf_dir), _packed(spark, sf_dir), _numbers(spark, sf_dir)
-    sims = scoring.text_similarities(pairs, vecs).unionByName(scoring.numeric_similarities(pairs, nums))
-    own = vecs.select("cat", "entity_id", "att_id").union(nums.select("cat", "entity_id", "att_id"))
-    return scoring.zero_fill(pairs, sims, own).withColumn("sim", F.round("sim", 6))
+    terms = _terms(spark, sf_dir)
+    return scoring.similarities(_pairs(spark, sf_dir, terms), _packed(terms), _numbers(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"WITH {S_PROB} SELECT e1, e2, round(probability, 6) AS probability FROM prob")
@@ -540,9 +542,8 @@ def learn_pair_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cells = _one_category(spark, sf_dir)
-    tokens = cand.entity_tokens(cells.where("att_id = 1"), words)
-    vecs = cand.vectors(tokens, cand.idf(cand.document_counts(tokens), cand.tag_frequency(tokens)))
-    return scoring.packed_vectors(vecs).checkpoint(), cand.numbers(cells, _types(spark))
+    terms = cand.entity_terms(cells.where("att_id = 1"), words).checkpoint()
+    return _packed(terms), cand.numbers(cells, _types(spark))
 
 
 @query()
@@ -554,14 +555,22 @@ def learn_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.populate_questions(entities, vecs, nums, _types(spark), candidates, 0.01, 2000)[2]
 
 
-@query(f"WITH {S_PREFIX}, {_s_vectors('v', 'tok')} SELECT a.cat, a.entity_id AS e1, b.entity_id AS e2, round(sum(a.w * b.w), 6) AS sim FROM v a JOIN v b USING (cat, att_id, token) WHERE a.entity_id < b.entity_id AND a.cat = 'de' GROUP BY ALL HAVING sum(a.w * b.w) >= 0.5")
+@query(f"WITH {S_PREFIX}, {_s_vectors('v', 'tok')} SELECT a.cat, a.entity_id AS e1, b.entity_id AS e2, round(sum(a.w * b.w), 6) AS sim FROM v a JOIN v b USING (cat, att_id, token) WHERE a.entity_id < b.entity_id GROUP BY ALL HAVING sum(a.w * b.w) >= 0.5")
 def cand_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one category by their cosine itself."""
-    rows = _vectors(spark, sf_dir).where("cat = 'de'")
-    limits = spark.createDataFrame([("de", 1, 0.5)], "cat string, att_id long, threshold double")
+    """Pairs of all categories by their cosine itself."""
+    rows = _vectors(_terms(spark, sf_dir)).checkpoint()
+    limits = _by_cat(spark, "threshold", 0.5).withColumn("att_id", F.lit(1).cast("long"))
     return cand.cosine_pairs(rows, rows, limits).select("cat", "e1", "e2", F.round("sim", 6).alias("sim"))
 
 
+@query(f"WITH {S_PAIRS} SELECT cat, e1, e2 FROM pairs")
+def cand_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of the documents' cells in one call: attribute types, counts, pruning, prefixes, token and band joins."""
+    limits = _by_cat(spark, "threshold", TEXT_THRESHOLD).withColumn("att_id", F.lit(1).cast("long")).unionByName(_band(spark))
+    cells = _cells(spark, sf_dir)
+    return cand.candidates(cells, limits, _by_cat(spark, "dup_prob", PRIOR), cand.attribute_types(cells), words)
+
+
 @query(f"WITH {S_SIM} SELECT entity_id, field_id, value FROM pc WHERE entity_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)")
 def pairsim_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = table(spark, sf_dir, "supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("entity_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,8 @@ def query(sql: str | None = None):
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
         if sql is not None:
-            ORACLES[f.__name__] = sql.strip()
+            # Without the hint DuckDB would run a statement used twice once for each use.
+            ORACLES[f.__name__] = sql.strip() if "RECURSIVE" in sql else re.sub(r"\b(\w+) AS \(", r"\1 AS MATERIALIZED (", sql.strip())
         return f
 
     return add

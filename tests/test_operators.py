@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions.aggregates import first_by_hash
 from tessella.operators import affinity, candidates, categorize, clustering, compose, incremental, learning, mdl, meta_tree, name_qgrams, pairsim, scoring
 from tessella.operators.value_tokens import words
 from tessella.plans import model
@@ -281,3 +284,67 @@ def test_empty_tables(spark, empty):
     nothing = spark.createDataFrame([], "cat string, entity_id long, att_id long, value string")
     assert candidates.entity_values(nothing).isEmpty() and candidates.attribute_types(nothing).isEmpty()
     assert clustering.cluster(spark.createDataFrame([], "entity_id long, cluster_id long"), *[spark.createDataFrame([], "e1 long, e2 long")] * 2).isEmpty()
+
+
+@pytest.mark.parametrize("block", [2048, 3, 1])
+def test_token_pairs_are_dealt_into_blocks(spark, block):
+    rng = random.Random(block)
+    rows = sorted({("c" if i % 2 else None, e, a, t, 1.0) for i in range(400) for e, a, t in [(rng.randint(0, 40), rng.randint(1, 2), rng.choice("abcdefgh"))]}, key=repr)
+    vecs = spark.createDataFrame(rows, "cat string, entity_id long, att_id long, token string, w double")
+    held = {}
+    for cat, e, a, t, _ in rows:
+        held.setdefault((cat, a, t), set()).add(e)
+    want = {(k[0], x, y) for k, es in held.items() for x in es for y in es if x < y and k[0] is not None}
+    assert sorted(map(tuple, candidates.token_pairs(vecs, block).collect())) == sorted(want)
+    fresh, old = vecs.where("entity_id % 3 = 0"), vecs.where("entity_id % 3 <> 0")
+    two = {(k[0], x, y) for k, es in held.items() for x in es for y in es if x % 3 == 0 and y % 3 and k[0] is not None}
+    assert sorted(map(tuple, candidates.token_pairs_two_way(fresh, old, block).collect())) == sorted(two)
+    assert candidates.token_pairs(vecs.limit(0), block).isEmpty()
+
+
+@pytest.mark.parametrize(("pairs_of", "bytes_of"), [(200_000, 1 << 26), (20, 1 << 26), (200_000, 300)])
+def test_pair_facts_in_cells_of_any_size(spark, pairs_of, bytes_of):
+    rng = random.Random(8)
+    vecs, nums = {}, {}
+    for cat in ("c", "d"):
+        for e in range(30):
+            for a in (1, 2):
+                if rng.random() < 0.8:
+                    vecs[cat, e, a] = {rng.choice("abcdefghij"): rng.random() for _ in range(rng.randint(1, 5))}
+            for _ in range(rng.randint(0, 3)):
+                nums.setdefault((cat, e, 3), []).append(round(rng.uniform(-5, 5), 3))
+    pairs = sorted({(cat, x, y) for cat in ("c", "d") for _ in range(150) for x, y in [sorted((rng.randint(0, 33), rng.randint(0, 33)))] if x < y})
+    packed = scoring.packed_vectors(spark.createDataFrame([(*k, t, w) for k, v in vecs.items() for t, w in v.items()], "cat string, entity_id long, att_id long, token string, w double"))
+    numbers = spark.createDataFrame([(*k, v) for k, vs in nums.items() for v in vs], "cat string, entity_id long, att_id long, v double")
+    frame = spark.createDataFrame(pairs, "cat string, e1 long, e2 long")
+    want, shared = {}, set()
+    for cat, x, y in pairs:
+        for a in (1, 2):
+            v, w = vecs.get((cat, x, a)), vecs.get((cat, y, a))
+            if v and w:
+                want[cat, x, y, a] = sum(c * w.get(t, 0) for t, c in v.items())
+                if set(v) & set(w):
+                    shared.add((cat, x, y, a))
+        if (cat, x, 3) in nums and (cat, y, 3) in nums:
+            want[cat, x, y, 3] = max(-abs(p - q) for p in nums[cat, x, 3] for q in nums[cat, y, 3])
+    got = {(r["cat"], r["e1"], r["e2"], s["att_id"]): s["sim"] for r in scoring.pair_facts(frame, scoring.facts(packed, numbers), cell_pairs=pairs_of, cell_bytes=bytes_of).collect() for s in r["sims"]}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert {tuple(r)[:4] for r in scoring.text_similarities(frame, packed).collect()} == shared
+    features = spark.createDataFrame([("c", 1, None, None, 0.1, 0.5), ("c", 1, 0.0, 0.5, 0.3, 0.6), ("c", 1, 0.5, 9.0, 0.8, 0.1), ("c", 3, None, None, 0.2, 0.4), ("c", 3, -1.0, 0.1, 0.7, 0.2), ("d", 2, 0.1, 1.0, 0.4, None)], "cat string, att_id long, t1 double, t2 double, f_m double, f_u double")
+    prior = spark.createDataFrame([("c", 0.01), ("d", 0.2)], "cat string, dup_prob double")
+    sims = scoring.similarities(frame, packed, numbers).join(features.select("cat", "att_id").distinct(), ["cat", "att_id"], "left_semi")
+    plain = {tuple(r)[:2]: r["probability"] for r in scoring.probabilities(scoring.category_probabilities(frame, sims, features, prior)).collect()}
+    fused = {tuple(r)[:2]: r["probability"] for r in scoring.score_pairs(frame, packed, numbers, features, prior).collect()}
+    assert set(plain) == set(fused) and all(abs(plain[k] - fused[k]) < 1e-12 for k in plain)
+
+
+def test_samples_by_hash_equal_a_sort(spark):
+    rows = [(("a", "b", None)[i % 3], i // 2 % 150) for i in range(900)]
+    frame = spark.createDataFrame(rows, "k string, v long")
+    for k in (1, 7, 100, 5000):
+        hashed = F.md5(F.col("v").cast("string"))
+        got = first_by_hash(frame, ["k"], k, hashed, F.col("v")).collect()
+        for key in ("a", "b", None):
+            order = sorted((v for q, v in rows if q == key), key=lambda v: (hashlib.md5(str(v).encode()).hexdigest(), v))[:k]
+            assert [r["v"] for r in sorted((r for r in got if r["k"] == key), key=lambda r: r["place"])] == order
+    assert categorize.entity_sample(spark.range(500).select(F.col("id").alias("entity_id")), 120).count() == 120
