@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import WordHasher, mix64, settle
 
 WINDOW, GRAM = 13, 2
-CHUNK, BUCKET = 2 << 20, 16 << 20
+CHUNK, BUCKET = 2 << 20, 8 << 20
 LIMIT = 4 * BUCKET
 #: Windows of a super-k-mer at most: longer runs of a minimiser (periodic texts) are cut into several of the same bucket.
 RUN = 128
@@ -255,10 +255,12 @@ def smallest_owner(texts: list[bytes], low: np.ndarray) -> tuple[np.ndarray, np.
     raw, begin, end, own, hashes = window_spans(texts)
     order = np.lexsort((low[own], hashes))
     fresh = np.append(True, np.diff(hashes[order]) != 0)
-    a, b = begin[order].tolist(), end[order].tolist()
-    for i in np.flatnonzero(~fresh).tolist():
-        if raw[a[i] : b[i]] != raw[a[i - 1] : b[i - 1]]:
-            return _told_apart(raw, begin, end, own, low)
+    again = np.flatnonzero(~fresh)
+    for at in range(0, len(again), 65_536):
+        this, that = order[again[at : at + 65_536]], order[again[at : at + 65_536] - 1]
+        for a, b, c, d in zip(begin[this].tolist(), end[this].tolist(), begin[that].tolist(), end[that].tolist(), strict=True):
+            if raw[a:b] != raw[c:d]:
+                return _told_apart(raw, begin, end, own, low)
     heads = np.flatnonzero(fresh)
     least = np.empty(len(order), np.int64)
     least[order] = np.repeat(low[own[order[heads]]], np.diff(np.append(heads, len(order))))
