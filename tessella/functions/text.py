@@ -1,10 +1,9 @@
-"""Text functions: q-grams, stemmed tokens, substrings and filters, as column expressions or Arrow-batched UDFs."""
+"""Text functions: q-grams, substrings and filters, as column expressions or Arrow-batched UDFs; tokenizers are in tokens."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import pairwise
 
 import pandas as pd
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .stemmer import STOP_WORDS, stem
+from .tokens import stems, typed_stems, word_stems  # noqa: F401
 
 STRINGS = ArrayType(StringType())
 
@@ -73,55 +72,6 @@ def text_filter_terms(text: Column, terms: str) -> Column:
     return text_filter(text, F.lit(terms))
 
 
-_PARSER = re.compile(
-    r"""(?P<tag></?[A-Za-z][^<>]*>)|(?P<email>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)|(?P<url>(?:[a-z]+://)?(?:[\w-]+\.)+[a-z]{2,}(?:/[^\s<>"]*)?)|(?P<number>[+-]?\d+\.\d+(?:[eE][+-]?\d+)?)"""
-    r"""|(?P<hyphen>[^\W\d_]+(?:-[^\W_]+)+)|(?P<word>[^\W_]+)|(?P<blank>[\W_]+)""",
-    re.X,
-)
-#: Numbers of the default text-search parser's token types.
-ASCII_WORD, WORD, ALPHANUMERIC, EMAIL, URL, BLANK, TAG, FLOAT, HYPHENATED, INTEGER = 1, 2, 3, 4, 5, 12, 13, 20, 16, 22
-
-
-def parse_tokens(text: str) -> list[tuple[int, str]]:
-    """(type, token) of a text, an approximation of a text-search parser by one ordered pattern."""
-    out = []
-    for m in _PARSER.finditer(text):
-        kind, token = m.lastgroup, m[0]
-        if kind == "word":
-            number = INTEGER if token.isdigit() else ASCII_WORD if token.isascii() and token.isalpha() else WORD if token.isalpha() else ALPHANUMERIC
-            out.append((number, token))
-        elif kind == "hyphen":
-            out.append((HYPHENATED, token))
-            out += [(ASCII_WORD if p.isascii() and p.isalpha() else WORD if p.isalpha() else ALPHANUMERIC, p) for p in token.split("-")]
-        else:
-            out.append(({"tag": TAG, "email": EMAIL, "url": URL, "number": FLOAT, "blank": BLANK}[kind], token))
-    return out
-
-
-@lru_cache(1 << 17)
-def _lexeme(token: str) -> str:
-    low = token.lower()
-    return "" if low in STOP_WORDS else stem(low)
-
-
-@F.pandas_udf(STRINGS)
-def typed_stems(texts: pd.Series) -> pd.Series:
-    """Type number, two bars and stem of each token shorter than 2048 but blanks; a stop word's stem is empty."""
-    return texts.map(lambda t: [f"{k}||{_lexeme(x)}" for k, x in parse_tokens(t or "") if k != BLANK and len(x) < 2048])
-
-
-@F.pandas_udf(STRINGS)
-def stems(texts: pd.Series) -> pd.Series:
-    """Stems of tokens shorter than 200 but blanks; stop words are dropped."""
-    return texts.map(lambda t: [s for k, x in parse_tokens(t or "") if k != BLANK and len(x) < 200 and (s := _lexeme(x))])
-
-
-@F.pandas_udf(STRINGS)
-def word_stems(texts: pd.Series) -> pd.Series:
-    """Stems of the first 300 ASCII words shorter than 100; stop words are dropped after that limit."""
-    return texts.map(lambda t: [s for x in [x for k, x in parse_tokens(t or "") if k == ASCII_WORD and len(x) < 100][:300] if (s := _lexeme(x))])
-
-
 def _kind(char: str) -> str:
     """What a character is to the scan for boundaries: a delimiter, a digit, a plain small or capital letter, or other."""
     if not char.isalnum():

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import first_by_hash, group_concat
 from ..functions.numeric import to_num
-from ..functions.text import stems
-from .vectors import unit
+from ..functions.tokens import stems
+from .vectors import text_terms, unit
 
 NUMERIC_SHARE, TYPE_SAMPLE, BOOTSTRAP_SAMPLE = 0.9, 100_000, 50_000
 #: Entities of a token that one task pairs with as many others; a more frequent token is dealt into blocks of so many.
@@ -36,8 +36,7 @@ def entity_values(cells: DataFrame, delimiter: str = " , ") -> DataFrame:
 
 def entity_terms(values: DataFrame, tokenizer: Callable[[Column], Column] = stems) -> DataFrame:
     """(cat, entity_id, att_id, token, c): each token of a value once; values has one row for each entity and attribute."""
-    tokens = values.select("cat", "entity_id", "att_id", F.explode(tokenizer(F.col("value"))).alias("token"))
-    return tokens.groupBy("cat", "entity_id", "att_id", "token").agg(F.count("*").alias("c"))
+    return text_terms(values, ["cat", "entity_id", "att_id"], "value", tokenizer, "token")
 
 
 def bootstrap_entities(cells: DataFrame, sample: int = BOOTSTRAP_SAMPLE, seed: str = "boot") -> DataFrame:

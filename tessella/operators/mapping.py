@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import typed_stems
+from ..functions.tokens import typed_stems
 from ..sources.state import StateStore
 from . import affinity as aff
 from . import compose, distributions, mdl, name_qgrams, value_tokens

@@ -1,7 +1,7 @@
 """Matcher 2: TF-IDF cosine of value tokens.
 
 cells (source_id, field_id, entity_id, value), dictionary (global_id, value), affinity (local_id, global_id, affinity).
-The tokenizer is a function of a column to an array column.
+The tokenizer is a function of a column to an array column, or a StemTokenizer.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import typed_stems
-from .vectors import cosine, norms, term_counts, weighted
+from ..functions.tokens import typed_stems
+from .vectors import cosine, norms, text_terms, weighted
 
 
 def words(text: Column) -> Column:
@@ -22,14 +22,14 @@ def words(text: Column) -> Column:
 
 def local_tokens(cells: DataFrame, tokenizer: Callable[[Column], Column] = typed_stems) -> DataFrame:
     """(source_id, field_id, gram, c, tf) with tf the share of the field's tokens."""
-    counts = term_counts(cells, ["source_id", "field_id"], tokenizer(F.col("value")), "gram")
+    counts = text_terms(cells, ["source_id", "field_id"], "value", tokenizer, "gram")
     return _shares(counts, "field_id")
 
 
 def global_tokens(local: DataFrame, dictionary: DataFrame, affinity: DataFrame, tokenizer: Callable[[Column], Column] = typed_stems) -> DataFrame:
     """(global_id, gram, c, tf): token counts of mapped fields by affinity and of the attribute's dictionary, added up."""
     mapped = local.join(affinity, F.col("field_id") == F.col("local_id")).select("global_id", "gram", (F.col("c") * F.col("affinity")).alias("c"))
-    own = term_counts(dictionary, ["global_id"], tokenizer(F.col("value")), "gram").select("global_id", "gram", F.col("c").cast("double").alias("c"))
+    own = text_terms(dictionary, ["global_id"], "value", tokenizer, "gram").select("global_id", "gram", F.col("c").cast("double").alias("c"))
     return _shares(merge_counts(mapped, own), "global_id")
 
 

@@ -9,12 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tokens import StemTokenizer
+
 
 def term_counts(rows: DataFrame, keys: list[str], terms: Column, name: str = "term") -> DataFrame:
     """(keys, term, c) of an array column of terms."""
     return rows.select(*keys, F.explode(terms).alias(name)).groupBy(*keys, name).agg(F.count("*").alias("c"))
 
 
+def text_terms(rows: DataFrame, keys: list[str], text: str, tokenizer, name: str = "term") -> DataFrame:
+    """(keys, name, c) of a text column: by the tokenizer's own counts over whole tables, if it has any, else by its array column."""
+    if isinstance(tokenizer, StemTokenizer):
+        return tokenizer.counts(rows, keys, text, name)
+    return term_counts(rows, keys, tokenizer(F.col(text)), name)
+
+
 def weighted(vectors: DataFrame, idf: DataFrame, term: str) -> DataFrame:
     """vectors with w = tf * idf; terms without an idf are dropped."""
     return vectors.join(idf, term).withColumn("w", F.col("tf") * F.col("idf"))

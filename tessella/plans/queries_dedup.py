@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..functions.tokens import topic_stems
 from ..operators import candidates as cand
 from ..operators import categorize, clustering, factoring, learning, pairsim, scoring
 from ..operators.value_tokens import words
 from . import model
 from .model import S_FIELDS, s_affinity, s_delimited, s_grams, s_words, table
 from .registry import query
+from .token_sql import s_stems, s_typed
 
 #: The prior is the usual default; the threshold is a cosine.
 PRIOR, TEXT_THRESHOLD, BAND = 0.0005, 0.8, 3.0
@@ -528,6 +530,16 @@ def cat_top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return categorize.top_tokens(tokens, categorize.token_fractions(tokens), 5).select("entity_id", "token", F.round("fraction", 6).alias("fraction"))
 
 
+@query(f"""WITH {s_typed('t', 'documents', 'doc_id', 'text')}, {s_stems('d', 't')}, h AS (SELECT DISTINCT doc_id AS entity_id, stem AS token FROM t JOIN d USING (token) WHERE type <> 22 AND length(token) < 100 AND stem <> ''),
+fr AS (SELECT token, count(*) / (SELECT count(DISTINCT entity_id) FROM h)::DOUBLE AS fraction FROM h GROUP BY 1 HAVING fraction BETWEEN 0.001 AND 0.5)
+SELECT entity_id, token, round(fraction, 6) AS fraction FROM h JOIN fr USING (token) QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY fraction DESC, token) <= 5""")
+def cat_top_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each document's distinct stems of any type but unsigned numbers the five that most documents hold."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.lit(1).cast("long").alias("att_id"), "text")
+    stems = topic_stems.counts(texts, ["entity_id", "att_id"], "text", "token").checkpoint()
+    return categorize.top_tokens(stems, categorize.token_fractions(stems), 5).select("entity_id", "token", F.round("fraction", 6).alias("fraction"))
+
+
 def _one_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cells(spark, sf_dir).withColumn("cat", F.lit("all"))
 

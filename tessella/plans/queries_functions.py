@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as agg
-from ..functions import numeric, text
+from ..functions import numeric, text, tokens
 from ..sources import ingest, state
 from .model import s_delimited, table
+from .token_sql import s_stems, s_typed
 from .registry import query
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -108,20 +109,37 @@ def tok_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(text.text_filter(F.col("p_name"), F.lit("RE w"))).select(F.col("p_partkey").alias("id"))
 
 
-@query()
+def _s_tokens(source: str, text: str) -> str:
+    return f"{s_typed('t', source, '', text)}, {s_stems('d', 't')}"
+
+
+@query(f"WITH {_s_tokens('documents', 'text')} SELECT type::INTEGER AS type, token, count(*)::BIGINT AS n FROM t GROUP BY ALL")
+def tok_typed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.inline(tokens.typed_tokens(F.col("text"))))
+    return rows.groupBy("type", "token").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_s_tokens('documents', 'text')} SELECT stem, count(*)::BIGINT AS n FROM t JOIN d USING (token) WHERE stem <> '' AND length(token) < 200 GROUP BY ALL")
 def tok_stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.explode(text.stems(F.col("text"))).alias("stem"))
-    return rows.groupBy("stem").agg(F.count("*").alias("n"))
+    return tokens.stems.counts(table(spark, sf_dir, "documents"), [], "text", "stem").withColumnRenamed("c", "n")
 
 
-@query()
+@query(f"WITH {_s_tokens('documents', 'text')} SELECT type || '||' || stem AS token, count(*)::BIGINT AS n FROM t JOIN d USING (token) WHERE length(token) < 2048 GROUP BY ALL")
 def tok_typed_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.explode(text.typed_stems(F.concat_ws(" ", "p_name", "p_brand"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return tokens.typed_stems.counts(table(spark, sf_dir, "documents"), [], "text", "token").withColumnRenamed("c", "n")
 
 
-@query()
+@query(f"""WITH {s_typed('t', 'documents', 'doc_id', 'text')}, {s_stems('d', 't')}, f AS (SELECT doc_id, token FROM t WHERE type = 1 AND length(token) < 100 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY nth) <= 300)
+SELECT doc_id, stem, count(*)::BIGINT AS n FROM f JOIN d USING (token) WHERE stem <> '' GROUP BY ALL""")
 def tok_word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select(F.explode(text.word_stems(F.col("text"))).alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+    return tokens.word_stems.counts(table(spark, sf_dir, "documents"), ["doc_id"], "text", "stem").withColumnRenamed("c", "n")
+
+
+@query(f"WITH {_s_tokens('pages', 'html')} SELECT type::INTEGER AS type, stem, count(*)::BIGINT AS n FROM t JOIN d USING (token) GROUP BY ALL")
+def tok_page_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags, entities, urls and compounds of whole pages."""
+    counted = table(spark, sf_dir, "pages").select(F.inline(tokens.typed_tokens(F.col("html")))).groupBy("type", "token").agg(F.count("*").alias("n")).checkpoint()
+    return counted.join(tokens.dictionary(counted), "token").groupBy("type", "stem").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH RECURSIVE b AS (SELECT DISTINCT p_brand AS t FROM part), {s_delimited('d', 'b', 't')} SELECT t AS p_brand, piece FROM d")

@@ -16,6 +16,7 @@ from ..sources.state import StateStore
 from . import model
 from .model import MAPPINGS, S_ATTRIBUTES, S_CELLS, S_FIELDS, SURE, s_affinity, s_grams, s_words
 from .registry import query
+from .token_sql import s_stems, s_typed
 
 
 @query(f"WITH {s_affinity()} SELECT local_id, global_id, round(affinity, 6) AS affinity FROM affinity")
@@ -84,10 +85,16 @@ def name_qgrams_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _names(spark, SURE, mapping.chosen_fields(model.fields(spark), predicate="source_id = 3 and name like 'p_%e'")).withColumn("score", F.round("score", 6))
 
 
-def _token_sql() -> str:
+def _stem_source(out: str, source: str, keys: str, text: str) -> str:
+    """CTE out(keys, token): type number, two bars and stem of each token."""
+    k = ", ".join(keys.split())
+    return f"{s_typed(out + '_t', source, keys, text)}, {s_stems(out + '_s', out + '_t')}, {out} AS (SELECT {k}, type || '||' || stem AS token FROM {out}_t JOIN {out}_s USING (token) WHERE length(token) < 2048)"
+
+
+def _token_sql(tokens=s_words) -> str:
     return (
         f"{S_FIELDS}, {S_ATTRIBUTES}, {S_CELLS}, {s_affinity()}, dict AS (SELECT 6::BIGINT AS global_id, p_type AS value FROM part UNION ALL SELECT 1::BIGINT, n_name FROM nation), "
-        f"{s_words('lt', 'cells', 'source_id field_id', 'value')}, {s_words('dt', 'dict', 'global_id', 'value')}, "
+        f"{tokens('lt', 'cells', 'source_id field_id', 'value')}, {tokens('dt', 'dict', 'global_id', 'value')}, "
         "l0 AS (SELECT source_id, field_id, token AS gram, count(*)::BIGINT AS c FROM lt GROUP BY ALL), l AS (SELECT *, c / sum(c) OVER (PARTITION BY field_id)::DOUBLE AS tf FROM l0), "
         "g0 AS (SELECT global_id, gram, c * affinity AS c FROM l JOIN affinity ON field_id = local_id UNION ALL SELECT global_id, token, count(*)::DOUBLE FROM dt GROUP BY ALL), "
         "g1 AS (SELECT global_id, gram, sum(c) AS c FROM g0 GROUP BY ALL), g AS (SELECT *, c / sum(c) OVER (PARTITION BY global_id) AS tf FROM g1), "
@@ -124,7 +131,7 @@ def value_tokens_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"WITH {_token_sql(_stem_source)} SELECT field_id, global_id, round(score, 6) AS score FROM cs")
 def value_tokens_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir, value_tokens.typed_stems).withColumn("score", F.round("score", 6))
 

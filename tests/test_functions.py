@@ -7,7 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessella.functions import aggregates as agg
+from tessella.functions import aggregates as agg, tokens
 from tessella.functions import numeric, text
 from tessella.functions.stemmer import stem
 
@@ -58,6 +58,32 @@ def test_stems(spark):
     assert typed == ["1||", "1||run", "1||dog", "22||42", "1||", "1||"] and plain == ["run", "dog", "42"] and only == ["run", "dog"]
 
 
+def test_typed_tokens(spark):
+    rows = [
+        ("well-known x-1y été-là", [(16, "well-known"), (11, "well"), (11, "known"), (15, "x-1y"), (11, "x"), (9, "1y"), (17, "été-là"), (10, "été"), (10, "là")]),
+        ("http://example.com/a?q=1 foo.bar me@x.org", [(14, "http://"), (5, "example.com/a?q=1"), (6, "example.com"), (18, "/a?q=1"), (6, "foo.bar"), (4, "me@x.org")]),
+        ("-5 3.14 1.2.3 2.5e10 42 &amp; <b class='x'> a1 état", [(21, "-5"), (20, "3.14"), (8, "1.2.3"), (7, "2.5e10"), (22, "42"), (23, "&amp;"), (13, "<b class='x'>"), (3, "a1"), (2, "état")]),
+        ("", []),
+        (None, []),
+        (" ,;\n\t!", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i long, t string")
+    got = {r["i"]: [tuple(x) for x in r["x"]] for r in df.select("i", tokens.typed_tokens(F.col("t")).alias("x")).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
+    long = spark.createDataFrame([("a-" * 20_000 + "b",), ("x." * 20_000 + "com",), ("y" * 500_000,), ("<" * 5000,)], "t string")
+    assert long.select(F.size(tokens.typed_tokens(F.col("t"))).alias("n")).where("n > 0").count() == 3
+
+
+def test_dictionary_of_stems_equals_stems_of_texts(spark):
+    df = spark.createDataFrame([(1, "The runs running, a well-known run of 42 runners"), (2, "runs and Runs"), (3, None)], "k long, t string")
+    for f in (tokens.stems, tokens.typed_stems, tokens.word_stems, tokens.topic_stems):
+        want = {}
+        for r in df.select("k", F.explode(f(F.col("t"))).alias("x")).collect():
+            want[r["k"], r["x"]] = want.get((r["k"], r["x"]), 0) + 1
+        assert {(r["k"], r["x"]): r["c"] for r in f.counts(df, ["k"], "t", "x").collect()} == want
+    assert ("42" not in {r["x"] for r in tokens.topic_stems.counts(df, ["k"], "t", "x").collect()}) and tokens.stems.counts(df.limit(0), ["k"], "t").isEmpty()
+
+
 def test_identifier():
     assert text.check_identifier("a.b_1") == "`a`.`b_1`"
     with pytest.raises(ValueError):
