@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from ..functions.tokens import topic_stems
 from ..operators import candidates as cand
+from ..operators.affinity import affinities
 from ..operators import categorize, clustering, factoring, learning, pairsim, scoring
 from ..operators.value_tokens import words
-from . import model
-from .model import S_FIELDS, s_affinity, s_delimited, s_grams, s_words, table
+from . import catalog, model
+from .model import s_delimited, s_grams, s_words, table
 from .registry import query
 from .token_sql import s_stems, s_typed
 
@@ -483,44 +484,37 @@ def pairsim_overall_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Factoring of field names.
-_SYNONYMS = ((1, "name"), (2, "key"), (2, "nation"), (3, "bal"), (4, "mkt"), (6, "type"), (7, "p_"))
+_S_KNOWN = f"{catalog.S_FIELDS}, {catalog.S_ATTRIBUTES}, {catalog.S_AFFINITY}, {catalog.S_SYNONYMS}, h AS (SELECT DISTINCT field_id, name, synonym FROM fields JOIN affinity ON field_id = local_id JOIN sy USING (global_id) WHERE contains(lower(name), lower(synonym)))"
 
 
-def _synonyms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_SYNONYMS, "global_id long, synonym string")
+def _knockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factoring.knockout_terms(catalog.fields(spark, sf_dir), affinities(catalog.mappings(spark, sf_dir)), catalog.synonyms(spark, sf_dir))
 
 
-@query(f"""WITH {S_FIELDS}, {s_affinity()}, sy(global_id, synonym) AS (VALUES {", ".join(f"({a}::BIGINT, '{b}')" for a, b in _SYNONYMS)}),
-h AS (SELECT DISTINCT field_id, name, synonym FROM fields JOIN affinity ON field_id = local_id JOIN sy USING (global_id) WHERE contains(lower(name), lower(synonym))) SELECT field_id, name, string_agg(synonym, ',' ORDER BY synonym) AS terms FROM h GROUP BY ALL""")
+@query(f"WITH {_S_KNOWN} SELECT field_id, name, string_agg(synonym, ',' ORDER BY synonym) AS terms FROM h GROUP BY ALL")
 def factor_knockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factoring.knockout_terms(model.fields(spark), model.affinity(spark), _synonyms(spark))
+    return _knockouts(spark, sf_dir)
 
 
 #: The names without their terms, cut out from the longest on, in SQL.
-_KNOCKED = f"""{S_FIELDS}, {s_affinity()}, sy(global_id, synonym) AS (VALUES {", ".join(f"({a}::BIGINT, '{b}')" for a, b in _SYNONYMS)}),
-h AS (SELECT DISTINCT field_id, name, synonym FROM fields JOIN affinity ON field_id = local_id JOIN sy USING (global_id) WHERE contains(lower(name), lower(synonym))),
-o AS (SELECT field_id, name, list(synonym ORDER BY length(synonym) DESC, synonym) AS terms FROM h GROUP BY ALL),
+_KNOCKED = f"""{_S_KNOWN}, o AS (SELECT field_id, name, list(synonym ORDER BY length(synonym) DESC, synonym) AS terms FROM h GROUP BY ALL),
 kn AS (SELECT field_id, name AS rest, terms FROM o UNION ALL SELECT field_id, CASE WHEN instr(lower(rest), lower(terms[1])) > 0 THEN substr(rest, 1, instr(lower(rest), lower(terms[1])) - 1) || substr(rest, instr(lower(rest), lower(terms[1])) + length(terms[1])) ELSE rest END, terms[2:] FROM kn WHERE len(terms) > 0),
 k AS (SELECT field_id, rest FROM kn WHERE len(terms) = 0), {s_delimited("d", "k", "rest")}"""
 
 
 @query(f"WITH RECURSIVE {_KNOCKED} SELECT field_id, piece AS token FROM k JOIN d USING (rest)")
 def factor_leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factoring.leftovers(factoring.knockouts(factoring.knockout_terms(model.fields(spark), model.affinity(spark), _synonyms(spark))))
+    return factoring.leftovers(factoring.knockouts(_knockouts(spark, sf_dir)))
 
 
-_TERMS = (("acct", "ACCOUNT"), ("s", "SUPPLIER"), ("segment", "SEGMENT"))
-
-
-@query(f"WITH RECURSIVE {_KNOCKED}, tm(token, pterm) AS (VALUES {', '.join(map(str, _TERMS))}) SELECT field_id, piece AS token, pterm FROM k JOIN d USING (rest) JOIN tm ON token = piece")
+@query(f"WITH RECURSIVE {_KNOCKED}, {catalog.S_TERMS} SELECT field_id, piece AS token, pterm FROM k JOIN d USING (rest) JOIN tm ON token = piece")
 def factor_hidden_gems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = factoring.leftovers(factoring.knockouts(factoring.knockout_terms(model.fields(spark), model.affinity(spark), _synonyms(spark))))
-    return factoring.hidden_gems(left, spark.createDataFrame(_TERMS, "token string, pterm string"))
+    return factoring.hidden_gems(factoring.leftovers(factoring.knockouts(_knockouts(spark, sf_dir))), catalog.terms(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {S_FIELDS}, {s_delimited('d', 'fields', 'name')} SELECT field_id, piece FROM fields JOIN d USING (name)")
+@query(f"WITH RECURSIVE {catalog.S_FIELDS}, {s_delimited('d', 'fields', 'name')} SELECT field_id, piece FROM fields JOIN d USING (name)")
 def tok_delimited_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.fields(spark).select("field_id", F.explode(fx.delimited(F.col("name"))).alias("piece"))
+    return catalog.fields(spark, sf_dir).select("field_id", F.explode(fx.delimited(F.col("name"))).alias("piece"))
 
 
 # Category tokens, similarities of random pairs, questions.

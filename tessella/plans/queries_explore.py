@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clustering, compose, explore, mdl
 from ..operators import affinity as aff
-from . import model
+from . import catalog, model
 from .model import S_ATTRIBUTES, S_CELLS, S_FIELDS, s_affinity, table
 from .queries_matching import _PIVOT, _RAW, _composite, _raw
 from .registry import query
@@ -19,17 +19,10 @@ def _clustering(cells: DataFrame) -> DataFrame:
     return cells.where("source_id in (2, 4)").select("entity_id", (F.col("entity_id") - F.col("entity_id") % 3).alias("cluster_id")).distinct()
 
 
-def _sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s, t) for s, t, _, _ in model.SOURCES], "source_id long, local_id string")
-
-
-_S_SOURCES = "src(source_id, local_id) AS (VALUES " + ", ".join(f"({s}::BIGINT, '{t}')" for s, t, _, _ in model.SOURCES) + ")"
-
-
-@query(f"""WITH {S_FIELDS}, {s_affinity()}, {_S_SOURCES} SELECT source_id, local_id, count(*) AS n_fields, (count(*) FILTER (field_id IN (SELECT mappings.local_id FROM mappings))) AS n_mapped,
+@query(f"""WITH {catalog.S_FIELDS}, {catalog.S_ATTRIBUTES}, {catalog.S_AFFINITY} SELECT source_id, local_id, count(*) AS n_fields, (count(*) FILTER (field_id IN (SELECT mappings.local_id FROM mappings))) AS n_mapped,
 round((count(*) FILTER (field_id IN (SELECT mappings.local_id FROM mappings))) / count(*)::DOUBLE, 6) AS ratio FROM fields JOIN src USING (source_id) GROUP BY ALL""")
 def explore_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.sources(_sources(spark), model.fields(spark), model.mappings(spark)).withColumn("ratio", F.round("ratio", 6))
+    return explore.sources(catalog.sources(spark, sf_dir), catalog.fields(spark, sf_dir), catalog.mappings(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("WITH d AS (SELECT o_orderdate AS date_added, count(*) AS sources FROM orders GROUP BY 1) SELECT date_added, sources, row_number() OVER (ORDER BY date_added) AS place FROM d QUALIFY place > (SELECT count(*) FROM d) - 25")
@@ -61,19 +54,15 @@ def explore_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.field_candidates(model.attributes(spark), composed, 16).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {S_FIELDS} SELECT field_id, name FROM fields WHERE lower(name) LIKE '%nation%'")
+@query(f"WITH {catalog.S_FIELDS} SELECT field_id, name FROM fields WHERE lower(name) LIKE '%standard%'")
 def explore_fields_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.fields_by_name(model.fields(spark), "Nation", False).select("field_id", "name")
-
-
-_MINE = "mine AS (SELECT local_id FROM mappings WHERE local_id % 2 = 0), rejected(local_id) AS (VALUES (1::BIGINT), (3::BIGINT))"
+    return explore.fields_by_name(catalog.fields(spark, sf_dir), "Standard", False).select("field_id", "name")
 
 
-@query(f"WITH {S_FIELDS}, {s_affinity()}, {_MINE} SELECT field_id, name FROM fields WHERE field_id NOT IN (SELECT local_id FROM mine) AND field_id NOT IN (SELECT local_id FROM rejected)")
+@query(f"""WITH {catalog.S_FIELDS}, {catalog.S_ATTRIBUTES}, {catalog.S_AFFINITY}, {catalog.S_REJECTED} SELECT field_id, name FROM fields
+WHERE field_id NOT IN (SELECT local_id FROM mappings WHERE who_created = 7) AND field_id NOT IN (SELECT local_id FROM rejected WHERE who_created = 7)""")
 def explore_unanswered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine = model.mappings(spark).withColumn("who_created", F.when(F.col("local_id") % 2 == 0, 7).otherwise(8))
-    anti = spark.createDataFrame([(1, 7), (3, 7), (2, 9)], "local_id long, who_created int")
-    return explore.unanswered(model.fields(spark), mine, anti, 7).select("field_id", "name")
+    return explore.unanswered(catalog.fields(spark, sf_dir), catalog.mappings(spark, sf_dir), catalog.rejections(spark, sf_dir), 7).select("field_id", "name")
 
 
 @query(f"WITH {S_CELLS}, d AS (SELECT DISTINCT field_id, value FROM cells) SELECT field_id, value FROM d QUALIFY row_number() OVER (PARTITION BY field_id ORDER BY md5('examples' || value), value) <= 3")
@@ -164,19 +153,19 @@ def explore_source_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.source_entities(model.cells(spark, sf_dir), 4, 10).select("entity_id", F.size("cells").cast("long").alias("n"))
 
 
-@query(f"WITH {_S_SOURCES} SELECT source_id, local_id FROM src ORDER BY source_id LIMIT 3")
+@query(f"WITH {catalog.S_SOURCES} SELECT source_id, local_id FROM src ORDER BY source_id LIMIT 3")
 def explore_source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.source_list(_sources(spark), 3)
+    return explore.source_list(catalog.sources(spark, sf_dir), 3)
 
 
-@query(f"WITH {_S_SOURCES} SELECT local_id FROM src WHERE source_id = 2")
+@query(f"WITH {catalog.S_SOURCES} SELECT local_id FROM src WHERE source_id = 2")
 def explore_source_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.source_name(_sources(spark), 2)
+    return explore.source_name(catalog.sources(spark, sf_dir), 2)
 
 
-@query(f"WITH {S_ATTRIBUTES} SELECT global_id, name FROM attributes")
+@query(f"WITH {catalog.S_ATTRIBUTES} SELECT global_id, name FROM attributes")
 def explore_global_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.global_attributes(model.attributes(spark))
+    return explore.global_attributes(catalog.attributes(spark, sf_dir))
 
 
 @query(f"""WITH {S_CELLS}, {S_FIELDS}, pr AS (SELECT field_id, count(value) AS n_values, round(1 - count(DISTINCT value) / count(value)::DOUBLE, 2) AS f, avg(length(value)) AS l FROM cells GROUP BY 1)

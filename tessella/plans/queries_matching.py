@@ -13,30 +13,37 @@ from ..functions.aggregates import rank_first
 from ..operators import affinity as aff
 from ..operators import compose, distributions, mapping, mdl, meta_tree, name_qgrams, value_tokens
 from ..sources.state import StateStore
-from . import model
+from . import catalog, model
 from .model import MAPPINGS, S_ATTRIBUTES, S_CELLS, S_FIELDS, SURE, s_affinity, s_grams, s_words
 from .registry import query
 from .token_sql import s_stems, s_typed
 
 
-@query(f"WITH {s_affinity()} SELECT local_id, global_id, round(affinity, 6) AS affinity FROM affinity")
+_CATALOG = f"{catalog.S_FIELDS}, {catalog.S_ATTRIBUTES}, {catalog.S_AFFINITY}"
+
+
+@query(f"WITH {_CATALOG} SELECT local_id, global_id, round(affinity, 6) AS affinity FROM affinity")
 def affinity_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.affinity(spark).withColumn("affinity", F.round("affinity", 6))
+    return aff.affinities(catalog.mappings(spark, sf_dir)).withColumn("affinity", F.round("affinity", 6))
 
 
-@query(f"WITH {s_affinity()} SELECT local_id, global_id, round(affinity, 6) AS affinity FROM affinity a WHERE affinity = (SELECT max(affinity) FROM affinity b WHERE b.local_id = a.local_id)")
+@query(f"WITH {_CATALOG} SELECT local_id, global_id, round(affinity, 6) AS affinity FROM affinity a WHERE affinity = (SELECT max(affinity) FROM affinity b WHERE b.local_id = a.local_id)")
 def affinity_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aff.max_affinities(model.mappings(spark)).withColumn("affinity", F.round("affinity", 6))
+    return aff.max_affinities(catalog.mappings(spark, sf_dir)).withColumn("affinity", F.round("affinity", 6))
 
 
-@query(f"WITH {s_affinity()} SELECT local_id, global_id, round(affinity, 6) AS affinity FROM affinity WHERE affinity >= 0.5")
+@query(f"WITH {_CATALOG} SELECT local_id, global_id, round(affinity, 6) AS affinity FROM affinity WHERE affinity >= 0.5")
 def training_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aff.training_mappings(model.mappings(spark)).withColumn("affinity", F.round("affinity", 6))
+    return aff.training_mappings(catalog.mappings(spark, sf_dir)).withColumn("affinity", F.round("affinity", 6))
+
 
+def _model_sql(rows=MAPPINGS) -> str:
+    return f"{S_FIELDS}, {S_ATTRIBUTES}, {s_affinity(rows)}"
 
-def _name_sql(rows) -> str:
+
+def _name_sql(known: str) -> str:
     return (
-        f"{S_FIELDS}, {S_ATTRIBUTES}, {s_affinity(rows)}, {s_grams('lg', 'fields', 'source_id field_id', 'name')}, {s_grams('ag', 'attributes', 'global_id', 'name')}, "
+        f"{known}, {s_grams('lg', 'fields', 'source_id field_id', 'name')}, {s_grams('ag', 'attributes', 'global_id', 'name')}, "
         "l AS (SELECT source_id, field_id, gram, count(*)::BIGINT AS c, ln(1 + count(*)) AS tf FROM lg GROUP BY ALL), "
         "gm AS (SELECT global_id, gram, sum(c * affinity) AS c FROM l JOIN affinity ON field_id = local_id GROUP BY ALL), own AS (SELECT global_id, gram, count(*)::DOUBLE AS c FROM ag GROUP BY ALL), "
         "g AS (SELECT *, ln(1 + c) AS tf FROM (SELECT * FROM gm UNION ALL SELECT * FROM own WHERE NOT EXISTS (SELECT 1 FROM gm WHERE gm.global_id = own.global_id AND gm.gram = own.gram))), "
@@ -48,41 +55,45 @@ def _name_sql(rows) -> str:
     )
 
 
-@query(f"WITH {_name_sql(SURE)} SELECT source_id, field_id, gram, c, round(tf, 6) AS tf FROM l")
+@query(f"WITH {_name_sql(_CATALOG)} SELECT source_id, field_id, gram, c, round(tf, 6) AS tf FROM l")
 def name_qgrams_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_qgrams.local_grams(model.fields(spark)).withColumn("tf", F.round("tf", 6))
+    return name_qgrams.local_grams(catalog.fields(spark, sf_dir)).withColumn("tf", F.round("tf", 6))
 
 
-@query(f"WITH {_name_sql(MAPPINGS)} SELECT global_id, gram, round(c, 6) AS c, round(tf, 6) AS tf FROM g")
+@query(f"WITH {_name_sql(_CATALOG)} SELECT global_id, gram, round(c, 6) AS c, round(tf, 6) AS tf FROM g")
 def name_qgrams_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = name_qgrams.global_grams(name_qgrams.local_grams(model.fields(spark)), model.attributes(spark), model.affinity(spark))
+    rows = name_qgrams.global_grams(name_qgrams.local_grams(catalog.fields(spark, sf_dir)), catalog.attributes(spark, sf_dir), _affinity(spark, sf_dir))
     return rows.select("global_id", "gram", F.round("c", 6).alias("c"), F.round("tf", 6).alias("tf"))
 
 
-@query(f"WITH {_name_sql(SURE)} SELECT gram, round(idf, 6) AS idf FROM idf")
+@query(f"WITH {_name_sql(_CATALOG)} SELECT gram, round(idf, 6) AS idf FROM idf")
 def name_qgrams_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    local = name_qgrams.local_grams(model.fields(spark))
-    glob = name_qgrams.global_grams(local, model.attributes(spark), model.affinity(spark, SURE))
-    return name_qgrams.gram_idf(local, glob, model.attributes(spark)).withColumn("idf", F.round("idf", 6))
+    local = name_qgrams.local_grams(catalog.fields(spark, sf_dir))
+    glob = name_qgrams.global_grams(local, catalog.attributes(spark, sf_dir), _affinity(spark, sf_dir))
+    return name_qgrams.gram_idf(local, glob, catalog.attributes(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
+
+
+def _affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aff.affinities(catalog.mappings(spark, sf_dir))
 
 
-def _names(spark: SparkSession, rows=SURE, wanted: DataFrame | None = None) -> DataFrame:
-    return name_qgrams.scores(model.fields(spark), model.attributes(spark), model.affinity(spark, rows), wanted)
+def _names(spark: SparkSession, sf_dir: str, wanted: DataFrame | None = None) -> DataFrame:
+    return name_qgrams.scores(catalog.fields(spark, sf_dir), catalog.attributes(spark, sf_dir), _affinity(spark, sf_dir), wanted)
 
 
-@query(f"WITH {_name_sql(SURE)} SELECT field_id, global_id, round(score, 6) AS score FROM cs")
+@query(f"WITH {_name_sql(_CATALOG)} SELECT field_id, global_id, round(score, 6) AS score FROM cs")
 def name_qgrams_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _names(spark).withColumn("score", F.round("score", 6))
+    return _names(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_name_sql(SURE)} SELECT field_id, global_id, round(score, 6) AS score FROM cs WHERE field_id NOT IN (SELECT local_id FROM mappings)")
+@query(f"WITH {_name_sql(_CATALOG)} SELECT field_id, global_id, round(score, 6) AS score FROM cs WHERE field_id NOT IN (SELECT local_id FROM mappings)")
 def name_qgrams_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _names(spark, SURE, mapping.chosen_fields(model.fields(spark), model.mappings(spark, SURE))).withColumn("score", F.round("score", 6))
+    return _names(spark, sf_dir, mapping.chosen_fields(catalog.fields(spark, sf_dir), catalog.mappings(spark, sf_dir))).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {_name_sql(SURE)} SELECT field_id, global_id, round(score, 6) AS score FROM cs WHERE field_id IN (SELECT field_id FROM fields WHERE source_id = 3 AND name LIKE 'p_%e')")
+@query(f"WITH {_name_sql(_CATALOG)} SELECT field_id, global_id, round(score, 6) AS score FROM cs WHERE field_id IN (SELECT field_id FROM fields WHERE source_id < 10 AND name LIKE '%standard%')")
 def name_qgrams_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _names(spark, SURE, mapping.chosen_fields(model.fields(spark), predicate="source_id = 3 and name like 'p_%e'")).withColumn("score", F.round("score", 6))
+    return _names(spark, sf_dir, mapping.chosen_fields(catalog.fields(spark, sf_dir), predicate="source_id < 10 and name like '%standard%'")).withColumn("score", F.round("score", 6))
 
 
 def _stem_source(out: str, source: str, keys: str, text: str) -> str:
@@ -228,14 +239,14 @@ def dist_pvalue_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounded scores of the four matchers as one table of results."""
     cells = model.cells(spark, sf_dir)
-    scored = {"qgrams": _names(spark, MAPPINGS), "mdl": mdl.scores(*_mdl(spark, sf_dir)), "ngrams": _tokens(spark, sf_dir), "dist": distributions.scores(cells, model.affinity(spark))}
+    scored = {"qgrams": name_qgrams.scores(model.fields(spark), model.attributes(spark), model.affinity(spark)), "mdl": mdl.scores(*_mdl(spark, sf_dir)), "ngrams": _tokens(spark, sf_dir), "dist": distributions.scores(cells, model.affinity(spark))}
     rows = compose.raw_results(model.fields(spark), **{k: v.withColumn("score", F.round("score", 6)) for k, v in scored.items()})
     return rows.where("method_name <> 'dist' or score > 0")
 
 
 _RAW = (
     f"{S_FIELDS}, {S_ATTRIBUTES}, {s_affinity(MAPPINGS)}, "
-    f"m_qgrams AS (WITH {_name_sql(MAPPINGS)} SELECT field_id, global_id, score FROM cs), "
+    f"m_qgrams AS (WITH {_name_sql(_model_sql(MAPPINGS))} SELECT field_id, global_id, score FROM cs), "
     f"m_mdl AS (WITH {_mdl_sql()} SELECT field_id, global_id, greatest(0.0, 1 - (term1 + term2 + term3) / (8 * avglen)) AS score FROM t), "
     f"m_ngrams AS (WITH {_token_sql()} SELECT field_id, global_id, score FROM cs), m_dist AS (WITH {_P_VALUES} SELECT field_id, global_id, score FROM ds WHERE round(score, 6) > 0), "
     "raw AS (" + " UNION ALL ".join(f"SELECT source_id, field_id, '{m}' AS method_name, global_id AS match_id, round(score, 6) AS score FROM m_{m} JOIN fields USING (field_id)" for m in compose.METHODS) + "), "
