@@ -10,7 +10,8 @@ chunks of at most CHUNK bytes; queries are packed into blocks.
 2. Exact vectors are read in the order of the upper bounds: first the k highest of each query, whose k-th exact score is the
    limit of the second read. What is left unread after that has a bound below it, so the result is certain.
 
-Within a chunk only the k + 1 smallest ids of equal vectors are kept, as others could never be among the k best.
+Within a chunk at most k rows of an id, and of equal vectors the 2k rows with the smallest ids are kept: even without a query's own
+rows these hold the k best, and others could never be among them.
 
 Edge cases: null vectors, vectors with null or non-finite components, vectors without components and rows with a null id
 take no part; vectors of different length are not compared; rows that repeat an id are candidates each, but
@@ -88,6 +89,12 @@ def _fit(rows: DataFrame) -> dict[int, Cells]:
     return {int(d): Cells(*(g.sort_values("at")[c].to_numpy() for c in ("low", "high"))) for d, g in found.groupby("dims")}
 
 
+def places(begins: np.ndarray) -> np.ndarray:
+    """The place of each row in its run, from 0 on; begins marks the first row of each."""
+    at = np.arange(len(begins))
+    return at - np.maximum.accumulate(np.where(begins, at, 0))
+
+
 def _approximate(grids, k: int):
     names = ["dims", "ids", "rows", "cells"]
 
@@ -97,9 +104,10 @@ def _approximate(grids, k: int):
                 piece = rows.slice(low, max(1, CHUNK // d))
                 x, ids = _matrix(piece.column(2)), piece.column(0).to_numpy()
                 order = np.lexsort((ids, *x.T))
-                change = np.append(True, (np.diff(x[order], axis=0) != 0).any(1))
-                first = np.maximum.accumulate(np.where(change, np.arange(len(order)), 0))
-                keep = order[np.arange(len(order)) - first <= k]
+                fresh = np.append(True, (np.diff(x[order], axis=0) != 0).any(1))
+                # At most k rows of an id; of equal vectors so many that k are left when any one id is taken away.
+                some = order[places(fresh | np.append(True, np.diff(ids[order]) != 0)) < k]
+                keep = some[places(np.append(True, (np.diff(x[some], axis=0) != 0).any(1))) < 2 * k] if len(some) else some
                 yield pa.record_batch([pa.array([d], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (ids[keep], piece.column(3).to_numpy()[keep], grids.value[d].of(x[keep])))], names)
 
     return run
@@ -113,9 +121,9 @@ def _pack_queries(parts):
 
 
 def _scan(grids, k: int):
-    """(query_id, row, vec_id, lower, upper) of what may be among a query's k best of the chunk."""
+    """(query_id, dims, row, vec_id, lower, upper) of what may be among a query's k best of the chunk."""
 
-    def run(_key: tuple, queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, queries: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
         out = []
         for c in chunks.itertuples():
             ids, rows = np.frombuffer(c.ids, np.int64), np.frombuffer(c.rows, np.int64)
@@ -133,7 +141,9 @@ def _scan(grids, k: int):
                             may = may[np.isfinite(score[may])]
                             out.append((np.full(len(may), own[low + i]), rows[may], ids[may], score[may] - slack[i], score[may] + slack[i]))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 5
-        return pd.DataFrame(dict(zip(["query_id", "row", "vec_id", "lower", "upper"], cols, strict=True))).astype({"query_id": "int64", "row": "int64", "vec_id": "int64"})
+        found = pd.DataFrame(dict(zip(["query_id", "row", "vec_id", "lower", "upper"], cols, strict=True))).astype({"query_id": "int64", "row": "int64", "vec_id": "int64"})
+        found.insert(1, "dims", np.int32(key[0] if key[0] is not None else 0))
+        return found
 
     return run
 
@@ -145,11 +155,16 @@ def _exact(pairs: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
     return full.select("query_id", "vec_id", "row", score.alias("score"))
 
 
+def _best(rows: DataFrame, k: int, *order) -> DataFrame:
+    """The first k rows of each query; Spark's group limit keeps k of each query in every task before the shuffle."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("nth") <= k)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries its k best rows of vectors with another id.
 
-    Each query is sent to every chunk, each chunk to every block of queries, never row by row. The bounds that reach a
-    query's window are about k for each chunk.
+    Each query is sent to every chunk, each chunk to every block of queries, never row by row: chunks and blocks are dealt by hash
+    into as many slots as there are of them, and every two slots meet in a task.
     """
     spark = vectors.sparkSession
     rows = settle(grid(vectors).withColumn("row", F.monotonically_increasing_id()), "exact")
@@ -158,22 +173,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     cells = rows.select("vec_id", "dims", "x", "row").mapInArrow(_approximate(grids, k), "dims int, ids binary, rows binary, cells binary")
     cells = settle(cells.withColumn("chunk", F.monotonically_increasing_id()), "cells")
     blocks = settle(asked.mapInArrow(_pack_queries, "dims int, ids binary, x binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
-    keys = ["dims", "chunk", "block"]
-    # The numbers of all chunks and blocks: some bytes for each megabyte.
-    numbers = [settle(x, name) for x, name in ((cells.select("dims", "chunk"), "chunks"), (blocks.select("dims", "block"), "block_numbers"))]
-    left, right = (x.join(F.broadcast(n), "dims") for x, n in zip((blocks, cells), numbers, strict=True))
+    # One row for each vector length.
+    sizes = F.broadcast(cells.groupBy("dims").agg(F.count("*").alias("chunks")).join(blocks.groupBy("dims").agg(F.count("*").alias("blocks")), "dims"))
+    keys = ["dims", "i", "j"]
+
+    def slots(side: DataFrame, number: str, own: str, mine: str, other: str, theirs: str) -> DataFrame:
+        dealt = side.join(sizes, "dims").withColumn(own, F.pmod(F.xxhash64(number), F.col(mine))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(theirs) - 1)))
+        return dealt.select(*keys, *[c for c in side.columns if c not in ("dims", number)])
+
+    left, right = slots(blocks, "block", "i", "blocks", "j", "chunks"), slots(cells, "chunk", "j", "chunks", "i", "blocks")
     left, right = (x.toDF(*x.columns) for x in (left, right))
-    found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(_scan(grids, k), "query_id long, row long, vec_id long, lower double, upper double")
-    found = settle(found.join(asked.select(F.col("vec_id").alias("query_id"), "dims"), "query_id"), "bounds")
-    by = Window.partitionBy("query_id")
-    ranked = found.withColumn("nth", F.row_number().over(by.orderBy(F.desc("lower"), "row")))
-    limit = F.max(F.when(F.col("nth") == k, F.col("lower"))).over(by)
-    able = ranked.withColumn("limit", limit).where("limit is null or upper >= limit")
-    able = settle(able.withColumn("turn", F.row_number().over(by.orderBy(F.desc("upper"), "vec_id", "row"))).select("query_id", "dims", "row", "vec_id", "upper", "turn"), "able")
-    first = settle(_exact(able.where(F.col("turn") <= k), rows, asked), "first")
-    certain = first.groupBy("query_id").agg(F.min("score").alias("limit"))
-    later = able.where(F.col("turn") > k).join(certain, "query_id").where("upper >= limit")
-    second = settle(first.unionByName(_exact(later.select("query_id", "dims", "row", "vec_id"), rows, asked)), "scores")
-    discard(cells, blocks, *numbers, found, able, first)
-    place = F.row_number().over(by.orderBy(F.desc("score"), "vec_id"))
-    return second.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = left.groupBy(keys).cogroup(right.groupBy(keys)).applyInPandas(_scan(grids, k), "query_id long, dims int, row long, vec_id long, lower double, upper double")
+    found = settle(found, "bounds")
+    limits = _best(found, k, F.desc("lower"), "row").groupBy("query_id").agg(F.when(F.count("*") == k, F.min("lower")).alias("limit"))
+    able = found.join(limits, "query_id").where("limit is null or upper >= limit").select("query_id", "dims", "row", "vec_id", "upper")
+    nearest = settle(_best(able, k, F.desc("upper"), "vec_id", "row"), "nearest")
+    first = settle(_exact(nearest.select("query_id", "dims", "row", "vec_id"), rows, asked), "first")
+    certain = first.groupBy("query_id").agg(F.min("score").alias("certain"))
+    later = able.join(nearest.select("query_id", "row"), ["query_id", "row"], "left_anti").join(certain, "query_id").where("upper >= certain")
+    scores = first.unionByName(_exact(later.select("query_id", "dims", "row", "vec_id"), rows, asked))
+    best = settle(_best(scores, k, F.desc("score"), "vec_id"), "best")
+    discard(cells, blocks, found, nearest, first, rows, asked)
+    return best.select("query_id", F.col("nth").cast("int").alias("rank"), "vec_id", "score")

@@ -232,3 +232,19 @@ def test_windows_of_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(substrings, "window_spans", lambda t, real=substrings.window_spans: (*real(t)[:4], np.zeros(len(real(t)[4]), np.uint64)))
     again, apart = substrings.smallest_owner(texts, low)
     assert (own == again).all() and (least == apart).all()
+
+
+@pytest.mark.parametrize("repeats", [1, 3, 9])
+def test_top_k_with_repeated_ids(spark, repeats):
+    from tessella.llm import topk
+
+    k = 3
+    rng = np.random.default_rng(repeats)
+    rows = [(100, [5.0, 5.0])] * repeats + [(101 + i, [5.0, 5.0]) for i in range(6)] + [(200 + i, [5.0, 5.0]) for i in range(2) for _ in range(repeats)] + [(300 + i, rng.standard_normal(2).round(3).tolist()) for i in range(40)]
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], VECTORS).coalesce(1)
+    for parts in (1, 4):
+        got = topk.top_k(frame.repartition(parts), frame.where("vec_id % 100 = 0"), k).collect()
+        for q in (100, 200, 300):
+            x = np.floor(1024 * np.array(next(v for i, v in rows if i == q)))
+            scores = sorted((-int(np.floor(1024 * np.array(v)) @ x), i) for i, v in rows if i != q)[:k]
+            assert [(r["vec_id"], -r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [(i, s) for s, i in scores]
