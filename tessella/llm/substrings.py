@@ -6,10 +6,10 @@ document that share a minimiser are a super-k-mer: one packed string of words, s
 1. Documents are packed into chunks of about CHUNK bytes, words separated by one space, and written once with the places of their
    super-k-mers. A task tells how many bytes of these it has for each bucket; the number of buckets follows from the bytes of all texts.
 2. A chunk sends each different super-k-mer once, with the smallest and largest doc_id that hold it, in one compressed message for each
-   bucket. A bucket sorts the windows of its super-k-mers by hash, compares neighbours of equal hash word by word, and so
+   FINE neighbouring buckets. A bucket sorts the windows of its super-k-mers by hash, compares neighbours of equal hash word by word, and so
    knows the smallest doc_id of each window exactly. It answers each chunk with the windows that start in a smaller document than the
    largest one of the chunk's that hold them.
-3. A bucket beyond LIMIT bytes (one frequent minimiser with ever new words around it) is not built: its windows are rows, whose smallest
+3. A bucket of more than four times its bytes (one frequent minimiser with ever new words around it) is not built: its windows are rows, whose smallest
    doc_id is an aggregate with partial sums in each task and is joined back, so that no window or minimiser meets in one task.
 4. Each chunk meets its answers, removes the words covered, and digests what is left.
 
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import WordHasher, mix64, settle
 
 WINDOW, GRAM = 13, 2
-CHUNK, BUCKET = 2 << 20, 8 << 20
-LIMIT = 4 * BUCKET
+#: Bytes of text of a chunk, and of super-k-mers of a bucket and of a message, which holds those of FINE buckets.
+CHUNK, BUCKET, FINE = 2 << 20, 4 << 20, 8
 #: Windows of a super-k-mer at most: longer runs of a minimiser (periodic texts) are cut into several of the same bucket.
 RUN = 128
 #: Bytes of super-k-mers for each byte of text, about.
@@ -175,15 +175,18 @@ def _pack_chunks(buckets: int):
     schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def run(parts):
-        press, total = zstandard.ZstdCompressor(3), np.zeros(buckets, np.int64)
+        press, seen, sizes = zstandard.ZstdCompressor(3), [], []
         for ids, texts in _chunked(parts):
             raw, counts = pack_texts(texts)
             found = SuperKmers.of(raw, counts, np.array([i is not None for i in ids]), buckets)
             some = found.distinct()
-            np.add.at(total, found.bucket[some], found.lengths(some))
+            here, at = np.unique(found.bucket[some], return_inverse=True)
+            seen.append(here)
+            sizes.append(np.bincount(at, found.lengths(some), len(here)).astype(np.int64))
             yield pa.record_batch([pa.array([v], k) for v, k in zip((ids, counts.tolist(), press.compress(raw), found.store(), None, None), kinds, strict=True)], schema=schema)
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array([v], k) for v, k in zip((None, None, None, None, some.tolist(), total[some].tolist()), kinds, strict=True)], schema=schema)
+        some, at = np.unique(np.concatenate([np.zeros(0, np.int64), *seen]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([np.zeros(0), *sizes]), len(some)).astype(np.int64)
+        yield pa.record_batch([pa.array([v], k) for v, k in zip((None, None, None, None, some.tolist(), total.tolist()), kinds, strict=True)], schema=schema)
 
     return run
 
@@ -214,7 +217,7 @@ def _unpress(data: bytes) -> tuple[list[np.ndarray], bytes]:
 
 
 def _send(hot):
-    """(bucket, chunk, data): a chunk's different super-k-mers for each bucket that is not hot."""
+    """(message, chunk, data): a chunk's different super-k-mers of every FINE buckets, but for hot ones."""
 
     def run(parts):
         large = np.array(sorted(hot.value), np.int64)
@@ -224,14 +227,14 @@ def _send(hot):
                 order = np.argsort(found.bucket[some], kind="stable")
                 order = order[~np.isin(found.bucket[some[order]], large)]
                 bucket = found.bucket[some[order]]
-                ends = np.flatnonzero(np.append(np.diff(bucket) != 0, True)) + 1 if len(order) else []
+                ends = np.flatnonzero(np.append(np.diff(bucket // FINE) != 0, True)) + 1 if len(order) else []
                 rows, at = [], 0
                 for end in ends:
                     mine = order[at:end]
-                    rows.append((int(bucket[at]), chunk, _press(np.diff(mine, prepend=0), low[mine], high[mine] - low[mine], text=b"\n".join(found.texts(some[mine])))))
+                    rows.append((int(bucket[at]) // FINE, chunk, _press(bucket[at:end] % FINE, np.diff(mine, prepend=0), low[mine], high[mine] - low[mine], text=b"\n".join(found.texts(some[mine])))))
                     at = end
                 if rows:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "chunk", "data"])
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["message", "chunk", "data"])
 
     return run
 
@@ -275,21 +278,26 @@ def _told_apart(raw: bytes, begin: np.ndarray, end: np.ndarray, own: np.ndarray,
     return own, np.array([best[w] for w in windows], np.int64)
 
 
-def _bucket(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """(chunk, data): for each chunk the windows of its super-k-mers that a smaller document holds too."""
-    numbers, lows, highs, chunks, texts = [], [], [], [], []
+def _buckets(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """(chunk, data): for each chunk the windows of its super-k-mers that a smaller document holds too. One bucket after the other."""
+    buckets, numbers, lows, highs, chunks, texts = [], [], [], [], [], []
     for chunk, data in zip(rows["chunk"], rows["data"], strict=True):
-        (number, low, apart), text = _unpress(data)
+        (bucket, number, low, apart), text = _unpress(data)
+        buckets.append(bucket)
         numbers.append(np.cumsum(number))
         lows.append(low)
         highs.append(low + apart)
         chunks.append(np.full(len(number), chunk))
         texts += text.split(b"\n")
-    number, low, high, chunk = (np.concatenate(v) for v in (numbers, lows, highs, chunks))
-    own, least = smallest_owner(texts, low)
-    hit = np.flatnonzero(least < high[own])
-    nth = np.arange(len(own)) - np.searchsorted(own, np.arange(len(texts)))[own]
-    return _answers(chunk[own[hit]], number[own[hit]], nth[hit], least[hit])
+    bucket, number, low, high, chunk = (np.concatenate(v) for v in (buckets, numbers, lows, highs, chunks))
+    found = []
+    for b in np.unique(bucket):
+        mine = np.flatnonzero(bucket == b)
+        own, least = smallest_owner([texts[i] for i in mine], low[mine])
+        hit = np.flatnonzero(least < high[mine][own])
+        nth = np.arange(len(own)) - np.searchsorted(own, np.arange(len(mine)))[own]
+        found.append((chunk[mine[own[hit]]], number[mine[own[hit]]], nth[hit], least[hit]))
+    return _answers(*(np.concatenate(v) for v in zip(*found, strict=True)))
 
 
 def _answers(chunk: np.ndarray, number: np.ndarray, nth: np.ndarray, least: np.ndarray) -> pd.DataFrame:
@@ -367,12 +375,12 @@ KEPT = "doc_id long, n_words long, n_removed long, kept binary"
 
 
 def removal(docs: DataFrame, bucket_bytes: int = BUCKET, limit: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed and kept (UTF-8) of each row of docs. Buckets take about bucket_bytes; beyond limit they are hot."""
+    """doc_id, n_words, n_removed and kept (UTF-8) of each row of docs. Buckets take about bucket_bytes; beyond limit (four times that) they are hot."""
     spark = docs.sparkSession
     limit = limit or 4 * bucket_bytes
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), OVERLAP * size // bucket_bytes + 1)
+    buckets = FINE * max(int(spark.conf.get("spark.sql.shuffle.partitions")), OVERLAP * size // (FINE * bucket_bytes) + 1)
     packed = rows.mapInArrow(_pack_chunks(buckets), "ids array<long>, counts array<long>, raw binary, found binary, bucket array<long>, bytes array<long>")
     packed = settle(packed.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
     chunks = packed.where("raw is not null").select("chunk", "ids", "counts", "raw", "found")
@@ -380,7 +388,7 @@ def removal(docs: DataFrame, bucket_bytes: int = BUCKET, limit: int | None = Non
     # At most as many as limit goes into all super-k-mers.
     hot = {r["bucket"] for r in loads.where(F.col("bytes") > limit).collect()}
     sent = spark.sparkContext.broadcast(hot)
-    found = chunks.mapInArrow(_send(sent), "bucket long, chunk long, data binary").groupBy("bucket").applyInPandas(_bucket, "chunk long, data binary")
+    found = chunks.mapInArrow(_send(sent), "message long, chunk long, data binary").groupBy("message").applyInPandas(_buckets, "chunk long, data binary")
     if hot:
         # Windows of hot buckets, each once for each different super-k-mer of a chunk.
         windows = settle(chunks.mapInArrow(_hot_windows(sent), "chunk long, number long, nth long, window binary, low long, high long"), "hot_windows")
