@@ -30,19 +30,18 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-COSINE, STRICT = 0.6, 0.9
+COSINE, NAMED, STRICT = 0.6, 0.68, 0.9
 #: Rows of a table that may be broadcast (words with their weights; directories with their licences).
 BROADCAST = 1_000_000
 _WARRANTY = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 _BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
 _FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
-#: What public licences say in their texts, in the headers that they propose, and short notices.
+#: What public licences say in their texts, and the headers that they propose.
 TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
-    ("MIT", "Released under the MIT License."),
+    ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY),
     ("BSD-2-Clause", _BSD + " " + _BSD_WARRANTY),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -52,10 +51,8 @@ TEMPLATES = (
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-2.0", _FREE.format("GNU General Public License", "2")),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-3.0", _FREE.format("GNU General Public License", "3")),
-    ("LGPL-3.0", "This library is free software under the GNU Lesser General Public License, version 3."),
     ("LGPL-3.0", _FREE.format("GNU Lesser General Public License", "3")),
     ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("AGPL-3.0", _FREE.format("GNU Affero General Public License", "3")),
@@ -65,18 +62,40 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright to the public domain worldwide. CC0 1.0 Universal."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+)
+#: Full names of licences in public lists, by which notices in words of their own are known; identifiers with hyphens are names too.
+NAMES = (
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("MIT", "The MIT License"),
+    ("BSD-2-Clause", "The 2-Clause BSD License"),
+    ("BSD-3-Clause", "The 3-Clause BSD License"),
+    ("ISC", "ISC License"),
+    ("Zlib", "zlib License"),
+    ("BSL-1.0", "Boost Software License 1.0"),
+    ("GPL-2.0", "GNU General Public License version 2"),
+    ("GPL-3.0", "GNU General Public License version 3"),
+    ("LGPL-2.1", "GNU Lesser General Public License version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License version 3"),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("EPL-2.0", "Eclipse Public License version 2.0"),
+    ("Unlicense", "The Unlicense"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC-BY-4.0", "CC-BY-4.0"),
+    ("CC-BY-SA-4.0", "CC-BY-SA-4.0"),
+    ("CC-BY-NC-4.0", "CC-BY-NC-4.0"),
 )
 #: Identifiers of the public SPDX list; their lines must match almost word by word.
 SPDX = ("0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib")
-_FILE = r"(?i)(^|/)(un)?licen[cs]e[^/]*$|(^|/)(copying|notice)[^/]*$"
+#: Names of licence files.
+FILE = r"(?i)(^|/)(un)?licen[cs]e[^/]*$|(^|/)(copying|notice)[^/]*$"
 #: Lines between these are a paragraph.
 _GAP = r"\n[\x20\t\r]*\n"
 
 
 def template_rows() -> list[tuple[int, str, float, str]]:
     """(number, license, threshold, text) of all templates."""
-    rows = [(name, COSINE, text) for name, text in TEMPLATES] + [(name, STRICT, f"SPDX-License-Identifier: {name}") for name in SPDX]
+    rows = [(name, COSINE, text) for name, text in TEMPLATES] + [(name, NAMED, text) for name, text in NAMES] + [(name, STRICT, f"SPDX-License-Identifier: {name}") for name in SPDX]
     return [(i, *r) for i, r in enumerate(rows)]
 
 
@@ -133,7 +152,7 @@ def scan(files: DataFrame) -> DataFrame:
     anchors = F.array(*map(F.lit, _anchors(vectors)))
     texts = rows.where(F.arrays_overlap(_split(F.col("text")), anchors))
     several = F.filter(F.split("text", _GAP), lambda p: F.instr(p, "\n") > 0)
-    named = F.coalesce(F.col("path").rlike(_FILE), F.lit(False))
+    named = F.coalesce(F.col("path").rlike(FILE), F.lit(False))
     units = F.concat(F.split("text", "\n"), several, F.when(named, F.array("text")).otherwise(F.array().cast("array<string>")))
     found = texts.select("doc_id", "path", F.explode(units).alias("unit")).select("doc_id", "path", words(F.col("unit")).alias("words"))
     able = settle(found.where(F.arrays_overlap("words", anchors)).withColumn("unit", F.monotonically_increasing_id()), "units")
@@ -171,7 +190,7 @@ def inherit(own: DataFrame) -> DataFrame:
     """
     own = settle(own, "own")
     directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    declared = own.where(F.col("path").rlike(_FILE) & F.col("license").isNotNull()).select(directory.alias("dir"), F.struct((-F.col("cosine")).alias("minus"), "path", "license").alias("file"))
+    declared = own.where(F.col("path").rlike(FILE) & F.col("license").isNotNull()).select(directory.alias("dir"), F.struct((-F.col("cosine")).alias("minus"), "path", "license").alias("file"))
     declared = settle(declared.groupBy("dir").agg(F.min("file").alias("file")), "declared")
     open_ = own.where(F.col("license").isNull() & F.col("path").isNotNull()).select("path").distinct().select("path", F.inline(ancestors(F.col("path"))))
     if declared.count() <= BROADCAST:

@@ -46,13 +46,13 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def license_paths(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, text): documents as files. One that speaks of a licence is a licence file, in a directory of one to
-    three levels; the others lie in the deepest ones."""
-    last = F.concat(F.lit("part"), F.pmod("doc_id", F.lit(29)).cast("string"))
+    """(doc_id, path, text): documents as files, whose names and places follow from doc_id, source and lang alone. Of seven one is a licence file,
+    in a directory of one to three levels; the others are sources in the deepest ones."""
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))
+    last = F.concat(F.lit("part"), F.coalesce(F.pmod("doc_id", F.lit(29)).cast("string"), F.lit("none")))
     folder = F.concat_ws("/", "source", F.when(F.pmod("doc_id", F.lit(3)) > 0, F.coalesce("lang", F.lit("any"))), F.when(F.pmod("doc_id", F.lit(3)) > 1, last))
     deep = F.concat_ws("/", "source", F.coalesce("lang", F.lit("any")), last)
-    spoken = F.coalesce(F.contains(F.lower("text"), F.lit("licen")), F.lit(False))
-    path = F.when(spoken, F.concat_ws("/", folder, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string")))).otherwise(F.concat_ws("/", deep, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    path = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat_ws("/", folder, F.concat(F.lit("LICENSE-"), number))).otherwise(F.concat_ws("/", deep, F.concat(number, F.lit(".txt"))))
     return docs.select("doc_id", path.alias("path"), "text")
 
 
@@ -116,7 +116,7 @@ def _license_sql() -> str:
     word = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: w <> '')"
     folder = "concat_ws('/', source, CASE WHEN doc_id % 3 > 0 THEN coalesce(lang, 'any') END, CASE WHEN doc_id % 3 > 1 THEN 'part' || doc_id % 29 END)"
     return f"""
-WITH f AS (SELECT doc_id, text, CASE WHEN coalesce(contains(lower(text), 'licen'), FALSE) THEN concat_ws('/', {folder}, 'LICENSE-' || doc_id)
+WITH f AS (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN concat_ws('/', {folder}, 'LICENSE-' || doc_id)
   ELSE concat_ws('/', source, coalesce(lang, 'any'), 'part' || doc_id % 29, doc_id || '.txt') END AS path FROM documents),
 w AS (SELECT doc_id, unnest(list_distinct({word.format("text")})) AS word FROM f), n AS (SELECT count(*) AS n FROM f),
 i AS (SELECT word, ln((n + 1) / (count(*) + 1)::DOUBLE) + 1 AS idf FROM w, n GROUP BY word, n),
@@ -124,7 +124,7 @@ t(t, license, least, notice) AS (VALUES {texts}), tw AS (SELECT t, license, leas
 tv AS (SELECT t, license, least, word, (1 + ln(count(*))) * coalesce(any_value(idf), any_value(ln(n + 1) + 1)) AS w FROM tw LEFT JOIN i USING (word), n GROUP BY ALL),
 tn AS (SELECT t, sqrt(sum(w * w)) AS norm FROM tv GROUP BY t),
 u0 AS (SELECT doc_id, path, unnest(list_concat(string_split(text, chr(10)), list_filter(string_split_regex(text, '\\n[\\x20\\t\\r]*\\n'), lambda p: contains(p, chr(10))),
-  CASE WHEN regexp_matches(path, '(?i)(^|/)(un)?licen[cs]e[^/]*$|(^|/)(copying|notice)[^/]*$') THEN [text] ELSE [] END)) AS unit FROM f WHERE text IS NOT NULL),
+  CASE WHEN regexp_matches(path, '{licenses.FILE}') THEN [text] ELSE [] END)) AS unit FROM f WHERE text IS NOT NULL),
 u1 AS (SELECT doc_id, path, row_number() OVER () AS u, {word.format("unit")} AS words FROM u0 WHERE regexp_matches(unit, '(?i)[a-z0-9]')),
 u2 AS (SELECT * FROM u1 WHERE list_has_any(words, (SELECT list(DISTINCT word) FROM tw WHERE length(word) > 1))),
 x AS (SELECT doc_id, path, u, word, count(*) AS c FROM (SELECT doc_id, path, u, unnest(words) AS word FROM u2) GROUP BY ALL),
@@ -132,7 +132,7 @@ xw AS (SELECT doc_id, path, u, word, (1 + ln(c)) * idf AS w FROM x JOIN i USING
 d AS (SELECT doc_id, path, u, t, license, least, sum(xw.w * tv.w) AS dot FROM xw JOIN tv USING (word) GROUP BY ALL),
 c AS (SELECT doc_id, path, license, round(dot / (xn.norm * tn.norm), 9) AS cosine FROM d JOIN xn USING (u) JOIN tn USING (t) WHERE round(dot / (xn.norm * tn.norm), 9) >= least),
 own AS (SELECT f.doc_id, f.path, b.license, b.cosine FROM f LEFT JOIN (SELECT doc_id, path, license, cosine FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1) b USING (doc_id)),
-dec AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, path AS file, license AS given FROM own WHERE license IS NOT NULL AND regexp_matches(path, '(^|/)LICENSE')
+dec AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, path AS file, license AS given FROM own WHERE license IS NOT NULL AND regexp_matches(path, '{licenses.FILE}')
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path) = 1),
 h AS (SELECT o.doc_id, d.file, d.given FROM own o JOIN dec d ON d.dir = '' OR starts_with(o.path, d.dir || '/') WHERE o.license IS NULL QUALIFY row_number() OVER (PARTITION BY o.doc_id ORDER BY length(d.dir) DESC) = 1)
 SELECT doc_id, path, coalesce(license, given) AS license, round(cosine, 6) AS cosine, file AS inherited_from FROM own LEFT JOIN h USING (doc_id)"""
