@@ -333,6 +333,45 @@ def cluster_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.disagreement(docs, _edges(spark, sf_dir))
 
 
+def _s_rounds(n: int) -> str:
+    """CTEs st0 to st<n> (entity_id, cluster_id) of singles and merge rounds over ed, and the undirected edges un."""
+    out = ["un AS (SELECT DISTINCT least(e1, e2) AS e1, greatest(e1, e2) AS e2 FROM ed)", "st0 AS (SELECT e1 AS entity_id, e1 AS cluster_id FROM ed UNION SELECT e2, e2 FROM ed)"]
+    for r in range(n):
+        out += [
+            f"sz{r} AS (SELECT cluster_id, count(*) AS s FROM st{r} GROUP BY 1)",
+            f"ct{r} AS (SELECT least(a.cluster_id, b.cluster_id) AS c1, greatest(a.cluster_id, b.cluster_id) AS c2, count(*) AS n FROM un JOIN st{r} a ON a.entity_id = e1 JOIN st{r} b ON b.entity_id = e2 WHERE a.cluster_id <> b.cluster_id GROUP BY ALL)",
+            f"dn{r} AS (SELECT c1, c2 FROM ct{r} JOIN sz{r} x ON x.cluster_id = c1 JOIN sz{r} y ON y.cluster_id = c2 WHERE n >= x.s * y.s / 2.0)",
+            f"pr{r} AS (SELECT c1, c2 FROM dn{r} UNION ALL SELECT c2, c1 FROM dn{r})",
+            f"ws{r} AS (SELECT c1, arg_min(c2, md5('{r}|' || c1 || '|' || c2)) AS c2 FROM pr{r} GROUP BY c1)",
+            f"ch{r} AS (SELECT c2, arg_min(c1, md5('{r}|' || c2 || '|' || c1)) AS c1 FROM ws{r} GROUP BY c2)",
+            f"tg{r} AS (SELECT y.c1, CASE WHEN z.c1 IS NOT NULL THEN least(y.c1, y.c2) ELSE y.c2 END AS t FROM ch{r} y LEFT JOIN ch{r} z ON z.c1 = y.c2 AND z.c2 = y.c1)",
+            f"st{r + 1} AS (SELECT entity_id, coalesce(t, cluster_id) AS cluster_id FROM st{r} LEFT JOIN tg{r} ON c1 = cluster_id)",
+        ]
+    return ", ".join(out)
+
+
+def _clustered(spark: SparkSession, sf_dir: str, rounds: int) -> DataFrame:
+    edges = _edges(spark, sf_dir).checkpoint()
+    return clustering.cluster(spark.createDataFrame([], "entity_id long, cluster_id long"), edges, edges, rounds=rounds)
+
+
+@query(f"WITH {S_EDGES}, {_s_rounds(2)} SELECT entity_id, cluster_id FROM st2")
+def cluster_two_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clustered(spark, sf_dir, 2)
+
+
+@query(f"WITH {S_EDGES}, {_s_rounds(3)} SELECT entity_id, cluster_id FROM st3")
+def cluster_three_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clustered(spark, sf_dir, 3)
+
+
+@query()
+def cluster_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three whole clusterings in the same rounds, with what each disagrees about."""
+    edges = _edges(spark, sf_dir).checkpoint()
+    return clustering.disagreements(clustering.clusterings(edges, 3), edges)
+
+
 @query()
 def cluster_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)

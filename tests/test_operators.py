@@ -348,3 +348,59 @@ def test_samples_by_hash_equal_a_sort(spark):
             order = sorted((v for q, v in rows if q == key), key=lambda v: (hashlib.md5(str(v).encode()).hexdigest(), v))[:k]
             assert [r["v"] for r in sorted((r for r in got if r["k"] == key), key=lambda r: r["place"])] == order
     assert categorize.entity_sample(spark.range(500).select(F.col("id").alias("entity_id")), 120).count() == 120
+
+
+def _plain_rounds(edges, seed, aggressiveness=2.0, rounds=None):
+    """The merge rounds over all entity edges, in plain Python."""
+    label = {e: e for p in edges for e in p}
+    edges = {tuple(sorted(p)) for p in edges}
+    md5 = lambda *v: hashlib.md5("|".join(map(str, v)).encode()).hexdigest()
+    round_ = 0
+    while rounds is None or round_ < rounds:
+        size, cross = {}, {}
+        for e in label:
+            size[label[e]] = size.get(label[e], 0) + 1
+        for a, b in edges:
+            if label[a] != label[b]:
+                k = tuple(sorted((label[a], label[b])))
+                cross[k] = cross.get(k, 0) + 1
+        dense = [(a, b) for (a, b), n in cross.items() if n >= size[a] * size[b] / aggressiveness]
+        if not dense:
+            return label
+        wish, number = {}, (seed << 20) + round_
+        for a, b in dense + [(b, a) for a, b in dense]:
+            wish.setdefault(a, []).append(b)
+        picked = {}
+        for a, bs in wish.items():
+            b = min(bs, key=lambda x: md5(number, a, x))
+            picked.setdefault(b, []).append(a)
+        to = {}
+        for b, aa in picked.items():
+            to[min(aa, key=lambda x: md5(number, b, x))] = b
+        final = {a: min(a, b) if to.get(b) == a else b for a, b in to.items()}
+        label = {e: final.get(c, c) for e, c in label.items()}
+        round_ += 1
+    return label
+
+
+def test_contracted_rounds_equal_plain_rounds(spark):
+    rng = random.Random(12)
+    edges = sorted({tuple(sorted(rng.sample(range(g * 9, g * 9 + 9), 2))) for g in range(8) for _ in range(22)} | {tuple(sorted(rng.sample(range(72), 2))) for _ in range(15)})
+    frame = spark.createDataFrame(edges, "e1 long, e2 long")
+    empty = spark.createDataFrame([], "entity_id long, cluster_id long")
+    for rounds in (1, 3, None):
+        got = {r["entity_id"]: r["cluster_id"] for r in clustering.cluster(empty, frame, frame, seed=2, rounds=rounds).collect()}
+        assert got == _plain_rounds(edges, 2, rounds=rounds)
+    many = clustering.clusterings(frame, 3).checkpoint()
+    for seed in (1, 2, 3):
+        assert {r["entity_id"]: r["cluster_id"] for r in many.where(F.col("seed") == seed).collect()} == _plain_rounds(edges, seed)
+    costs = {r["seed"]: (r["missing"], r["crossing"]) for r in clustering.disagreements(many, frame).collect()}
+    for seed in (1, 2, 3):
+        label = _plain_rounds(edges, seed)
+        crossing = sum(label[a] != label[b] for a, b in edges)
+        sizes = {}
+        for c in label.values():
+            sizes[c] = sizes.get(c, 0) + 1
+        assert costs[seed] == (sum(n * (n - 1) // 2 for n in sizes.values()) - (len(edges) - crossing), crossing)
+    best = min(costs, key=lambda k: (sum(costs[k]), k))
+    assert {tuple(r) for r in clustering.least_disagreement(many, frame).collect()} == set(_plain_rounds(edges, best).items())
