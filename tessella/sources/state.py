@@ -1,12 +1,17 @@
-"""Named state tables as Parquet, in parts that are replaced one by one.
+"""Named state tables as Parquet, in parts that are replaced one by one, with one manifest for all of them.
 
-A table is a folder of parts (the rows of one source, or of one batch); a part is a folder of numbered versions, of which
-the last that was written whole counts, so readers and lost jobs never see half of one. Writing a part again replaces its
-rows and touches no other part: adding a source costs what the source has, not what the table has.
+A table is made of parts (the rows of one source, or of one batch). Writing a part makes a new folder; what counts is the manifest, a
+small numbered file that names the folder of every part of every table. It is written last, and never over another: a reader sees the
+state before or after a transaction, whatever was being written when a job was lost, and of two writers that began with the same
+manifest the second fails. Adding a source costs what the source has, not what the tables have.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,52 +36,103 @@ DEFAULTS = {
 }
 
 
+class ConflictError(RuntimeError):
+    """Another writer has committed since this one read the manifest."""
+
+
 class StateStore:
     """Tables below a folder of a file system that Spark reads and writes."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._open: dict[str, dict[str, str]] | None = None
 
     def _fs(self):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
-    def _names(self, folder: str) -> list[str]:
+    def _numbers(self) -> list[int]:
         fs, path = self._fs()
-        place = path(folder)
-        return sorted(f.getPath().getName() for f in fs.listStatus(place)) if fs.exists(place) else []
+        folder = path(f"{self.root}/manifests")
+        return sorted(int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()) if fs.exists(folder) else []
 
-    def _versions(self, name: str, part: str) -> list[int]:
+    def _load(self, number: int) -> dict[str, dict[str, str]] | None:
+        """The manifest of this number; null if its writer was lost before the end."""
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.root}/manifests/{number:012d}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except json.JSONDecodeError:
+            return None
+        finally:
+            stream.close()
+
+    def manifest(self) -> dict[str, dict[str, str]]:
+        """The folder of each part, by table: of the open transaction, or as last committed."""
+        if self._open is not None:
+            return self._open
+        return next((m for n in reversed(self._numbers()) if (m := self._load(n)) is not None), {})
+
+    @contextmanager
+    def transaction(self) -> Iterator[None]:
+        """All writes within become visible at the end together, or, if anything fails, none of them. Reads within see the writes."""
+        if self._open is not None:
+            yield
+            return
+        taken = self._numbers()
+        before = self.manifest()
+        self._open = {t: dict(parts) for t, parts in before.items()}
+        try:
+            yield
+            after, self._open = self._open, None
+            self._commit(after, taken)
+        finally:
+            self._open = None
+
+    def _commit(self, tables: dict[str, dict[str, str]], taken: list[int]) -> None:
+        fs, path = self._fs()
+        number = (taken[-1] if taken else 0) + 1
+        try:
+            out = fs.create(path(f"{self.root}/manifests/{number:012d}"), False)
+        except Exception as error:
+            raise ConflictError(f"manifest {number} exists") from error
+        out.write(bytearray(json.dumps({t: p for t, p in tables.items() if p}, sort_keys=True).encode()))
+        out.close()
+        self._sweep([*taken, number])
+
+    def _sweep(self, numbers: list[int]) -> None:
+        """Deletes what only manifests before the last two name; readers of the last but one may still be at work."""
         fs, path = self._fs()
-        folder = f"{self.root}/{name}/{part}"
-        return sorted(int(v[1:]) for v in self._names(folder) if v.startswith("v") and fs.exists(path(f"{folder}/{v}/_SUCCESS")))
+        kept = {f for n in numbers[-2:] for parts in (self._load(n) or {}).values() for f in parts.values()}
+        for n in numbers[:-2]:
+            for parts in (self._load(n) or {}).values():
+                for folder in set(parts.values()) - kept:
+                    fs.delete(path(f"{self.root}/{folder}"), True)
+            fs.delete(path(f"{self.root}/manifests/{n:012d}"), False)
 
     def parts(self, name: str) -> list[str]:
-        return [p for p in self._names(f"{self.root}/{name}") if self._versions(name, p)]
+        return sorted(self.manifest().get(name, {}))
 
     def exists(self, name: str) -> bool:
         return bool(self.parts(name))
 
     def read(self, name: str, *parts: str) -> DataFrame:
         """The rows of a table, or of some of its parts."""
-        folders = [f"{self.root}/{name}/{p}/v{self._versions(name, p)[-1]}" for p in parts or self.parts(name)]
-        return self.spark.read.parquet(*folders)
+        known = self.manifest().get(name, {})
+        return self.spark.read.parquet(*[f"{self.root}/{known[p]}" for p in parts or sorted(known)])
 
     def put(self, name: str, part: str, rows: DataFrame) -> None:
         """Replaces one part of a table."""
-        versions = self._versions(name, part)
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/{part}/v{versions[-1] + 1 if versions else 0}")
-        fs, path = self._fs()
-        for v in versions[:-1]:
-            fs.delete(path(f"{self.root}/{name}/{part}/v{v}"), True)
+        folder = f"{name}/{part}/{uuid.uuid4().hex}"
+        with self.transaction():
+            rows.write.parquet(f"{self.root}/{folder}")
+            self._open.setdefault(name, {})[part] = folder
 
     def write(self, name: str, rows: DataFrame) -> DataFrame:
         """Replaces the whole table by one part."""
-        others = [p for p in self.parts(name) if p != "all"]
-        self.put(name, "all", rows)
-        fs, path = self._fs()
-        for p in others:
-            fs.delete(path(f"{self.root}/{name}/{p}"), True)
+        with self.transaction():
+            self.put(name, "all", rows)
+            self._open[name] = {"all": self._open[name]["all"]}
         return self.read(name)
 
     def replace(self, name: str, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,17 +142,22 @@ class StateStore:
         old = self.read(name)
         return self.write(name, old.join(rows.select(keys).distinct(), keys, "left_anti").select(old.columns).unionByName(rows, allowMissingColumns=True))
 
-    def append(self, name: str, rows: DataFrame) -> DataFrame:
-        """Adds the rows as a part of their own."""
-        taken = self.parts(name)
-        self.put(name, f"added{len(taken):06d}", rows)
+    def append(self, name: str, rows: DataFrame, batch: str | None = None) -> DataFrame:
+        """Adds the rows as a part of their own. A batch's name makes a retry replace what the first try added."""
+        self.put(name, f"batch-{batch}" if batch is not None else f"added{len(self.parts(name)):06d}", rows)
         return self.read(name)
 
+    def drop(self, name: str, *parts: str) -> None:
+        """Takes a table, or some of its parts, out of the state."""
+        with self.transaction():
+            for p in parts or self.parts(name):
+                self._open.get(name, {}).pop(p, None)
+
     def clean(self, *modules: str) -> None:
         """Drops the tables of modules; without names those of all."""
-        fs, path = self._fs()
-        for name in reduce(lambda a, b: a + b, (MODULES[m] for m in modules or MODULES), ()):
-            fs.delete(path(f"{self.root}/{name}"), True)
+        with self.transaction():
+            for name in reduce(lambda a, b: a + b, (MODULES[m] for m in modules or MODULES), ()):
+                self.drop(name)
 
     def unload_local(self) -> None:
         self.clean("local", "names", "tokens", "values", "numbers")

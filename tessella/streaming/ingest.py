@@ -20,9 +20,13 @@ def ingest_stream(staged: DataFrame, store: StateStore, checkpoint: str) -> Stre
     """
 
     def batch(rows: DataFrame, number: int) -> None:
+        # The four tables are made of the batch's rows, which are read from the source once.
+        rows = rows.persist()
         got = from_staged(rows)
-        for name, part in (("local_sources", got.sources), ("local_fields", got.fields), ("local_entities", got.entities), ("local_data", got.cells)):
-            store.put(name, f"batch{number:09d}", part)
+        with store.transaction():
+            for name, part in (("local_sources", got.sources), ("local_fields", got.fields), ("local_entities", got.entities), ("local_data", got.cells)):
+                store.put(name, f"batch{number:09d}", part)
+        rows.unpersist()
 
     return staged.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

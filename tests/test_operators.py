@@ -404,3 +404,71 @@ def test_contracted_rounds_equal_plain_rounds(spark):
         assert costs[seed] == (sum(n * (n - 1) // 2 for n in sizes.values()) - (len(edges) - crossing), crossing)
     best = min(costs, key=lambda k: (sum(costs[k]), k))
     assert {tuple(r) for r in clustering.least_disagreement(many, frame).collect()} == set(_plain_rounds(edges, best).items())
+
+
+def test_transactions_show_all_or_nothing(spark, tmp_path):
+    root = str(tmp_path / "atomic")
+    store = state.StateStore(spark, root)
+    rows = lambda v: spark.createDataFrame([(1, v)], "k long, v string")
+    tables = ("edges", "scored_pairs", "clusters")
+    with store.transaction():
+        for t in tables:
+            store.put(t, "source1", rows("old"))
+    seen = lambda: [state.StateStore(spark, root).read(t).first()["v"] for t in tables]
+    for stop in range(3):
+        with pytest.raises(ZeroDivisionError), store.transaction():
+            for i, t in enumerate(tables):
+                if i == stop:
+                    1 / 0  # noqa: B018
+                store.put(t, "source1", rows("new"))
+                assert store.read(t).first()["v"] == "new" and seen() == ["old"] * 3
+        assert seen() == ["old"] * 3
+    # A manifest whose writer was lost half-way counts for nothing.
+    number = store._numbers()[-1] + 1
+    (tmp_path / "atomic" / "manifests" / f"{number:012d}").write_text('{"edges": {"sour')
+    assert seen() == ["old"] * 3
+    with store.transaction():
+        for t in tables:
+            store.put(t, "source1", rows("new"))
+    assert seen() == ["new"] * 3
+    # A retried batch replaces its own rows.
+    for _ in range(2):
+        store.append("edges", rows("more"), "b1")
+    assert store.read("edges").count() == 2
+    # Of two writers that began with the same state the second fails.
+    other = state.StateStore(spark, root)
+    with pytest.raises(state.ConflictError), store.transaction():
+        store.put("edges", "source1", rows("mine"))
+        other.put("edges", "source1", rows("theirs"))
+    assert {r["v"] for r in other.read("edges").collect()} == {"theirs", "more"}
+    for _ in range(4):
+        other.put("clusters", "source1", rows("last"))
+    folders = {p.parent.name for p in (tmp_path / "atomic" / "clusters" / "source1").glob("*/_SUCCESS")}
+    assert len(folders) <= 2 and other.read("clusters").first()["v"] == "last"
+
+
+def test_lost_source_leaves_the_state(spark, tmp_path, monkeypatch):
+    store = state.StateStore(spark, str(tmp_path / "lost"))
+    types = spark.createDataFrame([(1, "TEXT"), (2, "REAL")], "att_id long, type string")
+    features = spark.createDataFrame([("c", 1, None, None, 0.1, 0.1), ("c", 1, 0.0, 0.5, 0.1, 0.9), ("c", 1, 0.5, 1.1, 0.9, 0.001)], "cat string, att_id long, t1 double, t2 double, f_m double, f_u double")
+    limits = spark.createDataFrame([("c", 1, 0.1)], "cat string, att_id long, threshold double")
+    prior = spark.createDataFrame([("c", 0.5)], "cat string, dup_prob double")
+    entities = spark.createDataFrame([(i, 1 if i < 6 else 2) for i in range(12)], "entity_id long, source_id long")
+    cells = lambda low: spark.createDataFrame([("c", low + i, 1, f"alpha{i // 2} beta{i // 2}") for i in range(6)], "cat string, entity_id long, att_id long, value string")
+    add = lambda n: incremental.add_source(store, cells(6 * (n - 1)), features, limits, prior, types, entities, n, words)
+    first = {tuple(r) for r in add(1).collect()}
+    put, done = state.StateStore.put, []
+
+    def lost(self, name, part, rows):
+        if name == "inserted_vectors":
+            raise OSError("executor lost")
+        done.append(name)
+        put(self, name, part, rows)
+
+    monkeypatch.setattr(state.StateStore, "put", lost)
+    with pytest.raises(OSError, match="lost"):
+        add(2)
+    monkeypatch.setattr(state.StateStore, "put", put)
+    assert "edges" in done and store.parts("edges") == store.parts("token_counts") == ["source1"]
+    assert {tuple(r) for r in store.read("clusters").collect()} == first
+    assert len({c for _, c in add(2).collect()}) == 3
