@@ -137,7 +137,8 @@ def _pack(parts):
     batch = TaskContext.get().partitionId() << 22
     for part in parts:
         keys, texts = part.column(0), [t or "" for t in part.column(1).to_pylist()]
-        for a, b in batches(texts, BATCH):
+        # A row's number has 14 bits for its place in the batch.
+        for a, b in ((low, min(end, low + (1 << 14))) for start, end in batches(texts, BATCH) for low in range(start, end, 1 << 14)):
             own = pa.record_batch([pa.array(np.arange(b - a) + (batch << 14)), keys.slice(a, b - a), pa.array(texts[a:b], pa.string())], ["row", "doc_id", "text"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
