@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..cluster import shared_folder
 from ..functions.aggregates import rank_first
 from ..operators import affinity as aff
-from ..operators import compose, distributions, mapping, mdl, meta_tree, name_qgrams, value_tokens
+from ..operators import compose, deltas, distributions, mapping, mdl, meta_tree, name_qgrams, value_tokens
+from ..operators.vectors import term_counts
 from ..sources.state import StateStore
 from . import catalog, model
 from .model import MAPPINGS, S_ATTRIBUTES, S_CELLS, S_FIELDS, SURE, s_affinity, s_grams, s_words
@@ -430,3 +431,37 @@ def rule_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tree_split_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meta_tree.split_test(_raw(spark, sf_dir), model.mappings(spark), model.fields(spark))
+
+
+# Global token counts that follow two changes of the feedback by differences: authority of user 7 is taken away, then user 8's is halved.
+def _feedback(spark: SparkSession, sf_dir: str, turn: int) -> DataFrame:
+    weight = (F.lit(1.0), F.when(F.col("who_created") == 7, 0.0).otherwise(1.0), F.when(F.col("who_created") == 7, 0.0).otherwise(0.5))[turn]
+    return aff.affinities(catalog.mappings(spark, sf_dir).withColumn("authority", F.col("authority") * weight)).where("affinity > 0")
+
+
+_S_FEEDBACK = (
+    f"{_CATALOG}, af AS (SELECT local_id, global_id, greatest(0.0, least(1.0, sum(confidence * authority * 0.5)))::DOUBLE AS affinity FROM mappings WHERE who_created = 8 GROUP BY ALL), "
+    f"{s_words('lt', 'fields', 'field_id', 'name')}, {s_words('dt', 'attributes', 'global_id', 'name')}, "
+    "g AS (SELECT global_id, gram, sum(c) AS c FROM (SELECT global_id, token AS gram, affinity AS c FROM lt JOIN af ON field_id = local_id UNION ALL SELECT global_id, token, 1.0 FROM dt) GROUP BY ALL HAVING sum(c) > 0)"
+)
+
+
+def _followed(spark: SparkSession, sf_dir: str) -> deltas.GlobalCounts:
+    local = term_counts(catalog.fields(spark, sf_dir), ["field_id"], value_tokens.words(F.col("name")), "gram").checkpoint()
+    own = term_counts(catalog.attributes(spark, sf_dir), ["global_id"], value_tokens.words(F.col("name")), "gram")
+    states = [_feedback(spark, sf_dir, i).checkpoint() for i in range(3)]
+    found = deltas.GlobalCounts.build(local, own, states[0])
+    for before, after in zip(states[:-1], states[1:], strict=True):
+        found = found.update(deltas.of_mappings(local, before, after))
+    return found
+
+
+@query(f"WITH {_S_FEEDBACK} SELECT global_id, gram, round(c, 6) AS c, round(c / sum(c) OVER (PARTITION BY global_id), 6) AS tf FROM g")
+def global_counts_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts after two changed sets of mappings, by differences alone."""
+    return _followed(spark, sf_dir).shares().select("global_id", "gram", F.round("c", 6).alias("c"), F.round("tf", 6).alias("tf"))
+
+
+@query(f"WITH {_S_FEEDBACK} SELECT gram, count(*)::BIGINT AS df FROM g GROUP BY 1")
+def global_frequencies_followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _followed(spark, sf_dir).df
