@@ -248,3 +248,34 @@ def test_top_k_with_repeated_ids(spark, repeats):
             x = np.floor(1024 * np.array(next(v for i, v in rows if i == q)))
             scores = sorted((-int(np.floor(1024 * np.array(v)) @ x), i) for i, v in rows if i != q)[:k]
             assert [(r["vec_id"], -r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == [(i, s) for s, i in scores]
+
+
+def test_kernel_ridge_sums_equal_a_dense_fit(spark):
+    """The summed normal equations of the quality classifier against one dense matrix of all features."""
+    from tessella.llm import quality
+    from tessella.llm.common import WordHasher
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(quality.describe(docs.repartition(5)), labels)
+    known = {r["doc_id"]: r["quality"] for r in labels.where("quality in (0, 1)").withColumn("fold", quality.fold()).where("fold in (0, 1)").collect()}
+    rows = [(r["text"] or "", known[r["doc_id"]]) for r in docs.orderBy("doc_id").collect() if r["doc_id"] in known]
+    x = np.vstack([quality.statistics([t], WordHasher()) for t, _ in rows]).astype(np.float32).astype(float)
+    y = np.array([q for _, q in rows], float)
+    deviation = np.where(x.std(0) > 1e-9, x.std(0), 1.0)
+    features = quality.Map(x.mean(0), deviation)
+    z = features(x)
+    weights = np.linalg.solve(z.T @ z + quality.RIDGE * len(z) * np.eye(z.shape[1]), z.T @ y)
+    assert np.abs(features(x) @ weights - model.features(x) @ model.weights).max() < 1e-6
+
+
+@pytest.mark.parametrize("name", ["op12_substring_dedup", "op13_vector_codes"])
+def test_new_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from tessella.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got = queries.QUERIES[name](spark, DATA)
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES[name]})").fetchall())
