@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import aggregates as agg
 from ..functions import numeric, text, tokens
 from ..sources import ingest, state
+from . import catalog
 from .model import s_delimited, table
-from .token_sql import s_stems, s_typed
 from .registry import query
+from .token_sql import s_stems, s_typed
 
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -66,6 +67,68 @@ def ingest_global_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.global_schema(table(spark, sf_dir, "part"), "p_brand").drop("global_id")
 
 
+@query("""WITH g AS (SELECT p_brand, p_type, p_size::VARCHAR AS p_size, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT *, unnest(range(1, n + 1)) AS k FROM g),
+e AS (SELECT 'part/0' AS source, md5(to_json([p_brand, p_type, p_size])::VARCHAR) || '#' || k AS entity, * FROM r), c AS (SELECT source, 'p_brand' AS field, entity, p_brand AS value FROM e UNION ALL SELECT source, 'p_type', entity, p_type FROM e UNION ALL SELECT source, 'p_size', entity, p_size FROM e)
+SELECT * FROM c WHERE value IS NOT NULL AND value <> ''""")
+def ingest_without_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts without their key: entities by content, and by number among equal parts."""
+    return ingest.wide_cells(table(spark, sf_dir, "part").drop("p_partkey"), "part", ["p_brand", "p_type", "p_size"])
+
+
+@query("""WITH s AS (SELECT user_id AS source_id, count(*)::BIGINT AS n_values FROM events GROUP BY 1), x AS (SELECT source_id FROM s WHERE n_values < 10000000 ORDER BY md5('sources' || source_id::VARCHAR), source_id LIMIT 20)
+SELECT user_id::VARCHAR AS source, event_id::VARCHAR AS entity, 'event_type' AS field, event_type AS value FROM events WHERE user_id IN (SELECT source_id FROM x) AND event_type IS NOT NULL AND length(event_type) < 1300""")
+def ingest_random_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty staged users, chosen by hash, imported; their cells by natural keys."""
+    events = table(spark, sf_dir, "events")
+    data = events.select(F.col("user_id").alias("source_id"), F.col("event_id").alias("entity_id"), F.lit("event_type").alias("name"), F.col("event_type").alias("value"))
+    got = ingest.import_random(data, data.groupBy("source_id").agg(F.count("*").alias("n_values")), 20)
+    rows = got.cells.join(got.sources.withColumnRenamed("local_id", "source"), "source_id").join(got.entities.select("entity_id", F.col("local_id").alias("entity")), "entity_id").join(got.fields.select("field_id", F.col("name").alias("field")), "field_id")
+    return rows.select("source", "entity", "field", "value")
+
+
+@query("WITH a AS (SELECT min(p_partkey)::BIGINT AS global_id, p_type AS name FROM part GROUP BY p_type) SELECT global_id AS att_id, p_brand AS value FROM part JOIN a ON lower(name) = 'promo' WHERE p_brand IS NOT NULL")
+def ingest_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All brands as the dictionary of one attribute."""
+    return ingest.dictionary(table(spark, sf_dir, "part"), "p_brand", catalog.attributes(spark, sf_dir), "Promo")
+
+
+@query("""WITH f AS (SELECT DISTINCT p_brand, p_type FROM part) SELECT p_brand AS source, p_type AS field, p_type AS attribute, 1.0::DOUBLE AS confidence FROM f WHERE p_type IS NOT NULL""")
+def ingest_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts staged by brand, each type a field tagged with its own name: imported, and mapped to an attribute for each tag."""
+    parts = table(spark, sf_dir, "part")
+    data = parts.select(F.col("p_brand").alias("source_id"), F.col("p_partkey").alias("entity_id"), F.col("p_type").alias("name"), F.col("p_size").cast("string").alias("value"))
+    tagged = parts.select(F.col("p_brand").alias("source_id"), F.col("p_type").alias("name"), F.col("p_type").alias("tag_code")).distinct()
+    got, attributes, mapped = ingest.training_load(tagged, data)
+    rows = mapped.join(got.fields.select(F.col("field_id").alias("local_id"), "source_id", F.col("name").alias("field")), "local_id").join(got.sources.withColumnRenamed("local_id", "source"), "source_id").join(attributes.select("global_id", F.col("name").alias("attribute")), "global_id")
+    return rows.select("source", "field", "attribute", "confidence")
+
+
+@query("""WITH p AS (SELECT p_partkey AS local_id, p_size AS global_id, p_retailprice / 50.0::DOUBLE AS pct, p_partkey % 3 > 0 AS is_match FROM part)
+SELECT local_id::BIGINT AS local_id, global_id::BIGINT AS global_id, CASE WHEN is_match THEN round(pct / 100, 6) END AS confidence, is_match FROM p""")
+def crowd_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a user: matches become mappings, others rejections."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("local_id"), F.col("p_size").cast("long").alias("global_id"), (F.col("p_retailprice") / 50.0).alias("pct"), (F.col("p_partkey") % 3 > 0).alias("is_match"))
+    mapped, rejected = ingest.answer_rows(rows, 7)
+    found = mapped.select("local_id", "global_id", F.round("confidence", 6).alias("confidence"), F.lit(True).alias("is_match"))
+    return found.unionByName(rejected.select("local_id", "global_id", F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("is_match")))
+
+
+@query("""WITH k AS (SELECT n_nationkey::BIGINT AS global_id, n_regionkey::BIGINT + 100 AS new_id FROM nation WHERE n_nationkey % 2 = 0) SELECT c_custkey::BIGINT AS local_id, coalesce(new_id, c_nationkey)::BIGINT AS global_id FROM customer LEFT JOIN k ON global_id = c_nationkey""")
+def state_rekey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings moved to new attribute keys; keys without a successor stay."""
+    keys = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("global_id"), (F.col("n_regionkey").cast("long") + 100).alias("new_id"))
+    return state.rekey(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("local_id"), F.col("c_nationkey").cast("long").alias("global_id")), keys)
+
+
+@query("""WITH q AS (SELECT doc_id AS e1, doc_id + 1 AS e2 FROM labels), l AS (SELECT DISTINCT doc_id AS e1, doc_id + 1 AS e2, CASE WHEN quality = 1 THEN 'Yes' ELSE 'No' END AS human_label FROM labels WHERE toxic = 0)
+SELECT e1, e2, l.human_label FROM q LEFT JOIN l USING (e1, e2)""")
+def state_label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in any case set the labels of questions."""
+    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("e1"), (F.col("doc_id") + 1).alias("e2"), "quality", "toxic")
+    answers = rows.where("toxic = 0").select("e1", "e2", F.when(F.col("quality") == 1, "YES").otherwise("no").alias("human_label")).distinct()
+    return state.label_pair(rows.select("e1", "e2", F.lit(None).cast("string").alias("human_label")), answers)[0]
+
+
 @query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def state_remove_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.lit(1).alias("source_id"), F.col("o_custkey").alias("entity_id"))

@@ -39,11 +39,19 @@ def _model(cells: DataFrame, fields: DataFrame | None = None) -> Ingested:
 def wide_cells(table: DataFrame, name: str, columns: list[str], source_key: str | None = None, entity_key: str | None = None) -> DataFrame:
     """(source, field, entity, value) of the chosen columns; null and empty values have no cell.
 
-    The source is the table's name and the source key (0 without one), the entity its key or else a row number that is unique.
+    The source is the table's name and the source key (0 without one). The entity is its key, or else the digest of its source's
+    and columns' values and a number among equal rows: the same rows get the same entities however they are partitioned. Equal
+    rows are counted, not numbered by a sort, so that no task holds them all.
     """
-    entity = F.col(entity_key).cast("string") if entity_key else F.monotonically_increasing_id().cast("string")
     key = F.col(source_key).cast("string") if source_key else F.lit("0")
-    rows = table.select(F.concat_ws("/", F.lit(name), key).alias("_source"), entity.alias("_entity"), *[F.col(c).cast("string").alias(c) for c in columns])
+    values = [F.col(c).cast("string").alias(c) for c in columns]
+    if entity_key:
+        rows = table.select(F.concat_ws("/", F.lit(name), key).alias("_source"), F.col(entity_key).cast("string").alias("_entity"), *values)
+    else:
+        same = table.select(F.concat_ws("/", F.lit(name), key).alias("_source"), *values).groupBy("_source", *columns).agg(F.count("*").alias("_n"))
+        number = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))
+        digest = F.md5(F.to_json(F.array(*[F.col(c) for c in columns])))
+        rows = same.select("_source", *columns, number.alias("_k")).select("_source", F.concat(digest, F.lit("#"), F.col("_k").cast("string")).alias("_entity"), *columns)
     return rows.unpivot(["_source", "_entity"], columns, "field", "value").where("value is not null and value <> ''").select(F.col("_source").alias("source"), "field", F.col("_entity").alias("entity"), "value")
 
 

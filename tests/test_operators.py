@@ -500,3 +500,25 @@ def test_differences_of_global_counts_equal_a_rebuild(spark):
     # Back to the first mappings: everything cancels.
     back = counts.update(deltas.of_mappings(second, states[2], states[1])).update(deltas.of_source(second, first, states[1])).update(deltas.of_mappings(first, states[1], states[0]))
     assert rows(back.counts) == rows(deltas.GlobalCounts.build(first, own, states[0]).counts)
+
+
+def test_entities_without_keys_are_stable(spark):
+    rows = [("a", 1), ("a", 1), ("a", None), (None, 2), (None, None), ("a", 1), ('q"', 3)]
+    frame = spark.createDataFrame(rows, "x string, y int")
+    first = {tuple(r) for r in ingest.wide_cells(frame, "w", ["x", "y"]).collect()}
+    again = {tuple(r) for r in ingest.wide_cells(spark.createDataFrame(rows[::-1], "x string, y int").repartition(5), "w", ["x", "y"]).collect()}
+    assert first == again and len({c[2] for c in first}) == 6 and len(first) == 10
+    assert ingest.wide_cells(frame.limit(0), "w", ["x", "y"]).isEmpty()
+
+
+def test_import_random_dictionary_and_catalogue(spark):
+    data = spark.createDataFrame([(s, e, "n", f"v{e}") for s in range(6) for e in range(3)], "source_id long, entity_id long, name string, value string")
+    staged = data.groupBy("source_id").agg(F.count("*").alias("n_values"))
+    got = ingest.import_random(data, staged, 2, data.where("source_id = 0"))
+    assert got.sources.count() == 2 and got.cells.count() == 6 and "0" not in {r["local_id"] for r in got.sources.collect()}
+    attributes = spark.createDataFrame([(1, "Color"), (2, "Size")], "global_id long, name string")
+    assert {tuple(r) for r in ingest.dictionary(data, "value", attributes, "COLOR").distinct().collect()} == {(1, f"v{e}") for e in range(3)}
+    data.createOrReplaceTempView("staged_values")
+    assert "staged_values" in ingest.tables(spark, "default") and ingest.table_attributes(spark, "staged_values") == ["source_id", "entity_id", "name", "value"]
+    keys = spark.createDataFrame([(1, 9)], "global_id long, new_id long")
+    assert {tuple(r) for r in state.rekey(spark.createDataFrame([(5, 1), (6, 2)], "local_id long, global_id long"), keys).collect()} == {(5, 9), (6, 2)}
