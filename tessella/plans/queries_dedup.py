@@ -501,14 +501,14 @@ def pairsim_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {S_SIM} SELECT field_id, round(weight, 6) AS weight FROM wt")
 def pairsim_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sims = pairsim.field_cosines(pairsim.tokens(_sim_cells(spark, sf_dir)))
-    return pairsim.field_weights(sims, _sim_matches(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    """Without listing the pairs of entities that do not match."""
+    return pairsim.token_field_weights(pairsim.tokens(_sim_cells(spark, sf_dir)), _sim_matches(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH {S_SIM} SELECT a, b, round(sum(weight * sim) / (SELECT sum(weight) FROM wt), 6) AS sim FROM fs JOIN wt USING (field_id) GROUP BY ALL")
 def pairsim_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sims = pairsim.field_cosines(pairsim.tokens(_sim_cells(spark, sf_dir)))
-    return pairsim.overall(sims, pairsim.field_weights(sims, _sim_matches(spark, sf_dir))).withColumn("sim", F.round("sim", 6))
+    toks = pairsim.tokens(_sim_cells(spark, sf_dir))
+    return pairsim.overall(pairsim.field_cosines(toks), pairsim.token_field_weights(toks, _sim_matches(spark, sf_dir))).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"""WITH {S_SIM.replace("FROM supplier UNION ALL SELECT s_suppkey, 2, 'nation ' || s_nationkey FROM supplier", "FROM supplier UNION ALL SELECT s_suppkey, 2, 'nation ' || s_nationkey FROM supplier WHERE s_acctbal > 0")},
@@ -518,8 +518,8 @@ def pairsim_overall_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers in debt show no nation, so that entities differ in what they have."""
     poor = table(spark, sf_dir, "supplier").where("s_acctbal <= 0").select(F.col("s_suppkey").alias("entity_id"), F.lit(2).cast("long").alias("field_id"))
     toks = pairsim.tokens(_sim_cells(spark, sf_dir).join(poor, ["entity_id", "field_id"], "left_anti"))
-    sims = pairsim.field_cosines(toks)
-    return pairsim.overall_by_size(sims, pairsim.field_weights(sims, _sim_matches(spark, sf_dir)), toks).withColumn("sim", F.round("sim", 6))
+    weights = pairsim.token_field_weights(toks, _sim_matches(spark, sf_dir))
+    return pairsim.overall_by_size(pairsim.field_cosines(toks), weights, toks).withColumn("sim", F.round("sim", 6))
 
 
 # Factoring of field names.

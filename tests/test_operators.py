@@ -144,6 +144,23 @@ def test_pair_weights(spark):
     assert round(pairsim.field_weights(many, known, 10.0).first()["weight"], 6) == 8.5
 
 
+@pytest.mark.parametrize("hot", [1, 3, 10])
+@pytest.mark.parametrize("bias", [None, 5.0])
+def test_weights_without_pairs_equal_weights_over_pairs(spark, hot, bias):
+    rng = random.Random(hot)
+    letters = "abcdefghijklmnopqrst"
+    rows = [(e, f, " ".join(rng.choices(letters, k=rng.randint(1, 4)))) for e in range(80) for f in (1, 2) if rng.random() < 0.9]
+    rows += [(e, 3, "the same") for e in range(40)] + [(1, 4, "alone"), (2, 5, None), (3, 5, "")]
+    toks = pairsim.tokens(spark.createDataFrame(rows, "entity_id long, field_id long, value string")).checkpoint()
+    matches = spark.createDataFrame([(e + 1, e) for e in range(0, 60, 2)] * 2 + [(7, 7), (500, 1)], "entity_a long, entity_b long")
+    expected = {r["field_id"]: r["weight"] for r in pairsim.field_weights(pairsim.field_cosines(toks), matches, bias).collect()}
+    got = {r["field_id"]: r["weight"] for r in pairsim.token_field_weights(toks, matches, bias, hot).collect()}
+    assert set(got) == set(expected) == {1, 2, 3}
+    assert all(got[f] == pytest.approx(expected[f], rel=1e-9) for f in expected)
+    none = pairsim.token_field_weights(toks.limit(0), matches, bias, hot)
+    assert none.count() == 0
+
+
 def test_categories(spark):
     # The x tokens link the two groups: an entity that shares no token with a centroid is never the next one.
     rows = [(e, 1, t) for e in range(12) for t in (("red", "rose", "thorn") if e < 6 else ("blue", "sea", "wave")) + (f"x{e % 2}",)]
