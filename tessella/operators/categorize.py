@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import first_by_hash, first_rows
+from ..sources.state import StateStore
 from .vectors import unit
 
 ROUNDS, KEPT_FEATURES, MERGE_COSINE, JITTER = 10, 300, 0.5, 0.07
+#: Entities that one round of seeding looks at on the driver, and their features.
+SEED_BATCH, SEED_FEATURES = 512, 1 << 20
 
 
 def entity_sample(entities: DataFrame, size: int, seed: str = "cat") -> DataFrame:
@@ -56,28 +59,70 @@ def assign_top(sims: DataFrame, k: int = 1) -> DataFrame:
     return sims.withColumn("_place", F.rank().over(place)).where(F.col("_place") <= k).drop("_place")
 
 
-def initial_centroids(entities: DataFrame, k: int, seed: str = "cat") -> DataFrame:
-    """(category_id, att_id, token, w): far apart entities; each next one has the smallest maximum similarity plus a little chance.
+def initial_entities(entities: DataFrame, k: int, seed: str = "cat", batch: int = SEED_BATCH) -> DataFrame:
+    """(category_id, entity_id): up to k far apart entities, numbered from 1 in the order of their choice.
+
+    The first has the smallest hash; each next one has the smallest maximum similarity to those before plus a little chance, ties to the
+    smaller id. An entity that shares no feature with any of them is never next, as in the method. Empty features give no rows.
 
-    The maximum similarity is kept up from round to round; one small job for each centroid.
+    Maxima only grow. So the driver takes the ``batch`` entities of the smallest values (those that share nothing count as 0), which Spark
+    gathers from bounded heaps of its tasks, with their features (SEED_FEATURES at most), and goes on choosing among them while the best lies
+    before the last of them, which no entity outside can pass. One job then brings all maxima up to date: a round gives many entities, and
+    at least one.
     """
-    chance = F.pmod(F.xxhash64("entity_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    first = entities.select("entity_id").distinct().orderBy(F.md5(F.concat(F.lit(seed), F.col("entity_id").cast("string"))), "entity_id").limit(1).collect()
-    if not first:
-        return entities.select(F.lit(0).cast("long").alias("category_id"), "att_id", "token", "w")
-    chosen = [first[0]["entity_id"]]
-    known = None
-    while len(chosen) < k:
-        last = entities.where(F.col("entity_id") == chosen[-1]).withColumn("category_id", F.lit(0))
-        sims = similarities(entities, last).select("entity_id", "sim")
-        known = (sims if known is None else known.unionByName(sims).groupBy("entity_id").agg(F.max("sim").alias("sim"))).checkpoint()
-        following = known.where(~F.col("entity_id").isin(chosen)).orderBy(F.col("sim") + JITTER * chance, "entity_id").limit(1).collect()
-        if not following:
-            break
-        chosen.append(following[0]["entity_id"])
     spark = entities.sparkSession
-    order = spark.createDataFrame([(e, i + 1) for i, e in enumerate(chosen)], "entity_id long, category_id long")
-    return entities.join(F.broadcast(order), "entity_id").select("category_id", "att_id", "token", "w")
+    digest = F.md5(F.concat(F.lit(seed), F.col("entity_id").cast("string")))
+    chance = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    known = entities.groupBy("entity_id").agg(F.count("*").alias("n")).withColumns({"chance": JITTER * chance, "digest": digest, "sim": F.lit(None).cast("double")}).checkpoint()
+    first = known.orderBy("digest", "entity_id").limit(1).collect()
+    chosen, fresh = [r["entity_id"] for r in first], [r["entity_id"] for r in first]
+    while fresh and len(chosen) < k:
+        seeds = entities.join(F.broadcast(spark.createDataFrame([(e, i) for i, e in enumerate(fresh)], "entity_id long, category_id long")), "entity_id")
+        found = similarities(entities, seeds).groupBy("entity_id").agg(F.max("sim").alias("new"))
+        known = known.join(found, "entity_id", "left").withColumn("sim", F.greatest("sim", "new")).drop("new").checkpoint()
+        fresh = _next_seeds(entities, known, chosen, k - len(chosen), batch)
+        chosen += fresh
+    return spark.createDataFrame([(i + 1, e) for i, e in enumerate(chosen)], "category_id long, entity_id long")
+
+
+def _next_seeds(entities: DataFrame, known: DataFrame, chosen: list[int], wanted: int, batch: int) -> list[int]:
+    """The entities to choose next, as far as the smallest values tell."""
+    taken = known.sparkSession.createDataFrame([(e,) for e in chosen], "entity_id long")
+    rows = known.join(F.broadcast(taken), "entity_id", "left_anti").withColumn("value", F.coalesce("sim", F.lit(0.0)) + F.col("chance"))
+    best = rows.where("sim is not null").orderBy("value", "entity_id").limit(1).collect()
+    if not best:
+        return []
+    near, size = {}, 0
+    for r in rows.orderBy("value", "entity_id").limit(batch).collect():
+        size += r["n"]
+        if near and size > SEED_FEATURES:
+            break
+        near[r["entity_id"]] = r
+    last = max((r["value"], e) for e, r in near.items())
+    everyone = len(near) < batch and size <= SEED_FEATURES
+    held = {r["entity_id"]: r for r in [*near.values(), *best]}
+    own = entities.join(F.broadcast(known.sparkSession.createDataFrame([(e,) for e in held], "entity_id long")), "entity_id")
+    vectors: dict[int, dict[tuple, float]] = {e: {} for e in held}
+    for r in own.select("entity_id", "att_id", "token", "w").collect():
+        vectors[r["entity_id"]][r["att_id"], r["token"]] = r["w"]
+    sims = {e: r["sim"] for e, r in held.items()}
+    out = [best[0]["entity_id"]]
+    while len(out) < wanted:
+        seed = vectors[out[-1]]
+        for e, v in vectors.items():
+            shared = seed.keys() & v.keys()
+            if shared:
+                sims[e] = max(sims[e] or 0.0, sum(seed[t] * v[t] for t in shared))
+        following = min(((sims[e] + r["chance"], e) for e, r in near.items() if sims[e] is not None and e not in out), default=None)
+        if following is None or not (everyone or following <= last):
+            break
+        out.append(following[1])
+    return out
+
+
+def initial_centroids(entities: DataFrame, k: int, seed: str = "cat") -> DataFrame:
+    """(category_id, att_id, token, w): the features of the initial entities."""
+    return entities.join(F.broadcast(initial_entities(entities, k, seed)), "entity_id").select("category_id", "att_id", "token", "w")
 
 
 def kmeans(entities: DataFrame, centroids: DataFrame, rounds: int = ROUNDS, kept: int = KEPT_FEATURES) -> DataFrame:
@@ -123,12 +168,53 @@ def merge_categories(categories: DataFrame, threshold: float = MERGE_COSINE) ->
 
 def build(tokens: DataFrame, k: int = 100, sample: int = 100_000, rounds: int = ROUNDS) -> DataFrame:
     """Category features from a sample of entities: sample, IDF, features, centroids, k-means, merge."""
+    return _build(tokens, k, sample, rounds)[0]
+
+
+def _build(tokens: DataFrame, k: int, sample: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(categories, fractions) of a sample."""
     chosen = entity_sample(tokens.select("entity_id").distinct(), sample)
     own = tokens.join(chosen, "entity_id", "left_semi")
-    vectors = features(own, token_fractions(own)).checkpoint()
-    return merge_categories(kmeans(vectors, initial_centroids(vectors, k), rounds))
+    fractions = token_fractions(own).checkpoint()
+    vectors = features(own, fractions).checkpoint()
+    return merge_categories(kmeans(vectors, initial_centroids(vectors, k), rounds)), fractions
 
 
 def assign(tokens: DataFrame, fractions: DataFrame, categories: DataFrame, k: int = 1) -> DataFrame:
     """(entity_id, category_id, sim): categories of all entities in one job; entities without a shared feature get none."""
     return assign_top(similarities(features(tokens, fractions), categories), k)
+
+
+def store_categories(store: StateStore, categories: DataFrame, fractions: DataFrame) -> None:
+    """Makes these the stored categories and token fractions, in one transaction; assignments to earlier categories are dropped."""
+    with store.transaction():
+        store.write("category_features", categories.select("category_id", "att_id", "token", "w"))
+        store.write("category_tokens", fractions.select("att_id", "token", "fraction"))
+        store.drop("entity_categories")
+
+
+def build_stored(store: StateStore, tokens: DataFrame, k: int | None = None, sample: int | None = None, rounds: int = ROUNDS) -> None:
+    """Builds categories from a sample of tokens and stores them; what is not given is the configuration's cat_count and cat_sample."""
+    config = {r["name"]: r["value"] for r in store.config().collect()}
+    store_categories(store, *_build(tokens, k or int(config["cat_count"]), sample or int(config["cat_sample"]), rounds))
+
+
+def categorize_source(store: StateStore, tokens: DataFrame, source_id: int, k: int | None = None) -> DataFrame:
+    """(entity_id, category_id, sim) of one source's tokens over the stored categories; k is the configuration's cat_k if not given.
+
+    The source's assignments are a part of entity_categories: doing it again replaces them, and no other source is read. Entities without a
+    shared feature get no row; a source without tokens gets an empty part.
+    """
+    if k is None:
+        k = int({r["name"]: r["value"] for r in store.config().collect()}["cat_k"])
+    own = f"source{source_id}"
+    store.put("entity_categories", own, assign(tokens, store.read("category_tokens"), store.read("category_features"), k).select("entity_id", "category_id", "sim"))
+    return store.read("entity_categories", own)
+
+
+def categorize_sources(store: StateStore, tokens: DataFrame, k: int | None = None) -> DataFrame:
+    """All sources of tokens (source_id, entity_id, att_id, token), one part each; returns all stored assignments."""
+    with store.transaction():
+        for r in tokens.select("source_id").distinct().orderBy("source_id").collect():
+            categorize_source(store, tokens.where(F.col("source_id") == r["source_id"]).drop("source_id"), r["source_id"], k)
+    return store.read("entity_categories")

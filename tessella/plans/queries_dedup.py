@@ -5,15 +5,19 @@ Documents are entities: their language is the category, attribute 1 the text, at
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import shared_folder
 from ..functions import text as fx
 from ..functions.tokens import topic_stems
 from ..operators import candidates as cand
 from ..operators.affinity import affinities
 from ..operators import categorize, clustering, factoring, learning, pairsim, scoring
 from ..operators.value_tokens import words
+from ..sources.state import StateStore
 from . import catalog, model
 from .model import s_delimited, s_grams, s_words, table
 from .registry import query
@@ -184,6 +188,34 @@ def cat_merge_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return categorize.category_cosines(_seed_categories(spark, sf_dir)).withColumn("sim", F.round("sim", 6))
 
 
+def _s_seeds(k: int, seed: str = "cat") -> str:
+    """CTEs seed1 to seedk (entity_id), each from the maximum similarities to those before, in mx1 to mxk."""
+    digest = f"md5('{seed}' || entity_id)"
+    out = [f"ids AS (SELECT DISTINCT entity_id, {digest} AS digest, 0.07 * (('0x' || substr({digest}, 1, 8))::BIGINT / 4294967296.0::DOUBLE) AS chance FROM ft)", "seed1 AS (SELECT entity_id FROM ids ORDER BY digest, entity_id LIMIT 1)"]
+    for i in range(1, k):
+        own = f"SELECT x.entity_id, sum(x.w * y.w) AS sim FROM ft x JOIN ft y USING (att_id, token) WHERE y.entity_id = (SELECT entity_id FROM seed{i}) GROUP BY 1"
+        out.append(f"mx{i} AS (SELECT entity_id, max(sim) AS sim FROM ({own}{f' UNION ALL SELECT * FROM mx{i - 1}' if i > 1 else ''}) GROUP BY 1)")
+        before = " AND ".join(f"entity_id <> (SELECT entity_id FROM seed{j})" for j in range(1, i + 1))
+        out.append(f"seed{i + 1} AS (SELECT entity_id FROM mx{i} JOIN ids USING (entity_id) WHERE {before} ORDER BY sim + chance, entity_id LIMIT 1)")
+    return ", ".join(out)
+
+
+@query(f"WITH {S_CAT}, {_s_seeds(8)} " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS category_id, entity_id FROM seed{i}" for i in range(1, 9)))
+def cat_seed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return categorize.initial_entities(_cat_features(spark, sf_dir).checkpoint(), 8)
+
+
+@query(f"""WITH {S_CAT}, sm AS (SELECT entity_id, category, sum(ft.w * cf.w) AS sim FROM ft JOIN cf USING (att_id, token) GROUP BY ALL), rk AS (SELECT *, rank() OVER (PARTITION BY entity_id ORDER BY round(sim, 9) DESC) AS place FROM sm)
+SELECT entity_id, list_position(['de', 'en', 'es', 'fr'], category)::BIGINT AS category_id, round(sim, 6) AS sim FROM rk WHERE place <= CASE WHEN entity_id % 3 = 0 THEN 2 ELSE 1 END""")
+def cat_entity_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources are remainders of doc_id; all are assigned over stored categories, then source 0 again, to two categories each."""
+    store, tokens = StateStore(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"), _cat_tokens(spark, sf_dir).checkpoint()
+    categorize.store_categories(store, _seed_categories(spark, sf_dir), categorize.token_fractions(tokens))
+    categorize.categorize_sources(store, tokens.withColumn("source_id", F.col("entity_id") % 3))
+    categorize.categorize_source(store, tokens.where("entity_id % 3 = 0"), 0, 2)
+    return store.read("entity_categories").withColumn("sim", F.round("sim", 6))
+
+
 @query()
 def cat_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _cat_features(spark, sf_dir).checkpoint()

@@ -25,7 +25,7 @@ MODULES = {
     "numbers": ("field_moments", "attribute_moments"),
     "scores": ("raw_scores", "composite_scores"),
     "pairs": ("token_counts", "entity_counts", "inserted_tokens", "inserted_vectors", "inserted_numbers", "scored_pairs", "edges", "clusters"),
-    "categories": ("category_features", "entity_categories"),
+    "categories": ("category_features", "category_tokens", "entity_categories"),
     "local": ("local_sources", "local_fields", "local_entities", "local_data"),
     "global": ("attributes", "mappings", "rejected_mappings", "suggested_attributes", "synonyms"),
 }

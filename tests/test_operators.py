@@ -171,6 +171,43 @@ def test_categories(spark):
     assert len({label[e] for e in range(6)}) == 1 and len({label[e] for e in range(6, 12)}) == 1 and label[0] != label[6]
 
 
+@pytest.mark.parametrize("batch", [1, 5, 512])
+def test_seeds_equal_one_choice_after_the_other(spark, batch, monkeypatch):
+    rng = random.Random(batch)
+    rows = [(e, 1, f"t{t}", rng.random()) for e in range(90) for t in rng.sample(range(60), 3)] + [(1000, 1, "lonely", 1.0)]
+    vectors = categorize.unit(spark.createDataFrame(rows, "entity_id long, att_id long, token string, w double"), ["entity_id"]).checkpoint()
+    if batch == 5:
+        monkeypatch.setattr(categorize, "SEED_FEATURES", 7)
+    own: dict[int, dict[str, float]] = {}
+    for r in vectors.collect():
+        own.setdefault(r["entity_id"], {})[r["token"]] = r["w"]
+    digest = {e: hashlib.md5(f"cat{e}".encode()).hexdigest() for e in own}
+    chosen = [min(own, key=lambda e: (digest[e], e))]
+    while len(chosen) < 12:
+        sims = {e: max((sum(v[t] * own[c][t] for t in v.keys() & own[c].keys()) for c in chosen if v.keys() & own[c].keys()), default=None) for e, v in own.items() if e not in chosen}
+        chosen.append(min((s + 0.07 * int(digest[e][:8], 16) / 2**32, e) for e, s in sims.items() if s is not None)[1])
+    got = {r["category_id"]: r["entity_id"] for r in categorize.initial_entities(vectors, 12, batch=batch).collect()}
+    assert [got[i + 1] for i in range(12)] == chosen and 1000 not in chosen
+    assert categorize.initial_entities(vectors.limit(0), 3).count() == 0
+
+
+def test_stored_categories(spark, tmp_path):
+    rows = [(e % 2, e, 1, t) for e in range(12) for t in (("red", "rose", "thorn") if e < 6 else ("blue", "sea", "wave")) + (f"x{e % 2}",)]
+    tokens = spark.createDataFrame(rows, "source_id long, entity_id long, att_id long, token string")
+    store = state.StateStore(spark, str(tmp_path / "cat"))
+    categorize.build_stored(store, tokens.drop("source_id"), 2, rounds=3)
+    first = {tuple(r) for r in categorize.categorize_sources(store, tokens).collect()}
+    assert {e for e, *_ in first} == set(range(12)) and store.parts("entity_categories") == ["source0", "source1"]
+    fewer = tokens.where("source_id = 1 and entity_id < 6").drop("source_id")
+    assert {r["entity_id"] for r in categorize.categorize_source(store, fewer, 1).collect()} == {1, 3, 5}
+    assert {r["entity_id"] for r in store.read("entity_categories").collect()} == {0, 2, 4, 6, 8, 10, 1, 3, 5}
+    assert categorize.categorize_source(store, fewer.limit(0), 7).count() == 0
+    categorize.build_stored(store, tokens.drop("source_id"), 2, rounds=1)
+    assert not store.exists("entity_categories")
+    store.clean("categories")
+    assert not store.exists("category_features") and not store.exists("category_tokens")
+
+
 def test_ingest_is_idempotent_and_keeps_keys_apart(spark):
     data = spark.createDataFrame([(1, 5, "a", "x"), (2, 5, "a", "y"), (1, 6, "b", ""), (1, 7, "b", None), (1, 8, "c", "z" * 1300), (1, 9, "c", "z" * 1299)], "source_id long, entity_id long, name string, value string")
     got = ingest.from_staged(data)
