@@ -15,7 +15,7 @@ from ..functions import text as fx
 from ..functions.tokens import topic_stems
 from ..operators import candidates as cand
 from ..operators.affinity import affinities
-from ..operators import categorize, clustering, factoring, learning, pairsim, scoring
+from ..operators import categorize, clustering, factoring, incremental, learning, pairsim, scoring
 from ..operators.value_tokens import words
 from ..sources.state import StateStore
 from . import catalog, model
@@ -554,6 +554,36 @@ def pairsim_overall_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairsim.overall_by_size(pairsim.field_cosines(toks), weights, toks).withColumn("sim", F.round("sim", 6))
 
 
+# Sources one after the other: even documents are source 0, odd ones source 1. Source 0 is weighed by its own counts, source 1 by
+# those of both; the category carries the stage in SQL.
+_S_STAGED = S_PREFIX.replace(
+    S_CELLS,
+    "cells AS (SELECT lang || '#0' AS cat, doc_id AS entity_id, 1::BIGINT AS att_id, text AS value FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0 UNION ALL SELECT lang || '#1', doc_id, 1::BIGINT, text FROM documents WHERE text IS NOT NULL)",
+)
+_S_OWN = "SELECT split_part(cat, '#', 1) AS cat, entity_id, att_id, token, w FROM {0} WHERE entity_id % 2 = split_part(cat, '#', 2)::BIGINT"
+_S_BY_SOURCE = (
+    f"{S_CELLS}, pre AS (WITH {_S_STAGED} {_S_OWN.format('pre')}), v AS (WITH {_S_STAGED}, {_s_vectors('v', 'tok')} {_S_OWN.format('v')})"
+    + S_PROB[len(S_PREFIX):].replace(_s_vectors("v", "tok") + ", ", "")
+)
+
+
+def _dedup_store(spark: SparkSession, sf_dir: str) -> StateStore:
+    """State after both sources are added."""
+    store = StateStore(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    thresholds = _by_cat(spark, "threshold", TEXT_THRESHOLD).withColumn("att_id", F.lit(1).cast("long")).unionByName(_band(spark))
+    types = spark.createDataFrame([(1, "TEXT"), (2, "REAL")], "att_id long, type string")
+    entities = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), (F.col("doc_id") % 2).alias("source_id"))
+    incremental.add_all_sources(store, _cells(spark, sf_dir), _features(spark), thresholds, _by_cat(spark, "dup_prob", PRIOR), types, entities, words)
+    return store
+
+
+@query(f"WITH {_S_BY_SOURCE} SELECT e1, e2, round(probability, 6) AS probability FROM prob")
+def dedup_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored pairs of the state, within each source and across both."""
+    rows = _dedup_store(spark, sf_dir).read("scored_pairs")
+    return rows.select(F.least("e1", "e2").alias("e1"), F.greatest("e1", "e2").alias("e2"), F.round("probability", 6).alias("probability"))
+
+
 # Factoring of field names.
 _S_KNOWN = f"{catalog.S_FIELDS}, {catalog.S_ATTRIBUTES}, {catalog.S_AFFINITY}, {catalog.S_SYNONYMS}, h AS (SELECT DISTINCT field_id, name, synonym FROM fields JOIN affinity ON field_id = local_id JOIN sy USING (global_id) WHERE contains(lower(name), lower(synonym)))"
 

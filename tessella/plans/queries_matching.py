@@ -237,6 +237,22 @@ def dist_pvalue_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distributions.scores(model.cells(spark, sf_dir), model.affinity(spark)).withColumn("score", F.round("score", 6)).where("score > 0")
 
 
+#: Quantities of each supplier's lines against those of each part size's lines, mapped with an affinity by size.
+_FLOOR = 0.3
+_S_SUPPLY = "s AS (SELECT l_suppkey AS field_id, count(*) AS n, avg(l_quantity::DOUBLE) AS mean, var_samp(l_quantity::DOUBLE) AS variance FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1 HAVING count(*) > 1), g AS (SELECT l_partkey % 97 AS global_id, count(*) AS n, avg(l_quantity::DOUBLE) AS mean, var_samp(l_quantity::DOUBLE) AS variance, (1 + l_partkey % 97 % 5) / 5.0::DOUBLE AS affinity FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY l_partkey % 97 HAVING count(*) > 1)"
+
+
+@query(f"WITH {_S_SUPPLY}{_P_VALUES[len(_DIST):]} SELECT field_id::BIGINT AS field_id, global_id::BIGINT AS global_id, round(score, 5) AS score FROM ds WHERE round(score, 5) >= {_FLOOR}")
+def dist_scores_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs by intervals of their means: suppliers are fields, groups of parts the mapped ones."""
+    lines = model.table(spark, sf_dir, "lineitem").where("l_quantity is not null").select(F.col("l_suppkey").cast("long").alias("field_id"), (F.col("l_partkey") % 97).cast("long").alias("global_id"), F.col("l_quantity").cast("string").alias("value"))
+    stats = distributions.moments(lines.select("field_id", "value"))
+    groups = distributions.moments(lines.select(F.col("global_id").alias("field_id"), "value"))
+    glob = groups.withColumn("affinity", (1 + F.col("field_id") % 5) / 5.0).withColumnRenamed("field_id", "global_id")
+    # Rounded scores are held against the floor, as in SQL.
+    return distributions.scores_above(stats, glob, _FLOOR - 1e-5).withColumn("score", F.round("score", 5)).where(F.col("score") >= _FLOOR)
+
+
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rounded scores of the four matchers as one table of results."""
     cells = model.cells(spark, sf_dir)

@@ -324,6 +324,33 @@ def test_plans_push_filters_to_the_scan(spark):
     assert "PushedFilters: [IsNotNull(c_nationkey), EqualTo(c_nationkey,3)]" in plan and "c_acctbal" not in plan
 
 
+@pytest.mark.parametrize("floor", [0.02, 0.3, 0.9])
+def test_scores_above_equal_all_scores_above(spark, floor):
+    from tessella.operators import distributions
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice([2, 3, 10, 500, 10**6]), rng.choice([0.0, 1e-9, 5.0, -40.0, 1e12]) + rng.gauss(0, rng.choice([1e-6, 0.1, 3.0])), rng.choice([0.0, 1e-12, 0.5, 4.0, 1e9])) for i in range(60)]
+    rows += [(100, 5, 1e300, 1.0), (101, 5, 1e300, 1.0), (102, *rows[1][1:])]
+    stats = spark.createDataFrame(rows, "field_id long, n long, mean double, variance double")
+    glob = stats.withColumnsRenamed({"field_id": "global_id"}).withColumn("global_id", F.col("global_id") % 40).withColumn("affinity", (F.col("global_id") % 5) / 4.0)
+    expected = {tuple(r)[:2]: r["score"] for r in distributions.scores_of(stats, glob).where(F.col("score") >= floor).collect()}
+    got = [tuple(r) for r in distributions.scores_above(stats, glob, floor).collect()]
+    assert len(got) == len(expected) > 0 and all(s == pytest.approx(expected[f, g], rel=1e-12) for f, g, s in got)
+    # The whole join tests every row with every row.
+    assert distributions.comparisons_above(stats, glob, floor).count() < stats.count() * glob.count() / 4
+    assert distributions.scores_above(stats.limit(0), glob, floor).count() == 0 and distributions.scores_above(stats, glob, 1.5).count() == 0
+
+
+def test_intervals_meet_once(spark):
+    from tessella.operators import distributions
+
+    rng = random.Random(9)
+    rows = [(i, low, low + w) for i in range(120) for low, w in [(rng.uniform(-50, 50), rng.choice([0.0, 1e-7, 0.4, 1.0, 7.0, 64.0]))]] + [(200, 0.5, 1.5), (201, 1.5, 2.5), (202, -0.5, 0.5), (203, -0.0, 0.0)]
+    frame = spark.createDataFrame(rows, "id long, low double, high double")
+    got = sorted((r["l_id"], r["r_id"]) for r in distributions.near_pairs(frame, frame).collect())
+    assert got == sorted((a, b) for a, la, ha in rows for b, lb, hb in rows if max(la, lb) <= min(ha, hb))
+
+
 def test_dist_scores_are_p_values(spark):
     from tessella.operators import distributions
 
