@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import shared_folder
 from ..functions import aggregates as agg
 from ..functions import numeric, text, tokens
 from ..sources import ingest, state
@@ -136,6 +139,32 @@ def state_remove_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.remove_source(rows, own, 1).withColumnRenamed("entity_id", "c_custkey")
 
 
+#: Tables of each module in a row, with the step that drops them: the modules one by one, "local" by unloading local data.
+_STEPS = ("names", "scores", "pairs", "categories", "local", "global")
+_DROPPED = {t: _STEPS.index(m if m in _STEPS else "local") for m, names in state.MODULES.items() for t in names}
+
+
+@query(f"""WITH t(name, number, gone) AS (VALUES {", ".join(f"('{t}', {i}, {gone})" for i, (t, gone) in enumerate(_DROPPED.items()))}), s(step) AS (SELECT unnest(range({len(_STEPS)})))
+SELECT step::BIGINT AS step, name, count(*)::BIGINT AS n FROM s JOIN t ON gone > step JOIN orders ON o_orderkey % {len(_DROPPED)} = number GROUP BY ALL""")
+def state_clean_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left after each clean-up, with its rows: every table holds the orders of one remainder, in a part for each status."""
+    store, names = state.StateStore(spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"), list(_DROPPED)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % len(names)).alias("number"), "o_orderstatus")
+    with store.transaction():
+        for i, name in enumerate(names):
+            for part in ("F", "other"):
+                store.put(name, part, orders.where((F.col("number") == i) & ((F.col("o_orderstatus") == "F") == (part == "F"))))
+    left = None
+    for step, module in enumerate(_STEPS):
+        store.unload_local() if module == "local" else store.clean(module)
+        for name in store.manifest():
+            rows = store.read(name).agg(F.count("*").alias("n")).select(F.lit(step).cast("long").alias("step"), F.lit(name).alias("name"), "n")
+            left = rows if left is None else left.unionByName(rows)
+        # The next steps delete folders, so that the counts are written now.
+        left = left.checkpoint()
+    return left.where("n > 0")
+
+
 _Q = r"""WITH l AS (SELECT p_partkey AS id, list_filter(string_split_regex(lower(p_name), '\s+'), lambda w: w <> '') AS ws FROM part),
 w AS (SELECT id, unnest(ws) AS w, unnest(list_append(ws[2:], NULL)) AS nxt FROM l),
 g AS (SELECT id, substr(w, 1, 3) || '!' AS gram FROM w UNION ALL SELECT id, substr(w, 1, 1) || '#' FROM w UNION ALL SELECT id, substr(w, 1, 1) || ' ' || substr(nxt, 1, 1) FROM w WHERE nxt IS NOT NULL

@@ -398,6 +398,23 @@ def schema_map_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.map_source(store, fields, model.attributes(spark), model.mappings(spark), 3).withColumn("score", F.round("score", 5))
 
 
+#: The parts' mappings are held back, and are the truth of a test run.
+_HELD = tuple(i for i, source, _ in model.FIELDS if source == 3)
+_S_TRUTH = "gold(field_id, tag_id) AS (VALUES " + ", ".join(f"({m[0]}::BIGINT, {m[1]}::BIGINT)" for m in MAPPINGS if m[0] in _HELD and m[2] * m[3] > 0.5) + f", ({_HELD[0]}::BIGINT, NULL))"
+_S_TEST = _RAW.replace(s_affinity(), s_affinity(tuple(m for m in MAPPINGS if m[0] not in _HELD)))
+
+
+@query(f"""WITH {_S_TEST}, {_S_TRUTH}, vmax AS (SELECT * FROM mcomp a WHERE score = (SELECT max(score) FROM mcomp b WHERE b.field_id = a.field_id)),
+h AS (SELECT method_name AS kind, match_id = tag_id AS hit FROM best JOIN gold USING (field_id) UNION ALL SELECT 'composite', match_id = tag_id FROM nmax JOIN gold USING (field_id) UNION ALL SELECT 'votes', match_id = tag_id FROM vmax JOIN gold USING (field_id))
+SELECT kind, {_HITS} FROM h GROUP BY 1""")
+def mapping_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A test run end to end: models of all sources that learn nothing of one source's mappings, which are then the truth."""
+    truth = [(m[0], m[1]) for m in MAPPINGS if m[0] in _HELD and m[2] * m[3] > 0.5] + [(_HELD[0], None)]
+    gold = spark.createDataFrame(truth, "field_id long, tag_id long")
+    found = mapping.test_mapping(_store(spark), model.cells(spark, sf_dir), model.fields(spark), model.attributes(spark), model.mappings(spark), _dictionary(spark, sf_dir), gold, [3], tokenizer=value_tokens.words)
+    return found[0].withColumnRenamed("method_name", "kind").unionByName(found[1].withColumn("kind", F.lit("composite")).drop("method_name")).unionByName(found[2].withColumn("kind", F.lit("votes")).drop("method_name"))
+
+
 def _restricted(method: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         store, cells, fields = _store(spark), model.cells(spark, sf_dir), model.fields(spark)
