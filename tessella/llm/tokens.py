@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import string
+from itertools import chain
 
 import numpy as np
 
@@ -67,7 +68,7 @@ class Encoder:
         """Where the ids of new pieces stand in the pool, and how many they are."""
         found = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         lengths = np.array([len(x) for x in found], np.int64)
-        flat = np.fromiter((i for x in found for i in x), self.kind, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(found), self.kind, int(lengths.sum()))
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), self.kind)])
         at = self.used + np.cumsum(lengths) - lengths
@@ -108,7 +109,7 @@ class Encoder:
         if len(missed):
             fresh, where, which = np.unique(hashes[missed], return_index=True, return_inverse=True)
             own = missed[where]
-            new_at, new_len = self._learn([raw[a:b].decode() for a, b in zip(starts[own], ends[own], strict=True)])
+            new_at, new_len = self._learn([raw[a:b].decode() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
             at[missed], lengths[missed] = new_at[which], new_len[which]
             self.keys[slots[own]], self.start[slots[own]], self.length[slots[own]] = fresh, new_at, new_len
         before = np.zeros(len(starts) + 1, np.int64)
