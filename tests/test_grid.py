@@ -76,3 +76,20 @@ def test_pairs_are_not_shuffled(spark, name):
     plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
     assert "FlatMapGroupsInArrow" in plan or "FlatMapGroupsInPandas" in plan or "FlatMapGroups" in plan
     assert "Aggregate" not in plan.split("FlatMapGroups")[0]
+
+
+@pytest.mark.parametrize("name", ["pairsim_cosine", "pairsim_overall", "pairsim_overall_by_size"])
+def test_supplier_pairs_are_not_shuffled(spark, name):
+    plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    assert "FlatMapGroups" in plan and "Aggregate" not in plan.split("FlatMapGroups")[0]
+
+
+def test_weighted_pairs_as_by_joins(spark):
+    cells = spark.createDataFrame([(e, f, v) for e in range(9) for f, v in ((1, f"name {e % 4}"), (2, f"other {e}"), (3, "x")) if (e + f) % 4], "entity_id long, field_id long, value string")
+    toks = pairsim.tokens(cells).checkpoint()
+    weights = spark.createDataFrame([(1, 2.0), (2, 0.5), (3, None)], "field_id long, weight double")
+    sims, vectors = pairsim.field_cosines(toks).checkpoint(), pairsim.packed(toks).checkpoint()
+    same = lambda rows: {(r["a"], r["b"]): r["sim"] for r in rows.select("a", "b", F.round("sim", 9).alias("sim")).collect()}
+    assert {tuple(r)[:3]: round(r["sim"], 9) for r in pairsim.token_cosines(vectors).collect()} == {tuple(r)[:3]: round(r["sim"], 9) for r in sims.collect()}
+    assert same(pairsim.token_overall(vectors, weights)) == same(pairsim.overall(sims, weights))
+    assert same(pairsim.token_overall(vectors, weights, by_size=True)) == same(pairsim.overall_by_size(sims, weights, toks))
