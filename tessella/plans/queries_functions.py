@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..cluster import shared_folder
 from ..functions import aggregates as agg
 from ..functions import numeric, text, tokens
+from ..operators.vectors import row_counts
 from ..sources import ingest, state
 from . import catalog
 from .model import s_delimited, table
@@ -174,8 +175,8 @@ SELECT id, gram, count(*)::BIGINT AS n FROM g GROUP BY ALL"""
 
 @query(_Q)
 def tok_qgrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.explode(text.qgrams(F.col("p_name"))).alias("gram"))
-    return rows.groupBy("id", "gram").agg(F.count("*").alias("n"))
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    return row_counts(parts, ["id"], text.qgrams(F.col("p_name")), "gram").withColumnRenamed("c", "n")
 
 
 @query("SELECT n_nationkey AS id, unnest(list_transform(range(1, length(n_name) + 1), lambda i: substr(n_name, 1, i))) AS prefix FROM nation")
