@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import shared_folder
+from ..cluster import settle, shared_folder
 from ..functions.aggregates import rank_first
 from ..operators import affinity as aff
 from ..operators import compose, deltas, distributions, mapping, mdl, meta_tree, name_qgrams, value_tokens
@@ -442,13 +442,13 @@ def crowd_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tree_meta_matcher(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = meta_tree.labelled_features(_raw(spark, sf_dir), model.mappings(spark))
+    rows = settle(meta_tree.labelled_features(_raw(spark, sf_dir), model.mappings(spark)))
     return meta_tree.classify(meta_tree.train(rows), rows)
 
 
 @query()
 def tree_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = meta_tree.labelled_features(_raw(spark, sf_dir), model.mappings(spark))
+    rows = settle(meta_tree.labelled_features(_raw(spark, sf_dir), model.mappings(spark)))
     return meta_tree.measures(meta_tree.stats(meta_tree.classify(meta_tree.train(rows), rows)))
 
 
