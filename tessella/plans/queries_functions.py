@@ -222,7 +222,7 @@ def tok_typed_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.typed_stems.counts(table(spark, sf_dir, "documents"), [], "text", "token").withColumnRenamed("c", "n")
 
 
-@query(f"""WITH {s_typed('t', 'documents', 'doc_id', 'text')}, {s_stems('d', 't')}, f AS (SELECT doc_id, token FROM t WHERE type = 1 AND length(token) < 100 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY nth) <= 300)
+@query(f"""WITH {s_typed('t', 'documents', 'doc_id', 'text')}, {s_stems('d', 't')}, f AS (SELECT doc_id, token FROM t WHERE type = 1 AND length(token) < 100)
 SELECT doc_id, stem, count(*)::BIGINT AS n FROM f JOIN d USING (token) WHERE stem <> '' GROUP BY ALL""")
 def tok_word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.word_stems.counts(table(spark, sf_dir, "documents"), ["doc_id"], "text", "stem").withColumnRenamed("c", "n")
