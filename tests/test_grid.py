@@ -93,3 +93,17 @@ def test_weighted_pairs_as_by_joins(spark):
     assert {tuple(r)[:3]: round(r["sim"], 9) for r in pairsim.token_cosines(vectors).collect()} == {tuple(r)[:3]: round(r["sim"], 9) for r in sims.collect()}
     assert same(pairsim.token_overall(vectors, weights)) == same(pairsim.overall(sims, weights))
     assert same(pairsim.token_overall(vectors, weights, by_size=True)) == same(pairsim.overall_by_size(sims, weights, toks))
+
+
+def test_weights_of_groups_list_no_pair(spark, monkeypatch):
+    cells = spark.createDataFrame([(e, f, v) for e in range(24) for f, v in ((1, f"name {e % 5}"), (2, f"{'abcdefgh'[e % 8]}{'abcdefgh'[e % 3]}x")) if (e + f) % 7], "entity_id long, field_id long, value string")
+    groups = spark.createDataFrame([(e, e % 4 if e < 20 else None) for e in range(24)], "entity_id long, group_id long")
+    known = groups.toDF("entity_a", "g").join(groups.toDF("entity_b", "g"), "g").where("entity_a < entity_b")
+    toks = pairsim.tokens(cells).checkpoint()
+    same = lambda rows: {r["field_id"]: round(r["weight"], 9) for r in rows.collect()}
+    want = same(pairsim.field_weights(pairsim.field_cosines(toks), known))
+    assert same(pairsim.token_field_weights(toks, known, hot=2)) == want
+    monkeypatch.setattr(pairsim, "text_similarities", None)
+    monkeypatch.setattr(pairsim, "_known", None)
+    assert same(pairsim.group_field_weights(toks, groups, hot=2)) == want == same(pairsim.group_field_weights(toks, groups))
+    assert len(want) == 2
